@@ -39,11 +39,46 @@ def train_and_evaluate(spark, d, forest=None, boosted=None, logreg=None):
     return rows, models, data
 
 
-@query("train_compare", ops=("TRN-1", "TRN-2", "TRN-3", "TRN-4", "TRN-7", "TOP-11"))
+def training_exports(best, test, comparison, root: str) -> None:
+    """Hold-out predictions, risk by age group, level counts, patient summary
+    and the model comparison as CSV (SNK-9)."""
+    from ..functions import scalars as S
+    from ..operators.aggregates import level_counts
+    from ..sources.sinks import export_csv
+    pred = ML.positive_probability(best.transform(test), "risk_score").drop(
+        "features", "rawPrediction", "probability", "prediction")
+    pred = (pred.withColumnRenamed("label", "actual_readmitted")
+            .withColumn("risk_percentage", F.round(F.col("risk_score") * 100.0, 1))
+            .withColumn("risk_level", S.risk_level("risk_score")))
+    export_csv(pred, f"{root}/predictions")
+    by_age = (pred.withColumn("age_group", S.age_group("age_numeric"))
+              .where(F.col("age_group").isNotNull()).groupBy("age_group")
+              .agg(F.avg("risk_score").alias("avg_risk_score"),
+                   F.count("risk_score").alias("patient_count"),
+                   F.sum(S.equals_flag("risk_level", "High")).alias("high_risk_count")))
+    export_csv(by_age, f"{root}/risk_by_demographics")
+    export_csv(level_counts(pred, "risk_level", "patient_count"), f"{root}/risk_distribution")
+    export_csv(pred.select(F.col("age_numeric").alias("age"), "total_visits", "num_medications",
+                           "num_lab_procedures", "number_inpatient", "risk_score",
+                           "risk_percentage", "risk_level", "actual_readmitted"),
+               f"{root}/patient_risk_summary")
+    export_csv(comparison, f"{root}/model_comparison")
+
+
+@query("train_compare", ops=("TRN-1", "TRN-2", "TRN-3", "TRN-4", "TRN-7", "TOP-11", "SNK-9",
+                             "AGG-9", "AGG-31"))
 def q_train(spark, d):
-    rows, _, _ = train_and_evaluate(spark, d)
+    from ..session import scratch_path
+    rows, models, data = train_and_evaluate(spark, d)
     best = ML.best_model(rows, "model", "auc").select("best_model")
-    return rows.crossJoin(best)
+    comparison = rows.crossJoin(best)
+    root = scratch_path(spark, "training")
+    # the best model's name is one value of a 3-row table
+    name = best.first()["best_model"]
+    training_exports(models[name], data.where(F.col("split") == "test"), comparison, root)
+    schema = ("model string, tp long, fp long, fn long, tn long, accuracy double, "
+              "precision double, recall double, f1 double, auc double, best_model string")
+    return spark.read.option("header", True).schema(schema).csv(f"{root}/model_comparison")
 
 
 @query("batch_score", ops=("SCO-3", "SCA-24", "SCA-5", "SNK-13"))
