@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import medians_row
 from .sequence import share_of_total
 
 
@@ -81,8 +82,8 @@ def monthly_rate(df: DataFrame, ts: str, flag: Column, out_month: str = "month")
 
 
 def medians(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """One row with the exact median of each column (AGG-18)."""
-    return df.agg(*[F.median(c).alias(c) for c in cols])
+    """One row with the exact median of each column (AGG-18), bounded memory."""
+    return medians_row(df, list(cols))
 
 
 def modes(df: DataFrame, cols: Iterable[str], default: str = "Unknown") -> DataFrame:
@@ -102,10 +103,17 @@ def fill_from_row(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataF
 def median_mode_fill(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
     """Numeric nulls -> column median, text nulls -> column mode (JOB-1 step 5).
 
-    Both statistics come from one aggregate pass.
+    Medians use the bounded exact quantile; modes are one aggregate pass (a
+    mode's buffer holds the distinct values of a categorical column).
     """
-    stats = df.agg(*[F.median(c).alias(c) for c in numeric],
-                   *[F.coalesce(F.mode(c, True), F.lit("Unknown")).alias(c) for c in text])
+    parts = []
+    if numeric:
+        parts.append(medians_row(df, list(numeric)))
+    if text:
+        parts.append(modes(df, list(text)))
+    if not parts:
+        return df
+    stats = parts[0] if len(parts) == 1 else parts[0].crossJoin(parts[1])
     return fill_from_row(df, stats, list(numeric) + list(text))
 
 

@@ -85,14 +85,13 @@ def dense_row_id(df: DataFrame, order: Sequence[str], out: str = "id",
     count, not the data size).
 
     Range boundaries come from a sample and may differ between two
-    evaluations, so the partitioned rows are checkpointed once (to the shared
-    checkpoint folder) and both passes read that copy.
+    evaluations, so the partitioned rows (with their partition id) are written
+    once to the shared checkpoint folder and both passes read that copy.
     """
-    from ..session import checkpoint_root
-    checkpoint_root(df.sparkSession)
+    from ..session import materialize
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = (df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, *order)
+                         .withColumn("__pid", F.spark_partition_id()), "ranged")
     w_in = Window.partitionBy("__pid").orderBy(*order)
     numbered = ranged.withColumn("__rn", F.row_number().over(w_in))
     counts = numbered.groupBy("__pid").agg(F.max("__rn").alias("__cnt"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..operators.aggregates import median_mode_fill
+from ..operators.quantiles import quantile_row
 from ..operators.sequence import first_per_key
 from ..operators.shape import columns_of_kind, drop_present
+from ..session import materialize
 from ..sources.readers import null_tokens
 
 
@@ -20,7 +22,7 @@ def type_numeric(df: DataFrame, cols=K.NUMERIC_RAW_COLUMNS) -> DataFrame:
 
 
 def clean(raw: DataFrame, keep_ids: bool = False, order_col: str = "admitted_at",
-          tokens=K.NULL_TOKENS) -> DataFrame:
+          tokens=K.NULL_TOKENS, materialize_rows: bool = True) -> DataFrame:
     """JOB-1: null tokens -> null, first encounter per patient, binary target,
     drop listed columns, diagnosis categories, median/mode fill."""
     df = type_numeric(null_tokens(raw, tokens))
@@ -37,10 +39,14 @@ def clean(raw: DataFrame, keep_ids: bool = False, order_col: str = "admitted_at"
     ids = {"encounter_id", "patient_nbr"}
     numeric = [c for c in columns_of_kind(df, "numeric") if c != "readmitted_binary"]
     text = [c for c in columns_of_kind(df, "text") if c not in ids]
+    if materialize_rows:
+        # fill statistics are a second pass over the same rows
+        df = materialize(df, "clean-rows")
     return median_mode_fill(df, numeric, text)
 
 
-def engineer(df: DataFrame, lab_threshold: float | None = None) -> DataFrame:
+def engineer(df: DataFrame, lab_threshold: float | None = None,
+             materialize_rows: bool = True) -> DataFrame:
     """JOB-2: derived features. ``lab_threshold`` fixes the high-lab cut
     (score time); by default it is the data's 75th percentile (fit time)."""
     cols = set(df.columns)
@@ -51,9 +57,11 @@ def engineer(df: DataFrame, lab_threshold: float | None = None) -> DataFrame:
     if "change" in cols:
         out = out.withColumn("medication_change", S.equals_flag("change", "Ch"))
     if "num_lab_procedures" in cols:
+        if lab_threshold is None and materialize_rows:
+            # the quantile is a second pass over the same rows
+            out = materialize(out, "feature-rows")
         if lab_threshold is None:
-            t = out.agg(F.percentile("num_lab_procedures", F.lit(K.HIGH_LAB_QUANTILE))
-                        .alias("__t"))
+            t = quantile_row(out, "num_lab_procedures", K.HIGH_LAB_QUANTILE, "__t")
             out = (out.crossJoin(F.broadcast(t))
                    .withColumn("high_lab_procedures", S.above_flag("num_lab_procedures",
                                                                   F.col("__t")))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..operators.quantiles import quantile_row
 from ..operators.sequence import dense_row_id, first_per_key
 from ..operators.shape import with_defaults
+from ..session import materialize
 
 DIM_PATIENT_COLUMNS = ["patient_id", "age", "age_group", "gender", "race"]
 DIM_VISIT_COLUMNS = [
@@ -38,8 +40,9 @@ SUMMARY_COLUMNS = [
 
 def quantile_threshold(df: DataFrame, column: str, q: float = K.HIGH_LAB_QUANTILE,
                        name: str = "__threshold") -> DataFrame:
-    """One-row table holding the exact linear-interpolated ``q`` quantile (AGG-17)."""
-    return df.agg(F.percentile(F.col(column), F.lit(q)).alias(name))
+    """One-row table holding the exact linear-interpolated ``q`` quantile (AGG-17),
+    found with bounded memory per task (see ``operators.quantiles``)."""
+    return quantile_row(df, column, q, name)
 
 
 def flag_above_quantile(df: DataFrame, column: str, out: str,
@@ -55,7 +58,8 @@ def flag_above_quantile(df: DataFrame, column: str, out: str,
             .drop("__threshold"))
 
 
-def silver(raw: DataFrame, order_col: str | None = "admitted_at") -> DataFrame:
+def silver(raw: DataFrame, order_col: str | None = "admitted_at",
+           materialize_rows: bool = True) -> DataFrame:
     """Bronze/raw encounters (text) -> typed silver, one row per patient (JOB-4).
 
     Keeps each patient's first encounter by (``order_col``, encounter id).
@@ -99,6 +103,9 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at") -> DataFrame:
         sum(med_flags, F.lit(0)).cast("int").alias("total_medications_active"),
         S.readmit_flag("readmitted").alias("readmitted_binary"),
     )
+    if materialize_rows:
+        # the quantile is a second pass over the same rows: read a stored copy
+        out = materialize(out, "silver-rows")
     out = flag_above_quantile(out, "num_lab_procedures", "high_lab_procedures")
     return out.select(*SILVER_COLUMNS)
 

@@ -75,3 +75,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique directory under the shared checkpoint root."""
     return checkpoint_root(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back, so a two-pass job (a statistic, then its use) does not recompute
+    the upstream plan, and the lineage is cut at a durable copy that survives
+    the loss of executors."""
+    spark = df.sparkSession
+    p = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(p)
+    return spark.read.parquet(p)
