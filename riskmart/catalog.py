@@ -36,8 +36,10 @@ MODEL_PREDICTIONS = _schema(
     ("risk_level", S), ("actual_readmitted", I), ("top_factors", S), ("predicted_at", TS),
     ("model_version", S))
 
+# the 50 raw text columns, the encounter time (orders a patient's encounters)
+# and the ingest timestamp
 BRONZE = T.StructType([T.StructField(c, S) for c in K.RAW_COLUMNS]
-                      + [T.StructField("ingested_at", TS)])
+                      + [T.StructField("admitted_at", TS), T.StructField("ingested_at", TS)])
 
 SILVER = _schema(
     ("patient_id", L), ("visit_id", L), ("age", I), ("age_group", S), ("gender", S),

@@ -84,6 +84,10 @@ RAW_COLUMNS = [
     "max_glu_serum", "A1Cresult",
 ] + MEDICATION_COLS + ["change", "diabetesMed", "readmitted"]
 
+# ---- FIXED VALUES: fill for raw columns a source does not supply (bronze alignment) ----
+RAW_FILL_UNKNOWN = ["weight", "payer_code", "medical_specialty"]      # -> "?"
+RAW_FILL_NO = MEDICATION_COLS + ["examide", "citoglipton"]              # -> "No"
+
 # ---- FIXED VALUES: missing-value tokens of the CSV reader ----
 NULL_TOKENS = ["?", "", "None", "NA", "NULL", "nan", "NaN", "N/A", "null"]
 

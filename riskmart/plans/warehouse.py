@@ -65,14 +65,20 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
     Keeps each patient's first encounter by (``order_col``, encounter id).
     """
     present = set(raw.columns)
-    raw = with_defaults(raw, {c: None for c in K.RAW_COLUMNS})
+    # only the columns silver uses travel through the keep-first shuffle (the
+    # kept row is a struct, whose fields the optimizer cannot prune); absent
+    # raw columns are added as defaults after it
+    used = ["age", "gender", "race", *K.NUMERIC_RAW_COLUMNS, *K.DIAG_COLUMNS, "insulin",
+            "diabetesMed", "A1Cresult", *K.MEDICATION_COLS, "readmitted"]
+    order = ([order_col] if order_col and order_col in present else []) + ["visit_id"]
+    keep = [c for c in dict.fromkeys(used + order[:-1]) if c in present]
     typed = raw.select(
         F.col("patient_nbr").try_cast("long").alias("patient_id"),
         F.col("encounter_id").try_cast("long").alias("visit_id"),
-        *[F.col(c) for c in raw.columns if c not in ("patient_nbr", "encounter_id")],
+        *[F.col(c) for c in keep],
     )
-    order = ([order_col] if order_col and order_col in raw.columns else []) + ["visit_id"]
-    first = first_per_key(typed, "patient_id", order)
+    first = with_defaults(first_per_key(typed, "patient_id", order),
+                          {c: None for c in used})
 
     num = {c: S.safe_number(c, 0).cast("int") for c in K.NUMERIC_RAW_COLUMNS}
     age = S.age_numeric("age")

@@ -49,11 +49,31 @@ def raw_text_schema(columns: Sequence[str] = K.RAW_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def align_raw(raw: DataFrame, extra: Sequence[str] = ("admitted_at",)) -> DataFrame:
+    """Records of any source aligned to the 50 raw columns, as text (SRC-8).
+
+    Columns the source does not supply are filled: ``?`` for weight, payer and
+    specialty, ``No`` for medications, null otherwise. ``extra`` columns (the
+    encounter time) are kept after them with their own type.
+    """
+    cols = []
+    for c in K.RAW_COLUMNS:
+        if c in raw.columns:
+            cols.append(F.col(c).cast("string").alias(c))
+        elif c in K.RAW_FILL_UNKNOWN:
+            cols.append(F.lit("?").alias(c))
+        elif c in K.RAW_FILL_NO:
+            cols.append(F.lit("No").alias(c))
+        else:
+            cols.append(F.lit(None).cast("string").alias(c))
+    cols += [F.col(c) for c in extra if c in raw.columns]
+    return raw.select(*cols)
+
+
 def to_bronze(raw: DataFrame) -> DataFrame:
-    """Raw records as text with an ingest timestamp (SRC-9)."""
-    keep = [F.col(c).cast("string").alias(c) if c != "admitted_at" else F.col(c)
-            for c in raw.columns]
-    return raw.select(*keep, F.current_timestamp().alias("ingested_at"))
+    """Raw records aligned to the raw columns, as text, with an ingest
+    timestamp (SRC-9)."""
+    return align_raw(raw).withColumn("ingested_at", F.current_timestamp())
 
 
 def code_sections(spark: SparkSession, path: str) -> DataFrame:
