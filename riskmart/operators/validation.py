@@ -82,3 +82,32 @@ def parse_errors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                     F.lit(c)) for c in cols]), lambda e: e.isNotNull())
     return df.select("*", *[p.alias(f"{c}_num") for p, c in zip(parsed, cols)],
                      F.array_join(bad, ",").alias("error"))
+
+
+def integrity_report(tables: dict, primary_keys: dict, foreign_keys: list) -> DataFrame:
+    """One row per check over stored tables (VAL-2, VAL-3, VAL-4): duplicate
+    primary keys, null primary keys, and child rows without a parent."""
+    parts = []
+    for name, keys in primary_keys.items():
+        df = tables.get(name)
+        if df is None:
+            continue
+        dup = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations"))
+        parts.append(dup.select(F.lit(name).alias("table_name"),
+                                F.lit("duplicate_key").alias("check"), "violations"))
+        nulls = df.agg(F.count(F.when(sum((F.col(k).isNull().cast("int") for k in keys),
+                                          F.lit(0)) > 0, 1)).alias("violations"))
+        parts.append(nulls.select(F.lit(name).alias("table_name"),
+                                  F.lit("null_key").alias("check"), "violations"))
+    for child, ck, parent, pk in foreign_keys:
+        c, p = tables.get(child), tables.get(parent)
+        if c is None or p is None:
+            continue
+        orphan = c.select(ck).join(p.select(F.col(pk).alias(ck)), ck, "left_anti")
+        parts.append(orphan.agg(F.count(F.lit(1)).alias("violations")).select(
+            F.lit(child).alias("table_name"), F.lit(f"orphan_{ck}").alias("check"),
+            "violations"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

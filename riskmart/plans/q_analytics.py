@@ -799,3 +799,39 @@ def q_share_key(spark, d):
     return (o.join(tot, "o_custkey")
             .select("o_orderkey", "o_custkey", (F.col("o_totalprice") / F.col("__t")).alias("share")))
 
+
+
+@query("warehouse_integrity", ops=("VAL-2", "VAL-3", "VAL-4"), sql=MG("""
+SELECT 'silver_patient_visits' AS table_name, 'duplicate_key' AS "check",
+       (SELECT COUNT(*) FROM (SELECT patient_id FROM silver GROUP BY patient_id HAVING COUNT(*) > 1))
+         AS violations
+UNION ALL SELECT 'silver_patient_visits', 'null_key', COUNT(*) FROM silver WHERE patient_id IS NULL
+UNION ALL SELECT 'dim_patient', 'duplicate_key',
+  (SELECT COUNT(*) FROM (SELECT patient_id FROM dim_patient GROUP BY patient_id HAVING COUNT(*) > 1))
+UNION ALL SELECT 'dim_patient', 'null_key', COUNT(*) FROM dim_patient WHERE patient_id IS NULL
+UNION ALL SELECT 'dim_visit_metrics', 'duplicate_key',
+  (SELECT COUNT(*) FROM (SELECT visit_id FROM dim_visit_metrics GROUP BY visit_id HAVING COUNT(*) > 1))
+UNION ALL SELECT 'dim_visit_metrics', 'null_key', COUNT(*) FROM dim_visit_metrics WHERE visit_id IS NULL
+UNION ALL SELECT 'fact_patient_visits', 'duplicate_key',
+  (SELECT COUNT(*) FROM (SELECT id FROM fact GROUP BY id HAVING COUNT(*) > 1))
+UNION ALL SELECT 'fact_patient_visits', 'null_key', COUNT(*) FROM fact WHERE id IS NULL
+UNION ALL SELECT 'gold_patient_risk_summary', 'duplicate_key',
+  (SELECT COUNT(*) FROM (SELECT visit_id FROM gold GROUP BY visit_id HAVING COUNT(*) > 1))
+UNION ALL SELECT 'gold_patient_risk_summary', 'null_key', COUNT(*) FROM gold WHERE visit_id IS NULL
+UNION ALL SELECT 'gold_risk_distribution', 'duplicate_key',
+  (SELECT COUNT(*) FROM (SELECT risk_level FROM (SELECT risk_level FROM fact GROUP BY risk_level)
+                         GROUP BY risk_level HAVING COUNT(*) > 1))
+UNION ALL SELECT 'gold_risk_distribution', 'null_key', COUNT(*) FROM (
+  SELECT DISTINCT risk_level FROM fact) WHERE risk_level IS NULL
+UNION ALL SELECT 'fact_patient_visits', 'orphan_patient_id',
+  COUNT(*) FROM fact f WHERE NOT EXISTS (SELECT 1 FROM dim_patient p WHERE p.patient_id = f.patient_id)
+UNION ALL SELECT 'fact_patient_visits', 'orphan_visit_id',
+  COUNT(*) FROM fact f WHERE NOT EXISTS (SELECT 1 FROM dim_visit_metrics v WHERE v.visit_id = f.visit_id)"""))
+def q_integrity(spark, d):
+    from .. import catalog as C
+    m = T.mart(spark, d)
+    tabs = {"silver_patient_visits": m["silver"], "dim_patient": m["dim_patient"],
+            "dim_visit_metrics": m["dim_visit_metrics"], "fact_patient_visits": m["fact"],
+            "gold_patient_risk_summary": m["gold_patient_risk_summary"],
+            "gold_risk_distribution": m["gold_risk_distribution"]}
+    return V.integrity_report(tabs, C.PRIMARY_KEYS, C.FOREIGN_KEYS)

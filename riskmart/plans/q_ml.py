@@ -132,3 +132,17 @@ def q_roc(spark, d):
     p = operational(spark, d)["model_predictions"]
     return ML.roc_points(p.select(F.col("risk_score").alias("score"),
                                   F.col("actual_readmitted").alias("label")), "score", "label", 4)
+
+
+@query("contrib_waterfall", ops=("EXP-3", "EXP-1", "FIL-2"))
+def q_waterfall(spark, d):
+    data = model_data(spark, d)
+    lr = ML.estimators("label", "weight")["logistic_regression"]
+    model = ML.fit(data.where(F.col("split") == "train"), FEATURES, lr)
+    contrib = ML.linear_contributions(model, data, FEATURES, "row_id")
+    # the row with the largest predicted risk, ties by id
+    top = ML.positive_probability(model.transform(data), "score") \
+        .orderBy(F.desc("score"), "row_id").limit(1).select("row_id")
+    row = contrib.join(F.broadcast(top), "row_id", "left_semi")
+    long = row.unpivot(["row_id", "base"], FEATURES, "feature", "contribution")
+    return long.orderBy(F.desc(F.abs("contribution")), "feature").limit(15)
