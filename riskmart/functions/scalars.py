@@ -178,9 +178,20 @@ def clip(c: ColumnOrName, lo: float, hi: float) -> Column:
 
 
 def percent(c: ColumnOrName, digits: int = 1) -> Column:
+    """``round(x * 100, digits)`` half-up, as the warehouse SQL rounds."""
     return F.round(col(c) * F.lit(100.0), digits)
 
 
+def percent_even(c: ColumnOrName, digits: int = 1) -> Column:
+    """``round(x * 100, digits)`` half-even, as numpy/pandas/Python round."""
+    return F.bround(col(c) * F.lit(100.0), digits)
+
+
+def share_percent(num: ColumnOrName, den: ColumnOrName, digits: int = 1) -> Column:
+    """pandas form ``(num / den * 100).round(digits)``: divide first, half-even."""
+    return F.bround(col(num).cast("double") / col(den) * F.lit(100.0), digits)
+
+
 def capped_ratio(c: ColumnOrName, denom: float = 5.0, cap: float = 1.0) -> Column:
     return F.least(col(c) / F.lit(float(denom)), F.lit(float(cap)))
 
@@ -231,17 +242,19 @@ def hash_rank(key: ColumnOrName, seed: int = 42) -> Column:
 
 # ---------------------------------------------------------------- scores (SCO-1/2)
 def heuristic_score(age: ColumnOrName, inpatient: ColumnOrName, meds: ColumnOrName) -> Column:
-    """.1 + min(age/200, .2) + min(inpatient*.15, .3) + min(meds/50, .15), capped at .95."""
+    """.1 + min(age/200, .2) + min(inpatient*.15, .3) + min(meds/50, .15), rounded
+    half-even to 4 decimals (Python ``round``), capped at .95."""
     base = (F.lit(0.1)
             + F.least(col(age) / F.lit(200.0), F.lit(0.2))
             + F.least(col(inpatient) * F.lit(0.15), F.lit(0.3))
             + F.least(col(meds) / F.lit(50.0), F.lit(0.15)))
-    return F.least(F.round(base, 4), F.lit(0.95))
+    return F.least(F.bround(base, 4), F.lit(0.95))
 
 
 def fallback_score(age_grp: ColumnOrName, inpatient: ColumnOrName, meds: ColumnOrName) -> Column:
-    """clip(.1 + age-group proxy/10 + inpatient*.08 + meds/100, .01, .99), 4 decimals."""
+    """clip(.1 + age-group proxy/10 + inpatient*.08 + meds/100, .01, .99), rounded
+    half-even to 4 decimals (numpy ``round``)."""
     proxy = lookup(age_grp, K.AGE_GROUP_PROXY, K.AGE_GROUP_PROXY_DEFAULT).cast("double")
     raw = (F.lit(0.1) + proxy / F.lit(10.0)
            + col(inpatient) * F.lit(0.08) + col(meds) / F.lit(100.0))
-    return F.round(clip(raw, 0.01, 0.99), 4)
+    return F.bround(clip(raw, 0.01, 0.99), 4)

@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .quantiles import medians_row
-from .sequence import share_of_total
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False,
-                 out: str = "count", share: str = "share", digits: int | None = None) -> DataFrame:
-    """Rows per value, optionally with the share of all rows (AGG-16, WIN-4)."""
+                 out: str = "count", share: str = "share") -> DataFrame:
+    """Rows per value, optionally with the fraction of all rows (AGG-16, WIN-4);
+    the total is a one-row aggregate joined back, not a global window."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias(out))
     if not normalize:
         return counts
-    return share_of_total(counts, out, share, digits)
+    total = counts.agg(F.sum(out).alias("__total"))
+    return (counts.crossJoin(F.broadcast(total))
+            .withColumn(share, F.col(out) / F.col("__total")).drop("__total"))
 
 
 def level_counts(df: DataFrame, level: str = "risk_level", out: str = "n") -> DataFrame:
@@ -42,7 +44,10 @@ def zero_filled_levels(df: DataFrame, levels: Sequence[str], level: str = "risk_
     counts = df.groupBy(level).agg(F.count(F.lit(1)).alias(out))
     j = (F.broadcast(lv).join(counts, level, "left")
          .select(level, F.coalesce(F.col(out), F.lit(0)).cast("long").alias(out)))
-    return share_of_total(j, out, pct, 1)
+    total = j.agg(F.sum(out).alias("__total"))
+    return (j.crossJoin(F.broadcast(total))
+            .withColumn(pct, S.share_percent(out, F.nullif(F.col("__total"), F.lit(0)), 1))
+            .drop("__total"))
 
 
 def grouped_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
@@ -77,8 +82,7 @@ def monthly_rate(df: DataFrame, ts: str, flag: Column, out_month: str = "month")
     m = df.groupBy(S.month_start(ts).alias(out_month)).agg(
         F.count(F.lit(1)).alias("total_patients"),
         F.count(F.when(flag, F.lit(1))).alias("readmissions"))
-    return m.withColumn("readmission_rate",
-                        F.round(F.col("readmissions") * F.lit(100.0) / F.col("total_patients"), 1))
+    return m.withColumn("readmission_rate", S.share_percent("readmissions", "total_patients", 1))
 
 
 def medians(df: DataFrame, cols: Iterable[str]) -> DataFrame:

@@ -184,7 +184,7 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark) ->
 def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
     """TOP-4: ``n`` most important features, rounded as reported."""
     return (importance.orderBy(F.desc("importance"), "feature").limit(n)
-            .withColumn("importance", F.round("importance", 4)))
+            .withColumn("importance", F.bround("importance", 4)))
 
 
 # ------------------------------------------------------------------ scoring
@@ -196,7 +196,7 @@ def score_batch(model: PipelineModel, df: DataFrame, closed: str = "left") -> Da
     p = positive_probability(model.transform(df), "risk_score")
     lvl = S.risk_level("risk_score", closed)
     return (p.drop("features", "rawPrediction", "probability", "prediction")
-            .withColumn("risk_percentage", F.round(F.col("risk_score") * F.lit(100.0), 1))
+            .withColumn("risk_percentage", S.percent_even("risk_score", 1))
             .withColumn("risk_level", lvl)
             .withColumn("recommendation", S.recommendation(lvl)))
 

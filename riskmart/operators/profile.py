@@ -34,8 +34,7 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                                             "column_name", "missing"))
     return long.select(
         "column_name", F.col("missing").cast("long").alias("missing"),
-        F.round(F.col("missing") * F.lit(100.0) / F.nullif(F.col("__rows"), F.lit(0)), 2)
-        .alias("missing_pct"))
+        S.share_percent("missing", F.nullif(F.col("__rows"), F.lit(0)), 2).alias("missing_pct"))
 
 
 def shape_profile(df: DataFrame) -> DataFrame:

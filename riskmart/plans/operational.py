@@ -64,7 +64,7 @@ def operational_tables(processed: DataFrame) -> dict[str, DataFrame]:
                               _get(p, "number_inpatient", 0), _get(p, "num_medications", 5))
     predictions = p.select(
         vid.alias("prediction_id"), pid.alias("patient_id"), score.alias("risk_score"),
-        F.round(score * F.lit(100.0), 1).alias("risk_percentage"),
+        S.percent_even(score, 1).alias("risk_percentage"),
         S.risk_level(score).alias("risk_level"),
         _get(p, "readmitted_binary", 0).cast("int").alias("actual_readmitted"),
         F.lit(TOP_FACTORS).alias("top_factors"),
@@ -107,16 +107,16 @@ def gold_from_silver(silver_df: DataFrame, predictions: DataFrame | None = None
     f = W.fact(silver_df, predictions, with_id=False)
     summary = (silver_df.join(f.select("patient_id", "visit_id", "risk_score", "risk_level"),
                               ["patient_id", "visit_id"])
-               .withColumn("risk_percentage", F.round(F.col("risk_score") * F.lit(100.0), 1)))
+               .withColumn("risk_percentage", S.percent_even("risk_score", 1)))
     hi = F.col("risk_level") == "High"
-    kpis = summary.agg(
+    kpis = (summary.agg(
         F.count(F.lit(1)).alias("total_patients"),
         F.count(F.when(hi, F.lit(1))).alias("high_risk_patients"),
-        F.round(F.avg(F.when(hi, F.lit(100.0)).otherwise(F.lit(0.0))), 1).alias("high_risk_rate"),
-        F.round(F.avg("risk_score"), 4).alias("avg_risk_score"),
-        F.round(F.avg("time_in_hospital"), 1).alias("avg_length_of_stay"),
-        F.round(F.avg("num_medications"), 1).alias("avg_medications"),
-        F.round(F.avg("readmitted_binary") * F.lit(100.0), 1).alias("readmission_rate"))
+        F.bround(F.avg("risk_score"), 4).alias("avg_risk_score"),
+        F.bround(F.avg("time_in_hospital"), 1).alias("avg_length_of_stay"),
+        F.bround(F.avg("num_medications"), 1).alias("avg_medications"))
+        .withColumn("high_risk_rate",
+                    S.share_percent("high_risk_patients", "total_patients", 1)))
     dist = zero_filled_levels(summary, K.RISK_LEVELS)
     return {"summary": summary, "kpis": kpis, "distribution": dist}
 

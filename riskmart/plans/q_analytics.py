@@ -75,7 +75,7 @@ def q_wh_stats(spark, d):
 
 @query("band_distribution_zero_fill", ops=("AGG-5", "SET-1", "WIN-4"), sql=MG(f"""
 SELECT l.risk_level, COALESCE(c.n, 0) AS patient_count,
-       {G.rnd('COALESCE(c.n, 0) * 100.0 / NULLIF(SUM(COALESCE(c.n, 0)) OVER (), 0)', 1)}
+       {G.share_even('COALESCE(c.n, 0)', 'NULLIF(SUM(COALESCE(c.n, 0)) OVER (), 0)', 1)}
          AS percentage
 FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) l(risk_level)
 LEFT JOIN (SELECT risk_level, COUNT(*) AS n FROM gold GROUP BY risk_level) c
@@ -174,18 +174,17 @@ def q_dax(spark, d):
 
 @query("value_counts_share", ops=("AGG-16", "WIN-4"), sql=f"""
 SELECT o_orderpriority, COUNT(*) AS "count",
-       {G.rnd('COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()', 2)} AS share
+       CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS share
 FROM orders GROUP BY o_orderpriority""")
 def q_value_counts(spark, d):
-    return A.value_counts(T.load(spark, d, "orders"), "o_orderpriority", normalize=True,
-                          digits=2)
+    return A.value_counts(T.load(spark, d, "orders"), "o_orderpriority", normalize=True)
 
 
 @query("monthly_rate", ops=("AGG-29", "SCA-27"), sql=f"""
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
        COUNT(*) AS total_patients,
        COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS readmissions,
-       {G.rnd("COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) * 100.0 / COUNT(*)", 1)}
+       {G.share_even("COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END)", "COUNT(*)", 1)}
          AS readmission_rate
 FROM orders GROUP BY 1""")
 def q_monthly(spark, d):
@@ -333,7 +332,7 @@ CUSTOMER_NULLS_SQL = """cn AS (
 
 @query("null_profile", ops=("AGG-23", "P3"), sql=f"""
 WITH {CUSTOMER_NULLS_SQL}
-SELECT column_name, missing, {G.rnd('missing * 100.0 / n', 2)} AS missing_pct FROM (
+SELECT column_name, missing, {G.share_even('missing', 'n', 2)} AS missing_pct FROM (
   SELECT 'c_custkey' AS column_name, COUNT(*) - COUNT(c_custkey) AS missing, COUNT(*) AS n FROM cn
   UNION ALL SELECT 'c_name', COUNT(*) - COUNT(c_name), COUNT(*) FROM cn
   UNION ALL SELECT 'c_nationkey', COUNT(*) - COUNT(c_nationkey), COUNT(*) FROM cn

@@ -157,7 +157,7 @@ ops AS (
 
 @query("operational_load", ops=("JOB-10", "SCO-1", "PRJ-1", "PRJ-2", "PRJ-6", "SNK-11"),
        sql=G.with_ctes(G.ENC, f"""
-SELECT prediction_id, patient_id, risk_score, {G.rnd('risk_score * 100', 1)} AS risk_percentage,
+SELECT prediction_id, patient_id, risk_score, {G.rnd_even('risk_score * 100', 1)} AS risk_percentage,
        {G.risk_level('risk_score')} AS risk_level, actual_readmitted,
        '{O.TOP_FACTORS}' AS top_factors, '{K.MODEL_VERSION}' AS model_version
 FROM ops""", clean_sql(True) + "," + FEATURES_SQL + "," + OPS_SQL))
@@ -185,7 +185,7 @@ def q_bi(spark, d):
 @query("readmission_trends", ops=("AGG-29", "SNK-7"), sql=G.with_ctes(G.ENC, f"""
 SELECT CAST(date_trunc('month', admitted_at) AS DATE) AS month, COUNT(*) AS total_patients,
        COUNT(CASE WHEN readmitted = '<30' THEN 1 END) AS readmissions,
-       {G.rnd("COUNT(CASE WHEN readmitted = '<30' THEN 1 END) * 100.0 / COUNT(*)", 1)}
+       {G.share_even("COUNT(CASE WHEN readmitted = '<30' THEN 1 END)", "COUNT(*)", 1)}
          AS readmission_rate
 FROM enc GROUP BY 1"""))
 def q_trends(spark, d):
@@ -257,11 +257,11 @@ def q_gold_refresh(spark, d):
        sql=G.with_ctes(G.MART, f"""
 SELECT COUNT(*) AS total_patients,
        COUNT(CASE WHEN risk_level = 'High' THEN 1 END) AS high_risk_patients,
-       {G.rnd("AVG(CASE WHEN risk_level = 'High' THEN 100.0 ELSE 0.0 END)", 1)} AS high_risk_rate,
-       {G.rnd('AVG(risk_score)', 4)} AS avg_risk_score,
-       {G.rnd('AVG(s.time_in_hospital)', 1)} AS avg_length_of_stay,
-       {G.rnd('AVG(s.num_medications)', 1)} AS avg_medications,
-       {G.rnd('AVG(f.readmitted_binary) * 100.0', 1)} AS readmission_rate
+       {G.share_even("COUNT(CASE WHEN risk_level = 'High' THEN 1 END)", "COUNT(*)", 1)}
+         AS high_risk_rate,
+       {G.rnd_even('AVG(risk_score)', 4)} AS avg_risk_score,
+       {G.rnd_even('AVG(s.time_in_hospital)', 1)} AS avg_length_of_stay,
+       {G.rnd_even('AVG(s.num_medications)', 1)} AS avg_medications
 FROM fact f JOIN silver s ON f.visit_id = s.visit_id"""))
 def q_gold_alt(spark, d):
     return O.gold_from_silver(T.mart(spark, d)["silver"])["kpis"]

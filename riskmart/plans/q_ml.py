@@ -48,7 +48,7 @@ def training_exports(best, test, comparison, root: str) -> None:
     pred = ML.positive_probability(best.transform(test), "risk_score").drop(
         "features", "rawPrediction", "probability", "prediction")
     pred = (pred.withColumnRenamed("label", "actual_readmitted")
-            .withColumn("risk_percentage", F.round(F.col("risk_score") * 100.0, 1))
+            .withColumn("risk_percentage", S.percent_even("risk_score", 1))
             .withColumn("risk_level", S.risk_level("risk_score")))
     export_csv(pred, f"{root}/predictions")
     by_age = (pred.withColumn("age_group", S.age_group("age_numeric"))

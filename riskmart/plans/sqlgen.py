@@ -22,6 +22,17 @@ def rnd(expr: str, d: int) -> str:
     return f"CAST(ROUND(CAST(CAST(({expr}) AS DOUBLE) AS VARCHAR)::DECIMAL(38,16), {d}) AS DOUBLE)"
 
 
+def rnd_even(expr: str, d: int) -> str:
+    """Half-even ROUND on the shortest decimal text (Spark ``bround``; numpy/pandas)."""
+    return (f"CAST(round_even(CAST(CAST(({expr}) AS DOUBLE) AS VARCHAR)::DECIMAL(38,16), {d}) "
+            f"AS DOUBLE)")
+
+
+def share_even(num: str, den: str, d: int) -> str:
+    """pandas ``(num / den * 100).round(d)``."""
+    return rnd_even(f"CAST({num} AS DOUBLE) / {den} * 100.0", d)
+
+
 def lookup(x: str, mapping: Mapping, default=None) -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {v if not isinstance(v, str) else q(v)}"
                      for k, v in mapping.items())
@@ -77,14 +88,14 @@ def age_numeric(x: str) -> str:
 def fallback_score(age_group: str, inpatient: str, meds: str) -> str:
     proxy = f"CAST({lookup(age_group, K.AGE_GROUP_PROXY, K.AGE_GROUP_PROXY_DEFAULT)} AS DOUBLE)"
     raw = f"(0.1::DOUBLE + {proxy} / 10.0::DOUBLE + {inpatient} * 0.08::DOUBLE + {meds} / 100.0::DOUBLE)"
-    return rnd(f"greatest(0.01::DOUBLE, least(0.99::DOUBLE, {raw}))", 4)
+    return rnd_even(f"greatest(0.01::DOUBLE, least(0.99::DOUBLE, {raw}))", 4)
 
 
 def heuristic_score(age: str, inpatient: str, meds: str) -> str:
     base = (f"(0.1::DOUBLE + least({age} / 200.0::DOUBLE, 0.2::DOUBLE) "
             f"+ least({inpatient} * 0.15::DOUBLE, 0.3::DOUBLE) "
             f"+ least({meds} / 50.0::DOUBLE, 0.15::DOUBLE))")
-    return f"least({rnd(base, 4)}, 0.95::DOUBLE)"
+    return f"least({rnd_even(base, 4)}, 0.95::DOUBLE)"
 
 
 def risk_level(x: str, closed: str = "right") -> str:
