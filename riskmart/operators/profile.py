@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .quantiles import grouped_exact_quantiles
 from .shape import columns_of_kind
 
 
@@ -105,19 +106,21 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def box_stats(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Five numbers, 1.5·IQR fences and outlier count (AGG-27).
 
-    Quartiles are exact (``percentile``); the outlier count is a second pass
-    with the fences broadcast (one row per group).
+    Quartiles are exact and computed without holding a group in one task
+    (``grouped_exact_quantiles``); min/max are partial aggregates; the outlier
+    count is a second pass with the fences joined back (one row per group).
     """
-    q = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.groupBy(*keys).agg(F.min(column).alias("min"), q.alias("__q"),
-                                  F.max(column).alias("max"))
-    stats = stats.select(*keys, "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                         F.col("__q")[2].alias("q3"), "max")
+    quart = grouped_exact_quantiles(df, keys, column, [0.25, 0.5, 0.75]).select(
+        *keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    mm = df.groupBy(*keys).agg(F.min(column).alias("min"), F.max(column).alias("max"))
+    stats = (mm.join(quart, list(keys)) if keys else mm.crossJoin(quart)).select(
+        *keys, "min", "q1", "median", "q3", "max")
     iqr = F.col("q3") - F.col("q1")
     stats = stats.withColumn("lower_fence", F.col("q1") - F.lit(1.5) * iqr) \
                  .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * iqr)
     fences = stats.select(*keys, "lower_fence", "upper_fence")
-    joined = df.join(F.broadcast(fences), list(keys)) if keys else df.crossJoin(F.broadcast(fences))
+    # one row per group: adaptive execution broadcasts it when it is small
+    joined = df.join(fences, list(keys)) if keys else df.crossJoin(F.broadcast(fences))
     x = F.col(column)
     out = joined.groupBy(*keys).agg(F.count(F.when((x < F.col("lower_fence")) |
                                                    (x > F.col("upper_fence")), F.lit(1)))

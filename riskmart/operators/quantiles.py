@@ -83,3 +83,62 @@ def medians_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     vals = [exact_quantiles(df, c, [0.5])[0] for c in cols]
     return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(c)
                                              for c, v in zip(cols, vals)])
+
+
+def grouped_exact_quantiles(df: DataFrame, keys: Sequence[str], column: str,
+                            qs: Sequence[float], partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, one row per group with one
+    column ``q<i>`` per requested quantile; no task holds a whole group.
+
+    Rows are range-partitioned on (keys, value), so a group that holds a third
+    of the data is spread over many partitions. Each row's rank inside its group
+    is its rank inside its (partition, group) segment plus the sizes of the
+    group's segments in earlier partitions; the segment table has at most
+    (partitions x groups) rows. The rows whose rank is needed for interpolation
+    are then picked by a join on (keys, rank).
+    """
+    from pyspark.sql import Window
+
+    from ..session import materialize
+    keys = list(keys)
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
+    base = df.select(*keys, F.col(column).cast("double").alias("__x")).where(
+        F.col("__x").isNotNull() & ~F.isnan("__x"))
+    for k in keys:   # rows with a null group key are left out, as pandas groupby does
+        base = base.where(F.col(k).isNotNull())
+    # range boundaries come from a sample: fix them by writing the rows once
+    ranged = materialize(base.repartitionByRange(n, *keys, "__x")
+                         .withColumn("__pid", F.spark_partition_id()), "grouped-q")
+    local = ranged.withColumn(
+        "__lr", F.row_number().over(Window.partitionBy("__pid", *keys).orderBy("__x")) - 1)
+    seg = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__cnt"))
+    w_off = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select("__pid", *keys, "__cnt",
+                     F.coalesce(F.sum("__cnt").over(w_off), F.lit(0)).alias("__off"))
+    totals = seg.groupBy(*keys).agg(F.sum("__cnt").alias("__n"))
+    # wanted ranks per group: floor and ceil of q * (n - 1)
+    qarr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
+                     for i, q in enumerate(qs)])
+    want = totals.select(*keys, "__n", F.explode(qarr).alias("__qq")).select(
+        *keys, F.col("__qq.qi").alias("__qi"),
+        (F.col("__qq.q") * (F.col("__n") - 1)).alias("__pos"))
+    want = want.select(*keys, "__qi", "__pos",
+                       F.floor("__pos").cast("long").alias("__r0"),
+                       F.least(F.floor("__pos").cast("long") + 1,
+                               F.floor("__pos").cast("long") + F.ceil(F.col("__pos") - F.floor("__pos")).cast("long")
+                               ).alias("__r1"))
+    ranks = (want.select(*keys, F.col("__r0").alias("__r"))
+             .unionByName(want.select(*keys, F.col("__r1").alias("__r"))).distinct())
+    ranked = local.join(seg.select("__pid", *keys, "__off"), ["__pid", *keys]) \
+        .select(*keys, "__x", (F.col("__off") + F.col("__lr")).alias("__r"))
+    picked = ranked.join(ranks, [*keys, "__r"])
+    v0 = picked.select(*keys, F.col("__r").alias("__r0"), F.col("__x").alias("__x0"))
+    v1 = picked.select(*keys, F.col("__r").alias("__r1"), F.col("__x").alias("__x1"))
+    vals = (want.join(v0, [*keys, "__r0"]).join(v1, [*keys, "__r1"])
+            .select(*keys, "__qi",
+                    (F.col("__x0") + (F.col("__x1") - F.col("__x0"))
+                     * (F.col("__pos") - F.col("__r0"))).alias("__v")))
+    out = vals.groupBy(*keys).agg(*[F.max(F.when(F.col("__qi") == i, F.col("__v"))).alias(f"q{i}")
+                                    for i in range(len(qs))])
+    return out

@@ -28,3 +28,23 @@ def test_exact_quantiles_bracketing(spark, kind):
 def test_empty(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, "x", [0.5]) == [None]
+
+
+def test_grouped_exact_quantiles_hot_group(spark):
+    from riskmart.operators.quantiles import grouped_exact_quantiles
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(6000):
+        g = "hot" if rnd.random() < 0.34 else f"g{rnd.randint(0, 20)}"
+        rows.append((g, rnd.random() * 100 if rnd.random() < 0.7 else float(rnd.randint(0, 5))))
+    rows.append(("single", 7.0))
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.25, 0.5, 0.75]
+    got = {r["g"]: [r["q0"], r["q1"], r["q2"]]
+           for r in grouped_exact_quantiles(df, ["g"], "x", qs, partitions=7).collect()}
+    groups = {}
+    for g, x in rows:
+        groups.setdefault(g, []).append(x)
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(np.array(xs), qs)), rel=1e-12, abs=1e-12), g
