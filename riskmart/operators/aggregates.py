@@ -90,10 +90,28 @@ def medians(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return medians_row(df, list(cols))
 
 
+def mode_row(df: DataFrame, column: str, default: str = "Unknown") -> DataFrame:
+    """One row with the most frequent non-null value; ties -> smallest value.
+
+    Counting is a grouped aggregate (partial per task, shuffled by value); the
+    pick is a global ``min_by`` whose buffer is one (value, count) pair, so no
+    task holds the whole value -> count map.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.count(F.lit(1)).alias("__n"))
+    best = counts.agg(F.min_by(F.col(column), F.struct(-F.col("__n"), F.col(column)))
+                      .alias(column))
+    return best.select(F.coalesce(F.col(column), F.lit(default)).alias(column))
+
+
 def modes(df: DataFrame, cols: Iterable[str], default: str = "Unknown") -> DataFrame:
     """One row with each column's most frequent value; ties -> smallest value;
     an all-null column gives ``default`` (AGG-19)."""
-    return df.agg(*[F.coalesce(F.mode(c, True), F.lit(default)).alias(c) for c in cols])
+    rows = [mode_row(df, c, default) for c in cols]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(r)
+    return out
 
 
 def fill_from_row(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
