@@ -43,6 +43,17 @@ def q_stream_dedup(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+@query("stream_dedup_watermark", ops=("STR-7", "STR-6"), sql="""
+SELECT event_type, COUNT(DISTINCT user_id) AS distinct_keys FROM events GROUP BY event_type""")
+def q_stream_dedup_wm(spark, d):
+    root = scratch_path(spark, "stream-dedup-wm")
+    s = _events_stream(spark, d, root)
+    # the events span one month, so a 40-day delay holds every repeat
+    agg = J.distinct_per_level_bounded(s, "user_id", "event_type", "ts", "40 days")
+    J.complete_to_table(agg, f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out")
+
+
 STREAM_SCORED_SQL = f"""
 sc AS (
   SELECT TRY_CAST(encounter_id AS BIGINT) AS visit_id, TRY_CAST(patient_nbr AS BIGINT) AS patient_id,
