@@ -61,7 +61,11 @@ def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
     written. Within the batch the first row per key (by ``order``) wins."""
     keys = list(key)
     batch = first_per_key(new, keys, list(order or keys))
-    existing = read_or_empty(new.sparkSession, path, new.schema, fmt).select(*keys)
+    # only stored keys that occur in the batch matter; the batch's distinct keys
+    # are a measured (adaptive) broadcast, so the stored table is scanned, not shuffled
+    batch_keys = batch.select(*keys)
+    existing = (read_or_empty(new.sparkSession, path, new.schema, fmt).select(*keys)
+                .join(batch_keys, keys, "left_semi"))
     fresh = batch.join(existing, keys, "left_anti")
     fresh.write.mode("append").format(fmt).save(path)
     return fresh
