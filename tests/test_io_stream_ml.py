@@ -142,3 +142,22 @@ def test_checkpoint_dir_from_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(root)
     assert os.path.isdir(root)
+
+
+def test_live_pipeline_periodic_trigger(spark):
+    from riskmart import tables as T
+    root = scratch_path(spark, "t-live")
+    enc = T.encounters(spark, "/root/testdata/sf0.001")
+    J.land_files(enc, f"{root}/in", 3, ["admitted_at", "encounter_id"])
+    q = J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ck", max_files=1,
+                        trigger_seconds=1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    fact = spark.read.parquet(f"{root}/wh/fact")
+    assert fact.count() == enc.count()
+    assert fact.select("batch_id").distinct().count() >= 3
+    dist = {r["risk_level"]: r["patient_count"]
+            for r in spark.read.parquet(f"{root}/wh/gold_risk_distribution").collect()}
+    assert sum(dist.values()) >= enc.select("patient_nbr").distinct().count()
