@@ -106,12 +106,18 @@ def mode_row(df: DataFrame, column: str, default: str = "Unknown") -> DataFrame:
 
 def modes(df: DataFrame, cols: Iterable[str], default: str = "Unknown") -> DataFrame:
     """One row with each column's most frequent value; ties -> smallest value;
-    an all-null column gives ``default`` (AGG-19)."""
-    rows = [mode_row(df, c, default) for c in cols]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.crossJoin(r)
-    return out
+    an all-null column gives ``default`` (AGG-19).
+
+    All columns are counted in one pass over a long (column, value) form; the
+    pick per column is a ``min_by`` over that column's distinct values."""
+    cols = list(cols)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
+                                for c in cols]))
+    long = df.select(pairs.alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
+    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("__n"))
+    best = counts.groupBy("k").agg(F.min_by("v", F.struct(-F.col("__n"), F.col("v"))).alias("v"))
+    wide = best.groupBy().pivot("k", cols).agg(F.first("v"))
+    return wide.select(*[F.coalesce(F.col(c), F.lit(default)).alias(c) for c in cols])
 
 
 def fill_from_row(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:

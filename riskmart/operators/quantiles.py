@@ -72,15 +72,40 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
     return out
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], q: float,
+                     max_candidates: int = MAX_CANDIDATES) -> list[float | None]:
+    """Exact ``q`` quantile of several columns.
+
+    One pass counts the non-null values of every column. Columns with at most
+    ``max_candidates`` values are answered together by one exact ``percentile``
+    aggregate, whose value map is then bounded by that count; larger columns
+    use the bracket search above.
+    """
+    cols = list(cols)
+    x = {c: F.col(c).cast("double") for c in cols}
+    counts = df.agg(*[F.count(F.when(x[c].isNotNull() & ~F.isnan(x[c]), 1)).alias(c)
+                      for c in cols]).first()
+    small = [c for c in cols if counts[c] <= max_candidates]
+    out: dict[str, float | None] = {}
+    if small:
+        row = df.agg(*[F.percentile(F.when(~F.isnan(x[c]), x[c]), F.lit(q)).alias(c)
+                       for c in small]).first()
+        out.update({c: (None if row[c] is None else float(row[c])) for c in small})
+    for c in cols:
+        if c not in out:
+            out[c] = exact_quantiles(df, c, [q], max_candidates)[0]
+    return [out[c] for c in cols]
+
+
 def quantile_row(df: DataFrame, column: str, q: float, name: str) -> DataFrame:
     """One-row DataFrame with the exact quantile (for broadcast joins)."""
-    v = exact_quantiles(df, column, [q])[0]
+    v = column_quantiles(df, [column], q)[0]
     return df.sparkSession.range(1).select(F.lit(v).cast("double").alias(name))
 
 
 def medians_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row with the exact median of each column."""
-    vals = [exact_quantiles(df, c, [0.5])[0] for c in cols]
+    vals = column_quantiles(df, cols, 0.5)
     return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(c)
                                              for c, v in zip(cols, vals)])
 
