@@ -88,8 +88,8 @@ def dense_row_id(df: DataFrame, order: Sequence[str], out: str = "id",
     evaluations, so the partitioned rows (with their partition id) are written
     once to the shared checkpoint folder and both passes read that copy.
     """
-    from ..session import materialize
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    from ..session import materialize, parallelism
+    n = partitions or parallelism(df.sparkSession)
     ranged = materialize(df.repartitionByRange(n, *order)
                          .withColumn("__pid", F.spark_partition_id()), "ranged")
     w_in = Window.partitionBy("__pid").orderBy(*order)

@@ -62,16 +62,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     unset (local tests) is a fresh folder under the system temp dir taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="riskmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root.rstrip("/") + "/rdd")
     return root
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots to size explicit partitionings by (shuffle partitions if the
+    core count is not visible, e.g. on a remote session)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique directory under the shared checkpoint root."""
     return checkpoint_root(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"

@@ -42,7 +42,8 @@ def warehouse_paths(spark: SparkSession, sf_dir: str, rebuild: bool = False) ->
     the stored layer paths (under the shared checkpoint folder)."""
     from .plans.operational import medallion
     from .session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    from .session import app_id
+    key = (app_id(spark), sf_dir.rstrip("/"))
     if rebuild or key not in _STORED:
         _STORED[key] = medallion(encounters(spark, sf_dir), scratch_path(spark, "warehouse"))
     return _STORED[key]
