@@ -40,11 +40,14 @@ def test_grouped_exact_quantiles_hot_group(spark):
     rows.append(("single", 7.0))
     df = spark.createDataFrame(rows, "g string, x double")
     qs = [0.25, 0.5, 0.75]
-    got = {r["g"]: [r["q0"], r["q1"], r["q2"]]
-           for r in grouped_exact_quantiles(df, ["g"], "x", qs, partitions=7).collect()}
     groups = {}
     for g, x in rows:
         groups.setdefault(g, []).append(x)
-    assert set(got) == set(groups)
-    for g, xs in groups.items():
-        assert got[g] == pytest.approx(list(np.quantile(np.array(xs), qs)), rel=1e-12, abs=1e-12), g
+    for forced in (True, False):   # range-partitioned path and bounded fast path
+        got = {r["g"]: [r["q0"], r["q1"], r["q2"]]
+               for r in grouped_exact_quantiles(df, ["g"], "x", qs, partitions=7,
+                                                force_ranked=forced).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert got[g] == pytest.approx(list(np.quantile(np.array(xs), qs)),
+                                           rel=1e-12, abs=1e-12), g
