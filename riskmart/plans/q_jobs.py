@@ -75,7 +75,9 @@ feat AS (
 
 
 def features_df(spark, d, keep_ids=False):
-    return engineer(clean(T.encounters(spark, d), keep_ids=keep_ids))
+    # clean() already ends on a stored copy plus literal fills, so the feature
+    # quantile can re-read it cheaply instead of writing a second copy
+    return engineer(clean(T.encounters(spark, d), keep_ids=keep_ids), materialize_rows=False)
 
 
 ENCODED = ["race", "gender", "age", "diag_1_category", "change", "num_medications_bin"]
