@@ -122,10 +122,10 @@ def q_model_frame(spark, d):
     return align(features_df(spark, d), MODEL_FEATURES, {"number_diagnoses": 0.0}, "double")
 
 
-@query("feature_pipeline", ops=("JOB-3", "SNK-6", "SNK-13"), sql=G.with_ctes(
+@query("feature_exports", ops=("JOB-3", "SNK-6", "SNK-13"), sql=G.with_ctes(
     G.ENC, "SELECT COUNT(*) AS n_rows, SUM(readmitted_binary) AS positives FROM feat",
     clean_sql(False) + "," + FEATURES_SQL))
-def q_feature_pipeline(spark, d):
+def q_feature_exports(spark, d):
     root = scratch_path(spark, "features")
     f = features_df(spark, d)
     SK.export_csv(f, f"{root}/processed/readable")
@@ -300,29 +300,32 @@ SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_m
 def q_csv(spark, d):
     root = scratch_path(spark, "csv")
     c = T.load(spark, d, "customer").select(
-        "c_custkey", "c_name",
+        "c_custkey", "c_name", "c_nationkey",
         F.when(F.col("c_mktsegment") == "BUILDING", F.lit("?")).otherwise(F.col("c_mktsegment"))
         .alias("c_mktsegment"), "c_acctbal")
     # two appends into nested folders; the reader finds both by file name
-    SK.append_csv(c.where(F.col("c_custkey") % 2 == 0), f"{root}/raw/a/customers")
-    SK.append_csv(c.where(F.col("c_custkey") % 2 == 1), f"{root}/raw/b/customers")
-    schema = "c_custkey long, c_name string, c_mktsegment string, c_acctbal double"
+    SK.append_csv(c.where(F.col("c_nationkey") < 12), f"{root}/raw/a/customers")
+    SK.append_csv(c.where(F.col("c_nationkey") >= 12), f"{root}/raw/b/customers")
+    schema = ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string, "
+              "c_acctbal double")
     return R.read_csv(spark, f"{root}/raw", schema=schema, tokens=["?"], recursive=True,
-                      name_glob="*.csv")
+                      name_glob="*.csv").drop("c_nationkey")
 
 
 @query("append_or_replace", ops=("SNK-2", "SRC-7"), sql="""
-SELECT c_custkey, c_name FROM customer WHERE c_nationkey <> 0
-UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 0 AND c_custkey % 100 = 0""")
+SELECT c_custkey AS k, c_name AS name FROM customer
+UNION ALL SELECT r_regionkey, r_name FROM region""")
 def q_append_replace(spark, d):
     path = scratch_path(spark, "append")
-    c = T.load(spark, d, "customer")
-    big = c.where(F.col("c_nationkey") != 0).select("c_custkey", "c_name")
-    small = c.where((F.col("c_nationkey") == 0) & (F.col("c_custkey") % 100 == 0)) \
-        .select("c_custkey", "c_name")
-    SK.append_or_replace(small, path)   # small: appended to nothing
-    SK.append_or_replace(big, path)     # big: replaces
-    SK.append_or_replace(small, path)   # small: appended
+    nation = T.load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"),
+                                               F.col("n_name").alias("name"))
+    customer = T.load(spark, d, "customer").select(F.col("c_custkey").alias("k"),
+                                                   F.col("c_name").alias("name"))
+    region = T.load(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"),
+                                               F.col("r_name").alias("name"))
+    SK.append_or_replace(nation, path)     # 25 rows: appended
+    SK.append_or_replace(customer, path)   # more than 100 rows: replaces the table
+    SK.append_or_replace(region, path)     # 5 rows: appended
     return spark.read.parquet(path)
 
 
