@@ -51,16 +51,26 @@ def first_per_key_window(df: DataFrame, key: str | Sequence[str],
 
 
 def next_in_order(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
-                  out: str, block: str = "day") -> DataFrame:
+                  out: str, block: str = "day", method: str = "ranged",
+                  partitions: int | None = None) -> DataFrame:
     """Add ``out`` = ``value`` of the next row of the same ``key`` in order
     (``ts``, ``tiebreak``); null for the last row. Equal to
     ``lead(value) over (partition by key order by ts, tiebreak)``.
 
-    Rows are first split into blocks ``(key, date_trunc(block, ts))``; the
-    per-row ``lead`` runs inside a block, and the last row of a block takes the
-    first value of the key's next block. Only one row per block takes part in
-    the second window.
+    ``method='ranged'`` (default) range-partitions rows on (key, ts, tiebreak),
+    so a key holding a third of the data spans many partitions. ``lead`` runs
+    inside each (partition, key) segment, which is no larger than a partition.
+    The last row of a segment takes the first value of the key's next segment,
+    found with a window over one row per segment; a key has at most as many
+    segments as there are partitions. Both windows are bounded.
+
+    ``method='blocks'`` splits each key by time instead: ``lead`` inside
+    (key, ``date_trunc(block, ts)``) and a second ``lead`` over one row per
+    block. This needs no stored copy, but one busy block of a hot key is still
+    a single task.
     """
+    if method == "ranged":
+        return _next_ranged(df, key, ts, tiebreak, value, out, partitions)
     blk = "__blk"
     data = df.withColumn(blk, F.date_trunc(block, F.col(ts)))
     w_in = Window.partitionBy(key, blk).orderBy(ts, tiebreak)
@@ -74,6 +84,24 @@ def next_in_order(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
             .drop("__lead", "__next_head", blk))
 
 
+def _next_ranged(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, out: str,
+                 partitions: int | None) -> DataFrame:
+    from ..session import materialize, parallelism
+    n = partitions or parallelism(df.sparkSession)
+    # range boundaries come from a sample: write the partitioned rows once
+    ranged = materialize(df.repartitionByRange(n, key, ts, tiebreak)
+                         .withColumn("__pid", F.spark_partition_id()), "lead-ranged")
+    w_seg = Window.partitionBy("__pid", key).orderBy(ts, tiebreak)
+    data = ranged.withColumn("__lead", F.lead(value).over(w_seg))
+    heads = ranged.groupBy("__pid", key).agg(
+        F.min_by(F.col(value), F.struct(F.col(ts), F.col(tiebreak))).alias("__head"))
+    w_next = Window.partitionBy(key).orderBy("__pid")
+    links = heads.select("__pid", key, F.lead("__head").over(w_next).alias("__next_head"))
+    joined = data.join(links, ["__pid", key], "left")
+    return (joined.withColumn(out, F.coalesce(F.col("__lead"), F.col("__next_head")))
+            .drop("__lead", "__next_head", "__pid"))
+
+
 def dense_row_id(df: DataFrame, order: Sequence[str], out: str = "id",
                  partitions: int | None = None, start: int = 1) -> DataFrame:
     """Consecutive ids ``start, start+1, ...`` in ``order`` (WIN-2, SNK-10).

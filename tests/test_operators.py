@@ -43,9 +43,11 @@ def test_first_per_key_equals_window(spark, events):
     assert [r["id"] for r in last] == expect["id"].tolist()
 
 
-@pytest.mark.parametrize("block", ["day", "month", "hour"])
-def test_next_in_order_equals_lead(spark, events, block):
-    got = next_in_order(events, "k", "ts", "id", "id", "nxt", block).select("id", "nxt")
+@pytest.mark.parametrize("method,block", [("ranged", "day"), ("blocks", "day"),
+                                          ("blocks", "month"), ("blocks", "hour")])
+def test_next_in_order_equals_lead(spark, events, method, block):
+    got = next_in_order(events, "k", "ts", "id", "id", "nxt", block, method,
+                        partitions=7).select("id", "nxt")
     w = Window.partitionBy("k").orderBy("ts", "id")
     ref = events.select("id", F.lead("id").over(w).alias("nxt"))
     assert sorted(got.collect()) == sorted(ref.collect())

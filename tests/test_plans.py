@@ -23,11 +23,12 @@ def test_keep_first_is_partial_aggregate(spark):
     assert "Window" not in p
 
 
-def test_lead_runs_in_blocks(spark):
+def test_lead_runs_in_range_segments(spark):
     p = plan(Q["encounters_adapter"](spark, SF_SMALL))
-    # the row-level window is partitioned by (customer, block), not by customer alone
-    assert re.search(r"Exchange hashpartitioning\(o_custkey#\d+L, __blk#\d+", p)
-    assert re.search(r"lead\(o_orderdate#\d+, 1, null\) windowspecdefinition\(o_custkey#\d+L, __blk", p)
+    # the row-level window is partitioned by (range partition, customer), never
+    # by customer alone over all of a customer's rows
+    assert re.search(r"lead\(o_orderdate#\d+, 1, null\) windowspecdefinition\(__pid#\d+, o_custkey", p)
+    assert not re.search(r"lead\(o_orderdate#\d+, 1, null\) windowspecdefinition\(o_custkey#\d+L, o_orderdate", p)
 
 
 def test_dashboard_scan_is_pruned(spark):
