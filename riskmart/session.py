@@ -24,6 +24,17 @@ DEFAULTS = {
 }
 
 
+def _driver_memory() -> str:
+    """Local driver heap: 60 % of physical memory, at most 16 GB."""
+    import os
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        gb = max(1, min(16, int(total * 0.6 / 2**30)))
+    except (ValueError, OSError, AttributeError):
+        gb = 4
+    return f"{gb}g"
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "riskmart", extra: dict | None = None) -> SparkSession:
     """Local session for tests and benchmarks (UI off, UTC, AQE on)."""
@@ -32,7 +43,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _driver_memory())
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     for k, v in DEFAULTS.items():
