@@ -203,8 +203,10 @@ def safe_ratio(num: ColumnOrName, den: ColumnOrName) -> Column:
 
 # ---------------------------------------------------------------- text/time (SCA-22/23/26/27)
 def bucket_text(c: ColumnOrName, width: int = 10) -> Column:
-    lo = (F.floor(col(c) / F.lit(width)) * F.lit(width)).cast("int")
-    return F.format_string("[%d-%d)", lo, lo + F.lit(width))
+    """``[a-a+width)`` from the number itself (not floored), as the record
+    generator writes it; ``37`` gives ``[37-47)``, which no age map holds."""
+    a = col(c).cast("int")
+    return F.format_string("[%d-%d)", a, a + F.lit(width))
 
 
 def iso_text(ts: ColumnOrName) -> Column:
@@ -234,10 +236,13 @@ def hist_bin(c: ColumnOrName, lo: ColumnOrName, hi: ColumnOrName, n: int) -> Col
 def hash_rank(key: ColumnOrName, seed: int = 42) -> Column:
     """Deterministic integer hash in ``[0, 2^31)`` used for samples and splits.
 
-    Linear-congruential step on the key, reproducible in any SQL engine.
+    Linear-congruential step on the key (reduced mod 2^31 first, so no 64-bit
+    overflow for any key), reproducible in any SQL engine.
     """
     k = col(key).cast("long")
-    return F.pmod(k * F.lit(1103515245) + F.lit(seed), F.lit(2147483648))
+    # reduce first so the product stays below 2^62 for any 64-bit key
+    return F.pmod(F.pmod(k, F.lit(2147483648)) * F.lit(1103515245) + F.lit(seed),
+                  F.lit(2147483648))
 
 
 # ---------------------------------------------------------------- scores (SCO-1/2)

@@ -455,7 +455,7 @@ SELECT c_custkey,
   CAST(c_name IS NULL AS INTEGER) AS c_name, CAST(c_nationkey IS NULL AS INTEGER) AS c_nationkey,
   CAST(c_acctbal IS NULL AS INTEGER) AS c_acctbal,
   CAST(c_mktsegment IS NULL AS INTEGER) AS c_mktsegment
-FROM cn ORDER BY (c_custkey * 1103515245 + 42) % 2147483648, c_custkey LIMIT 200""")
+FROM cn ORDER BY {G.hash_rank('c_custkey')}, c_custkey LIMIT 200""")
 def q_null_matrix(spark, d):
     c = customer_with_nulls(spark, d)
     s = TK.hash_sample(c, "c_custkey", 200, 42)
@@ -489,16 +489,16 @@ def q_topk_star(spark, d):
         "rank", "patient_id", "risk_score", "num_medications")
 
 
-@query("hash_sample", ops=("TOP-9",), sql="""
+@query("hash_sample", ops=("TOP-9",), sql=f"""
 SELECT event_id, event_type, value FROM events
-ORDER BY (event_id * 1103515245 + 42) % 2147483648, event_id LIMIT 200""")
+ORDER BY {G.hash_rank('event_id')}, event_id LIMIT 200""")
 def q_sample(spark, d):
     e = T.load(spark, d, "events").select("event_id", "event_type", "value")
     return TK.hash_sample(e, "event_id", 200, 42)
 
 
-@query("stratified_split", ops=("TOP-11",), sql="""
-SELECT quality, CASE WHEN ((doc_id * 1103515245 + 42) % 2147483648) % 1000 < 800
+@query("stratified_split", ops=("TOP-11",), sql=f"""
+SELECT quality, CASE WHEN {G.hash_rank('doc_id')} % 1000 < 800
                      THEN 'train' ELSE 'test' END AS split, COUNT(*) AS n
 FROM labels GROUP BY ALL""")
 def q_split(spark, d):
@@ -737,8 +737,8 @@ def q_case_sev(spark, d):
 
 @query("text_and_time_format", ops=("SCA-22", "SCA-23", "SCA-26", "SCA-27"), sql="""
 SELECT o_orderkey,
-  printf('[%d-%d)', CAST(floor((o_custkey % 100) / 10) * 10 AS INTEGER),
-         CAST(floor((o_custkey % 100) / 10) * 10 AS INTEGER) + 10) AS age_bucket,
+  printf('[%d-%d)', CAST(o_custkey % 100 AS INTEGER), CAST(o_custkey % 100 AS INTEGER) + 10)
+    AS age_bucket,
   strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso_ts,
   CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
   array_to_string([o_orderstatus, o_orderpriority], ',') AS factors,

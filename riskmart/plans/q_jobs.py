@@ -109,6 +109,27 @@ def q_label_encode(spark, d):
         *[f"{c}_idx" for c in ENCODED], "readmitted_binary")
 
 
+@query("apply_encoders", ops=("ENC-2", "ENC-1", "TOP-11"), sql=G.with_ctes(G.ENC, f"""
+SELECT f.encounter_id,
+       COALESCE(r.race_idx, 0.0) AS race_idx, COALESCE(a.age_idx, 0.0) AS age_idx
+FROM feat f
+LEFT JOIN (SELECT race, CAST(DENSE_RANK() OVER (ORDER BY race) - 1 AS DOUBLE) AS race_idx
+           FROM (SELECT DISTINCT COALESCE(race, 'nan') AS race FROM feat
+                 WHERE {G.hash_rank('TRY_CAST(encounter_id AS BIGINT)')} % 1000 < 800))
+  r ON COALESCE(f.race, 'nan') = r.race
+LEFT JOIN (SELECT age, CAST(DENSE_RANK() OVER (ORDER BY age) - 1 AS DOUBLE) AS age_idx
+           FROM (SELECT DISTINCT COALESCE(age, 'nan') AS age FROM feat
+                 WHERE {G.hash_rank('TRY_CAST(encounter_id AS BIGINT)')} % 1000 < 800))
+  a ON COALESCE(f.age, 'nan') = a.age""", clean_sql(True) + "," + FEATURES_SQL))
+def q_apply_encoders(spark, d):
+    from ..operators.topk import hash_split
+    f = ML.nan_text(features_df(spark, d, keep_ids=True), ["race", "age"])
+    f = hash_split(f, F.col("encounter_id").try_cast("long"), 800, 42)
+    model = ML.label_encoder(["race", "age"]).fit(f.where(F.col("split") == "train"))
+    out = ML.unknown_to_zero(model.transform(f), model, ["race", "age"])
+    return out.select("encounter_id", "race_idx", "age_idx")
+
+
 MODEL_FEATURES = ["age_numeric", "number_inpatient", "num_medications", "time_in_hospital",
                   "number_diagnoses", "total_visits"]
 

@@ -33,6 +33,11 @@ def share_even(num: str, den: str, d: int) -> str:
     return rnd_even(f"CAST({num} AS DOUBLE) / {den} * 100.0", d)
 
 
+def hash_rank(key: str, seed: int = 42) -> str:
+    """The sample/split hash of ``scalars.hash_rank``."""
+    return f"((({key}) % 2147483648 + 2147483648) % 2147483648 * 1103515245 + {seed}) % 2147483648"
+
+
 def lookup(x: str, mapping: Mapping, default=None) -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {v if not isinstance(v, str) else q(v)}"
                      for k, v in mapping.items())

@@ -98,4 +98,11 @@ def test_misc_text(spark):
     df = spark.createDataFrame([(37,)], "a int")
     r = df.select(S.bucket_text("a"), S.capped_ratio(F.lit(7)), S.safe_ratio(F.lit(1), F.lit(0)),
                   S.clip(F.lit(1.5), 0.01, 0.99)).first()
-    assert tuple(r) == ("[30-40)", 1.0, None, 0.99)
+    assert tuple(r) == ("[37-47)", 1.0, None, 0.99)
+
+
+def test_hash_rank_no_overflow(spark):
+    keys = [0, 7, 2**31 - 1, 2**31, 600_000_000_000, 2**62, -5]
+    got = one_col(spark, keys, "long", S.hash_rank)
+    want = [((k % 2**31) * 1103515245 + 42) % 2**31 for k in keys]
+    assert got == want
