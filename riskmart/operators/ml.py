@@ -109,8 +109,8 @@ def classification_metrics(df: DataFrame, label: str = "label",
     rec = S.safe_ratio("tp", F.col("tp") + F.col("fn"))
     return c.select(
         "tp", "fp", "fn", "tn",
-        ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
-        .alias("accuracy"),
+        S.safe_ratio(F.col("tp") + F.col("tn"),
+                     F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"),
         F.coalesce(prec, F.lit(0.0)).alias("precision"),
         F.coalesce(rec, F.lit(0.0)).alias("recall"),
         F.coalesce(S.safe_ratio(F.lit(2.0) * prec * rec, prec + rec), F.lit(0.0)).alias("f1"))

@@ -36,11 +36,11 @@ def operational_tables(processed: DataFrame) -> dict[str, DataFrame]:
         pid.alias("patient_id"), age.cast("int").alias("age"),
         S.age_group(age).alias("age_group"),
         _get(p, "gender", None).alias("gender"), _get(p, "race", None).alias("race"),
-        _get(p, "num_medications", 0).cast("int").alias("num_medications"),
-        _get(p, "num_lab_procedures", 0).cast("int").alias("num_lab_procedures"),
-        _get(p, "num_procedures", 0).cast("int").alias("num_procedures"),
-        _get(p, "number_diagnoses", 0).cast("int").alias("number_diagnoses"),
-        _get(p, "time_in_hospital", 0).cast("int").alias("time_in_hospital"),
+        _get(p, "num_medications", 0).try_cast("int").alias("num_medications"),
+        _get(p, "num_lab_procedures", 0).try_cast("int").alias("num_lab_procedures"),
+        _get(p, "num_procedures", 0).try_cast("int").alias("num_procedures"),
+        _get(p, "number_diagnoses", 0).try_cast("int").alias("number_diagnoses"),
+        _get(p, "time_in_hospital", 0).try_cast("int").alias("time_in_hospital"),
         _get(p, "diag_1_category", "Other").alias("diag_1_category"),
         _get(p, "diag_2_category", "Other").alias("diag_2_category"),
         _get(p, "diag_3_category", "Other").alias("diag_3_category"),
@@ -50,13 +50,13 @@ def operational_tables(processed: DataFrame) -> dict[str, DataFrame]:
     )
     visits = p.select(
         vid.alias("visit_id"), pid.alias("patient_id"),
-        _get(p, "admission_type_id", 1).cast("int").alias("admission_type_id"),
-        _get(p, "discharge_disposition_id", 1).cast("int").alias("discharge_disposition_id"),
-        _get(p, "admission_source_id", 1).cast("int").alias("admission_source_id"),
-        _get(p, "number_outpatient", 0).cast("int").alias("number_outpatient"),
-        _get(p, "number_emergency", 0).cast("int").alias("number_emergency"),
-        _get(p, "number_inpatient", 0).cast("int").alias("number_inpatient"),
-        _get(p, "total_visits", 0).cast("int").alias("total_visits"),
+        _get(p, "admission_type_id", 1).try_cast("int").alias("admission_type_id"),
+        _get(p, "discharge_disposition_id", 1).try_cast("int").alias("discharge_disposition_id"),
+        _get(p, "admission_source_id", 1).try_cast("int").alias("admission_source_id"),
+        _get(p, "number_outpatient", 0).try_cast("int").alias("number_outpatient"),
+        _get(p, "number_emergency", 0).try_cast("int").alias("number_emergency"),
+        _get(p, "number_inpatient", 0).try_cast("int").alias("number_inpatient"),
+        _get(p, "total_visits", 0).try_cast("int").alias("total_visits"),
         _get(p, "medication_change", 0).cast("boolean").alias("medication_change"),
         _get(p, "high_lab_procedures", 0).cast("boolean").alias("high_lab_procedures"),
     )
@@ -66,7 +66,7 @@ def operational_tables(processed: DataFrame) -> dict[str, DataFrame]:
         vid.alias("prediction_id"), pid.alias("patient_id"), score.alias("risk_score"),
         S.percent_even(score, 1).alias("risk_percentage"),
         S.risk_level(score).alias("risk_level"),
-        _get(p, "readmitted_binary", 0).cast("int").alias("actual_readmitted"),
+        _get(p, "readmitted_binary", 0).try_cast("int").alias("actual_readmitted"),
         F.lit(TOP_FACTORS).alias("top_factors"),
         F.current_timestamp().alias("predicted_at"),
         F.lit(K.MODEL_VERSION).alias("model_version"),
@@ -116,7 +116,8 @@ def gold_from_silver(silver_df: DataFrame, predictions: DataFrame | None = None
         F.bround(F.avg("time_in_hospital"), 1).alias("avg_length_of_stay"),
         F.bround(F.avg("num_medications"), 1).alias("avg_medications"))
         .withColumn("high_risk_rate",
-                    S.share_percent("high_risk_patients", "total_patients", 1)))
+                    S.share_percent("high_risk_patients",
+                                    F.nullif(F.col("total_patients"), F.lit(0)), 1)))
     dist = zero_filled_levels(summary, K.RISK_LEVELS)
     return {"summary": summary, "kpis": kpis, "distribution": dist}
 

@@ -790,13 +790,13 @@ def q_rank(spark, d):
 # window over partitions of a key: share within customer (kept on key partitions)
 @query("share_within_key", ops=("WIN-4",), sql="""
 SELECT o_orderkey, o_custkey,
-       o_totalprice / SUM(o_totalprice) OVER (PARTITION BY o_custkey) AS share
+       o_totalprice / NULLIF(SUM(o_totalprice) OVER (PARTITION BY o_custkey), 0) AS share
 FROM orders""")
 def q_share_key(spark, d):
     o = T.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     tot = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("__t"))
     return (o.join(tot, "o_custkey")
-            .select("o_orderkey", "o_custkey", (F.col("o_totalprice") / F.col("__t")).alias("share")))
+            .select("o_orderkey", "o_custkey", S.safe_ratio("o_totalprice", "__t").alias("share")))
 
 
 

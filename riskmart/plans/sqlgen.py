@@ -67,7 +67,7 @@ def safe_double(x: str) -> str:
 
 
 def safe_int(x: str, default: int = 0) -> str:
-    return f"CAST(TRUNC(COALESCE({safe_double(x)}, {default})) AS INTEGER)"
+    return f"COALESCE(TRY_CAST(TRUNC(COALESCE({safe_double(x)}, {default})) AS INTEGER), 0)"
 
 
 def code_category(x: str) -> str:

@@ -80,7 +80,9 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
     first = with_defaults(first_per_key(typed, "patient_id", order),
                           {c: None for c in used})
 
-    num = {c: S.safe_number(c, 0).cast("int") for c in K.NUMERIC_RAW_COLUMNS}
+    # try_cast: an out-of-range raw number becomes null instead of failing the job
+    num = {c: F.coalesce(S.safe_number(c, 0).try_cast("int"), F.lit(0))
+           for c in K.NUMERIC_RAW_COLUMNS}
     age = S.age_numeric("age")
     # an absent medication column counts as "No"; a null value counts as 1
     med_flags = [S.not_no_flag(F.col(m)) if m in present else F.lit(0)

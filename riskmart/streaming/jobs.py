@@ -93,8 +93,8 @@ def score_records(batch: DataFrame) -> DataFrame:
         score.alias("risk_score"), level.alias("risk_level"),
         S.readmit_flag("readmitted").alias("readmitted_binary"),
         S.age_numeric("age").alias("age"), "gender", "race",
-        S.safe_number("time_in_hospital", 0).cast("int").alias("time_in_hospital"),
-        meds.cast("int").alias("num_medications"),
+        S.safe_number("time_in_hospital", 0).try_cast("int").alias("time_in_hospital"),
+        meds.try_cast("int").alias("num_medications"),
         S.code_category("diag_1").alias("diag_1_category"))
 
 
