@@ -22,7 +22,9 @@ def model_data(spark, d):
                  *[F.col(c).cast("double").alias(c) for c in FEATURES],
                  F.col("readmitted_binary").cast("double").alias("label"))
     f = hash_split(f, "row_id", 800, 42)
-    return ML.class_weights(f, "label", "weight")
+    # every model fit and evaluation reads this frame: store it once
+    from ..session import materialize
+    return materialize(ML.class_weights(f, "label", "weight"), "model-data")
 
 
 def train_and_evaluate(spark, d, forest=None, boosted=None, logreg=None):
