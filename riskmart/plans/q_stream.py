@@ -68,7 +68,7 @@ sc AS (
 def _live(spark, d):
     root = scratch_path(spark, "live")
     J.land_files(T.encounters(spark, d), f"{root}/in", 6, ["admitted_at", "encounter_id"])
-    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=2)
+    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=3)
     return root
 
 
@@ -90,7 +90,7 @@ FROM sc""", STREAM_SCORED_SQL))
 def q_stream_replay(spark, d):
     root = _live(spark, d)
     # restart on the same checkpoint: nothing new, nothing written twice
-    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=2)
+    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=3)
     # replay of an already processed batch id replaces its own partition only
     first = spark.read.parquet(f"{root}/wh/fact").where(F.col("batch_id") == 0).select("visit_id")
     batch0 = spark.read.parquet(f"{root}/in").join(
