@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import catalog as C
 from .. import tables as T
 from ..functions import constants as K
 from ..operators import ml as ML
