@@ -57,6 +57,8 @@ def q_stream_dedup_wm(spark, d):
 STREAM_SCORED_SQL = f"""
 sc AS (
   SELECT TRY_CAST(encounter_id AS BIGINT) AS visit_id, TRY_CAST(patient_nbr AS BIGINT) AS patient_id,
+         TRY_CAST(COALESCE({G.safe_double('time_in_hospital')}, 0) AS INTEGER) AS los,
+         TRY_CAST(COALESCE({G.safe_double('num_medications')}, 0) AS INTEGER) AS meds,
          COALESCE(raw, 0.5) AS risk_score,
          CASE WHEN raw IS NULL THEN 'Medium' ELSE {G.risk_level('raw', 'left')} END AS risk_level
   FROM (SELECT *, {G.heuristic_score(G.age_numeric('age'),
@@ -83,9 +85,24 @@ def q_stream_gold(spark, d):
     return spark.read.parquet(f"{root}/wh/gold_risk_distribution")
 
 
+@query("stream_kpis", ops=("STR-4", "AGG-1", "STR-3"), sql=G.with_ctes(G.ENC, f"""
+SELECT COUNT(DISTINCT patient_id) AS total_patients,
+       COUNT(DISTINCT CASE WHEN risk_level = 'High' THEN patient_id END) AS high_risk_patients,
+       {G.rnd("COUNT(DISTINCT CASE WHEN risk_level = 'High' THEN patient_id END) * 100.0 / NULLIF(COUNT(DISTINCT patient_id), 0)", 1)}
+         AS high_risk_rate,
+       {G.rnd('AVG(risk_score)', 4)} AS avg_risk_score,
+       {G.rnd('AVG(los)', 1)} AS avg_length_of_stay,
+       {G.rnd('AVG(meds)', 1)} AS avg_medications
+FROM sc""", STREAM_SCORED_SQL))
+def q_stream_kpis(spark, d):
+    root = _live(spark, d)
+    return spark.read.parquet(f"{root}/wh/gold_hospital_kpis")
+
+
 @query("stream_replay", ops=("STR-8", "SNK-5", "STR-3"), sql=G.with_ctes(G.ENC, """
 SELECT COUNT(*) AS fact_rows, COUNT(DISTINCT visit_id) AS visits,
-       (SELECT COUNT(DISTINCT patient_id) FROM sc) AS dim_patients
+       (SELECT COUNT(DISTINCT patient_id) FROM sc) AS dim_patients,
+       (SELECT COUNT(DISTINCT patient_id) FROM sc) AS kpi_patients
 FROM sc""", STREAM_SCORED_SQL))
 def q_stream_replay(spark, d):
     root = _live(spark, d)
@@ -99,7 +116,9 @@ def q_stream_replay(spark, d):
     J.live_batch(f"{root}/wh")(batch0, 0)
     fact = spark.read.parquet(f"{root}/wh/fact")
     dims = spark.read.parquet(f"{root}/wh/dim_patient")
-    return fact.agg(F.count(F.lit(1)).alias("fact_rows"),
-                    F.countDistinct("visit_id").alias("visits")).crossJoin(
-        dims.agg(F.count(F.lit(1)).alias("dim_patients")))
+    kpis = spark.read.parquet(f"{root}/wh/gold_hospital_kpis")
+    return (fact.agg(F.count(F.lit(1)).alias("fact_rows"),
+                     F.countDistinct("visit_id").alias("visits"))
+            .crossJoin(dims.agg(F.count(F.lit(1)).alias("dim_patients")))
+            .crossJoin(kpis.select(F.col("total_patients").alias("kpi_patients"))))
 

@@ -50,15 +50,20 @@ def export_csv(df: DataFrame, path: str) -> None:
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType,
                   fmt: str = "parquet") -> DataFrame:
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        return spark.read.format(fmt).load(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
 def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
-                     order: Sequence[str] | None = None, fmt: str = "parquet") -> DataFrame:
+                     order: Sequence[str] | None = None, fmt: str = "parquet",
+                     batch_id: int | None = None) -> DataFrame:
     """Append only rows whose key is not stored yet (SNK-4); returns the rows
-    written. Within the batch the first row per key (by ``order``) wins."""
+    written. Within the batch the first row per key (by ``order``) wins.
+
+    With ``batch_id`` the rows go to partition ``batch_id=<n>``, so the rows a
+    batch inserted can be read back by partition pruning; a replay inserts
+    nothing new and leaves that partition as it was."""
     keys = list(key)
     batch = first_per_key(new, keys, list(order or keys))
     # only stored keys that occur in the batch matter; the batch's distinct keys
@@ -67,7 +72,11 @@ def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
     existing = (read_or_empty(new.sparkSession, path, new.schema, fmt).select(*keys)
                 .join(batch_keys, keys, "left_semi"))
     fresh = batch.join(existing, keys, "left_anti")
-    fresh.write.mode("append").format(fmt).save(path)
+    if batch_id is None:
+        fresh.write.mode("append").format(fmt).save(path)
+    else:
+        (fresh.withColumn("batch_id", F.lit(int(batch_id)))
+         .write.mode("append").partitionBy("batch_id").format(fmt).save(path))
     return fresh
 
 
