@@ -111,6 +111,8 @@ def modes(df: DataFrame, cols: Iterable[str], default: str = "Unknown") -> DataF
     All columns are counted in one pass over a long (column, value) form; the
     pick per column is a ``min_by`` over that column's distinct values."""
     cols = list(cols)
+    if not cols:
+        return df.sparkSession.range(1).select()
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
                                 for c in cols]))
     long = df.select(pairs.alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
@@ -169,7 +171,10 @@ def table_counts(tables: Mapping[str, DataFrame | None]) -> DataFrame:
             parts.append(df.agg(F.lit(name).alias("table_name"),
                                 F.count(F.lit(1)).alias("row_count")))
     missing = [n for n, df in tables.items() if df is None]
-    if missing and spark is not None:
+    if spark is None:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+    if missing:
         parts.append(spark.createDataFrame([(n, 0) for n in missing],
                                            "table_name string, row_count long"))
     out = parts[0]
