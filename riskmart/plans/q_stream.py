@@ -101,6 +101,7 @@ def q_stream_kpis(spark, d):
 
 @query("stream_replay", ops=("STR-8", "SNK-5", "STR-3"), sql=G.with_ctes(G.ENC, """
 SELECT COUNT(*) AS fact_rows, COUNT(DISTINCT visit_id) AS visits,
+       COUNT(*) AS prediction_rows,
        (SELECT COUNT(DISTINCT patient_id) FROM sc) AS dim_patients,
        (SELECT COUNT(DISTINCT patient_id) FROM sc) AS kpi_patients
 FROM sc""", STREAM_SCORED_SQL))
@@ -117,8 +118,10 @@ def q_stream_replay(spark, d):
     fact = spark.read.parquet(f"{root}/wh/fact")
     dims = spark.read.parquet(f"{root}/wh/dim_patient")
     kpis = spark.read.parquet(f"{root}/wh/gold_hospital_kpis")
+    preds = spark.read.parquet(f"{root}/wh/model_predictions")
     return (fact.agg(F.count(F.lit(1)).alias("fact_rows"),
                      F.countDistinct("visit_id").alias("visits"))
+            .crossJoin(preds.agg(F.count(F.lit(1)).alias("prediction_rows")))
             .crossJoin(dims.agg(F.count(F.lit(1)).alias("dim_patients")))
             .crossJoin(kpis.select(F.col("total_patients").alias("kpi_patients"))))
 

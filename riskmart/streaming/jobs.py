@@ -98,6 +98,17 @@ def score_records(batch: DataFrame) -> DataFrame:
         S.code_category("diag_1").alias("diag_1_category"))
 
 
+def predictions_of(scored: DataFrame) -> DataFrame:
+    """Prediction rows of a scored batch (SNK-5): one per record, keyed by the
+    encounter, with percent, level, model version and time."""
+    return scored.select(
+        F.col("visit_id").alias("prediction_id"), "patient_id", "risk_score",
+        S.percent_even("risk_score", 1).alias("risk_percentage"), "risk_level",
+        F.col("readmitted_binary").alias("actual_readmitted"),
+        F.current_timestamp().alias("predicted_at"),
+        F.lit(K.MODEL_VERSION).alias("model_version"))
+
+
 # key-hash buckets of the stored dimensions; an upsert reads only the buckets
 # its micro-batch touches
 DIM_BUCKETS = 64
@@ -108,7 +119,7 @@ def live_batch(root: str):
 
     * Dimensions and the (patient, risk level) pairs are insert-or-ignore,
       each row tagged with the batch that first stored it.
-    * Fact rows go to partition ``batch_id``.
+    * Fact and prediction rows go to partition ``batch_id`` (overwritten on replay).
     * The batch's contribution to gold is one row of partial sums, computed
       from the rows this batch stored (read back by partition pruning) and
       written to ``gold_parts/batch_id=<n>``.
@@ -135,6 +146,8 @@ def live_batch(root: str):
             SK.write_batch_partition(
                 scored.select("visit_id", "patient_id", "risk_score", "risk_level",
                               "readmitted_binary"), f"{root}/fact", batch_id)
+            SK.write_batch_partition(predictions_of(scored), f"{root}/model_predictions",
+                                     batch_id)
         finally:
             scored.unpersist()
         SK.write_batch_partition(batch_contribution(spark, root, batch_id),
