@@ -61,9 +61,9 @@ def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
     """Append only rows whose key is not stored yet (SNK-4); returns the rows
     written. Within the batch the first row per key (by ``order``) wins.
 
-    With ``batch_id`` the rows go to partition ``batch_id=<n>``, so the rows a
-    batch inserted can be read back by partition pruning; a replay inserts
-    nothing new and leaves that partition as it was.
+    With ``batch_id`` the rows carry the batch that inserted them (as partition
+    ``batch_id=<n>``, or as a column of a bucketed table), so they can be read
+    back by pruning; a replay inserts nothing new.
 
     With ``buckets`` the table is also partitioned by ``bucket = hash(key) mod
     buckets``; an upsert then reads only the buckets its batch touches (a list
@@ -82,7 +82,9 @@ def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
     batch_keys = batch.select(*keys)
     existing = stored.select(*keys).join(batch_keys, keys, "left_semi")
     fresh = batch.join(existing, keys, "left_anti")
-    parts = (["bucket"] if buckets else []) + (["batch_id"] if batch_id is not None else [])
+    # bucketed tables keep batch_id as a column (files of one batch share it, so
+    # Parquet statistics skip the rest); directories stay bounded by ``buckets``
+    parts = ["bucket"] if buckets else (["batch_id"] if batch_id is not None else [])
     out = fresh if batch_id is None else fresh.withColumn("batch_id", F.lit(int(batch_id)))
     w = out.write.mode("append").format(fmt)
     (w.partitionBy(*parts) if parts else w).save(path)

@@ -121,8 +121,9 @@ def live_batch(root: str):
       each row tagged with the batch that first stored it.
     * Fact and prediction rows go to partition ``batch_id`` (overwritten on replay).
     * The batch's contribution to gold is one row of partial sums, computed
-      from the rows this batch stored (read back by partition pruning) and
-      written to ``gold_parts/batch_id=<n>``.
+      from the rows this batch stored (read back by a ``batch_id`` filter that
+      Parquet statistics resolve per file) and written to
+      ``gold_parts/batch_id=<n>``.
     * Gold is the sum over one small row per batch, so a refresh never rescans
       the fact. A replayed batch inserts nothing new, rewrites its own fact and
       parts partitions with the same content, and leaves gold unchanged.

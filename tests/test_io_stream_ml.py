@@ -176,6 +176,7 @@ def test_bucketed_insert_or_ignore(spark):
     assert stored.count() == 202
     assert stored.where("k = 5").first()["v"] == "v5"
     assert stored.where("batch_id = 1").count() == 2
+    assert "batch_id" in stored.columns and "bucket" in stored.columns
     # a bucket filter is a partition filter: only that bucket's directory is read
     import contextlib
     import io
