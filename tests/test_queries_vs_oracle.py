@@ -39,9 +39,20 @@ def test_entry(spark):
     assert df.columns == ["age_group", "gender", "avg_risk", "patient_count", "high_risk_count"]
 
 
+def plan_text(df) -> str:
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SLOW))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
+    # built-in expressions only: no Python UDF evaluation anywhere in the plan
+    assert "EvalPython" not in plan_text(df)
     cols = df.columns
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
