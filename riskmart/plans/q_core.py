@@ -59,7 +59,8 @@ def q_latest(spark, d):
 # ------------------------------------------------------------------ encounter adapter
 @query("encounters_adapter", ops=("SRC-8",), sql=G.with_ctes(G.ENC, "SELECT * FROM enc"))
 def q_enc(spark, d):
-    return T.encounters(spark, d)
+    # the full derivation from the provided tables, not the landed copy
+    return T.encounters_lazy(spark, d)
 
 
 # ------------------------------------------------------------------ scalars

@@ -57,9 +57,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType,
 
 def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
                      order: Sequence[str] | None = None, fmt: str = "parquet",
-                     batch_id: int | None = None, buckets: int | None = None) -> DataFrame:
-    """Append only rows whose key is not stored yet (SNK-4); returns the rows
-    written. Within the batch the first row per key (by ``order``) wins.
+                     batch_id: int | None = None, buckets: int | None = None) -> None:
+    """Append only rows whose key is not stored yet (SNK-4). Within the batch
+    the first row per key (by ``order``) wins.
 
     With ``batch_id`` the rows carry the batch that inserted them (as partition
     ``batch_id=<n>``, or as a column of a bucketed table), so they can be read
@@ -68,27 +68,37 @@ def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
     With ``buckets`` the table is also partitioned by ``bucket = hash(key) mod
     buckets``; an upsert then reads only the buckets its batch touches (a list
     of at most ``buckets`` small integers), not the whole stored key column.
-    Meant for micro-batches, whose key count is small."""
+    Meant for micro-batches, whose key count is small.
+
+    The de-duplicated batch is computed once and kept for the three uses below
+    (touched buckets, keys to look up, rows to append).
+    """
     keys = list(key)
     batch = first_per_key(new, keys, list(order or keys))
-    stored = read_or_empty(new.sparkSession, path, new.schema, fmt)
     if buckets:
         batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(int(buckets))))
-        if "bucket" in stored.columns:
+    batch = batch.persist()
+    try:
+        stored = read_or_empty(new.sparkSession, path, new.schema, fmt)
+        if buckets and "bucket" in stored.columns:
             touched = [r[0] for r in batch.select("bucket").distinct().collect()]
             stored = stored.where(F.col("bucket").isin(touched))
-    # only stored keys that occur in the batch matter; the batch's distinct keys
-    # are a measured (adaptive) broadcast, so the stored table is scanned, not shuffled
-    batch_keys = batch.select(*keys)
-    existing = stored.select(*keys).join(batch_keys, keys, "left_semi")
-    fresh = batch.join(existing, keys, "left_anti")
-    # bucketed tables keep batch_id as a column (files of one batch share it, so
-    # Parquet statistics skip the rest); directories stay bounded by ``buckets``
-    parts = ["bucket"] if buckets else (["batch_id"] if batch_id is not None else [])
-    out = fresh if batch_id is None else fresh.withColumn("batch_id", F.lit(int(batch_id)))
-    w = out.write.mode("append").format(fmt)
-    (w.partitionBy(*parts) if parts else w).save(path)
-    return fresh.drop("bucket")
+        # only stored keys that occur in the batch matter; the batch's distinct keys
+        # are a measured (adaptive) broadcast, so the stored table is scanned, not shuffled
+        existing = stored.select(*keys).join(batch.select(*keys), keys, "left_semi")
+        fresh = batch.join(existing, keys, "left_anti")
+        if batch_id is not None:
+            fresh = fresh.withColumn("batch_id", F.lit(int(batch_id)))
+        # bucketed tables keep batch_id as a column (files of one batch share it, so
+        # Parquet statistics skip the rest); directories stay bounded by ``buckets``
+        parts = ["bucket"] if buckets else (["batch_id"] if batch_id is not None else [])
+        if buckets:
+            # one task per bucket: at most one new file per bucket directory per batch
+            fresh = fresh.repartition("bucket")
+        w = fresh.write.mode("append").format(fmt)
+        (w.partitionBy(*parts) if parts else w).save(path)
+    finally:
+        batch.unpersist()
 
 
 def write_batch_partition(df: DataFrame, path: str, batch_id: int,

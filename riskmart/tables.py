@@ -21,6 +21,7 @@ LAYERS = {
 }
 
 _STORED: dict[tuple[str, str], dict[str, str]] = {}
+_RAW: dict[tuple[str, str], str] = {}
 
 
 def path(sf_dir: str, name: str) -> str:
@@ -31,12 +32,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path(sf_dir, name))
 
 
-def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encounters_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encounter adapter as one lazy plan over the provided tables."""
     from .plans.encounters import encounters as build
     return build(load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer"),
                  load(spark, sf_dir, "lineitem"))
 
 
+def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw encounter records as a landed table: derived from the provided tables
+    once per application and stored under the shared checkpoint folder, as raw
+    input would be landed before the jobs that read it."""
+    from .session import app_id, scratch_path
+    key = (app_id(spark), sf_dir.rstrip("/"))
+    if key not in _RAW:
+        p = scratch_path(spark, "encounters")
+        encounters_lazy(spark, sf_dir).write.mode("overwrite").parquet(p)
+        _RAW[key] = p
+    return spark.read.parquet(_RAW[key])
+
+
 def warehouse_paths(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> dict[str, str]:
     """Run the medallion job over ``sf_dir`` once per application and return
     the stored layer paths (under the shared checkpoint folder)."""
@@ -64,6 +79,7 @@ def mart(spark: SparkSession, sf_dir: str, with_id: bool = True) -> dict[str, Da
 
 
 def mart_lazy(spark: SparkSession, sf_dir: str, with_id: bool = False) -> dict[str, DataFrame]:
-    """The same layers as one lazy plan (nothing written)."""
+    """The same layers as one plan over the landed encounters (nothing stored
+    beyond the jobs' own intermediate copies)."""
     from .plans.warehouse import mart as build
     return build(encounters(spark, sf_dir), with_id=with_id)
