@@ -43,13 +43,19 @@ def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw encounter records as a landed table: derived from the provided tables
     once per application and stored under the shared checkpoint folder, as raw
     input would be landed before the jobs that read it."""
+    from pyspark.errors import AnalysisException
+
     from .session import app_id, scratch_path
     key = (app_id(spark), sf_dir.rstrip("/"))
-    if key not in _RAW:
-        p = scratch_path(spark, "encounters")
-        encounters_lazy(spark, sf_dir).write.mode("overwrite").parquet(p)
-        _RAW[key] = p
-    return spark.read.parquet(_RAW[key])
+    if key in _RAW:
+        try:
+            return spark.read.parquet(_RAW[key])
+        except AnalysisException:   # the stored copy was removed: land it again
+            del _RAW[key]
+    p = scratch_path(spark, "encounters")
+    encounters_lazy(spark, sf_dir).write.mode("overwrite").parquet(p)
+    _RAW[key] = p
+    return spark.read.parquet(p)
 
 
 def warehouse_paths(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> dict[str, str]:
@@ -68,10 +74,16 @@ def mart(spark: SparkSession, sf_dir: str, with_id: bool = True) -> dict[str, Da
     """Warehouse layers as stored tables: dashboard queries read the written
     layers, as they would in production, instead of re-deriving silver in
     every branch of their plan."""
+    from pyspark.errors import AnalysisException
     paths = warehouse_paths(spark, sf_dir)
+    try:
+        stored = {name: spark.read.parquet(paths[table]) for name, (table, _) in LAYERS.items()}
+    except AnalysisException:   # a stored layer was removed: rebuild the warehouse
+        paths = warehouse_paths(spark, sf_dir, rebuild=True)
+        stored = {name: spark.read.parquet(paths[table]) for name, (table, _) in LAYERS.items()}
     out = {}
     for name, (table, audit) in LAYERS.items():
-        df = spark.read.parquet(paths[table])
+        df = stored[name]
         out[name] = df.drop(audit) if audit else df
     if not with_id:
         out["fact"] = out["fact"].drop("id")
