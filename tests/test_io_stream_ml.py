@@ -185,3 +185,16 @@ def test_bucketed_insert_or_ignore(spark):
     with contextlib.redirect_stdout(buf):
         stored.where("bucket = 3").explain()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", buf.getvalue())
+
+
+def test_stores_rebuild_when_missing(spark):
+    from riskmart import tables as T
+    from riskmart.session import app_id
+    d = "/root/testdata/sf0.001"
+    key = (app_id(spark), d)
+    n = T.encounters(spark, d).count()
+    T._RAW[key] = scratch_path(spark, "never-written")
+    assert T.encounters(spark, d).count() == n
+    kpis = T.mart(spark, d)["gold_hospital_kpis"].collect()
+    T._STORED[key] = {k: scratch_path(spark, "never-written") for k in T._STORED[key]}
+    assert T.mart(spark, d)["gold_hospital_kpis"].collect() == kpis
