@@ -126,10 +126,10 @@ def grouped_exact_quantiles(df: DataFrame, keys: Sequence[str], column: str,
     """
     from pyspark.sql import Window
 
-    from ..session import materialize, parallelism
+    from ..session import materialize, range_partitions
     keys = list(keys)
     spark = df.sparkSession
-    n = partitions or parallelism(spark)
+    n = partitions or range_partitions(spark)
     base = df.select(*keys, F.col(column).cast("double").alias("__x")).where(
         F.col("__x").isNotNull() & ~F.isnan("__x"))
     for k in keys:   # rows with a null group key are left out, as pandas groupby does

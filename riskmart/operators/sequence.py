@@ -86,8 +86,8 @@ def next_in_order(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
 
 def _next_ranged(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, out: str,
                  partitions: int | None) -> DataFrame:
-    from ..session import materialize, parallelism
-    n = partitions or parallelism(df.sparkSession)
+    from ..session import materialize, range_partitions
+    n = partitions or range_partitions(df.sparkSession)
     # range boundaries come from a sample: write the partitioned rows once
     ranged = materialize(df.repartitionByRange(n, key, ts, tiebreak)
                          .withColumn("__pid", F.spark_partition_id()), "lead-ranged")
@@ -116,8 +116,8 @@ def dense_row_id(df: DataFrame, order: Sequence[str], out: str = "id",
     evaluations, so the partitioned rows (with their partition id) are written
     once to the shared checkpoint folder and both passes read that copy.
     """
-    from ..session import materialize, parallelism
-    n = partitions or parallelism(df.sparkSession)
+    from ..session import materialize, range_partitions
+    n = partitions or range_partitions(df.sparkSession)
     ranged = materialize(df.repartitionByRange(n, *order)
                          .withColumn("__pid", F.spark_partition_id()), "ranged")
     w_in = Window.partitionBy("__pid").orderBy(*order)

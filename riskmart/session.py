@@ -88,6 +88,17 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def range_partitions(spark: SparkSession) -> int:
+    """Partition count for explicit range partitionings: the larger of the task
+    slots and ``spark.sql.shuffle.partitions``, which a cluster sizes to its data
+    (so a range partition stays near the shuffle target size)."""
+    try:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:
+        shuffle = 200
+    return max(parallelism(spark), shuffle)
+
+
 def app_id(spark: SparkSession) -> str:
     try:
         return spark.sparkContext.applicationId
