@@ -83,3 +83,11 @@ def engineer(df: DataFrame, lab_threshold: float | None = None,
     if diag:
         out = out.withColumn("num_diagnoses", S.count_true([F.col(c) != "Other" for c in diag]))
     return out
+
+
+def fit_params(cleaned: DataFrame) -> DataFrame:
+    """Fit-time feature parameters as a one-row table (D6): the high-lab
+    threshold is the 75th percentile of the training rows. Stored next to the
+    encoders, it is passed to ``engineer(..., lab_threshold=...)`` at score time
+    so training and scoring share one value."""
+    return quantile_row(cleaned, "num_lab_procedures", K.HIGH_LAB_QUANTILE, "lab_threshold")

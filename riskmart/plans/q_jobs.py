@@ -142,12 +142,20 @@ def q_model_frame(spark, d):
     return align(features_df(spark, d), MODEL_FEATURES, {"number_diagnoses": 0.0}, "double")
 
 
-@query("feature_exports", ops=("JOB-3", "SNK-6", "SNK-13"), sql=G.with_ctes(
-    G.ENC, "SELECT COUNT(*) AS n_rows, SUM(readmitted_binary) AS positives FROM feat",
+@query("feature_exports", ops=("JOB-3", "SNK-6", "SNK-13", "SCA-10"), sql=G.with_ctes(
+    G.ENC, """SELECT COUNT(*) AS n_rows, SUM(readmitted_binary) AS positives,
+                     SUM(high_lab_procedures) AS high_lab_rows,
+                     (SELECT quantile_cont(num_lab_procedures, 0.75) FROM clean) AS lab_threshold
+              FROM feat""",
     clean_sql(False) + "," + FEATURES_SQL))
 def q_feature_exports(spark, d):
+    from .features import fit_params
     root = scratch_path(spark, "features")
-    f = features_df(spark, d)
+    cleaned = clean(T.encounters(spark, d))
+    # fit-time parameters are stored with the encoders and reused when scoring
+    fit_params(cleaned).write.mode("overwrite").parquet(f"{root}/models/params")
+    threshold = spark.read.parquet(f"{root}/models/params").first()["lab_threshold"]
+    f = engineer(cleaned, lab_threshold=threshold)
     SK.export_csv(f, f"{root}/processed/readable")
     model = ML.label_encoder(ENCODED).fit(f)
     enc = model.transform(ML.nan_text(f, ENCODED)).drop(*ENCODED)
@@ -155,7 +163,9 @@ def q_feature_exports(spark, d):
     SK.save_model(model, f"{root}/models/encoders")
     back = spark.read.option("header", True).csv(f"{root}/processed/encoded")
     return back.agg(F.count(F.lit(1)).alias("n_rows"),
-                    F.sum(F.col("readmitted_binary").cast("long")).alias("positives"))
+                    F.sum(F.col("readmitted_binary").cast("long")).alias("positives"),
+                    F.sum(F.col("high_lab_procedures").cast("long")).alias("high_lab_rows"),
+                    F.lit(threshold).cast("double").alias("lab_threshold"))
 
 
 # ------------------------------------------------------------------ JOB-10/11
