@@ -76,9 +76,10 @@ def engineer(df: DataFrame, lab_threshold: float | None = None,
         out = out.withColumn("num_medications_bin", S.medication_bin("num_medications"))
     meds = [m for m in K.MEDICATION_COLS if m in cols]
     if meds:
-        out = out.select(*[S.not_no_flag(c).alias(c) if c in meds else F.col(c)
-                           for c in out.columns])
-        out = out.withColumn("total_medications_active", S.row_sum(meds))
+        # the text stays (D9); the 0/1 flag goes to <column>_flag
+        out = out.select("*", *[S.not_no_flag(c).alias(f"{c}_flag") for c in meds])
+        out = out.withColumn("total_medications_active",
+                             S.row_sum([f"{c}_flag" for c in meds]))
     diag = [c for c in out.columns if c.startswith("diag_") and c.endswith("_category")]
     if diag:
         out = out.withColumn("num_diagnoses", S.count_true([F.col(c) != "Other" for c in diag]))

@@ -60,14 +60,14 @@ clean AS (
 
 FEATURES_SQL = f"""
 feat AS (
-  SELECT * EXCLUDE (insulin, p75),
+  SELECT * EXCLUDE (p75),
     COALESCE(number_inpatient, 0) + COALESCE(number_outpatient, 0)
       + COALESCE(number_emergency, 0) AS total_visits,
     CASE WHEN change = 'Ch' THEN 1 ELSE 0 END AS medication_change,
     CASE WHEN num_lab_procedures > p75 THEN 1 ELSE 0 END AS high_lab_procedures,
     CAST({G.lookup('age', K.AGE_MAP, K.AGE_DEFAULT)} AS DOUBLE) AS age_numeric,
     {G.bins('num_medications', K.MED_EDGES, K.MED_LABELS)} AS num_medications_bin,
-    CASE WHEN insulin = 'No' THEN 0 ELSE 1 END AS insulin,
+    CASE WHEN insulin = 'No' THEN 0 ELSE 1 END AS insulin_flag,
     CASE WHEN insulin = 'No' THEN 0 ELSE 1 END AS total_medications_active,
     CASE WHEN diag_1_category <> 'Other' THEN 1 ELSE 0 END AS num_diagnoses
   FROM clean, (SELECT quantile_cont(num_lab_procedures, 0.75) AS p75 FROM clean))"""

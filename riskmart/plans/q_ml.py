@@ -12,7 +12,7 @@ from .registry import query
 
 FEATURES = ["age_numeric", "number_inpatient", "number_outpatient", "number_emergency",
             "num_medications", "num_lab_procedures", "time_in_hospital", "total_visits",
-            "medication_change", "high_lab_procedures", "insulin"]
+            "medication_change", "high_lab_procedures", "insulin_flag"]
 
 
 def model_data(spark, d):
