@@ -122,6 +122,15 @@ def gold_from_silver(silver_df: DataFrame, predictions: DataFrame | None = None
     return {"summary": summary, "kpis": kpis, "distribution": dist}
 
 
+def ingest_bronze(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Land raw records in bronze with an explicit write mode (SRC-9, D19):
+    ``overwrite`` for a full load, ``append`` for new records. The size rule of
+    the reference (replace above 100 rows) is ``sinks.append_or_replace``."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode must be 'overwrite' or 'append'")
+    R.to_bronze(raw).write.mode(mode).parquet(path)
+
+
 def medallion(raw: DataFrame, root: str, predictions: DataFrame | None = None) -> dict[str, str]:
     """Raw -> bronze -> silver -> dims -> fact -> gold, each layer written as a
     new version directory under ``root`` and read back by the next layer

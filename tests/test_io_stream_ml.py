@@ -198,3 +198,22 @@ def test_stores_rebuild_when_missing(spark):
     kpis = T.mart(spark, d)["gold_hospital_kpis"].collect()
     T._STORED[key] = {k: scratch_path(spark, "never-written") for k in T._STORED[key]}
     assert T.mart(spark, d)["gold_hospital_kpis"].collect() == kpis
+
+
+def test_ingest_bronze_modes(spark):
+    from riskmart.plans.operational import ingest_bronze
+    from riskmart.functions import constants as K
+    path = scratch_path(spark, "t-bronze")
+    raw = spark.createDataFrame([("1", "10", "Male"), ("2", "11", "Female")],
+                                "encounter_id string, patient_nbr string, gender string")
+    ingest_bronze(raw, path, "overwrite")
+    ingest_bronze(raw, path, "append")
+    b = spark.read.parquet(path)
+    assert b.count() == 4
+    assert b.columns[:len(K.RAW_COLUMNS)] == K.RAW_COLUMNS and "ingested_at" in b.columns
+    assert {r["weight"] for r in b.collect()} == {"?"}
+    assert {r["metformin"] for r in b.collect()} == {"No"}
+    ingest_bronze(raw, path, "overwrite")
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        ingest_bronze(raw, path, "merge")
