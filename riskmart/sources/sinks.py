@@ -105,14 +105,11 @@ def write_batch_partition(df: DataFrame, path: str, batch_id: int,
                           fmt: str = "parquet") -> None:
     """Write one micro-batch as partition ``batch_id=<n>`` (SNK-5); a replay of
     the same batch replaces only its own partition (dynamic overwrite)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("batch_id", F.lit(int(batch_id)))
-         .write.mode("overwrite").partitionBy("batch_id").format(fmt).save(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # a per-write option, not the session setting: concurrent writers cannot
+    # switch each other to a static overwrite (which would drop other partitions)
+    (df.withColumn("batch_id", F.lit(int(batch_id)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").format(fmt).save(path))
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType,

@@ -11,6 +11,8 @@ batch overwrites only its own partition.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,23 +134,32 @@ def live_batch(root: str):
         spark = batch.sparkSession
         scored = score_records(batch).persist()
         try:
-            # a patient seen twice in one batch keeps a deterministic row
-            SK.insert_or_ignore(scored.select("patient_id", "age", "gender", "race"),
-                                f"{root}/dim_patient", ["patient_id"],
-                                ["age", "gender", "race"], batch_id=batch_id,
-                                buckets=DIM_BUCKETS)
-            SK.insert_or_ignore(scored.select("visit_id", "time_in_hospital", "num_medications",
-                                              "diag_1_category"),
-                                f"{root}/dim_visit_metrics", ["visit_id"], ["visit_id"],
-                                batch_id=batch_id, buckets=DIM_BUCKETS)
-            SK.insert_or_ignore(scored.select("patient_id", "risk_level"),
-                                f"{root}/patient_levels", ["patient_id", "risk_level"],
-                                ["patient_id"], batch_id=batch_id, buckets=DIM_BUCKETS)
-            SK.write_batch_partition(
-                scored.select("visit_id", "patient_id", "risk_score", "risk_level",
-                              "readmitted_binary"), f"{root}/fact", batch_id)
-            SK.write_batch_partition(predictions_of(scored), f"{root}/model_predictions",
-                                     batch_id)
+            # the five writes are independent small jobs: submit them together so
+            # the scheduler overlaps them (one driver thread per job)
+            writes = [
+                # a patient seen twice in one batch keeps a deterministic row
+                lambda: SK.insert_or_ignore(
+                    scored.select("patient_id", "age", "gender", "race"),
+                    f"{root}/dim_patient", ["patient_id"], ["age", "gender", "race"],
+                    batch_id=batch_id, buckets=DIM_BUCKETS),
+                lambda: SK.insert_or_ignore(
+                    scored.select("visit_id", "time_in_hospital", "num_medications",
+                                  "diag_1_category"),
+                    f"{root}/dim_visit_metrics", ["visit_id"], ["visit_id"],
+                    batch_id=batch_id, buckets=DIM_BUCKETS),
+                lambda: SK.insert_or_ignore(
+                    scored.select("patient_id", "risk_level"), f"{root}/patient_levels",
+                    ["patient_id", "risk_level"], ["patient_id"], batch_id=batch_id,
+                    buckets=DIM_BUCKETS),
+                lambda: SK.write_batch_partition(
+                    scored.select("visit_id", "patient_id", "risk_score", "risk_level",
+                                  "readmitted_binary"), f"{root}/fact", batch_id),
+                lambda: SK.write_batch_partition(predictions_of(scored),
+                                                 f"{root}/model_predictions", batch_id),
+            ]
+            with ThreadPoolExecutor(max_workers=len(writes)) as pool:
+                for f in [pool.submit(w) for w in writes]:
+                    f.result()
         finally:
             scored.unpersist()
         SK.write_batch_partition(batch_contribution(spark, root, batch_id),
