@@ -142,8 +142,9 @@ def medallion(raw: DataFrame, root: str, predictions: DataFrame | None = None) -
     s = W.with_audit(W.silver(bronze))
     paths["silver_patient_visits"] = SK.write_version(C.conform(s, C.SILVER), root, "silver")
     silver = require_rows(spark.read.parquet(paths["silver_patient_visits"]), "silver")
-    paths["dim_patient"] = SK.write_version(W.dim_patient(silver), root, "dim_patient")
-    paths["dim_visit_metrics"] = SK.write_version(W.dim_visit_metrics(silver), root, "dim_visit")
+    paths.update(_write_all({"dim_patient": (W.dim_patient(silver), "dim_patient"),
+                             "dim_visit_metrics": (W.dim_visit_metrics(silver), "dim_visit")},
+                            root))
     f = W.fact(silver, predictions, with_id=True).withColumn("timestamp", F.current_timestamp())
     paths["fact_patient_visits"] = SK.write_version(C.conform(f, C.FACT_PATIENT_VISITS), root,
                                                     "fact")
@@ -156,11 +157,21 @@ def medallion(raw: DataFrame, root: str, predictions: DataFrame | None = None) -
         "gold_hospital_kpis": W.hospital_kpis(fact, dv),
         "gold_risk_distribution": W.risk_distribution(fact),
     }
-    for name, df in gold.items():
-        paths[name] = SK.write_version(df.withColumn("updated_at", now), root, name)
+    paths.update(_write_all({name: (df.withColumn("updated_at", now), name)
+                             for name, df in gold.items()}, root))
     return paths
 
 
+def _write_all(layers: dict, root: str) -> dict[str, str]:
+    """Write independent layers as concurrent jobs (one driver thread each), so
+    small jobs overlap on the cluster; returns their version paths."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(layers)) as pool:
+        futures = {name: pool.submit(SK.write_version, df, root, layer)
+                   for name, (df, layer) in layers.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def layer_counts(spark, paths: dict[str, str]) -> DataFrame:
     """Row counts of every warehouse table; tables not written count 0 (AGG-22)."""
     tabs = {n: (spark.read.parquet(paths[n]) if n in paths else None) for n in C.TABLES}
