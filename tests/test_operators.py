@@ -123,3 +123,15 @@ def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (None, "a"), (3, None)], "a int, b string")
     out = {r[0]: (r[1], r[2]) for r in P.null_profile(df).collect()}
     assert out == {"a": (1, 33.33), "b": (2, 66.67)}
+
+
+def test_hash_split_class_shares(spark):
+    from riskmart.operators.topk import hash_split
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = hash_split(labels, "doc_id", 800, 42)
+    shares = {r["quality"]: r["train"] / r["n"] for r in out.groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("split") == "train", 1)).alias("train")).collect()}
+    assert set(shares) == {0, 1}
+    for q, share in shares.items():
+        assert 0.7 <= share <= 0.9, (q, share)
