@@ -1,0 +1 @@
+"""Column-expression builders (``scalars``) and fixed values (``constants``)."""

@@ -1,0 +1 @@
+"""Reusable DataFrame operators; every one takes column names as arguments."""

@@ -1,0 +1 @@
+"""Readers (``readers``) and writers (``sinks``)."""
