@@ -156,8 +156,11 @@ def class_ratio(df: DataFrame, label: str) -> DataFrame:
 
 
 def arg_max(df: DataFrame, value: str, by: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Value of ``value`` at the maximum of ``by`` (AGG-31); per group if keys."""
-    agg = [F.max_by(F.col(value), F.col(by)).alias(value), F.max(by).alias(by)]
+    """Value of ``value`` at the maximum of numeric ``by`` (AGG-31); per group if
+    keys. Ties on ``by`` go to the smallest ``value``, so the pick is
+    deterministic (one (by, value) pair in the aggregation buffer)."""
+    agg = [F.min_by(F.col(value), F.struct(-F.col(by), F.col(value))).alias(value),
+           F.max(by).alias(by)]
     return df.groupBy(*keys).agg(*agg) if keys else df.agg(*agg)
 
 

@@ -203,8 +203,10 @@ def q_class_ratio(spark, d):
 
 
 @query("argmax_row", ops=("AGG-31", "TRN-7"), sql="""
-SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS c_custkey, MAX(c_acctbal) AS c_acctbal
-FROM customer GROUP BY c_nationkey""")
+SELECT c_nationkey, c_custkey, c_acctbal FROM (
+  SELECT c_nationkey, c_custkey, c_acctbal,
+         ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn
+  FROM customer) WHERE rn = 1""")
 def q_argmax(spark, d):
     return A.arg_max(T.load(spark, d, "customer"), "c_custkey", "c_acctbal", ["c_nationkey"])
 
