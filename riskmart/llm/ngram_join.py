@@ -18,7 +18,8 @@ Documents with equal sets form one class. Within a signature every class is
 verified against the smallest one (the hub), which keeps the pairs linear in the
 signatures however many near copies there are. Only where a signature's classes
 are still in different components after that, the remaining pairs between those
-components are verified too, so no link that could join components is left out.
+components that a prefix and position filter leaves are verified too, so no link
+that could join components is left out.
 """
 
 from __future__ import annotations
@@ -166,6 +167,56 @@ def _verify(percent: int, k: int):
     return run
 
 
+def _elements(k: int):
+    def run(batches):
+        for batch in batches:
+            rep, out, count = batch.column(0), [], [0]
+            for _, _, buf, off in text_blocks(batch.column(1)):
+                h, _, _, first = words(buf, off, NOT_SPACE)
+                for _, u in shingle_sets(h, first, k):
+                    out.append(u)
+                    count.append(count[-1] + len(u))
+            flat = np.concatenate(out) if out else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [rep, pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["rep", "elems"])
+    return run
+
+
+def _open_pairs(open_rows: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs that share a signature, lie in different components and can still
+    qualify. Prefix and position filter: with every set sorted by rarity, a
+    qualifying pair has a common element among its first n - ceil(p n) + 1, and what
+    stands before their first common element counts against the overlap. Near copies
+    that each hold words of their own drop out here without being paired."""
+    members = store(open_rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"),
+                                                 F.collect_set("sig").alias("sigs")), "op1-members")
+    sets = (texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id")
+            .select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+            .mapInArrow(_elements(k), "rep long, elems array<long>")
+            .select("rep", F.explode("elems").alias("e")))
+    sets = store(sets, "op1-elements")
+    freq = store(sets.groupBy("e").agg(F.count("*").alias("df")), "op1-df")
+    prefix = (sets.join(freq, "e").groupBy("rep")
+              .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+              .join(members, "rep")
+              .withColumn("es", F.slice("es", F.lit(1),
+                                        (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")))
+              .select("rep", "n", "c", "sigs", F.posexplode("es").alias("p", "x"))
+              .where("x.df > 1")
+              .select("rep", "n", "c", "sigs", "p", F.col("x.e").alias("e")))
+    prefix = store(prefix, "op1-prefix")
+    drop_stored(members, sets, freq)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    both = (x.join(y, F.col("x.e") == F.col("y.e"))
+            .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
+                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+                   & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
+                   & F.arrays_overlap("x.sigs", "y.sigs")))
+    return both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose sets of distinct ``k``-word shingles have
@@ -214,13 +265,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
     label = store(label, "op1-labels")
     mixed = store(label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("sig"), "op1-mixed")
-    open_rows = label.join(mixed, "sig")
-    x = open_rows.select("sig", "hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = open_rows.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = store(x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                        & (F.col("a") != F.col("hub"))
-                                        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-                 .select("a", "b").distinct(), "op1-rest")
+    rest = store(_open_pairs(label.join(mixed, "sig"), texts, percent, k), "op1-rest")
     more = store(verified(rest), "op1-more")
     if not more.isEmpty():
         comp = connected_components(links.union(more))
