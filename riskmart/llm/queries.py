@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import mixing, ngram_join, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op4_pareto_mix, op7_ftrl_toxicity)}
+ORACLES: dict[str, str] = {"op4_pareto_mix": mixing.oracle()}
