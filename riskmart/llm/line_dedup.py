@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, prepare, store
 from .components import connected_components
+from .prefix_filter import open_pairs
 from .tokens import LOWER, mix, odd, text_blocks
 
 SHINGLE = 8
@@ -164,6 +165,19 @@ def _verify(k: int, jaccard: float):
     return run
 
 
+def _elements(k: int):
+    def run(batches):
+        for batch in batches:
+            out = [_set(x.as_buffer(), k) for x in batch.column(1)]
+            count = np.concatenate(([0], np.cumsum([len(u) for u in out])))
+            flat = np.concatenate(out) if out else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(count, pa.int32()),
+                                                           pa.array(flat.view(np.int64)))],
+                names=["node", "elems"])
+    return run
+
+
 def _set(text: pa.Buffer, k: int) -> np.ndarray:
     buf = np.frombuffer(text, dtype=np.uint8) if text is not None else np.empty(0, np.uint8)
     cp, _ = characters(buf, np.array([0, len(buf)]))
@@ -210,16 +224,17 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
 
     links = verified(pairs)
     comp = connected_components(links)
-    # pairs of one band that are still in different components; the hub's are done
+    # where a band's lines are still apart: every pair a prefix and position filter leaves
     label = store(shared.join(comp.withColumnRenamed("node", "h"), "h", "left")
-                  .select("band", "h", "hub", F.coalesce("component", "h").alias("c")), "op5-label")
+                  .select("band", "h", F.coalesce("component", "h").alias("c")), "op5-label")
     mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("band"), "op5-mixed")
-    rows = label.join(mixed, "band").where("h != hub")
-    x, y = rows.alias("x"), rows.alias("y")
-    rest = store(x.join(y, F.col("x.band") == F.col("y.band"))
-                 .where((F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")))
-                 .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "op5-rest")
+    members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
+                    .agg(F.first("c").alias("c"), F.collect_set("band").alias("keys")), "op5-members")
+    sets = (texts.join(members.select(F.col("node").alias("h")), "h")
+            .select("h", F.col("line").cast("binary").alias("line"))
+            .mapInArrow(_elements(k), "node long, elems array<long>").select("node", F.explode("elems").alias("e")))
+    rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
     more = verified(rest)
     if not more.isEmpty():
         comp = connected_components(links.union(more))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, prepare, store
 from .components import connected_components
+from .prefix_filter import open_pairs
 from .tokens import NOT_SPACE, mix, shingle_sets, text_blocks, words
 
 WEAK = 3
@@ -179,42 +180,18 @@ def _elements(k: int):
             flat = np.concatenate(out) if out else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [rep, pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["rep", "elems"])
+                names=["node", "elems"])
     return run
 
 
 def _open_pairs(open_rows: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs that share a signature, lie in different components and can still
-    qualify. Prefix and position filter: with every set sorted by rarity, a
-    qualifying pair has a common element among its first n - ceil(p n) + 1, and what
-    stands before their first common element counts against the overlap. Near copies
-    that each hold words of their own drop out here without being paired."""
-    members = store(open_rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"),
-                                                 F.collect_set("sig").alias("sigs")), "op1-members")
-    sets = (texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id")
-            .select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-            .mapInArrow(_elements(k), "rep long, elems array<long>")
-            .select("rep", F.explode("elems").alias("e")))
-    sets = store(sets, "op1-elements")
-    freq = store(sets.groupBy("e").agg(F.count("*").alias("df")), "op1-df")
-    prefix = (sets.join(freq, "e").groupBy("rep")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-              .join(members, "rep")
-              .withColumn("es", F.slice("es", F.lit(1),
-                                        (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")))
-              .select("rep", "n", "c", "sigs", F.posexplode("es").alias("p", "x"))
-              .where("x.df > 1")
-              .select("rep", "n", "c", "sigs", "p", F.col("x.e").alias("e")))
-    prefix = store(prefix, "op1-prefix")
-    drop_stored(members, sets, freq)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    left = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-    both = (x.join(y, F.col("x.e") == F.col("y.e"))
-            .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
-                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-                   & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
-                   & F.arrays_overlap("x.sigs", "y.sigs")))
-    return both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    members = store(open_rows.groupBy(F.col("rep").alias("node"))
+                    .agg(F.first("c").alias("c"), F.collect_set("sig").alias("keys")), "op1-members")
+    sets = (texts.join(members.select(F.col("node").alias("doc_id")), "doc_id")
+            .select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+            .mapInArrow(_elements(k), "node long, elems array<long>")
+            .select("node", F.explode("elems").alias("e")))
+    return open_pairs(members, sets, percent)
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
