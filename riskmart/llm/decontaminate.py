@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,16 +81,18 @@ def _postings(vocabulary, run: int):
                     pa.array(np.append(heads, len(at)), pa.int32()), pa.array((at - first[doc]).astype(np.int32)))
                 entry = pa.StructArray.from_arrays([pa.array(term[heads]), lists], names=["term", "at"])
                 per = np.searchsorted(doc[heads], np.arange(hi - lo + 1))
-                raw = buf.tobytes()
-                key = [xxhash.xxh3_64_intdigest(raw[a:b], seed=int(not v)) for a, b, v in
-                       zip(off[:-1], off[1:], ids.slice(lo, hi - lo).is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.array(key, dtype=np.uint64).view(np.int64)),
+                    [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo),
                      pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(per, pa.int32()), entry)],
                     names=["doc_id", "h", "n_words", "postings"])
     return go
 
 
+def text_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart that repeat an id, or have none."""
+    return F.xxhash64(doc_id.isNull(), text.cast("string"))
+
+
 def build_index(docs: DataFrame, items: DataFrame | None = None, run: int | None = None,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store the positional index: doc_id, h (hash of the text), n_words, postings.
@@ -108,7 +109,8 @@ def build_index(docs: DataFrame, items: DataFrame | None = None, run: int | None
             vocabulary = spark.sparkContext.broadcast(t)
         if run is None:
             run = items.agg(F.min(F.least(F.size("terms"), F.lit(WINDOW)))).first()[0] or 1
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      text_key(F.col(id_col), F.col(text_col)).alias("h"))
     return store(src.mapInArrow(_postings(vocabulary, run or 1),
                                 f"doc_id long, h long, n_words long, postings {POSTINGS}"), "op6-index")
 

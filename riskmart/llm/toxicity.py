@@ -136,14 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
     return {"bits": bits, "index": keep.astype(np.int32), "weight": w[keep]}
 
 
-def _scorer(model):
+def _scorer(model, text_at: int):
     def run(batches):
         m = model.value
         bits = m["bits"]
         w = np.zeros(1 << bits)
         w[m["index"]] = m["weight"]
         for batch in batches:
-            for lo, hi, buf, off in text_blocks(batch.column(batch.num_columns - 1)):
+            for lo, hi, buf, off in text_blocks(batch.column(text_at)):
                 h, _, _, first = words(buf, off, ALNUM)
                 place = np.arange(len(h))
                 doc = np.searchsorted(first[1:], place, side="right")
@@ -172,9 +172,11 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text")
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    kept = [c for c in keep if c != text_col]
+    src = docs.select(F.col(text_col).cast("string").alias(text_col), *kept)
     fields = ", ".join(f"`{c}` {t}" for c, t in src.dtypes)
-    return src.mapInArrow(_scorer(shared), f"{fields}, score double").drop("__text")
+    out = src.mapInArrow(_scorer(shared, 0), f"{fields}, score double")
+    return out.select(*keep, "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
