@@ -224,8 +224,9 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
 
     links = verified(pairs)
     comp = connected_components(links)
-    # where a band's lines are still apart: every pair a prefix and position filter leaves
-    label = store(shared.join(comp.withColumnRenamed("node", "h"), "h", "left")
+    # bands whose lines other than the hub are still apart: every pair of those that
+    # a prefix and position filter leaves
+    label = store(shared.where("h != hub").join(comp.withColumnRenamed("node", "h"), "h", "left")
                   .select("band", "h", F.coalesce("component", "h").alias("c")), "op5-label")
     mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("band"), "op5-mixed")

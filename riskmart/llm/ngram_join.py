@@ -237,7 +237,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
 
     links = store(verified(pairs), "op1-links")
     comp = connected_components(links)
-    label = (shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    label = (shared.where("rep != hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .withColumn("c", F.coalesce("component", "rep")).drop("component"))
     label = store(label, "op1-labels")
     mixed = store(label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, toxicity
+from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, toxicity, vector_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.vector_components(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_language_id, op4_pareto_mix, op5_fuzzy_lines, op6_decontamination,
+    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_language_id, op4_pareto_mix, op5_fuzzy_lines, op6_decontamination,
     op7_ftrl_toxicity, op9_pii)}
 ORACLES: dict[str, str] = {"op4_pareto_mix": mixing.oracle()}
