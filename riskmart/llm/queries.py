@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, toxicity, vector_join, warc
+from . import decontaminate, langid, licences, line_dedup, mixing, ngram_join, pii, toxicity, vector_join, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_language_id, op4_pareto_mix, op5_fuzzy_lines, op6_decontamination,
-    op7_ftrl_toxicity, op8_warc, op9_pii)}
+    op7_ftrl_toxicity, op8_warc, op9_pii,
+    op10_licence_scan)}
 ORACLES: dict[str, str] = {"op4_pareto_mix": mixing.oracle(), "op8_warc": warc.ORACLE}
