@@ -82,7 +82,15 @@ RAW_COLUMNS = [
     "number_outpatient", "number_emergency", "number_inpatient",
     "diag_1", "diag_2", "diag_3", "number_diagnoses",
     "max_glu_serum", "A1Cresult",
-] + MEDICATION_COLS + ["change", "diabetesMed", "readmitted"]
+    "metformin", "repaglinide", "nateglinide", "chlorpropamide", "glimepiride",
+    "acetohexamide", "glipizide", "glyburide", "tolbutamide", "pioglitazone",
+    "rosiglitazone", "acarbose", "miglitol", "troglitazone", "tolazamide",
+    "examide", "citoglipton", "insulin",
+    "glyburide-metformin", "glipizide-metformin", "glimepiride-pioglitazone",
+    "metformin-rosiglitazone", "metformin-pioglitazone",
+    "change", "diabetesMed", "readmitted",
+]
+assert len(RAW_COLUMNS) == 50
 
 # ---- FIXED VALUES: fill for raw columns a source does not supply (bronze alignment) ----
 RAW_FILL_UNKNOWN = ["weight", "payer_code", "medical_specialty"]      # -> "?"
@@ -96,7 +104,6 @@ HIGH_LAB_CONSTANT = 44          # constant threshold used by the scorer
 HIGH_LAB_CONSTANT_ALT = 57      # constant threshold used by the record generator
 HIGH_LAB_QUANTILE = 0.75
 READMIT_TOKEN = "<30"
-BIG_BATCH_ROWS = 100            # more rows than this replace, fewer append
 MODEL_VERSION = "1.0.0"
 FALLBACK_SCORE = 0.5            # streaming score when the model gives none
 FALLBACK_LEVEL = "Medium"

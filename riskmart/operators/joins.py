@@ -36,9 +36,24 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str | Sequence[str],
     return child.join(p, ck, "left_anti")
 
 
+# a side of at most this many (narrow) rows is broadcast after it was counted
+BROADCAST_ROWS = 10_000
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on: str, columns: Sequence[str] | None = None
                 ) -> DataFrame:
-    """Left join to a fixed-size code table (JOI-7); the code table is
-    broadcast since its size is fixed by the code list, not by the data."""
+    """Left join to a code table (JOI-7). The table is counted (a limited scan) and
+    broadcast if it has at most ``BROADCAST_ROWS`` rows; a larger one is joined by a
+    shuffle, whose skewed partitions adaptive execution splits."""
     lk = lookup if columns is None else lookup.select(on, *columns)
-    return df.join(F.broadcast(lk), on, "left")
+    few = lk.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(lk) if few else lk, on, "left")
+
+
+def with_key_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add the total of ``value`` over each row's ``key``. Totals are aggregated
+    before the shuffle and stored, so both sides of the join are plain exchanges and
+    the rows of a hot key can be split over tasks."""
+    from ..session import materialize
+    totals = materialize(df.groupBy(F.col(key).alias("__k")).agg(F.sum(value).alias(out)), "key-totals")
+    return df.join(totals, F.col(key) == F.col("__k")).drop("__k")

@@ -2,9 +2,8 @@
 
 Models are Spark ML estimators, so training reads the data in parallel and the
 fitted pipeline scores a DataFrame of any size in one ``transform``. Metrics
-are conditional sums; curves are built from scores grouped into a bounded
-number of buckets, so the ordered (cumulative) step runs over at most
-``bins + 1`` rows, not over the data.
+are conditional sums; curves and AUC come from counts per distinct score whose
+running totals are taken over range partitions, so no task sorts all scores.
 """
 
 from __future__ import annotations
@@ -15,10 +14,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .sequence import running_total
 
 # FIXED VALUES: model settings of the reference training run
 LOGREG = {"maxIter": 1000}
@@ -59,14 +59,17 @@ def drop_text_columns(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ training
-def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Balanced weights ``n / (2 * n_class)`` as a column; the class counts are
-    a two-row aggregate joined back with a broadcast."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
+def class_weights(df: DataFrame, label: str = "label", out: str = "weight",
+                  fitted_on: Column | None = None) -> DataFrame:
+    """Balanced weights ``n / (2 * n_class)`` as a column, from the rows for which
+    ``fitted_on`` holds (the training split); the class counts are a two-row
+    aggregate joined back with a broadcast."""
+    base = df if fitted_on is None else df.where(fitted_on)
+    counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    total = base.agg(F.count(F.lit(1)).alias("__total"))
     w = counts.crossJoin(total).select(
         label, (F.col("__total") / (F.lit(2.0) * F.col("__n"))).alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(F.broadcast(w), label, "left")
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -123,49 +126,56 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "prediction"
         F.count(F.lit(1)).alias("n"))
 
 
-def roc_points(df: DataFrame, score: str = "score", label: str = "label",
-               decimals: int = 4) -> DataFrame:
-    """ROC curve (TRN-5): one point per distinct score after rounding to
-    ``decimals`` (exact when the scores have no more decimals than that).
-
-    Counts per score come from a grouped aggregate; the cumulative sums run
-    over at most ``10**decimals + 1`` rows, so the single ordered window is
-    bounded by construction.
-    """
-    s = F.round(F.col(score), decimals)
-    per = df.groupBy(s.alias("threshold")).agg(
+def class_report(df: DataFrame, label: str = "label", predicted: str = "prediction") -> DataFrame:
+    """Precision, recall, F1 and support of each class (TRN-6), one row per class."""
+    per = (df.select(F.explode(F.array(F.struct(F.col(label).cast("int").alias("c"), F.lit(1).alias("y"),
+                                                (F.col(label) == F.col(predicted)).cast("int").alias("hit"),
+                                                F.lit(0).alias("p")),
+                                       F.struct(F.col(predicted).cast("int").alias("c"), F.lit(0).alias("y"),
+                                                F.lit(0).alias("hit"), F.lit(1).alias("p")))).alias("r"))
+           .groupBy(F.col("r.c").alias("class"))
+           .agg(F.sum("r.y").alias("support"), F.sum("r.hit").alias("hits"), F.sum("r.p").alias("named")))
+    prec = F.coalesce(S.safe_ratio("hits", "named"), F.lit(0.0))
+    rec = F.coalesce(S.safe_ratio("hits", "support"), F.lit(0.0))
+    return per.select("class", "support", prec.alias("precision"), rec.alias("recall"),
+                      F.coalesce(S.safe_ratio(F.lit(2.0) * prec * rec, prec + rec), F.lit(0.0)).alias("f1"))
+
+
+def score_ranks(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row per distinct score with its positives and negatives and their running
+    totals from the highest score down, over range partitions."""
+    per = df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    tot = per.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.select("threshold", F.sum("pos").over(w).alias("tp"),
-                     F.sum("neg").over(w).alias("fp"))
-    return cum.crossJoin(F.broadcast(tot)).select(
-        "threshold",
-        S.safe_ratio("fp", "__n").alias("fpr"),
-        S.safe_ratio("tp", "__p").alias("tpr"))
-
-
-def auc_from_roc(roc: DataFrame) -> DataFrame:
-    """Trapezoid area under the ROC points (plus the origin)."""
-    w = Window.orderBy("fpr", "tpr")
-    pts = roc.select("fpr", "tpr")
-    prev = pts.select("fpr", "tpr", F.lag("fpr", 1, 0.0).over(w).alias("f0"),
-                      F.lag("tpr", 1, 0.0).over(w).alias("t0"))
-    return prev.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2.0)
-                    .alias("auc"))
-
-
-def evaluate(pred: DataFrame, label: str = "label", decimals: int = 6) -> DataFrame:
+    return running_total(per.withColumn("__down", -F.col("threshold")), "__down", ["pos", "neg"]).drop("__down")
+
+
+def roc_points(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """ROC curve (TRN-5): one exact point per distinct score."""
+    ranks = score_ranks(df, score, label)
+    tot = ranks.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    return ranks.crossJoin(F.broadcast(tot)).select(
+        "threshold", S.safe_ratio("cum_neg", "__n").alias("fpr"), S.safe_ratio("cum_pos", "__p").alias("tpr"))
+
+
+def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Exact area under the ROC curve as a rank sum: the share of (positive,
+    negative) pairs in the right order, ties counting half."""
+    above = F.col("cum_pos") - F.col("pos")
+    t = score_ranks(df, score, label).agg(
+        F.sum(F.col("neg") * (above + F.col("pos") / F.lit(2.0))).alias("right"),
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return t.select(S.safe_ratio("right", F.col("p").cast("double") * F.col("n")).alias("auc"))
+
+
+def evaluate(pred: DataFrame, label: str = "label") -> DataFrame:
     """All hold-out metrics of one model as one row (TRN-4)."""
-    m = classification_metrics(pred, label)
-    auc = auc_from_roc(roc_points(pred, "score", label, decimals))
-    return m.crossJoin(auc)
+    return classification_metrics(pred, label).crossJoin(auc(pred, "score", label))
 
 
 def best_model(results: DataFrame, name: str = "model", by: str = "auc") -> DataFrame:
-    """Name of the model with the largest ``by`` (TRN-7)."""
-    return results.agg(F.max_by(name, by).alias("best_model"), F.max(by).alias(by))
+    """Name of the model with the largest ``by`` (TRN-7), the first name if several."""
+    return results.agg(F.min_by(name, F.struct(-F.col(by), F.col(name))).alias("best_model"), F.max(by).alias(by))
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
@@ -194,6 +204,8 @@ def score_batch(model: PipelineModel, df: DataFrame, closed: str = "left") -> Da
     The scorer uses the threshold rule (``>= .6`` High, ``>= .3`` Medium).
     """
     p = positive_probability(model.transform(df), "risk_score")
+    # the score is rounded first; level, percent and advice follow from it
+    p = p.withColumn("risk_score", F.bround("risk_score", 4))
     lvl = S.risk_level("risk_score", closed)
     return (p.drop("features", "rawPrediction", "probability", "prediction")
             .withColumn("risk_percentage", S.percent_even("risk_score", 1))
@@ -202,15 +214,18 @@ def score_batch(model: PipelineModel, df: DataFrame, closed: str = "left") -> Da
 
 
 # ------------------------------------------------------------------ explanation
-def linear_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str],
-                         key: str) -> DataFrame:
+def linear_contributions(model, df: DataFrame, features: Sequence[str], key: str,
+                         background: DataFrame | None = None) -> DataFrame:
     """Per-row additive contributions ``w_j (x_j - mean_j)`` of a logistic
-    model in log-odds, plus ``base = w·mean + b`` (EXP-1). Means are one
-    aggregate row broadcast to every row."""
-    lr = model.stages[-1]
-    w = lr.coefficients.toArray().tolist()
-    b = float(lr.intercept)
-    means = df.agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(features)])
+    model in log-odds, plus ``base = w·mean + b`` (EXP-1). Means are those of
+    ``background`` (the training rows), one aggregate row broadcast to every row.
+    ``model`` is a fitted pipeline or a pair (coefficients, intercept)."""
+    if isinstance(model, tuple):
+        w, b = list(model[0]), float(model[1])
+    else:
+        lr = model.stages[-1]
+        w, b = lr.coefficients.toArray().tolist(), float(lr.intercept)
+    means = (df if background is None else background).agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(features)])
     j = df.select(key, *features).crossJoin(F.broadcast(means))
     contrib = [(F.lit(w[i]) * (F.col(c) - F.col(f"__m_{i}"))).alias(c)
                for i, c in enumerate(features)]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import materialize
+from .joins import BROADCAST_ROWS
 from .quantiles import grouped_exact_quantiles
 from .shape import columns_of_kind
 
@@ -65,16 +67,19 @@ def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     names = [(f"{a}|{b}", f"__c_{i}") for i, (a, b) in enumerate(pairs)]
     long = wide.selectExpr(_stack(names, "pair", "corr"))
     ab = long.select(F.split("pair", r"\|").alias("p"), "corr")
-    lower = ab.select(F.col("p")[0].alias("col_a"), F.col("p")[1].alias("col_b"), "corr")
-    upper = lower.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
+    a, b = F.col("p")[0], F.col("p")[1]
+    # both directions from the one aggregated row
+    both = ab.select("corr", F.explode(F.array(F.struct(a.alias("col_a"), b.alias("col_b")),
+                                               F.struct(b.alias("col_a"), a.alias("col_b")))).alias("d"))
+    both = both.select("d.col_a", "d.col_b", "corr")
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols],
                                            "col_a string, col_b string, corr double")
-    return lower.unionByName(upper).unionByName(diag)
+    return both.unionByName(diag)
 
 
 def top_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.3,
                    n: int = 20) -> DataFrame:
-    """Lower-triangle pairs with |r| > threshold, strongest first (TOP-6)."""
+    """Lower-triangle pairs with |r| > threshold, largest signed r first (TOP-6)."""
     idx = {c: i for i, c in enumerate(cols)}
     pairs = [(a, b) for a, b in combinations(cols, 2) if idx[a] < idx[b]]
     wide = df.agg(*[F.corr(a, b).alias(f"__c_{i}") for i, (a, b) in enumerate(pairs)])
@@ -83,7 +88,7 @@ def top_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.3,
     out = (long.select(F.split("pair", r"\|")[0].alias("feature_1"),
                        F.split("pair", r"\|")[1].alias("feature_2"), "corr")
            .where(F.abs("corr") > F.lit(threshold)))
-    return out.orderBy(F.abs("corr").desc(), "feature_1", "feature_2").limit(n)
+    return out.orderBy(F.col("corr").desc(), "feature_1", "feature_2").limit(n)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
@@ -119,8 +124,13 @@ def box_stats(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame
     stats = stats.withColumn("lower_fence", F.col("q1") - F.lit(1.5) * iqr) \
                  .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * iqr)
     fences = stats.select(*keys, "lower_fence", "upper_fence")
-    # one row per group: adaptive execution broadcasts it when it is small
-    joined = df.join(fences, list(keys)) if keys else df.crossJoin(F.broadcast(fences))
+    # one row per group: counted, then broadcast; only a large table is shuffled
+    if keys:
+        fences = materialize(fences, "fences")
+        few = fences.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        joined = df.join(F.broadcast(fences) if few else fences, list(keys))
+    else:
+        joined = df.crossJoin(F.broadcast(fences))
     x = F.col(column)
     out = joined.groupBy(*keys).agg(F.count(F.when((x < F.col("lower_fence")) |
                                                    (x > F.col("upper_fence")), F.lit(1)))

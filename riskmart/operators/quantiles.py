@@ -1,14 +1,15 @@
 """Exact quantiles with bounded memory per task (AGG-17, AGG-18).
 
-``percentile``/``median`` keep a value -> count map and merge it in one task,
-so on a continuous column their final step holds every distinct value. Here
-the rank ``k`` needed for linear interpolation is found by narrowing a value
-bracket: each pass asks ``percentile_approx`` (whose sketch has a fixed size)
-for values just below and above the wanted rank inside the current bracket,
-then counts the rows below and inside the new bracket. Once the bracket holds
-at most ``max_candidates`` rows, the k-th value is the largest of the first
-``k - below + 1`` rows in value order (a bounded ``TakeOrdered``). Only a few
-numbers per pass reach the driver.
+``percentile``/``median`` keep a value -> count map and merge it in one task, so on
+a continuous column their final step holds every distinct value. Here all wanted
+ranks of all columns narrow value brackets together: one pass asks
+``percentile_approx`` (whose sketch has a fixed size) for a value just below and just
+above each rank inside its bracket, a second counts the rows below, at, and between
+those values. A rank that falls on one of the two values is answered by the counts;
+otherwise its bracket becomes the open interval it fell into, which leaves the two
+values out, so ties cannot stall the search and a sketch that missed only costs a
+pass. Brackets with at most ``max_candidates`` rows are read by one last pass. Only a
+few numbers per rank reach the driver, and the path is the same at every size.
 """
 
 from __future__ import annotations
@@ -16,85 +17,111 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CANDIDATES = 100_000
+MAX_CANDIDATES = 10_000
 ACCURACY = 10_000
 
 
-def _kth(base: DataFrame, k: int, n: int, max_candidates: int, accuracy: int) -> float:
-    """k-th smallest (0-based) of column ``x`` of ``base`` (``n`` rows)."""
-    x = F.col("x")
-    sub, below, within = base, 0, n
-    for _ in range(8):
-        if within <= max_candidates:
+class _Rank:
+    """The search for the k-th smallest (0-based) of one column."""
+
+    def __init__(self, x: Column, k: int, n: int):
+        self.x, self.k = x, k
+        self.lo = self.hi = None          # open bracket
+        self.below, self.within = 0, n
+        self.value = None
+
+    def inside(self) -> Column:
+        c = self.x.isNotNull()
+        if self.lo is not None:
+            c = c & (self.x > F.lit(self.lo))
+        if self.hi is not None:
+            c = c & (self.x < F.lit(self.hi))
+        return c
+
+    def narrow(self, a: float, b: float, lt: int, at_a: int, mid: int, at_b: int) -> None:
+        r = self.k - self.below
+        if r < lt:
+            self.hi, self.within = a, lt
+        elif r < lt + at_a:
+            self.value = a
+        elif r < lt + at_a + mid:
+            self.lo, self.hi = a, b
+            self.below, self.within = self.below + lt + at_a, mid
+        elif a != b and r < lt + at_a + mid + at_b:
+            self.value = b
+        else:
+            done = lt + at_a + mid + (at_b if a != b else 0)
+            self.lo = b
+            self.below, self.within = self.below + done, self.within - done
+
+
+def _select(df: DataFrame, ranks: list[_Rank], max_candidates: int, accuracy: int) -> None:
+    while True:
+        wide = [r for r in ranks if r.value is None and r.within > max_candidates]
+        if not wide:
             break
-        f = (k - below) / within
         eps = 2.0 / accuracy
-        lo_q, hi_q = max(0.0, f - eps), min(1.0, f + eps)
-        a, b = sub.agg(F.percentile_approx(x, [lo_q, hi_q], accuracy).alias("p")).first()["p"]
-        if a == b:
-            c = sub.agg(F.count(F.when(x < a, 1)).alias("lt"),
-                        F.count(F.when(x == a, 1)).alias("eq")).first()
-            if below + c["lt"] <= k < below + c["lt"] + c["eq"]:
-                return float(a)
-        c = sub.agg(F.count(F.when(x < a, 1)).alias("lt"),
-                    F.count(F.when((x >= a) & (x <= b), 1)).alias("inb")).first()
-        if not (below + c["lt"] <= k < below + c["lt"] + c["inb"]):
-            break   # the sketch missed the rank; keep the current bracket
-        below += c["lt"]
-        within = c["inb"]
-        sub = sub.where((x >= a) & (x <= b))
-    row = sub.orderBy("x").limit(k - below + 1).agg(F.max("x").alias("v")).first()
-    return float(row["v"])
-
-
-def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
-                    max_candidates: int = MAX_CANDIDATES, accuracy: int = ACCURACY
-                    ) -> list[float | None]:
-    """Linear-interpolated quantiles (pandas/``quantile_cont`` rule), nulls skipped."""
-    base = df.select(F.col(column).cast("double").alias("x")).where(
-        F.col("x").isNotNull() & ~F.isnan("x"))
-    n = base.count()
-    if n == 0:
-        return [None for _ in qs]
-    out = []
-    cache: dict[int, float] = {}
-    for q in qs:
-        pos = q * (n - 1)
-        r0 = math.floor(pos)
-        r1 = min(r0 + 1, n - 1)
-        for r in {r0, r1}:
-            if r not in cache:
-                cache[r] = _kth(base, r, n, max_candidates, accuracy)
-        out.append(cache[r0] + (cache[r1] - cache[r0]) * (pos - r0))
-    return out
+        asked = []
+        for i, r in enumerate(wide):
+            f = (r.k - r.below) / r.within
+            at = F.array(F.lit(max(0.0, f - eps)), F.lit(min(1.0, f + eps)))
+            asked.append(F.percentile_approx(F.when(r.inside(), r.x), at, accuracy).alias(f"p{i}"))
+        found = df.agg(*asked).first()
+        counts = []
+        for i, r in enumerate(wide):
+            a, b = found[f"p{i}"]
+            inside = r.inside()
+            for name, c in (("lt", r.x < a), ("a", r.x == a), ("m", (r.x > a) & (r.x < b)), ("b", r.x == b)):
+                counts.append(F.count(F.when(inside & c, 1)).alias(f"{name}{i}"))
+        n = df.agg(*counts).first()
+        for i, r in enumerate(wide):
+            r.narrow(*found[f"p{i}"], n[f"lt{i}"], n[f"a{i}"], n[f"m{i}"], n[f"b{i}"])
+    left = [r for r in ranks if r.value is None]
+    if left:
+        # at most max_candidates values each
+        row = df.agg(*[F.get(F.sort_array(F.collect_list(F.when(r.inside(), r.x))), F.lit(r.k - r.below))
+                       .alias(f"v{i}") for i, r in enumerate(left)]).first()
+        for i, r in enumerate(left):
+            r.value = row[f"v{i}"]
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: float | Sequence[float],
+                     max_candidates: int = MAX_CANDIDATES, accuracy: int = ACCURACY) -> list:
+    """Linear-interpolated quantiles (pandas/``quantile_cont`` rule) of several
+    columns, nulls and NaN skipped: one value per column for a single ``q``, else one
+    list per column. All columns and ranks share the passes."""
+    single = not isinstance(qs, Sequence)
+    wanted = [qs] if single else list(qs)
+    cols = list(cols)
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    n = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
+    ranks: dict[tuple[str, int], _Rank] = {}
+    for c in cols:
+        for q in wanted if n[c] else []:
+            low = math.floor(q * (n[c] - 1))
+            for k in (low, min(low + 1, n[c] - 1)):
+                ranks.setdefault((c, k), _Rank(x[c], k, n[c]))
+    _select(df, list(ranks.values()), max_candidates, accuracy)
 
+    def at(c: str, q: float):
+        if not n[c]:
+            return None
+        pos = q * (n[c] - 1)
+        low = math.floor(pos)
+        a, b = ranks[c, low].value, ranks[c, min(low + 1, n[c] - 1)].value
+        return float(a + (b - a) * (pos - low))
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], q: float,
-                     max_candidates: int = MAX_CANDIDATES) -> list[float | None]:
-    """Exact ``q`` quantile of several columns.
+    out = [[at(c, q) for q in wanted] for c in cols]
+    return [v[0] for v in out] if single else out
 
-    One pass counts the non-null values of every column. Columns with at most
-    ``max_candidates`` values are answered together by one exact ``percentile``
-    aggregate, whose value map is then bounded by that count; larger columns
-    use the bracket search above.
-    """
-    cols = list(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    counts = df.agg(*[F.count(F.when(x[c].isNotNull() & ~F.isnan(x[c]), 1)).alias(c)
-                      for c in cols]).first()
-    small = [c for c in cols if counts[c] <= max_candidates]
-    out: dict[str, float | None] = {}
-    if small:
-        row = df.agg(*[F.percentile(F.when(~F.isnan(x[c]), x[c]), F.lit(q)).alias(c)
-                       for c in small]).first()
-        out.update({c: (None if row[c] is None else float(row[c])) for c in small})
-    for c in cols:
-        if c not in out:
-            out[c] = exact_quantiles(df, c, [q], max_candidates)[0]
-    return [out[c] for c in cols]
+
+def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], max_candidates: int = MAX_CANDIDATES,
+                    accuracy: int = ACCURACY) -> list[float | None]:
+    """Quantiles of one column."""
+    return column_quantiles(df, [column], list(qs), max_candidates, accuracy)[0]
 
 
 def quantile_row(df: DataFrame, column: str, q: float, name: str) -> DataFrame:
@@ -111,9 +138,7 @@ def medians_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def grouped_exact_quantiles(df: DataFrame, keys: Sequence[str], column: str,
-                            qs: Sequence[float], partitions: int | None = None,
-                            max_candidates: int = MAX_CANDIDATES,
-                            force_ranked: bool = False) -> DataFrame:
+                            qs: Sequence[float], partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group with one
     column ``q<i>`` per requested quantile; no task holds a whole group.
 
@@ -134,15 +159,6 @@ def grouped_exact_quantiles(df: DataFrame, keys: Sequence[str], column: str,
         F.col("__x").isNotNull() & ~F.isnan("__x"))
     for k in keys:   # rows with a null group key are left out, as pandas groupby does
         base = base.where(F.col(k).isNotNull())
-    if not force_ranked:
-        # an exact percentile holds one map entry per distinct (group, value)
-        # pair; when a fixed-memory estimate (2% error, 2x margin) shows few
-        # pairs, that map is bounded and one aggregate answers every group
-        pairs = base.agg(F.approx_count_distinct(F.struct(*keys, "__x"), 0.02).alias("n")).first()["n"]
-        if pairs * 2 <= max_candidates:
-            q = F.percentile(F.col("__x"), F.array(*[F.lit(float(v)) for v in qs]))
-            agg = base.groupBy(*keys).agg(q.alias("__q"))
-            return agg.select(*keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(qs))])
     # range boundaries come from a sample: fix them by writing the rows once
     ranged = materialize(base.repartitionByRange(n, *keys, "__x")
                          .withColumn("__pid", F.spark_partition_id()), "grouped-q")

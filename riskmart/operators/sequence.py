@@ -131,6 +131,30 @@ def dense_row_id(df: DataFrame, order: Sequence[str], out: str = "id",
             .drop("__pid", "__rn", "__off"))
 
 
+def running_total(df: DataFrame, order: str, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Add ``cum_<c>``: the sum of ``c`` over all rows up to and including each row
+    in ascending ``order`` (a column of distinct values).
+
+    As in ``dense_row_id``, rows are range-partitioned and stored once; each partition
+    adds its own sums to those of the partitions before it (one row per partition)."""
+    from ..session import materialize, range_partitions
+    n = partitions or range_partitions(df.sparkSession)
+    ranged = materialize(df.repartitionByRange(n, order)
+                         .withColumn("__pid", F.spark_partition_id()), "ranged-sums")
+    w_in = Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("__pid").agg(*[F.sum(c).alias(f"__s_{c}") for c in cols])
+    offsets = sums.select("__pid", *[F.coalesce(F.sum(f"__s_{c}").over(w_off), F.lit(0)).alias(f"__o_{c}")
+                                     for c in cols])
+    out = ranged
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.sum(c).over(w_in))
+    out = out.join(F.broadcast(offsets), "__pid")
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"cum_{c}") + F.col(f"__o_{c}"))
+    return out.drop("__pid", *[f"__o_{c}" for c in cols])
+
+
 def share_of_total(df: DataFrame, count_col: str, out: str = "percentage",
                    digits: int | None = 1) -> DataFrame:
     """``count * 100 / total`` with the total joined as a one-row table (WIN-4).

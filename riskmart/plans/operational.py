@@ -9,6 +9,7 @@ from .. import catalog as C
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..operators.aggregates import monthly_rate, table_counts, zero_filled_levels
+from ..operators.sequence import first_per_key
 from ..operators.validation import require_rows
 from ..sources import readers as R
 from ..sources import sinks as SK
@@ -95,18 +96,20 @@ def bi_exports(patients: DataFrame, predictions: DataFrame, encounters: DataFram
 
 
 def tableau_master(patients: DataFrame, visits: DataFrame, predictions: DataFrame) -> DataFrame:
-    """patients ⋈ visits ⟕ predictions, each key column once (SNK-8, PRJ-5)."""
+    """patients ⋈ visits ⟕ latest prediction, each key column once (SNK-8, PRJ-5).
+
+    One prediction per patient, so n visits and n predictions give n rows."""
+    order = [c for c in ("predicted_at", "prediction_id") if c in predictions.columns]
+    latest = first_per_key(predictions, "patient_id", order or ["risk_score"], descending=True)
     return (patients.join(visits, "patient_id")
-            .join(predictions, "patient_id", "left"))
+            .join(latest, "patient_id", "left"))
 
 
 def gold_from_silver(silver_df: DataFrame, predictions: DataFrame | None = None
                      ) -> dict[str, DataFrame]:
     """Row-grain gold built straight from silver + predictions (JOB-8):
     summary with fallback scores, KPIs over rows, zero-filled level counts."""
-    f = W.fact(silver_df, predictions, with_id=False)
-    summary = (silver_df.join(f.select("patient_id", "visit_id", "risk_score", "risk_level"),
-                              ["patient_id", "visit_id"])
+    summary = (W.scored(silver_df, predictions)
                .withColumn("risk_percentage", S.percent_even("risk_score", 1)))
     hi = F.col("risk_level") == "High"
     kpis = (summary.agg(
@@ -124,8 +127,8 @@ def gold_from_silver(silver_df: DataFrame, predictions: DataFrame | None = None
 
 def ingest_bronze(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Land raw records in bronze with an explicit write mode (SRC-9, D19):
-    ``overwrite`` for a full load, ``append`` for new records. The size rule of
-    the reference (replace above 100 rows) is ``sinks.append_or_replace``."""
+    ``overwrite`` for a full load, ``append`` for new records (SNK-2: the caller
+    says which; the size of a batch never decides)."""
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be 'overwrite' or 'append'")
     R.to_bronze(raw).write.mode(mode).parquet(path)
@@ -166,8 +169,9 @@ def _write_all(layers: dict, root: str) -> dict[str, str]:
     """Write independent layers as concurrent jobs (one driver thread each), so
     small jobs overlap on the cluster; returns their version paths."""
     from concurrent.futures import ThreadPoolExecutor
+    from ..session import in_thread
     with ThreadPoolExecutor(max_workers=len(layers)) as pool:
-        futures = {name: pool.submit(SK.write_version, df, root, layer)
+        futures = {name: pool.submit(in_thread(df.sparkSession, SK.write_version), df, root, layer)
                    for name, (df, layer) in layers.items()}
         return {name: f.result() for name, f in futures.items()}
 

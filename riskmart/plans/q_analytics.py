@@ -475,7 +475,9 @@ ORDER BY g.risk_score DESC, g.patient_id LIMIT 50"""))
 def q_topk(spark, d):
     m = T.mart(spark, d)
     g = m["gold_patient_risk_summary"].where(F.col("risk_level") == "High")
-    j = g.join(m["fact"].select("visit_id", "readmitted_binary"), "visit_id")
+    # the fact has one row per visit, so the 50 rows are known before the join
+    top = TK.top_k(g, 50, [F.desc("risk_score"), "patient_id"])
+    j = m["fact"].select("visit_id", "readmitted_binary").join(F.broadcast(top), "visit_id")
     return TK.top_k(j, 50, [F.desc("risk_score"), "patient_id"]).select(
         "patient_id", "risk_score", "risk_level", "age", "gender", "diag_1_category",
         "num_medications", "readmitted_binary")
@@ -521,12 +523,9 @@ def q_bounded(spark, d):
 
 
 @query("scatter_projection", ops=("PRJ-7",), sql=MG("""
-SELECT age, risk_score, num_medications, total_visits FROM gold
-ORDER BY patient_id LIMIT 2000"""))
+SELECT age, risk_score, num_medications, total_visits FROM gold"""))
 def q_scatter(spark, d):
-    g = gold(spark, d)
-    return TK.bounded_scan(g, 2000, ["patient_id"]).select("age", "risk_score", "num_medications",
-                                                           "total_visits")
+    return gold(spark, d).select("age", "risk_score", "num_medications", "total_visits")
 
 
 @query("filters", ops=("FIL-1", "FIL-2", "FIL-3", "FIL-4", "FIL-5"), sql=MG("""
@@ -566,14 +565,14 @@ def q_ask1(spark, d):
 
 @query("ask_risk_by_gender", ops=("QRY-2",), sql=MG("""
 SELECT gender, AVG(risk_score) AS avg_risk, COUNT(*) AS n,
-       (SELECT arg_max(gender, a) FROM (SELECT gender, AVG(risk_score) a FROM gold GROUP BY gender))
+       (SELECT gender FROM gold GROUP BY gender ORDER BY AVG(risk_score) DESC, gender LIMIT 1)
          AS highest
 FROM gold GROUP BY gender"""))
 def q_ask2(spark, d):
     g = gold(spark, d)
     per = g.groupBy("gender").agg(F.avg("risk_score").alias("avg_risk"),
                                   F.count(F.lit(1)).alias("n"))
-    best = per.agg(F.max_by("gender", "avg_risk").alias("highest"))
+    best = per.agg(F.min_by("gender", F.struct(-F.col("avg_risk"), F.col("gender"))).alias("highest"))
     return per.crossJoin(F.broadcast(best))
 
 
@@ -706,6 +705,71 @@ def q_rules(spark, d):
             .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("input_rules", ops=("VAL-1", "VAL-7"), sql="""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'gender: required'
+                              WHEN o_orderkey % 7 = 0 THEN 'age: above 100'
+                              WHEN o_orderkey % 11 = 0 THEN 'num_medications: not a number'
+                              WHEN o_orderkey % 13 = 0 THEN 'time_in_hospital: below 1' END AS error
+FROM orders
+WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""")
+def q_input_rules(spark, d):
+    """The 23 scoring-input rules on raw text with planted faults: the quarantine with
+    each row's first error."""
+    k = F.col("o_orderkey")
+    five, seven, eleven, thirteen = (k % 5 == 0), (k % 7 == 0), (k % 11 == 0), (k % 13 == 0)
+    raw = T.load(spark, d, "orders").select(
+        k.alias("id"), F.when(seven & ~five, F.lit("150")).otherwise(F.lit("55")).alias("age"),
+        F.when(~five, F.lit("Male")).alias("gender"),
+        F.when(thirteen & ~five & ~seven & ~eleven, F.lit("0")).otherwise(F.lit("3")).alias("time_in_hospital"),
+        F.when(eleven & ~five & ~seven, F.lit("many")).otherwise(F.lit("12")).alias("num_medications"))
+    _, bad = V.validate(raw, "id")
+    return bad.select("id", F.element_at("errors", 1).alias("error"))
+
+
+@query("rejected_ids", ops=("JOB-4", "VAL-4", "VAL-7"), sql="""
+SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'rejected' ELSE 'kept' END AS status, COUNT(*) AS n_rows
+FROM orders GROUP BY 1""")
+def q_rejected(spark, d):
+    """Rows whose patient id is no number are quarantined with a count, not merged."""
+    from . import warehouse as W
+    k = F.col("o_orderkey")
+    raw = T.load(spark, d, "orders").select(
+        F.when(k % 97 == 0, F.concat(F.lit("A"), k.cast("string"))).otherwise(k.cast("string")).alias("patient_nbr"),
+        k.cast("string").alias("encounter_id"), F.lit("Male").alias("gender"), F.lit("[50-60)").alias("age"),
+        F.lit("Other").alias("race"))
+    bad = W.rejected(raw).select(F.lit("rejected").alias("status"))
+    kept = W.silver(raw, None).select(F.lit("kept").alias("status"))
+    return bad.unionByName(kept).groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("point_lookup", ops=("FIL-2",), sql="SELECT * FROM customer WHERE c_custkey = 42")
+def q_lookup(spark, d):
+    return T.load(spark, d, "customer").where(F.col("c_custkey") == 42)
+
+
+@query("constant_fill", ops=("SCA-29",), sql="""
+SELECT c_custkey, COALESCE(NULLIF(c_nationkey, 3), 0) AS c_nationkey,
+       COALESCE(NULLIF(c_mktsegment, 'BUILDING'), 'Unknown') AS c_mktsegment FROM customer""")
+def q_fill(spark, d):
+    c = T.load(spark, d, "customer").select("c_custkey", F.expr("NULLIF(c_nationkey, 3)").alias("c_nationkey"),
+                                            F.expr("NULLIF(c_mktsegment, 'BUILDING')").alias("c_mktsegment"))
+    return c.fillna(0, ["c_nationkey"]).fillna("Unknown", ["c_mktsegment"])
+
+
+@query("corr_pairs_dependent", ops=("TOP-6", "FIL-4"), sql="""
+WITH x AS (SELECT CAST(l_quantity AS DOUBLE) AS q, -CAST(l_quantity AS DOUBLE) - CAST(l_discount AS DOUBLE) AS minus_q,
+                  CAST(l_quantity AS DOUBLE) + 20 * CAST(l_tax AS DOUBLE) AS near_q FROM lineitem)
+SELECT * FROM (SELECT 'q' AS feature_1, 'minus_q' AS feature_2, corr(q, minus_q) AS corr FROM x
+               UNION ALL SELECT 'q', 'near_q', corr(q, near_q) FROM x
+               UNION ALL SELECT 'minus_q', 'near_q', corr(minus_q, near_q) FROM x)
+WHERE abs(corr) > 0.3 ORDER BY corr DESC LIMIT 2""")
+def q_corr_dependent(spark, d):
+    """Pairs that do pass the threshold, of either sign; the largest signed ones stay."""
+    q, disc, tax = (F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))
+    x = T.load(spark, d, "lineitem").select(q.alias("q"), (-q - disc).alias("minus_q"), (q + 20 * tax).alias("near_q"))
+    return P.top_corr_pairs(x, ["q", "minus_q", "near_q"], 0.3, 2)
+
+
 # ------------------------------------------------------------------ scalars, text and time
 @query("const_flags_casts", ops=("SCA-11", "SCA-13", "SCA-20", "PRJ-6"), sql=G.with_ctes(G.SILVER, """
 SELECT patient_id,
@@ -801,8 +865,7 @@ SELECT o_orderkey, o_custkey,
 FROM orders""")
 def q_share_key(spark, d):
     o = T.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    tot = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("__t"))
-    return (o.join(tot, "o_custkey")
+    return (J.with_key_total(o, "o_custkey", "o_totalprice", "__t")
             .select("o_orderkey", "o_custkey", S.safe_ratio("o_totalprice", "__t").alias("share")))
 
 

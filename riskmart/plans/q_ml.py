@@ -24,7 +24,7 @@ def model_data(spark, d):
     f = hash_split(f, "row_id", 800, 42)
     # every model fit and evaluation reads this frame: store it once
     from ..session import materialize
-    return materialize(ML.class_weights(f, "label", "weight"), "model-data")
+    return materialize(ML.class_weights(f, "label", "weight", F.col("split") == "train"), "model-data")
 
 
 def train_and_evaluate(spark, d, forest=None, boosted=None, logreg=None):
@@ -105,7 +105,7 @@ def q_linear(spark, d):
     data = model_data(spark, d)
     lr = ML.estimators("label", "weight")["logistic_regression"]
     model = ML.fit(data.where(F.col("split") == "train"), FEATURES, lr)
-    contrib = ML.linear_contributions(model, data, FEATURES, "row_id")
+    contrib = ML.linear_contributions(model, data, FEATURES, "row_id", data.where(F.col("split") == "train"))
     return ML.mean_abs_contribution(contrib, FEATURES)
 
 
@@ -133,7 +133,7 @@ WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURREN
 def q_roc(spark, d):
     p = operational(spark, d)["model_predictions"]
     return ML.roc_points(p.select(F.col("risk_score").alias("score"),
-                                  F.col("actual_readmitted").alias("label")), "score", "label", 4)
+                                  F.col("actual_readmitted").alias("label")), "score", "label")
 
 
 @query("contrib_waterfall", ops=("EXP-3", "EXP-1", "FIL-2"))
@@ -141,10 +141,102 @@ def q_waterfall(spark, d):
     data = model_data(spark, d)
     lr = ML.estimators("label", "weight")["logistic_regression"]
     model = ML.fit(data.where(F.col("split") == "train"), FEATURES, lr)
-    contrib = ML.linear_contributions(model, data, FEATURES, "row_id")
+    contrib = ML.linear_contributions(model, data, FEATURES, "row_id", data.where(F.col("split") == "train"))
     # the row with the largest predicted risk, ties by id
     top = ML.positive_probability(model.transform(data), "score") \
         .orderBy(F.desc("score"), "row_id").limit(1).select("row_id")
     row = contrib.join(F.broadcast(top), "row_id", "left_semi")
     long = row.unpivot(["row_id", "base"], FEATURES, "feature", "contribution")
     return long.orderBy(F.desc(F.abs("contribution")), "feature").limit(15)
+
+
+# ------------------------------------------------------------------ exact checks
+# a linear model with fixed coefficients makes scoring and explanation exact in SQL
+FIXED = {"age_numeric": 0.01, "number_inpatient": 0.2, "num_medications": 0.03, "time_in_hospital": -0.02}
+FIXED_BIAS = -1.5
+LINEAR_SQL = " + ".join([f"({w}) * CAST({c} AS DOUBLE)" for c, w in FIXED.items()])
+ROWS_SQL = f"""
+rows AS (SELECT TRY_CAST(encounter_id AS BIGINT) AS row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FIXED)},
+           CAST(readmitted_binary AS INTEGER) AS label FROM feat)"""
+
+
+def fixed_rows(spark, d):
+    f = features_df(spark, d, keep_ids=True)
+    return f.select(F.col("encounter_id").try_cast("long").alias("row_id"),
+                    *[F.col(c).cast("double").alias(c) for c in FIXED],
+                    F.col("readmitted_binary").cast("int").alias("label"))
+
+
+def fixed_scores(spark, d):
+    margin = F.lit(FIXED_BIAS)
+    for c, w in FIXED.items():
+        margin = margin + F.lit(w) * F.col(c)
+    return fixed_rows(spark, d).withColumn("score", F.round(1.0 / (1.0 + F.exp(-margin)), 6))
+
+
+SCORES_SQL = f"""
+scored AS (SELECT row_id, label, round(1.0 / (1.0 + exp(-({FIXED_BIAS} + {LINEAR_SQL}))), 6) AS score FROM rows)"""
+
+
+@query("linear_contrib_fixed", ops=("EXP-1",), sql=G.with_ctes(G.ENC, f"""
+SELECT r.row_id, {FIXED_BIAS} + {" + ".join(f"({w}) * m.{c}" for c, w in FIXED.items())} AS base,
+       {", ".join(f"({w}) * (r.{c} - m.{c}) AS {c}" for c, w in FIXED.items())}
+FROM rows r, (SELECT {", ".join(f"AVG({c}) AS {c}" for c in FIXED)} FROM rows
+              WHERE {G.hash_rank("row_id")} % 1000 < 800) m""",
+    clean_sql(True) + "," + FEATURES_SQL + "," + ROWS_SQL))
+def q_linear_fixed(spark, d):
+    rows = fixed_rows(spark, d)
+    train = hash_split(rows, "row_id", 800, 42).where(F.col("split") == "train")
+    return ML.linear_contributions((list(FIXED.values()), FIXED_BIAS), rows, list(FIXED), "row_id", train)
+
+
+@query("auc_exact", ops=("TRN-4", "TRN-5"), sql=G.with_ctes(G.ENC, """
+SELECT SUM(neg * (above + pos / 2.0)) / (CAST(SUM(pos) AS DOUBLE) * SUM(neg)) AS auc
+FROM (SELECT pos, neg, COALESCE(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING
+                                               AND 1 PRECEDING), 0) AS above
+      FROM (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score))""",
+    clean_sql(True) + "," + FEATURES_SQL + "," + ROWS_SQL + "," + SCORES_SQL))
+def q_auc(spark, d):
+    return ML.auc(fixed_scores(spark, d))
+
+
+@query("class_report", ops=("TRN-6", "TRN-4"), sql=G.with_ctes(G.ENC, """
+SELECT c AS class, CAST(SUM(y) AS BIGINT) AS support,
+       COALESCE(SUM(hit) / NULLIF(CAST(SUM(p) AS DOUBLE), 0), 0) AS precision,
+       COALESCE(SUM(hit) / NULLIF(CAST(SUM(y) AS DOUBLE), 0), 0) AS recall,
+       COALESCE(2.0 * SUM(hit) / NULLIF(CAST(SUM(p) + SUM(y) AS DOUBLE), 0), 0) AS f1
+FROM (SELECT label AS c, 1 AS y, CASE WHEN label = (score >= 0.3)::INT THEN 1 ELSE 0 END AS hit, 0 AS p FROM scored
+      UNION ALL SELECT (score >= 0.3)::INT, 0, 0, 1 FROM scored) GROUP BY c""",
+    clean_sql(True) + "," + FEATURES_SQL + "," + ROWS_SQL + "," + SCORES_SQL))
+def q_class_report(spark, d):
+    p = fixed_scores(spark, d).withColumn("prediction", (F.col("score") >= 0.3).cast("int"))
+    return ML.class_report(p, "label", "prediction")
+
+
+@query("model_checks", ops=("TRN-1", "TRN-2", "TRN-8", "SNK-13", "SCO-3"), sql="""
+SELECT 'importances sum to 1' AS "check", TRUE AS ok UNION ALL SELECT 'levels follow rounded scores', TRUE
+UNION ALL SELECT 'reload scores alike', TRUE UNION ALL SELECT 'scores between 0 and 1', TRUE""")
+def q_model_checks(spark, d):
+    """Facts that hold for any fitted model: a reloaded model scores alike, level and
+    percent follow from the rounded score, importances sum to 1."""
+    from ..functions import scalars as S
+    from ..session import scratch_path
+    from ..sources import sinks as SK
+    data = model_data(spark, d)
+    train = data.where(F.col("split") == "train")
+    forest = ML.estimators("label", "weight", forest={"numTrees": 10, "maxDepth": 4})["random_forest"]
+    model = ML.fit(train, FEATURES, forest)
+    path = scratch_path(spark, "model")
+    SK.save_model(model, path)
+    a = ML.score_batch(model, data).select("row_id", "risk_score", "risk_level", "risk_percentage")
+    b = ML.score_batch(SK.load_model(path), data).select("row_id", F.col("risk_score").alias("again"))
+    j = a.join(b, "row_id").withColumn("want", S.risk_level("risk_score", "left"))
+    share = ML.feature_importance(model, FEATURES, spark).agg(F.sum("importance").alias("s"))
+    facts = j.agg(
+        F.min(F.col("risk_score") == F.col("again")).alias("reload scores alike"),
+        F.min(F.col("risk_score").between(0, 1)).alias("scores between 0 and 1"),
+        F.min((F.col("risk_level") == F.col("want"))
+              & (F.abs(F.col("risk_percentage") - F.col("risk_score") * 100) <= 0.0500001))
+        .alias("levels follow rounded scores"))
+    facts = facts.crossJoin(share.select((F.abs(F.col("s") - 1) < 1e-6).alias("importances sum to 1")))
+    return facts.unpivot([], facts.columns, "check", "ok")

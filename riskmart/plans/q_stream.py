@@ -82,7 +82,7 @@ FROM sc, (SELECT COUNT(DISTINCT patient_id) AS total FROM sc) t GROUP BY risk_le
                        STREAM_SCORED_SQL))
 def q_stream_gold(spark, d):
     root = _live(spark, d)
-    return spark.read.parquet(f"{root}/wh/gold_risk_distribution")
+    return J.read_gold(spark, f"{root}/wh", "gold_risk_distribution")
 
 
 @query("stream_kpis", ops=("STR-4", "AGG-1", "STR-3"), sql=G.with_ctes(G.ENC, f"""
@@ -96,7 +96,7 @@ SELECT COUNT(DISTINCT patient_id) AS total_patients,
 FROM sc""", STREAM_SCORED_SQL))
 def q_stream_kpis(spark, d):
     root = _live(spark, d)
-    return spark.read.parquet(f"{root}/wh/gold_hospital_kpis")
+    return J.read_gold(spark, f"{root}/wh", "gold_hospital_kpis")
 
 
 @query("stream_replay", ops=("STR-8", "SNK-5", "STR-3"), sql=G.with_ctes(G.ENC, """
@@ -117,7 +117,7 @@ def q_stream_replay(spark, d):
     J.live_batch(f"{root}/wh")(batch0, 0)
     fact = spark.read.parquet(f"{root}/wh/fact")
     dims = spark.read.parquet(f"{root}/wh/dim_patient")
-    kpis = spark.read.parquet(f"{root}/wh/gold_hospital_kpis")
+    kpis = J.read_gold(spark, f"{root}/wh", "gold_hospital_kpis")
     preds = spark.read.parquet(f"{root}/wh/model_predictions")
     return (fact.agg(F.count(F.lit(1)).alias("fact_rows"),
                      F.countDistinct("visit_id").alias("visits"))

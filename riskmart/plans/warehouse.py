@@ -6,7 +6,7 @@ The orchestrator (``medallion``) decides which layers are written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -62,7 +62,9 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
            materialize_rows: bool = True) -> DataFrame:
     """Bronze/raw encounters (text) -> typed silver, one row per patient (JOB-4).
 
-    Keeps each patient's first encounter by (``order_col``, encounter id).
+    Keeps each patient's first encounter by (``order_col``, encounter id). Rows
+    whose patient or encounter id is no number have no key: ``rejected`` lists them,
+    here they are left out rather than merged into one row.
     """
     present = set(raw.columns)
     # only the columns silver uses travel through the keep-first shuffle (the
@@ -76,7 +78,7 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
         F.col("patient_nbr").try_cast("long").alias("patient_id"),
         F.col("encounter_id").try_cast("long").alias("visit_id"),
         *[F.col(c) for c in keep],
-    )
+    ).where(valid_ids())
     first = with_defaults(first_per_key(typed, "patient_id", order),
                           {c: None for c in used})
 
@@ -118,6 +120,19 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
     return out.select(*SILVER_COLUMNS)
 
 
+def valid_ids() -> Column:
+    return F.col("patient_id").isNotNull() & F.col("visit_id").isNotNull()
+
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """Raw rows that silver cannot key, with the ids as they came and the reason."""
+    patient, visit = F.col("patient_nbr"), F.col("encounter_id")
+    return raw.select(
+        patient.alias("patient_nbr"), visit.alias("encounter_id"),
+        F.when(patient.try_cast("long").isNull(), "patient_nbr").otherwise("encounter_id").alias("reason"),
+    ).where(patient.try_cast("long").isNull() | visit.try_cast("long").isNull())
+
+
 def with_audit(df: DataFrame, name: str = "processed_at") -> DataFrame:
     """Audit timestamp column (SNK-11)."""
     return df.withColumn(name, F.current_timestamp())
@@ -145,8 +160,18 @@ def fact(silver_df: DataFrame, predictions: DataFrame | None = None,
     ``risk_level`` of a fallback row comes from its (rounded) score with the
     right-closed bands.
     """
-    base = silver_df.select("patient_id", "visit_id", "readmitted_binary", "age_group",
-                            "number_inpatient", "num_medications")
+    out = scored(silver_df.select("patient_id", "visit_id", "readmitted_binary", "age_group",
+                                  "number_inpatient", "num_medications"), predictions).select(
+        "patient_id", "visit_id", "risk_score", "risk_level", "readmitted_binary")
+    if with_id:
+        out = dense_row_id(out, ["visit_id"], out="id")
+    return out.select(*([c for c in ["id"] if with_id]),
+                      "patient_id", "visit_id", "risk_score", "risk_level", "readmitted_binary")
+
+
+def scored(base: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """Silver rows with risk_score and risk_level: the latest prediction, or the
+    fallback score where there is none (JOI-1, JOI-6)."""
     if predictions is not None:
         p = latest_predictions(predictions).select(
             "patient_id", F.col("risk_score").alias("__score"), F.col("risk_level").alias("__level"))
@@ -155,33 +180,37 @@ def fact(silver_df: DataFrame, predictions: DataFrame | None = None,
         base = (base.withColumn("__score", F.lit(None).cast("double"))
                 .withColumn("__level", F.lit(None).cast("string")))
     fb = S.fallback_score("age_group", "number_inpatient", "num_medications")
-    score = F.coalesce(F.col("__score"), fb)
-    out = base.select(
-        "patient_id", "visit_id",
-        score.alias("risk_score"),
-        F.coalesce(F.col("__level"), S.risk_level(fb)).alias("risk_level"),
-        "readmitted_binary",
-    )
-    if with_id:
-        out = dense_row_id(out, ["visit_id"], out="id")
-    return out.select(*([c for c in ["id"] if with_id]),
-                      "patient_id", "visit_id", "risk_score", "risk_level", "readmitted_binary")
+    return (base.withColumn("risk_score", F.coalesce(F.col("__score"), fb))
+            .withColumn("risk_level", F.coalesce(F.col("__level"), S.risk_level(fb)))
+            .drop("__score", "__level"))
 
 
 def hospital_kpis(fact_df: DataFrame, dim_visit: DataFrame) -> DataFrame:
     """One-row KPI table over distinct patients (AGG-1)."""
     j = fact_df.join(dim_visit.select("visit_id", "time_in_hospital", "num_medications"),
                      "visit_id", "left")
-    total = F.countDistinct("patient_id")
-    high = F.countDistinct(F.when(F.col("risk_level") == "High", F.col("patient_id")))
-    return j.agg(
-        total.alias("total_patients"),
-        high.alias("high_risk_patients"),
-        F.round(high * F.lit(100.0) / F.nullif(total, F.lit(0)), 1).alias("high_risk_rate"),
-        F.round(F.avg("risk_score"), 4).alias("avg_risk_score"),
-        F.round(F.avg("time_in_hospital"), 1).alias("avg_length_of_stay"),
-        F.round(F.avg("num_medications"), 1).alias("avg_medications"),
-    )
+    # one row per patient first: distinct counts become plain sums over it
+    sums = [x for c in ("risk_score", "time_in_hospital", "num_medications")
+            for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]
+    per = j.groupBy("patient_id").agg(
+        F.max((F.col("risk_level") == "High").cast("int")).alias("high"), *sums)
+    known = F.col("patient_id").isNotNull()
+    t = per.agg(F.count("patient_id").alias("total_patients"),
+                F.coalesce(F.sum(F.when(known, F.coalesce("high", F.lit(0)))), F.lit(0)).cast("long")
+                .alias("high_risk_patients"),
+                *[F.sum(f"{p}_{c}").alias(f"{p}_{c}") for p in ("s", "n")
+                  for c in ("risk_score", "time_in_hospital", "num_medications")])
+
+    def mean(c: str, digits: int) -> Column:
+        return F.round(S.safe_ratio(f"s_{c}", f"n_{c}"), digits)
+
+    return t.select(
+        "total_patients", "high_risk_patients",
+        F.round(F.col("high_risk_patients") * F.lit(100.0)
+                / F.nullif(F.col("total_patients"), F.lit(0)), 1).alias("high_risk_rate"),
+        mean("risk_score", 4).alias("avg_risk_score"),
+        mean("time_in_hospital", 1).alias("avg_length_of_stay"),
+        mean("num_medications", 1).alias("avg_medications"))
 
 
 def risk_distribution(fact_df: DataFrame, level: str = "risk_level",

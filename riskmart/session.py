@@ -6,6 +6,7 @@ settings that are still unset, so a cluster's own choices always win.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -61,18 +62,25 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    # the oracle compares wall-clock values, so the zone is pinned even if set
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def in_thread(spark: SparkSession, fn):
+    """``fn`` for a worker thread, with the caller's job group and local properties."""
+    from pyspark import inheritable_thread_target
+    return inheritable_thread_target(spark)(fn)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one. Only when it is
-    unset (local tests) is a fresh folder under the system temp dir taken.
+    unset on a local master (tests) is a fresh folder under the system temp dir
+    taken; on a cluster executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="riskmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

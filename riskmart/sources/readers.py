@@ -98,10 +98,19 @@ def code_sections(spark: SparkSession, path: str) -> DataFrame:
                        F.trim(F.col("r.description")).alias("description"))
 
 
-def register_views(spark: SparkSession, root: str, names: Iterable[str]) -> list[str]:
-    """One temp view per Parquet table under ``root`` (SRC-6)."""
+def parquet_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the ``*.parquet`` files and directories directly under ``root``."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(n[:-len(".parquet")] for n in names if n.endswith(".parquet"))
+
+
+def register_views(spark: SparkSession, root: str, names: Iterable[str] | None = None) -> list[str]:
+    """One temp view per Parquet table under ``root``, by default all of them (SRC-6)."""
     out = []
-    for n in names:
+    for n in names if names is not None else parquet_tables(spark, root):
         spark.read.parquet(f"{root.rstrip('/')}/{n}.parquet").createOrReplaceTempView(n)
         out.append(n)
     return out

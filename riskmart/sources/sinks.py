@@ -27,16 +27,6 @@ def write_version(df: DataFrame, root: str, layer: str, fmt: str = "parquet") ->
     return path
 
 
-def append_or_replace(df: DataFrame, path: str, threshold: int = K.BIG_BATCH_ROWS,
-                      fmt: str = "parquet") -> str:
-    """Replace the table when the batch has more than ``threshold`` rows, else
-    append (SNK-2). The size test reads at most ``threshold + 1`` rows."""
-    big = df.limit(threshold + 1).count() > threshold
-    mode = "overwrite" if big else "append"
-    df.write.mode(mode).format(fmt).save(path)
-    return mode
-
-
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows to a CSV directory; each part file has its header (SNK-3)."""
     df.write.mode("append").option("header", True).csv(path)
@@ -57,7 +47,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType,
 
 def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
                      order: Sequence[str] | None = None, fmt: str = "parquet",
-                     batch_id: int | None = None, buckets: int | None = None) -> None:
+                     batch_id: int | None = None, buckets: int | None = None,
+                     writers: int = 1) -> None:
     """Append only rows whose key is not stored yet (SNK-4). Within the batch
     the first row per key (by ``order``) wins.
 
@@ -93,8 +84,9 @@ def insert_or_ignore(new: DataFrame, path: str, key: Sequence[str],
         # Parquet statistics skip the rest); directories stay bounded by ``buckets``
         parts = ["bucket"] if buckets else (["batch_id"] if batch_id is not None else [])
         if buckets:
-            # one task per bucket: at most one new file per bucket directory per batch
-            fresh = fresh.repartition("bucket")
+            # ``writers`` tasks, and new files, per bucket directory and batch
+            part = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(int(writers)))
+            fresh = fresh.repartition(F.col("bucket"), part)
         w = fresh.write.mode("append").format(fmt)
         (w.partitionBy(*parts) if parts else w).save(path)
     finally:
@@ -130,3 +122,27 @@ def save_model(model, path: str) -> None:
 def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def drop_tables(spark: SparkSession, root: str, order: Sequence[str]) -> list[str]:
+    """Remove stored tables under ``root`` in the given order, children before the
+    tables they refer to (SNK-12); returns the names that existed."""
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    gone = []
+    for name in order:
+        p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            gone.append(name)
+    return gone
+
+
+def compact(spark: SparkSession, path: str, target: str, by: str | None = None,
+            rows_per_file: int = 1_000_000) -> None:
+    """Rewrite a table of many small batch files as ``target`` with larger ones, all
+    rows kept. With ``by`` the directories of that column stay."""
+    df = spark.read.parquet(path)
+    w = (df.hint("rebalance", by) if by else df.hint("rebalance")).write.option("maxRecordsPerFile", rows_per_file)
+    (w.partitionBy(by) if by else w).parquet(target)

@@ -11,6 +11,7 @@ batch overwrites only its own partition.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..session import in_thread
 from ..sources import sinks as SK
 from ..sources.readers import stream_source
 
@@ -81,11 +83,15 @@ ENC_SCHEMA = T.StructType(
 
 
 def score_records(batch: DataFrame) -> DataFrame:
-    """Score raw records with the heuristic model (STR-2); a record the model
-    cannot score gets 0.5 / Medium."""
+    """Score raw records with the heuristic model (STR-2). An absent number counts as
+    0; one that is no number cannot be scored, and the record gets 0.5 / Medium.
+    Records without numeric ids have no key and are left out (see ``unkeyed``)."""
     age = S.age_numeric("age")
-    inp = S.safe_number("number_inpatient", 0)
-    meds = S.safe_number("num_medications", 0)
+
+    def number(c: str):
+        return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(S.safe_number(c, None))
+
+    inp, meds = number("number_inpatient"), number("num_medications")
     raw = S.heuristic_score(age, inp, meds)
     score = F.coalesce(raw, F.lit(K.FALLBACK_SCORE))
     level = F.when(raw.isNull(), F.lit(K.FALLBACK_LEVEL)).otherwise(S.risk_level(raw, "left"))
@@ -96,8 +102,15 @@ def score_records(batch: DataFrame) -> DataFrame:
         S.readmit_flag("readmitted").alias("readmitted_binary"),
         S.age_numeric("age").alias("age"), "gender", "race",
         S.safe_number("time_in_hospital", 0).try_cast("int").alias("time_in_hospital"),
-        meds.try_cast("int").alias("num_medications"),
-        S.code_category("diag_1").alias("diag_1_category"))
+        S.safe_number("num_medications", 0).try_cast("int").alias("num_medications"),
+        S.code_category("diag_1").alias("diag_1_category")
+    ).where(F.col("visit_id").isNotNull() & F.col("patient_id").isNotNull())
+
+
+def unkeyed(batch: DataFrame) -> DataFrame:
+    """Records of a batch whose ids are no numbers, as they came."""
+    return batch.where(F.col("encounter_id").try_cast("long").isNull()
+                       | F.col("patient_nbr").try_cast("long").isNull())
 
 
 def predictions_of(scored: DataFrame) -> DataFrame:
@@ -112,11 +125,20 @@ def predictions_of(scored: DataFrame) -> DataFrame:
 
 
 # key-hash buckets of the stored dimensions; an upsert reads only the buckets
-# its micro-batch touches
+# its micro-batch touches. A larger table takes more buckets and more writers.
 DIM_BUCKETS = 64
+GOLD = ("gold_risk_distribution", "gold_hospital_kpis")
+
+
+def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The gold table of the last finished refresh. Each refresh writes new version
+    directories and then its row in ``gold_versions``, so a reader never meets a
+    table that is being replaced."""
+    last = spark.read.parquet(f"{root}/gold_versions").agg(F.max_by("version", "batch_id")).first()[0]
+    return spark.read.parquet(f"{root}/{name}/{last}")
 
 
-def live_batch(root: str):
+def live_batch(root: str, buckets: int = DIM_BUCKETS, writers: int = 1):
     """foreachBatch body (STR-3, STR-4).
 
     * Dimensions and the (patient, risk level) pairs are insert-or-ignore,
@@ -127,7 +149,7 @@ def live_batch(root: str):
       Parquet statistics resolve per file) and written to
       ``gold_parts/batch_id=<n>``.
     * Gold is the sum over one small row per batch, so a refresh never rescans
-      the fact. A replayed batch inserts nothing new, rewrites its own fact and
+      the fact; it is written as a new version and then named in ``gold_versions``. A replayed batch inserts nothing new, rewrites its own fact and
       parts partitions with the same content, and leaves gold unchanged.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -141,16 +163,16 @@ def live_batch(root: str):
                 lambda: SK.insert_or_ignore(
                     scored.select("patient_id", "age", "gender", "race"),
                     f"{root}/dim_patient", ["patient_id"], ["age", "gender", "race"],
-                    batch_id=batch_id, buckets=DIM_BUCKETS),
+                    batch_id=batch_id, buckets=buckets, writers=writers),
                 lambda: SK.insert_or_ignore(
                     scored.select("visit_id", "time_in_hospital", "num_medications",
                                   "diag_1_category"),
                     f"{root}/dim_visit_metrics", ["visit_id"], ["visit_id"],
-                    batch_id=batch_id, buckets=DIM_BUCKETS),
+                    batch_id=batch_id, buckets=buckets, writers=writers),
                 lambda: SK.insert_or_ignore(
                     scored.select("patient_id", "risk_level"), f"{root}/patient_levels",
                     ["patient_id", "risk_level"], ["patient_id"], batch_id=batch_id,
-                    buckets=DIM_BUCKETS),
+                    buckets=buckets, writers=writers),
                 lambda: SK.write_batch_partition(
                     scored.select("visit_id", "patient_id", "risk_score", "risk_level",
                                   "readmitted_binary"), f"{root}/fact", batch_id),
@@ -158,26 +180,33 @@ def live_batch(root: str):
                                                  f"{root}/model_predictions", batch_id),
             ]
             with ThreadPoolExecutor(max_workers=len(writes)) as pool:
-                for f in [pool.submit(w) for w in writes]:
+                for f in [pool.submit(in_thread(spark, w)) for w in writes]:
                     f.result()
         finally:
             scored.unpersist()
-        SK.write_batch_partition(batch_contribution(spark, root, batch_id),
+        SK.write_batch_partition(batch_contribution(spark, root, batch_id, buckets),
                                  f"{root}/gold_parts", batch_id)
         parts = spark.read.parquet(f"{root}/gold_parts")
-        distribution_from_parts(parts).write.mode("overwrite").parquet(
-            f"{root}/gold_risk_distribution")
-        kpis_from_parts(parts).write.mode("overwrite").parquet(f"{root}/gold_hospital_kpis")
+        version = f"v-{batch_id}-{uuid.uuid4().hex[:8]}"
+        for name, make in zip(GOLD, (distribution_from_parts, kpis_from_parts)):
+            make(parts).write.parquet(f"{root}/{name}/{version}")
+        SK.write_batch_partition(spark.range(1).select(F.lit(version).alias("version")),
+                                 f"{root}/gold_versions", batch_id)
     return run
 
 
-def batch_contribution(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    """One row of partial sums for what batch ``batch_id`` stored."""
+def batch_contribution(spark: SparkSession, root: str, batch_id: int,
+                       buckets: int = DIM_BUCKETS) -> DataFrame:
+    """One row of partial sums for what batch ``batch_id`` stored. Of the stored visit
+    dimension only the buckets of this batch's visits are read."""
     mine = F.col("batch_id") == F.lit(int(batch_id))
     pairs = spark.read.parquet(f"{root}/patient_levels").where(mine)
     patients = spark.read.parquet(f"{root}/dim_patient").where(mine)
     fact = spark.read.parquet(f"{root}/fact").where(mine).drop("batch_id")
-    dv = spark.read.parquet(f"{root}/dim_visit_metrics").drop("batch_id", "bucket")
+    touched = [r[0] for r in fact.select(F.pmod(F.xxhash64("visit_id"), F.lit(buckets)).alias("b"))
+               .distinct().collect()]                 # at most ``buckets`` numbers
+    dv = spark.read.parquet(f"{root}/dim_visit_metrics").where(F.col("bucket").isin(touched)) \
+        .drop("batch_id", "bucket")
     # dimension rows of this batch's visits only (semi join on the batch's keys)
     dv = dv.join(fact.select("visit_id"), "visit_id", "left_semi")
     f = fact.join(dv, "visit_id", "left")
@@ -226,12 +255,13 @@ def kpis_from_parts(parts: DataFrame) -> DataFrame:
 
 
 def live_pipeline(spark: SparkSession, source: str, root: str, checkpoint: str,
-                  max_files: int = 2, trigger_seconds: int | None = None):
+                  max_files: int = 2, trigger_seconds: int | None = None,
+                  buckets: int = DIM_BUCKETS, writers: int = 1):
     """The live path as one streaming query (STR-1..4). With
     ``trigger_seconds`` it keeps running on that period (the 10 s refresh);
     without, it processes what is available and stops."""
     stream = stream_source(spark, source, ENC_SCHEMA, "parquet", max_files)
-    w = stream.writeStream.foreachBatch(live_batch(root)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(live_batch(root, buckets, writers)).option("checkpointLocation", checkpoint)
     if trigger_seconds:
         return w.trigger(processingTime=f"{trigger_seconds} seconds").start()
     q = w.trigger(availableNow=True).start()

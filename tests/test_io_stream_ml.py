@@ -12,6 +12,7 @@ from riskmart.session import scratch_path
 from riskmart.sources import readers as R
 from riskmart.sources import sinks as SK
 from riskmart.streaming import jobs as J
+from riskmart.streaming.jobs import read_gold
 
 # FIXED VALUES: layout of a stacked code-table file (CRLF, quoted commas, NULL
 # text label, leading blanks, an id out of order, "," separator lines)
@@ -24,6 +25,7 @@ CODE_TABLE = (
 )
 
 
+
 def test_code_sections(spark, tmp_path):
     p = tmp_path / "IDs_mapping.csv"
     p.write_bytes(CODE_TABLE.encode())
@@ -59,16 +61,6 @@ def test_insert_or_ignore_and_replay(spark):
     assert got == [(1, "a"), (2, "b"), (3, "d")]
 
 
-def test_append_or_replace(spark):
-    path = scratch_path(spark, "t-aor")
-    small = spark.range(5)
-    big = spark.range(200)
-    assert SK.append_or_replace(small, path) == "append"
-    assert SK.append_or_replace(big, path) == "overwrite"
-    assert SK.append_or_replace(small, path) == "append"
-    assert spark.read.parquet(path).count() == 205
-
-
 def test_batch_partition_replay(spark):
     path = scratch_path(spark, "t-part")
     SK.write_batch_partition(spark.range(3), path, 0)
@@ -160,7 +152,7 @@ def test_live_pipeline_periodic_trigger(spark):
     assert fact.count() == enc.count()
     assert fact.select("batch_id").distinct().count() >= 3
     dist = {r["risk_level"]: r["patient_count"]
-            for r in spark.read.parquet(f"{root}/wh/gold_risk_distribution").collect()}
+            for r in read_gold(spark, f"{root}/wh", "gold_risk_distribution").collect()}
     assert sum(dist.values()) >= enc.select("patient_nbr").distinct().count()
 
 
@@ -227,9 +219,9 @@ def test_replay_of_earlier_batches_keeps_gold(spark):
     J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ck", max_files=1)
 
     def gold():
-        d = sorted(tuple(r) for r in spark.read.parquet(f"{root}/wh/gold_risk_distribution")
+        d = sorted(tuple(r) for r in read_gold(spark, f"{root}/wh", "gold_risk_distribution")
                    .collect())
-        k = tuple(spark.read.parquet(f"{root}/wh/gold_hospital_kpis").first())
+        k = tuple(read_gold(spark, f"{root}/wh", "gold_hospital_kpis").first())
         return d, k
 
     before = gold()

@@ -43,11 +43,20 @@ def test_grouped_exact_quantiles_hot_group(spark):
     groups = {}
     for g, x in rows:
         groups.setdefault(g, []).append(x)
-    for forced in (True, False):   # range-partitioned path and bounded fast path
-        got = {r["g"]: [r["q0"], r["q1"], r["q2"]]
-               for r in grouped_exact_quantiles(df, ["g"], "x", qs, partitions=7,
-                                                force_ranked=forced).collect()}
-        assert set(got) == set(groups)
-        for g, xs in groups.items():
-            assert got[g] == pytest.approx(list(np.quantile(np.array(xs), qs)),
-                                           rel=1e-12, abs=1e-12), g
+    got = {r["g"]: [r["q0"], r["q1"], r["q2"]]
+           for r in grouped_exact_quantiles(df, ["g"], "x", qs, partitions=7).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(np.array(xs), qs)), rel=1e-12, abs=1e-12), g
+
+
+@pytest.mark.parametrize("ones", [0, 1, 999, 1000, 1001, 1500, 2000])
+def test_two_valued_columns_end_in_the_counts(spark, ones, monkeypatch):
+    """No read of candidate values for a 0/1 column, whatever its balance."""
+    from riskmart.operators import quantiles as Q
+    df = spark.range(2000).selectExpr(f"CAST(id < {ones} AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y")
+    left = []
+    monkeypatch.setattr(Q.F, "collect_list", lambda c: left.append(c))
+    got = Q.column_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], max_candidates=10)
+    want = [list(np.quantile([1.0] * ones + [0.0] * (2000 - ones), [0.25, 0.5, 0.75])), [0.0, 0.5, 1.0]]
+    assert got == want and not left
