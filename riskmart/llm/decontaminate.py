@@ -152,7 +152,8 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) ->
               .select("doc", "h", "key", "shift", F.posexplode("terms").alias("j", "term"))
               .where("shift + j >= 0"))
     met = (wanted.join(lists, ["doc", "h", "term"])
-           .where(F.array_contains("at", F.col("shift") + F.col("j"))).select("doc", "h", "key", "shift", "j"))
+           .where(F.array_contains("at", F.col("shift") + F.col("j"))).select("doc", "h", "key", "shift", "j")
+           .distinct())                  # repeated rows hold the same postings
     line = Window.partitionBy("doc", "h", "key", "shift").orderBy("j")
     return (met.withColumn("g", F.col("j") - F.row_number().over(line))
             .groupBy("doc", "h", "key", "shift", "g")
