@@ -29,6 +29,7 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 JACCARD = 0.8
 MIN_WORDS = 5
+ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 def characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +68,17 @@ def long_lines(cp: np.ndarray, off: np.ndarray, min_words: int):
 
 
 def shingle_hashes(cp: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every window of k characters, by doubling: pairs, fours, eights."""
     n = max(len(cp) - k + 1, 0)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        h = h * odd(1) + cp[j:j + n]
-    return mix(h)
+    part, size, out, done = cp.astype(np.uint64), 1, np.zeros(n, dtype=np.uint64), 0
+    while done < k:
+        if (k - done) & size:
+            out = out * odd(size) + part[done:done + n]
+            done += size
+        if done < k:
+            part = part[:-size] * odd(size + 2) + part[size:]
+            size *= 2
+    return mix(out)
 
 
 def band_values(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> np.ndarray:
@@ -84,7 +91,7 @@ def band_values(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> np.ndar
     x = h[np.repeat(s - head, count) + np.arange(count.sum())]
     sig = np.full(len(s) * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
     place = ((x >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(sig, line * bins + place, mix(x + odd(3)) >> np.uint64(1))
+    np.minimum.at(sig, line * bins + place, x >> np.uint64(1))
     sig = sig.reshape(-1, bins)
     empty = sig == np.iinfo(np.uint64).max
     for _ in range(2):              # an empty bin borrows from the next filled one
@@ -142,23 +149,31 @@ def _line_texts(batches):
                 if w["line_no"] < len(lines):
                     x = lines[w["line_no"]]
                     h.append(w["h"])
-                    out.append(x.strip(" \t\n\v\f\r"))
+                    out.append(x.strip(" \t\n\v\f\r").translate(ASCII_LOWER))
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.string())],
                                          names=["h", "line"])
 
 
 def _verify(k: int, jaccard: float):
     def run(batches):
+        known: dict = {}
+
+        def shingles(node: int, line: str) -> set:
+            s = known.get(node)
+            if s is None:
+                if len(known) > 512:
+                    known.clear()
+                s = known[node] = {line[i:i + k] for i in range(max(1, len(line) - k + 1))}
+            return s
+
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            hub, u = None, None
-            for i in range(batch.num_rows):
-                x, y = batch.column(2)[i].as_buffer(), batch.column(3)[i].as_buffer()
-                if hub is None or not hub.equals(x):
-                    hub, u = x, _set(x, k)
-                v = _set(y, k)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep[i] = both >= jaccard * (len(u) + len(v) - both)
+            for i, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                u, v = shingles(a, x), shingles(b, y)
+                small, large = min(len(u), len(v)), max(len(u), len(v))
+                if small >= jaccard * large:
+                    both = len(u & v)
+                    keep[i] = both >= jaccard * (small + large - both)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
                                              names=["a", "b"])
@@ -217,8 +232,8 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
                   .mapInArrow(_line_texts, "h long, line string").dropDuplicates(["h"]), "op5-texts")
 
     def verified(p: DataFrame) -> DataFrame:
-        a = texts.select(F.col("h").alias("a"), F.col("line").cast("binary").alias("ta"))
-        b = texts.select(F.col("h").alias("b"), F.col("line").cast("binary").alias("tb"))
+        a = texts.select(F.col("h").alias("a"), F.col("line").alias("ta"))
+        b = texts.select(F.col("h").alias("b"), F.col("line").alias("tb"))
         return store(p.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
                      .mapInArrow(_verify(k, jaccard), "a long, b long"), "op5-links")
 

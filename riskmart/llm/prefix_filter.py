@@ -14,9 +14,11 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``members``: node, c (component), keys (shared signatures); ``sets``: node, e
     (elements of the node's set, distinct). With every set sorted by rarity, a
-    qualifying pair has a common element among its first n - ceil(p n) + 1, and
-    what stands before the first common element counts against the overlap. Near
-    copies that each hold elements of their own drop out without being paired.
+    qualifying pair has a common element among the first n - ceil(p n) + 1 of the
+    larger and the first n - ceil(2 p n / (1 + p)) + 1 of the smaller set, and what
+    stands before the first common element counts against the overlap. Near copies
+    that each hold elements of their own drop out without being paired. Only the first
+    common element pairs two sets, so a pair is made once.
     """
     sets = store(sets, "open-sets")
     freq = store(sets.groupBy("e").agg(F.count("*").alias("df")), "open-df")
@@ -26,15 +28,20 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
               .withColumn("es", F.slice("es", F.lit(1),
                                         (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")))
               .join(members, "node")
-              .select("node", "n", "c", "keys", F.posexplode("es").alias("p", "x"))
+              .select("node", "n", "c", "keys", F.expr("filter(es, v -> v.df > 1).e").alias("common"),
+                      F.posexplode("es").alias("p", "x"))
               .where("x.df > 1")
-              .select("node", "n", "c", "keys", "p", F.col("x.e").alias("e")))
+              .select("node", "n", "c", "keys", "p", F.col("x.e").alias("e"),
+                      F.slice("common", F.lit(1), F.array_position("common", F.col("x.e")).cast("int") - 1)
+                      .alias("before")))
     prefix = store(prefix, "open-prefix")
     drop_stored(sets, freq)
-    x, y = prefix.alias("x"), prefix.alias("y")
+    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    x, y = prefix.where(F.col("p") < short).alias("x"), prefix.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     left = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
     return (x.join(y, F.col("x.e") == F.col("y.e"))
-            .where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+            .where(smaller & (F.col("x.c") != F.col("y.c"))
                    & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
-                   & F.arrays_overlap("x.keys", "y.keys"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+                   & ~F.arrays_overlap("x.before", "y.before") & F.arrays_overlap("x.keys", "y.keys"))
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())

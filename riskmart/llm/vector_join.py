@@ -28,42 +28,60 @@ from .common import drop_stored, prepare, store
 from .components import connected_components
 
 AXES = 16             # axes per block
-PIECE = 4096
+PIECE = 8192
 TILE = 1024
 SAMPLE = 8192
 SLACK = 1e-12
 
 
-def _clean(batches):
-    for batch in batches:
-        ids = batch.column(0)
-        dim, key, raw = [], [], []
-        for v in batch.column(1).to_pylist():
-            x = np.array(v, dtype=np.float64) if v and None not in v else np.empty(0)
-            ok = len(x) > 0 and np.isfinite(x).all()
-            norm = float(np.sqrt((x * x).sum())) if ok else 0.0
-            if ok and (norm == 0.0 or not np.isfinite(norm)):
-                x = x / np.abs(x).max() if x.any() else x      # squares under- or overflow
-                norm = float(np.sqrt((x * x).sum()))
-            if ok and norm > 0.0:
-                b = (x + 0.0).tobytes()                         # -0.0 is 0.0
-                k = xxhash.xxh3_128_intdigest(b)
-                dim.append(len(x))
-                key.append((np.uint64(k >> 64).view(np.int64), np.uint64(k & (1 << 64) - 1).view(np.int64)))
-                raw.append((x / norm).tobytes())
-            else:
-                dim.append(0)
-                key.append((0, 0))
-                raw.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(dim, pa.int32()), pa.array([k[0] for k in key], pa.int64()),
-             pa.array([k[1] for k in key], pa.int64()), pa.array(raw, pa.binary())],
-            names=["vec_id", "dim", "k1", "k2", "u"])
+def _clean(kind: str):
+    def run(batches):
+        for batch in batches:
+            yield _clean_batch(batch, kind)
+    return run
+
+
+def unit(raw: bytes, kind: str) -> np.ndarray:
+    """Rows of unit vectors in double precision from stored components."""
+    x = np.frombuffer(raw, dtype=kind).astype(np.float64)
+    return x / np.sqrt((x * x).sum())
+
+
+def units(raw: bytes, kind: str, dim: int) -> np.ndarray:
+    x = np.frombuffer(raw, dtype=kind).astype(np.float64).reshape(-1, dim)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _frame(sample: list[bytes], dim: int, cosine: float) -> dict:
+def _clean_batch(batch, kind):
+    ids = batch.column(0)
+    dim, key, raw = [], [], []
+    for v in batch.column(1).to_pylist():
+        x = np.array(v, dtype=np.float64) if v and None not in v else np.empty(0)
+        ok = len(x) > 0 and np.isfinite(x).all()
+        norm = float(np.sqrt((x * x).sum())) if ok else 0.0
+        if ok and kind == "f8" and (norm < 1e-100 or not norm < 1e100):
+            # scaled by a power of two, so squares neither under- nor overflow
+            x = x / 2.0 ** np.floor(np.log2(np.abs(x).max())) if x.any() else x
+            norm = float(np.sqrt((x * x).sum()))
+        if ok and norm > 0.0:
+            b = (x + 0.0).astype(kind).tobytes()            # -0.0 is 0.0
+            k = xxhash.xxh3_128_intdigest(b)
+            dim.append(len(x))
+            key.append((np.uint64(k >> 64).view(np.int64), np.uint64(k & (1 << 64) - 1).view(np.int64)))
+            raw.append(b)
+        else:
+            dim.append(0)
+            key.append((0, 0))
+            raw.append(None)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(dim, pa.int32()), pa.array([k[0] for k in key], pa.int64()),
+         pa.array([k[1] for k in key], pa.int64()), pa.array(raw, pa.binary())],
+        names=["vec_id", "dim", "k1", "k2", "u"])
+
+
+def _frame(sample: list[bytes], dim: int, cosine: float, kind: str) -> dict:
     """Rotation, blocks, squared budgets and cell widths for vectors of one length."""
-    x = np.array([np.frombuffer(b) for b in sample]) if sample else np.zeros((1, dim))
+    x = np.array([unit(b, kind) for b in sample]) if sample else np.zeros((1, dim))
     cov = x.T @ x / len(x)
     value, axis = np.linalg.eigh(cov)
     order = np.argsort(-value)
@@ -72,7 +90,7 @@ def _frame(sample: list[bytes], dim: int, cosine: float) -> dict:
     var = np.array([max(value[o].sum(), 1e-9) for o in of])
     budget = (2.0 - 2.0 * cosine) * var / var.sum() + SLACK
     return {"rotation": [np.ascontiguousarray(axis[:, o]) for o in of], "budget": budget,
-            "width": np.sqrt(budget) * (1 + 1e-9)}
+            "width": np.sqrt(budget) * (1 + 1e-9), "kind": kind}
 
 
 def _cells(frames):
@@ -83,7 +101,7 @@ def _cells(frames):
             out = [[], [], [], [], [], []]
             for d in sorted(set(dim)):
                 at = [i for i, x in enumerate(dim) if x == d]
-                x = np.array([np.frombuffer(u[i]) for i in at])
+                x = np.array([unit(u[i], f[d]["kind"]) for i in at])
                 for b, (rot, width) in enumerate(zip(f[d]["rotation"], f[d]["width"])):
                     cell = np.floor(x @ rot[:, 0] / width).astype(np.int64)
                     for k, i in enumerate(at):
@@ -119,57 +137,57 @@ def _settle(i, j, la, lb):
 
 
 def _meet(frames, cosine: float):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                f, b, d = frames.value[row["dim"]], row["block"], row["dim"]
-                ia, na = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ns"], np.int64).astype(float)
-                ib, nb = np.frombuffer(row["ids2"], np.int64), np.frombuffer(row["ns2"], np.int64).astype(float)
-                ua, ub = np.frombuffer(row["us"]).reshape(-1, d), np.frombuffer(row["us2"]).reshape(-1, d)
-                ra = [ua @ f["rotation"][e] for e in range(b + 1)]
-                rb = [ub @ f["rotation"][e] for e in range(b + 1)]
-                sq = [(x * x).sum(axis=1) for x in rb]
-                ca, cb = np.zeros(len(ia)), np.zeros(len(ib))
-                # labels are node ids; a piece met with itself has one label table
-                la, lb = ia.copy(), ib.copy()
-                if row["same"]:
-                    lb = la
-                for s in range(0, len(ia), TILE):
-                    e = min(s + TILE, len(ia))
-
-                    def near(k):
-                        x = ra[k][s:e]
-                        return (x * x).sum(axis=1)[:, None] + sq[k][None, :] - 2.0 * (x @ rb[k].T) <= f["budget"][k]
-
-                    hit = near(b)
-                    if row["same"]:
-                        hit &= np.arange(len(ib))[None, :] > np.arange(s, e)[:, None]
-                    if hit.mean() > 0.02:
-                        hit &= ua[s:e] @ ub.T >= cosine
-                        for k in range(b):
-                            hit &= ~near(k)
-                        i, j = np.nonzero(hit)
-                    else:
-                        i, j = np.nonzero(hit)
-                        ok = (ua[s + i] * ub[j]).sum(axis=1) >= cosine
-                        i, j = i[ok], j[ok]
-                        for k in range(b):
-                            gap = ra[k][s + i] - rb[k][j]
-                            ok = (gap * gap).sum(axis=1) > f["budget"][k]
-                            i, j = i[ok], j[ok]
-                    if len(i):
-                        np.add.at(ca, s + i, nb[j])
-                        np.add.at(cb, j, na[s + i])
-                        _settle(s + i, j, la, lb)
-                ids, links, peer = [], [], []
-                for node, count, label in ((ia, ca, la), (ib, cb, lb)):
-                    at = np.flatnonzero(count)
-                    ids.append(node[at])
-                    links.append(count[at].astype(np.int64))
-                    peer.append(label[at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(links)), pa.array(np.concatenate(peer))],
-                    names=["rep", "links", "peer"])
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["side"])
+        a, b2 = rows[0], rows[-1]
+        f, b, d = frames.value[a["dim"]], a["block"], a["dim"]
+        same = len(rows) == 1
+        ia, na = np.frombuffer(a["ids"], np.int64), np.frombuffer(a["ns"], np.int64).astype(float)
+        ib, nb = np.frombuffer(b2["ids"], np.int64), np.frombuffer(b2["ns"], np.int64).astype(float)
+        ua = units(a["us"], f["kind"], d)
+        ub = ua if same else units(b2["us"], f["kind"], d)
+        ra = [ua @ f["rotation"][e] for e in range(b + 1)]
+        rb = [ub @ f["rotation"][e] for e in range(b + 1)]
+        sq = [(x * x).sum(axis=1) for x in rb]
+        ca, cb = np.zeros(len(ia)), np.zeros(len(ib))
+        # labels are node ids; a piece met with itself has one label table
+        la, lb = ia.copy(), ib.copy()
+        if same:
+            lb = la
+        for s in range(0, len(ia), TILE):
+            e = min(s + TILE, len(ia))
+
+            def near(k):
+                x = ra[k][s:e]
+                return (x * x).sum(axis=1)[:, None] + sq[k][None, :] - 2.0 * (x @ rb[k].T) <= f["budget"][k]
+
+            hit = near(b)
+            if same:
+                hit &= np.arange(len(ib))[None, :] > np.arange(s, e)[:, None]
+            if hit.mean() > 0.02:
+                hit &= ua[s:e] @ ub.T >= cosine
+                for k in range(b):
+                    hit &= ~near(k)
+                i, j = np.nonzero(hit)
+            else:
+                i, j = np.nonzero(hit)
+                ok = (ua[s + i] * ub[j]).sum(axis=1) >= cosine
+                i, j = i[ok], j[ok]
+                for k in range(b):
+                    gap = ra[k][s + i] - rb[k][j]
+                    ok = (gap * gap).sum(axis=1) > f["budget"][k]
+                    i, j = i[ok], j[ok]
+            if len(i):
+                np.add.at(ca, s + i, nb[j])
+                np.add.at(cb, j, na[s + i])
+                _settle(s + i, j, la, lb)
+        ids, links, peer = [], [], []
+        for node, count, label in ((ia, ca, la), (ib, cb, lb)):
+            at = np.flatnonzero(count)
+            ids.append(node[at])
+            links.append(count[at].astype(np.int64))
+            peer.append(label[at])
+        return pa.table({"rep": np.concatenate(ids), "links": np.concatenate(links), "peer": np.concatenate(peer)})
     return run
 
 
@@ -184,9 +202,11 @@ def vector_components(vectors: DataFrame, cosine: float = 0.9, id_col: str = "ve
     """
     spark = vectors.sparkSession
     prepare(spark)
+    # components travel in their own precision; all arithmetic is in double
+    kind = "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8"
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
                          F.col(vector_col).cast("array<double>").alias("v"))
-    rows = store(src.mapInArrow(_clean, "vec_id long, dim int, k1 long, k2 long, u binary"), "op2-rows")
+    rows = store(src.mapInArrow(_clean(kind), "vec_id long, dim int, k1 long, k2 long, u binary"), "op2-rows")
     key = ["dim", "k1", "k2"]
     good = rows.where("dim > 0 AND vec_id IS NOT NULL")
     classes = store(good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"),
@@ -195,7 +215,7 @@ def vector_components(vectors: DataFrame, cosine: float = 0.9, id_col: str = "ve
     frames = {}
     for d in dims:
         part = classes.where(F.col("dim") == d).select("k1", "u").orderBy("k1").limit(SAMPLE)
-        frames[d] = _frame([r["u"] for r in part.collect()], d, cosine)
+        frames[d] = _frame([r["u"] for r in part.collect()], d, cosine, kind)
     shared = spark.sparkContext.broadcast(frames)
     cells = store(classes.select("rep", "n", "dim", "u").mapInArrow(
         _cells(shared), "dim int, block int, cell long, rep long, n long, u binary"), "op2-cells")
@@ -214,12 +234,16 @@ def vector_components(vectors: DataFrame, cosine: float = 0.9, id_col: str = "ve
                   & ((F.col("a.cell") < F.col("b.cell")) | (F.col("a.piece") <= F.col("b.piece"))))
     meet = store(meet.select("a.dim", "a.block", "a.cell", "a.piece", F.col("b.cell").alias("cell2"),
                              F.col("b.piece").alias("piece2")), "op2-meet")
-    other = pieces.select("dim", "block", *[F.col(c).alias(c + "2") for c in ("cell", "piece", "ids", "ns", "us")])
-    joined = (meet.join(pieces, spot).join(other, ["dim", "block", "cell2", "piece2"])
-              .withColumn("same", (F.col("cell") == F.col("cell2")) & (F.col("piece") == F.col("piece2"))))
-    found = store(joined.repartition(F.col("dim"), F.col("block"), F.col("cell"), F.col("piece"), F.col("cell2"),
-                                     F.col("piece2"))
-                  .mapInArrow(_meet(shared, cosine), "rep long, links long, peer long"), "op2-found")
+    # each piece goes once to every meeting it takes part in
+    pair = ["dim", "block", "ca", "pa", "cb", "pb"]
+    named = meet.select("dim", "block", F.col("cell").alias("ca"), F.col("piece").alias("pa"),
+                        F.col("cell2").alias("cb"), F.col("piece2").alias("pb"))
+    same = (F.col("ca") == F.col("cb")) & (F.col("pa") == F.col("pb"))
+    sides = named.select(*pair, F.col("ca").alias("cell"), F.col("pa").alias("piece"), F.lit(0).alias("side")) \
+        .union(named.where(~same).select(*pair, F.col("cb").alias("cell"), F.col("pb").alias("piece"),
+                                         F.lit(1).alias("side")))
+    found = store(pieces.join(sides, spot).groupBy(*pair).applyInArrow(
+        _meet(shared, cosine), "rep long, links long, peer long"), "op2-found")
     comp = connected_components(found, "rep", "peer")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     drop_stored(cells, size, pieces, meet)
