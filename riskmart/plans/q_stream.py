@@ -74,7 +74,7 @@ def _live(spark, d):
     return root
 
 
-@query("stream_gold_refresh", ops=("STR-1", "STR-2", "STR-3", "STR-4", "SNK-4", "SNK-5"),
+@query("stream_gold_refresh", ops=("STR-1", "STR-2", "STR-3", "STR-4", "SNK-4", "SNK-5", "SRC-7"),
        sql=G.with_ctes(G.ENC, f"""
 SELECT risk_level, COUNT(DISTINCT patient_id) AS patient_count,
        {G.rnd('COUNT(DISTINCT patient_id) * 100.0 / NULLIF(t.total, 0)', 1)} AS percentage
