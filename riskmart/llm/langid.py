@@ -196,7 +196,7 @@ def train(docs: DataFrame, max_docs: int = 20_000, rounds: int = 3, vocabulary:
         c[got.column("i").to_numpy(), got.column("g").to_numpy()] += got.column("c").to_numpy()
         c[-1] = 0.0
         p = c / c.sum(axis=0)
-        shared.unpersist()
+        shared.destroy()
     drop_stored(ids, counts)
     prior = np.log(np.array([share[g] for g in langs], dtype=float) / sum(share.values()))
     return {"pieces": pieces, "langs": langs, "p": p, "prior": prior}

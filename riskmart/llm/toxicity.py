@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
         z, n = z.copy(), n.copy()
         z[i] += t.column("dz").to_numpy() / shards
         n[i] += t.column("dn").to_numpy() / shards
-        state.unpersist()
+        state.destroy()
     drop_stored(y, rows)
     w = weights(z, n)
     keep = np.flatnonzero(w)
