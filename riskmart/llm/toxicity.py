@@ -21,6 +21,7 @@ from .common import drop_stored, id_hash, prepare, store
 from .tokens import ALNUM, mix, odd, text_blocks, words
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
+MIN_DOCS = 3
 POSITIVE = 3.0        # weight of a toxic row: they are the rarer class
 
 
@@ -84,12 +85,38 @@ def _featurise(bits: int):
     return run
 
 
+def _count(bits: int):
+    """Documents of each coordinate in a task's rows (up to 255), as one row."""
+    def run(batches):
+        n = np.zeros(1 << bits, dtype=np.uint8)
+        for batch in batches:
+            c = np.bincount(np.asarray(batch.column(0).flatten()), minlength=1 << bits)
+            n = np.minimum(n.astype(np.int64) + c, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+    return run
+
+
+def _only(shared):
+    """Rows with the coordinates that are learned at all."""
+    def run(batches):
+        known = np.frombuffer(shared.value, dtype=bool)
+        for batch in batches:
+            f = batch.column(0)
+            off, flat = np.asarray(f.offsets), np.asarray(f.values)
+            ok = known[flat]
+            upto = np.concatenate(([0], np.cumsum(ok)))
+            lists = pa.ListArray.from_arrays(pa.array(upto[off], pa.int32()), pa.array(flat[ok]))
+            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=batch.schema.names)
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = 20,
           max_rows: int = 16_384, shards: int = 4, rounds: int = 8) -> dict:
     """Fit on labelled documents with crc32(doc_id) mod 3 != 1.
 
     At most ``max_rows`` of them are used, those with the smallest hash of their
-    id, so the fitted weights do not depend on partitioning. A document labelled
+    id, so the fitted weights do not depend on partitioning. Coordinates that fewer
+    than ``MIN_DOCS`` of them hold are not learned. A document labelled
     several times counts as positive if at least half of its labels are.
     """
     spark = docs.sparkSession
@@ -101,12 +128,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
     y = store(y, "op7-sample")
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(y), "doc_id").select("text", "y", "o"))
-    rows = store(rows.mapInArrow(_featurise(bits), "f array<int>, y double, o long")
-                 .withColumn("shard", F.pmod("o", F.lit(shards)).cast("int"))
-                 .repartition(shards, "shard"), "op7-features")
+    every = store(rows.mapInArrow(_featurise(bits), "f array<int>, y double, o long"), "op7-every")
+    sc = spark.sparkContext
+    # one row of 2 ** bits bytes per task, and at most ``shards`` tasks
+    seen = np.zeros(1 << bits, dtype=np.int64)
+    for r in every.select("f").coalesce(shards).mapInArrow(_count(bits), "n binary").toLocalIterator():
+        seen += np.frombuffer(r["n"], dtype=np.uint8)
+    known = sc.broadcast((seen >= MIN_DOCS).tobytes())
+    rows = store(every.mapInArrow(_only(known), "f array<int>, y double, o long")
+                 .withColumn("shard", F.pmod("o", F.lit(shards)).cast("int")), "op7-features")
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
-    sc = spark.sparkContext
     for _ in range(rounds):
         state = sc.broadcast((z, n))
 
@@ -118,18 +150,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
             off, flat = np.asarray(f.offsets), np.asarray(f.values)
             ftrl_pass(((flat[off[i]:off[i + 1]], ys[i]) for i in range(len(ys))), z1, n1)
             hit = np.flatnonzero((z1 != z0) | (n1 != n0))
-            return pa.table({"i": hit, "dz": z1[hit] - z0[hit], "dn": n1[hit] - n0[hit]})
-
-        step = (rows.groupBy("shard").applyInArrow(fit, "i long, dz double, dn double")
-                .groupBy("i").agg(F.sort_array(F.collect_list(F.struct("dz", "dn"))).alias("d"))
-                .select("i", F.aggregate("d", F.lit(0.0), lambda a, x: a + x.dz).alias("dz"),
-                        F.aggregate("d", F.lit(0.0), lambda a, x: a + x.dn).alias("dn")))
-        t = step.toArrow()            # at most 2 ** bits rows
-        i = t.column("i").to_numpy()
+            shard = np.full(len(hit), t.column("shard")[0].as_py(), dtype=np.int32)
+            return pa.table({"s": shard, "i": hit, "dz": z1[hit] - z0[hit], "dn": n1[hit] - n0[hit]})
+
+        step = store(rows.groupBy("shard").applyInArrow(fit, "s int, i long, dz double, dn double"), "op7-round")
+        t = step.toArrow()            # at most shards x 2 ** bits rows
+        s, i, dz, dn = (t.column(c).to_numpy() for c in ("s", "i", "dz", "dn"))
         z, n = z.copy(), n.copy()
-        z[i] += t.column("dz").to_numpy() / shards
-        n[i] += t.column("dn").to_numpy() / shards
+        for k in range(shards):
+            at = s == k
+            z[i[at]] += dz[at] / shards
+            n[i[at]] += dn[at] / shards
+        drop_stored(step)
         state.destroy()
+    known.destroy()
+    drop_stored(every)
     drop_stored(y, rows)
     w = weights(z, n)
     keep = np.flatnonzero(w)
