@@ -21,7 +21,7 @@ from .common import drop_stored, id_hash, prepare, store
 from .tokens import ALNUM, mix, odd, text_blocks, words
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
-MIN_DOCS = 3
+MIN_DOCS = 5
 POSITIVE = 3.0        # weight of a toxic row: they are the rarer class
 
 
@@ -153,14 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
             shard = np.full(len(hit), t.column("shard")[0].as_py(), dtype=np.int32)
             return pa.table({"s": shard, "i": hit, "dz": z1[hit] - z0[hit], "dn": n1[hit] - n0[hit]})
 
-        step = store(rows.groupBy("shard").applyInArrow(fit, "s int, i long, dz double, dn double"), "op7-round")
-        t = step.toArrow()            # at most shards x 2 ** bits rows
-        s, i, dz, dn = (t.column(c).to_numpy() for c in ("s", "i", "dz", "dn"))
+        step = (rows.groupBy("shard").applyInArrow(fit, "s int, i long, dz double, dn double")
+                .groupBy("i").agg(F.sort_array(F.collect_list(F.struct("s", "dz", "dn"))).alias("d"))
+                .select("i", F.aggregate("d", F.lit(0.0), lambda a, x: a + x.dz).alias("dz"),
+                        F.aggregate("d", F.lit(0.0), lambda a, x: a + x.dn).alias("dn")))
+        step = store(step, "op7-round")
+        t = step.toArrow()            # at most 2 ** bits rows
+        i = t.column("i").to_numpy()
         z, n = z.copy(), n.copy()
-        for k in range(shards):
-            at = s == k
-            z[i[at]] += dz[at] / shards
-            n[i[at]] += dn[at] / shards
+        z[i] += t.column("dz").to_numpy() / shards
+        n[i] += t.column("dn").to_numpy() / shards
         drop_stored(step)
         state.destroy()
     known.destroy()
