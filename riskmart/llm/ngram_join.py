@@ -47,12 +47,13 @@ class Bands:
     def __init__(self, percent: int):
         self.percent = percent
         self.bands: list[tuple] = []
-        self._upto = 0
         self._low = 1
 
     def _grow(self, n: int) -> None:
         p = self.percent
-        while self._upto < n:
+        # every band that holds n, not only the first: which signatures a set has must
+        # not depend on the sets met before it
+        while self._low <= n:
             lo = self._low
             hi = max(lo, lo * 3 // 2)
             # |x ^ y| <= (100 - p) (a + b) / (100 + p), and a + b <= 2 hi
@@ -70,7 +71,6 @@ class Bands:
             salt = mix(np.arange(3 * groups, dtype=np.uint64)
                        + np.uint64(len(self.bands) << 32) + np.uint64(1))
             self.bands.append((lo, hi, groups, cells, spare, edges, salt))
-            self._upto = hi
             self._low = max(lo + 1, -(-p * (hi + 1) // 100))
 
     def of(self, n: int):

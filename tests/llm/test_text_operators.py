@@ -101,6 +101,27 @@ def test_bands_share_a_signature():
             assert s[0] & s[1] and s[0] & s[2], (percent, n, swap)
 
 
+def test_bands_do_not_depend_on_earlier_sets():
+    """Sets on both sides of a band's end share a signature also if every set is the
+    first and largest its task has met."""
+    import random
+
+    import numpy as np
+    rnd = random.Random(4)
+    for percent in (80, 90):
+        known = ngram_join.Bands(percent)
+        known.of(20_000).__next__()
+        for _, hi, *_ in [b for b in known.bands if 1 < b[1] < 3000]:
+            x = [rnd.getrandbits(64) for _ in range(hi + 2)]
+            for n in {hi, max(1, -(-percent * (hi + 2) // 100))}:
+                s = [ngram_join.Bands(percent).signatures(np.unique(np.array(x[:m], dtype=np.uint64)))
+                     for m in (n, hi + 2)]
+                if 100 * n >= percent * (hi + 2):
+                    assert np.intersect1d(*s).size, (percent, n, hi)
+                after = known.signatures(np.unique(np.array(x[:n], dtype=np.uint64)))
+                assert sorted(s[0]) == sorted(after), (percent, n)
+
+
 def test_decontamination(spark):
     bench = [(1, " ".join(prose(70, 40))), (2, "Few words, here"), (3, " ".join(prose(71, 12))), (4, None), (5, "..."),
              (6, " ".join(prose(70, 40))), (None, " ".join(prose(72, 11))), (7, "lolo " * 30)]
