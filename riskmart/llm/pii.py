@@ -4,10 +4,13 @@ Exact patterns with their checks give the base spans of every kind; they always
 stay. Wider generators propose further, overlapping spans. Boosted trees score
 each candidate on its format and context; what only the exact rules look at (the
 plus sign, the check digit, the at sign) is no feature, so candidates that look
-like checked spans but miss the rule can be told from other numbers. Trees are
-fitted on a bounded sample in which candidates that agree with a base span are the
-positive rows; a threshold per kind is set on held-out candidates so that at least
-``PRECISION`` of those above it are positive. Fitted trees become one SQL expression
+like checked spans but miss the rule can be told from other numbers. Candidates that
+agree with a base span are the positive rows, phone numbers also without their country
+code; those that cannot be personal data by format, or have neither the sign of a
+rewriting nor a cue word of their kind before them, are the negative rows; the rest is
+unlabelled, and only that can be added. Trees are fitted on a bounded sample per kind
+and label; a threshold per kind is set on all held-out labelled candidates so that at
+least ``PRECISION`` of those above it are positive. Fitted trees become one SQL expression
 that is evaluated where the candidates lie. DataFrame functions and Spark ML only.
 """
 
@@ -41,9 +44,11 @@ WIDE = {
 }
 #: Without this character or class no span of the kind exists.
 NEEDS = {"email": r"@|[\[(]at", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-CUES = "(?i)(mail|contact|tel|phone|call|fax|card|visa|iban|account|addr|ip|host|server)"
+CUES = {"email": r"(?i)(mail|contact|write|reach)", "ip": r"(?i)(\bip\b|host|server|addr)",
+        "card": r"(?i)(card|visa|account|pay)", "phone": r"(?i)(\btel|phone|call|fax|mobile|contact)"}
+AT, DOT = r"\x20?[\[(]at[\])]\x20?", r"\x20?[\[(]dot[\])]\x20?"
 
-MAX_ROWS = 20_000
+MAX_ROWS = 20_000     # about: an even share for every kind and label
 PRECISION = 0.98
 TREES, DEPTH = 12, 3
 SPANS = "array<struct<s:int,e:int,t:string>>"
@@ -100,26 +105,43 @@ def _char_class(c: Column) -> Column:
             .when(c.rlike("[0-9]"), 2.0).when(c.rlike("[\"'`=]"), 3.0).otherwise(4.0))
 
 
+def cue(text: Column, kind: str, x: Column) -> Column:
+    """Is there a word that goes with the kind in the 16 characters before?"""
+    return F.substring(text, F.greatest(x["s"] - 15, F.lit(1)), F.least(x["s"], F.lit(16))).rlike(CUES[kind])
+
+
+def may_be(text: Column, kind: str, x: Column) -> Column:
+    """Can a candidate that is no base span be personal data all the same?"""
+    t, n = x["t"], F.length(digits(x["t"]))
+    if kind == "email":         # name [at] host [dot] org
+        return t.rlike(r"[\[(](?:at|dot)[\])]")
+    if kind == "ip":            # other separators, and called an address
+        return t.contains(",") & passes(kind, F.regexp_replace(t, ",", ".")) & cue(text, kind, x)
+    if kind == "card":          # other separators, check digit right
+        return n.between(13, 19) & t.contains(".") & luhn(digits(t))
+    return ~t.startswith("+") & n.between(7, 15) & cue(text, kind, x)
+
+
 def features(text: Column, kind: int, x: Column) -> Column:
     """Format and context of one candidate."""
-    t = x["t"]
+    t = F.regexp_replace(F.regexp_replace(x["t"], AT, "@"), DOT, ".")
     runs = F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0))
     n, letters = F.length(digits(t)), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
-    before = F.substring(text, F.greatest(x["s"] - 15, F.lit(1)), F.least(x["s"], F.lit(16)))
     prev = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise("")
     nxt = F.substring(text, x["e"] + 1, F.lit(1))
     # signs that the exact rules demand are left out of the counts
-    marks = F.length(F.regexp_replace(t, r"[A-Za-z0-9+@\[\]]|[\[(](?:at|dot)[\])]", ""))
+    marks = F.length(F.regexp_replace(t, r"[A-Za-z0-9+@]", ""))
     values = [F.lit(float(kind)), n, letters, marks, F.size(runs),
               F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
-              _char_class(prev), _char_class(nxt), before.rlike(CUES).cast("int"),
+              _char_class(prev), _char_class(nxt), cue(text, KINDS[kind], x).cast("int"),
               t.rlike(r"[(][0-9]").cast("int")]
     return F.array(*[v.cast("double") for v in values])
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (k, s, e), cand (k, s, e, f, y): one row per document, from one
-    scan of the texts."""
+    scan of the texts. ``y`` is 1 for base spans, 0 for what cannot be personal data
+    and null for the rest."""
     text = F.coalesce(F.col("text"), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base, cand = [], []
@@ -128,12 +150,27 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.filter(spans(text, BASE[kind], NEEDS[kind]), lambda x: passes(kind, x["t"]))
 
     def as_base(k: int, found: Column) -> Column:
-        return F.transform(found, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+        return F.transform(found, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"),
+                                                     x["t"].alias("t")))
+
+    def candidate(k: int, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"),
+                        features(text, k, x).alias("f"), y.cast("double").alias("y"))
 
     def as_candidate(k: int, wide: Column, known: Column) -> Column:
-        return F.transform(wide, lambda x: F.struct(
-            F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), features(text, k, x).alias("f"),
-            F.exists(known, lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"])).cast("double").alias("y")))
+        def label(x: Column) -> Column:
+            same = F.exists(known, lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"]))
+            part = F.exists(known, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            return F.when(same, 1.0).when(~part & ~may_be(text, KINDS[k], x), 0.0)
+
+        return F.transform(wide, lambda x: candidate(k, x, label(x)))
+
+    def without_code(k: int, known: Column) -> Column:
+        short = F.transform(known, lambda b: F.struct(
+            b["s"].alias("s"), b["e"].alias("e"),
+            F.regexp_replace(b["t"], r"^\+[0-9]{1,3}[\x20.-]+", "").alias("t")))
+        return F.transform(F.filter(short, lambda x: ~x["t"].startswith("+") & (F.length(digits(x["t"])) >= 7)),
+                           lambda x: candidate(k, x, F.lit(1.0)))
 
     for k, kind in enumerate(KINDS):
         src = src.withColumn(f"b{k}", as_base(k, checked(kind))).withColumn(
@@ -141,7 +178,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         base.append(F.col(f"b{k}"))
     for k in range(len(KINDS)):
         cand.append(as_candidate(k, F.col(f"w{k}"), F.col(f"b{k}")))
-    return src.select("doc_id", F.concat(*base).alias("base"), F.concat(*cand).alias("cand"))
+    cand.append(without_code(KINDS.index("phone"), F.col(f"b{KINDS.index('phone')}")))
+    plain = F.transform(F.concat(*base), lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e")))
+    return src.select("doc_id", plain.alias("base"), F.concat(*cand).alias("cand"))
 
 
 def _tree(lines: list[str], at: int, f: Column) -> tuple[Column, int]:
@@ -166,17 +205,24 @@ def probability(model, f: Column) -> Column:
 
 def fit(found: DataFrame):
     """(score expression as a function of the feature array, thresholds by kind)."""
-    rows = (found.where("size(cand) > 0").select("doc_id", F.explode("cand").alias("c"))
+    rows = (found.where("size(cand) > 0").select("doc_id", F.explode("cand").alias("c")).where("c.y IS NOT NULL")
             .select(F.xxhash64("doc_id", "c.s", "c.e", "c.k").alias("o"), "c.k", "c.f", "c.y"))
-    sample = store(rows.orderBy("o", "k", "y").limit(MAX_ROWS), "op9-sample")
-    seen = {(r["part"], r["y"]) for r in
-            sample.select(F.pmod("o", F.lit(3)).alias("part"), "y").distinct().collect()}
-    if not all(any((p, y) in seen for p in (0, 1)) for y in (0.0, 1.0)):
+    part = F.pmod("o", F.lit(3))
+    # at most 2 x kinds groups; of each, the rows with the smallest share of the hash range
+    sizes = rows.where(part < 2).groupBy("k", "y").count().collect()
+    if {r["y"] for r in sizes} != {0.0, 1.0}:
+        return None, {}
+    wanted, place = F.lit(False), F.pmod(F.xxhash64("o"), F.lit(1 << 31))
+    for r in sizes:
+        share = int((1 << 31) * min(1.0, MAX_ROWS / (2 * len(KINDS)) / r["count"]))
+        wanted = wanted | ((F.col("k") == r["k"]) & (F.col("y") == r["y"]) & (place < share))
+    sample = store(rows.where((part < 2) & wanted).orderBy("o", "k", "y", "f"), "op9-sample")
+    if sample.select("y").distinct().count() < 2:
         return None, {}
-    train = sample.where(F.pmod("o", F.lit(3)) < 2).coalesce(1) \
+    train = sample.coalesce(1).sortWithinPartitions("o", "k", "y", "f") \
         .select(array_to_vector("f").alias("features"), F.col("y").alias("label"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(train)
-    held = sample.where(F.pmod("o", F.lit(3)) == 2).select(
+    held = rows.where(part == 2).select(
         "k", "y", F.floor(probability(model, F.col("f")) * 100).cast("int").alias("bin"))
     counts = held.groupBy("k", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()
     limits = {}
@@ -209,7 +255,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
     scored = F.transform(
-        F.filter("cand", lambda c: ~F.exists("base", lambda b: over(c, b))),
+        F.filter("cand", lambda c: c["y"].isNull() & ~F.exists("base", lambda b: over(c, b))),
         lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), score(c["f"]).alias("score")))
 
     def above(c: Column) -> Column:

@@ -329,6 +329,21 @@ def test_pii(spark):
     assert pii.report(pii.find_spans(frame(spark, []))).count() == 0
 
 
+def test_pii_adds_rewritten_spans(spark):
+    """Rewritten addresses and numbers are no negatives of the fit: planted ones are added."""
+    rows = [(i, f"mail p{i}@host{i}.org or x@y{i} for order {7_000_000 + i * 37} tel +1 (212) 555-{1000 + i} "
+                f"and 4111 1111 1111 {1000 + i} server 10.0.{i % 250}.7 build 1.2.{300 + i}.4") for i in range(400)]
+    planted = {"email": "jane.roe [at] site7 [dot] org", "phone": "(212) 555-4321", "ip": "10,0,19,7"}
+    cues = {"email": "mail ", "phone": "tel ", "ip": "server "}
+    rows += [(1000 + i, f"so {cues[k]}{planted[k]} and order 7654321") for i, k in enumerate(pii.KINDS) if k in planted]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_spans(frame(spark, rows))).collect()}
+    for i, k in enumerate(pii.KINDS):
+        if k in planted:
+            s = 3 + len(cues[k])
+            assert got[1000 + i] == f"{k}:{s}:{s + len(planted[k])}", (k, got[1000 + i])
+    assert all(x.count(":") == 2 * len(x.split(",")) for x in got.values()) and "phone:" in got[0]
+
+
 def test_licences(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     noise = "\n".join(" ".join(prose(i, 30)) for i in range(20))
