@@ -5,8 +5,9 @@ Words (runs of letters and digits, lower-cased) give unigrams, bigrams and
 skip-grams over one word, hashed into ``2 ** bits`` coordinates; a document holds
 each of its coordinates once. Training runs in rounds: every shard of the labelled
 sample passes over its rows with per-coordinate learning rates, starting from the
-common state, and the shards' states are averaged per coordinate. The L1 term
-leaves few non-zero weights, which are broadcast (at most ``2 ** bits`` of them)
+common state, and the shards' states are averaged per coordinate; only what changed
+travels, packed by ranges of coordinates. Every coordinate of the sample is learned. The
+L1 term leaves few non-zero weights, which are broadcast (at most ``2 ** bits`` of them)
 to score every row in one pass without a shuffle.
 """
 
@@ -21,7 +22,7 @@ from .common import drop_stored, id_hash, prepare, store
 from .tokens import ALNUM, mix, odd, text_blocks, words
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
-MIN_DOCS = 5
+CHUNK = 14            # coordinates of a range: 2 ** CHUNK, told by 16 bits
 POSITIVE = 3.0        # weight of a toxic row: they are the rarer class
 
 
@@ -85,29 +86,35 @@ def _featurise(bits: int):
     return run
 
 
-def _count(bits: int):
-    """Documents of each coordinate in a task's rows (up to 255), as one row."""
-    def run(batches):
-        n = np.zeros(1 << bits, dtype=np.uint8)
-        for batch in batches:
-            c = np.bincount(np.asarray(batch.column(0).flatten()), minlength=1 << bits)
-            n = np.minimum(n.astype(np.int64) + c, 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
-    return run
+def packed(key: str, value: int, hit: np.ndarray, dz: np.ndarray, dn: np.ndarray) -> pa.Table:
+    """The changes of the sorted coordinates ``hit``, one row per range that has any."""
+    cut = np.flatnonzero(np.diff(hit >> CHUNK)) + 1
+    at = [(x, y, z) for x, y, z in zip(*(np.split(v, cut) for v in (hit, dz, dn))) if len(x)]
+    low = (1 << CHUNK) - 1
+    return pa.table({
+        key: pa.array([value] * len(at), pa.int32()), "p": pa.array([int(x[0]) >> CHUNK for x, _, _ in at], pa.int32()),
+        "i": pa.array([(x & low).astype(np.uint16).tobytes() for x, _, _ in at], pa.binary()),
+        "dz": pa.array([y.tobytes() for _, y, _ in at], pa.binary()),
+        "dn": pa.array([y.tobytes() for _, _, y in at], pa.binary())})
 
 
-def _only(shared):
-    """Rows with the coordinates that are learned at all."""
-    def run(batches):
-        known = np.frombuffer(shared.value, dtype=bool)
-        for batch in batches:
-            f = batch.column(0)
-            off, flat = np.asarray(f.offsets), np.asarray(f.values)
-            ok = known[flat]
-            upto = np.concatenate(([0], np.cumsum(ok)))
-            lists = pa.ListArray.from_arrays(pa.array(upto[off], pa.int32()), pa.array(flat[ok]))
-            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=batch.schema.names)
-    return run
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the range and their changes."""
+    return (np.frombuffer(row["i"], np.uint16).astype(np.int64), np.frombuffer(row["dz"], np.float64),
+            np.frombuffer(row["dn"], np.float64))
+
+
+def total(group: pa.Table) -> pa.Table:
+    """The shards' changes of one range, added up in the order of the shards."""
+    dz, dn = np.zeros(1 << CHUNK), np.zeros(1 << CHUNK)
+    rows = group.sort_by("s").to_pylist()
+    for r in rows:
+        i, x, y = unpacked(r)
+        dz[i] += x
+        dn[i] += y
+    hit = np.flatnonzero((dz != 0) | (dn != 0))
+    out = packed("s", 0, hit, dz[hit], dn[hit])
+    return out.set_column(1, "p", pa.array([rows[0]["p"]] * len(out), pa.int32()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = 20,
@@ -115,8 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
     """Fit on labelled documents with crc32(doc_id) mod 3 != 1.
 
     At most ``max_rows`` of them are used, those with the smallest hash of their
-    id, so the fitted weights do not depend on partitioning. Coordinates that fewer
-    than ``MIN_DOCS`` of them hold are not learned. A document labelled
+    id, so the fitted weights do not depend on partitioning. A document labelled
     several times counts as positive if at least half of its labels are.
     """
     spark = docs.sparkSession
@@ -128,15 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
     y = store(y, "op7-sample")
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(y), "doc_id").select("text", "y", "o"))
-    every = store(rows.mapInArrow(_featurise(bits), "f array<int>, y double, o long"), "op7-every")
+    features = store(rows.mapInArrow(_featurise(bits), "f array<int>, y double, o long")
+                     .withColumn("shard", F.pmod("o", F.lit(shards)).cast("int")), "op7-features")
     sc = spark.sparkContext
-    # one row of 2 ** bits bytes per task, and at most ``shards`` tasks
-    seen = np.zeros(1 << bits, dtype=np.int64)
-    for r in every.select("f").coalesce(shards).mapInArrow(_count(bits), "n binary").toLocalIterator():
-        seen += np.frombuffer(r["n"], dtype=np.uint8)
-    known = sc.broadcast((seen >= MIN_DOCS).tobytes())
-    rows = store(every.mapInArrow(_only(known), "f array<int>, y double, o long")
-                 .withColumn("shard", F.pmod("o", F.lit(shards)).cast("int")), "op7-features")
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(rounds):
@@ -150,24 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int =
             off, flat = np.asarray(f.offsets), np.asarray(f.values)
             ftrl_pass(((flat[off[i]:off[i + 1]], ys[i]) for i in range(len(ys))), z1, n1)
             hit = np.flatnonzero((z1 != z0) | (n1 != n0))
-            shard = np.full(len(hit), t.column("shard")[0].as_py(), dtype=np.int32)
-            return pa.table({"s": shard, "i": hit, "dz": z1[hit] - z0[hit], "dn": n1[hit] - n0[hit]})
-
-        step = (rows.groupBy("shard").applyInArrow(fit, "s int, i long, dz double, dn double")
-                .groupBy("i").agg(F.sort_array(F.collect_list(F.struct("s", "dz", "dn"))).alias("d"))
-                .select("i", F.aggregate("d", F.lit(0.0), lambda a, x: a + x.dz).alias("dz"),
-                        F.aggregate("d", F.lit(0.0), lambda a, x: a + x.dn).alias("dn")))
-        step = store(step, "op7-round")
-        t = step.toArrow()            # at most 2 ** bits rows
-        i = t.column("i").to_numpy()
+            return packed("s", t.column("shard")[0].as_py(), hit, z1[hit] - z0[hit], n1[hit] - n0[hit])
+
+        kinds = "s int, p int, i binary, dz binary, dn binary"
+        step = store(features.groupBy("shard").applyInArrow(fit, kinds).groupBy("p").applyInArrow(total, kinds),
+                     "op7-round")
         z, n = z.copy(), n.copy()
-        z[i] += t.column("dz").to_numpy() / shards
-        n[i] += t.column("dn").to_numpy() / shards
+        for r in step.toArrow().to_pylist():            # one row per range of coordinates
+            i, dz, dn = unpacked(r)
+            i += r["p"] << CHUNK
+            z[i] += dz / shards
+            n[i] += dn / shards
         drop_stored(step)
         state.destroy()
-    known.destroy()
-    drop_stored(every)
-    drop_stored(y, rows)
+    drop_stored(y, features)
     w = weights(z, n)
     keep = np.flatnonzero(w)
     return {"bits": bits, "index": keep.astype(np.int32), "weight": w[keep]}

@@ -250,6 +250,31 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame(spark, []), lab).count() == 0
 
 
+def test_toxicity_learns_rare_markers(spark):
+    """Markers that only four labelled documents hold find held-out documents."""
+    rows, labels, ids = [], [], iter(range(100_000))
+    def take(held):
+        return next(i for i in ids if (zlib.crc32(str(i).encode()) % 3 == 1) == held)
+    for _ in range(600):
+        i = take(False)
+        rows.append((i, " ".join(prose(i, 30))))
+        labels.append((i, 0))
+    want = []
+    for m in range(12):
+        for held in (False,) * 4 + (True,) * 2:
+            i = take(held)
+            rows.append((i, " ".join(prose(i, 12) + [f"qq{m}x", f"zz{m}y", f"ww{m}v"] + prose(i + 1, 12))))
+            labels.append((i, 1))
+            want += [i] if held else []
+    clean = [take(True) for _ in range(40)]
+    rows += [(i, " ".join(prose(i, 30))) for i in clean]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(frame(spark, rows), lab).collect()}
+    found, wrong = sum(got[i] >= 0.7 for i in want), sum(got[i] >= 0.7 for i in clean)
+    print("found", found, "of", len(want), "wrong", wrong, "of", len(clean))
+    assert found >= 0.9 * len(want) and not wrong
+
+
 def test_language(spark):
     text = {"en": "the weather and the water were there with other things", "fr": "les oiseaux sont dans la maison avec nous",
             "de": "der hund und die katze sind nicht schön heute"}
