@@ -1,7 +1,9 @@
 """Operator 5: fuzzy line de-duplication by MinHash.
 
-A line takes part if it has at least ``min_words`` words; shorter ones repeat by
-chance and always stay. Its character shingles (of the trimmed line, A-Z
+A line takes part if it has at least ``min_words`` words or ``min_chars`` characters
+(a line of a script without blanks is one word). Shorter ones repeat by chance: they
+are compared as exact copies only, and only if at least ``short_docs`` documents hold
+them; the others stay. A line's character shingles (of the trimmed line, A-Z
 lower-cased) give one-permutation MinHash values, cut into bands. Equal lines are
 one node. Lines that share a band value are compared with the smallest node of that
 band by exact Jaccard similarity of their shingle sets; links become components by
@@ -28,7 +30,8 @@ from .tokens import LOWER, mix, odd, text_blocks
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 JACCARD = 0.8
-MIN_WORDS = 5
+MIN_WORDS, MIN_CHARS = 5, 25
+SHORT_DOCS = 10
 ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -47,9 +50,9 @@ def _blank(cp: np.ndarray) -> np.ndarray:
     return (cp == 32) | ((cp >= 9) & (cp <= 13))
 
 
-def long_lines(cp: np.ndarray, off: np.ndarray, min_words: int):
-    """(text, line number, first, end character) of every line with enough words,
-    trimmed of blanks."""
+def word_lines(cp: np.ndarray, off: np.ndarray, min_words: int, min_chars: int):
+    """(text, line number, first, end character, is it short) of every line that is
+    not blank, trimmed of blanks."""
     n = len(cp)
     begin = np.zeros(n + 1, dtype=bool)
     begin[off[:-1]] = True
@@ -60,11 +63,12 @@ def long_lines(cp: np.ndarray, off: np.ndarray, min_words: int):
     last = word & (~np.concatenate((word[1:], [False])) | begin[1:])
     ws, we = np.flatnonzero(first), np.flatnonzero(last) + 1
     k = np.searchsorted(ws, np.append(starts, n))
-    enough = np.flatnonzero(np.diff(k) >= min_words)
-    text = np.searchsorted(off[1:], starts[enough], side="right")
+    some = np.flatnonzero(np.diff(k) > 0)
+    text = np.searchsorted(off[1:], starts[some], side="right")
     breaks = np.concatenate(([0], np.cumsum(cp == 10)))
-    number = breaks[starts[enough]] - breaks[off[text]]
-    return text, number, ws[k[enough]], we[k[enough + 1] - 1]
+    number = breaks[starts[some]] - breaks[off[text]]
+    s, e = ws[k[some]], we[k[some + 1] - 1]
+    return text, number, s, e, (np.diff(k)[some] < min_words) & (e - s < min_chars)
 
 
 def shingle_hashes(cp: np.ndarray, k: int) -> np.ndarray:
@@ -107,14 +111,14 @@ def band_values(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> np.ndar
     return mix(out + np.arange(BANDS, dtype=np.uint64) * odd(2))
 
 
-def _lines(min_words: int, k: int):
+def _lines(min_words: int, min_chars: int, k: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, off in text_blocks(batch.column(1), 1 << 19):
                 cp, chars = characters(buf, off)
-                text, number, s, e = long_lines(cp, chars, min_words)
+                text, number, s, e, short = word_lines(cp, chars, min_words, min_chars)
                 if not len(text):
                     continue
                 raw = cp.tobytes()
@@ -123,7 +127,7 @@ def _lines(min_words: int, k: int):
                     seen.clear()
                 new = []
                 for i, x in enumerate(key):
-                    if x not in seen:
+                    if not short[i] and x not in seen:
                         seen.add(x)
                         new.append(i)
                 bands = band_values(cp, s[new], e[new], k) if new else np.empty((0, BANDS), np.uint64)
@@ -133,8 +137,9 @@ def _lines(min_words: int, k: int):
                     [ids.slice(lo, hi - lo).take(pa.array(text)), pa.array(number.astype(np.int32)),
                      pa.array(np.array(key, dtype=np.uint64).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()),
-                                              pa.array(bands.ravel().view(np.int64)))],
-                    names=["doc_id", "line_no", "h", "bands"])
+                                              pa.array(bands.ravel().view(np.int64))),
+                     pa.array(short)],
+                    names=["doc_id", "line_no", "h", "bands", "short"])
     return run
 
 
@@ -202,11 +207,14 @@ def _set(text: pa.Buffer, k: int) -> np.ndarray:
 
 
 def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, jaccard: float = JACCARD,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+                    short_docs: int | None = SHORT_DOCS) -> DataFrame:
     """doc_id, line_no (from 0), keep_doc_id, keep_line_no, kept: one row per line
     that takes part; ``keep_*`` names the line that stays for its component.
 
-    Null or empty texts and lines of fewer than ``min_words`` words give no rows.
+    Null or empty texts and blank lines give no rows, nor do lines below both
+    ``min_words`` and ``min_chars`` that fewer than ``short_docs`` documents hold (none
+    of them with None); from there on their exact copies are one component.
     Rows with a null id take no part. A row repeated with its id holds the same lines
     at the same places: they are one line each. Other columns are not read. An empty
     table gives an empty result.
@@ -215,8 +223,9 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = store(src.mapInArrow(_lines(min_words, k),
-                                 "doc_id long, line_no int, h long, bands array<long>"), "op5-lines")
+    every = store(src.mapInArrow(_lines(min_words, min_chars, k),
+                                 "doc_id long, line_no int, h long, bands array<long>, short boolean"), "op5-lines")
+    lines = every.where("NOT short").drop("short")
     rows = lines.where("size(bands) > 0").select("h", F.explode("bands").alias("band"))
     hubs = store(rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("top"))
                  .where("hub < top").select("band", "hub"), "op5-hubs")
@@ -255,7 +264,13 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     if not more.isEmpty():
         comp = connected_components(links.union(more))
     drop_stored(hubs, shared, pairs, texts)
-    node = (lines.select("doc_id", "line_no", "h")
+    part = lines.select("doc_id", "line_no", "h")
+    if short_docs is not None:
+        short = every.where("short").select("doc_id", "line_no", "h")
+        common = store(short.select("h", "doc_id").distinct().groupBy("h").count()
+                       .where(F.col("count") >= short_docs).select("h"), "op5-short")
+        part = part.union(short.join(common, "h", "left_semi").select("doc_id", "line_no", "h"))
+    node = (part
             .join(comp.withColumnRenamed("node", "h"), "h", "left")
             .select("doc_id", "line_no", F.coalesce("component", "h").alias("c"),
                     (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")

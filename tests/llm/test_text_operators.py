@@ -195,6 +195,21 @@ def test_line_components(spark):
     assert line_dedup.line_components(frame(spark, [])).count() == 0
 
 
+def test_lines_without_blanks_and_short_lines(spark):
+    """A line in a script without blanks takes part; short lines as exact copies that
+    many documents hold."""
+    han = "".join(chr(0x4E00 + (i * i * 37 + i * 11) % 5000) for i in range(300))
+    rows = [(1, f"{han}\nMenu"), (2, f"{han}\nabc"), (3, han[:150] + "x" + han[151:]), (4, "u" * 24), (5, "u" * 24)]
+    rows += [(100 + i, f"Share this page\n{' '.join(prose(500 + i, 20))}\nshare THIS page" + "\nRare" * (i < 9))
+             for i in range(10)]
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"])
+           for r in line_dedup.line_components(frame(spark, rows)).collect()}
+    want = {(1, 0): (1, 0), (2, 0): (1, 0), (3, 0): (1, 0)}
+    for i in range(100, 110):
+        want |= {(i, 0): (100, 0), (i, 1): (i, 1), (i, 2): (100, 0)}
+    assert got == want
+
+
 def test_mixing(spark):
     import duckdb
     rows = [(i, " ".join(prose(i, 5 + i * 37 % 211)), "en", f"s{i % 7}") for i in range(300)]
