@@ -94,11 +94,11 @@ def text_key(doc_id: Column, text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, items: DataFrame | None = None, run: int | None = None,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Store the positional index: doc_id, h (hash of the text), n_words, postings.
 
     With ``items`` only their terms are indexed, and of those only runs of at least
-    ``run`` (by default the shortest window). Without, every position is."""
+    ``run`` (by default the shortest window that a search of ``window`` words has). Without, every position is."""
     spark = docs.sparkSession
     prepare(spark)
     vocabulary = None
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, items: DataFrame | None = None, run: int | None
             t = np.sort(terms.toArrow().column("t").to_numpy())
             vocabulary = spark.sparkContext.broadcast(t)
         if run is None:
-            run = items.agg(F.min(F.least(F.size("terms"), F.lit(WINDOW)))).first()[0] or 1
+            run = items.agg(F.min(F.least(F.size("terms"), F.lit(window)))).first()[0] or 1
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       text_key(F.col(id_col), F.col(text_col)).alias("h"))
     return store(src.mapInArrow(_postings(vocabulary, run or 1),
@@ -194,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     not read; empty tables give no hits.
     """
     items = test_items(benchmark)
-    index = build_index(docs, items)
+    index = build_index(docs, items, window=window)
     hits = store(phrase_matches(index, items, window), "op6-hits")
     covered = (hits.select("doc", "h", F.explode(F.sequence("first", "last")).alias("p")).distinct()
                .groupBy("doc", "h").agg(F.count("*").alias("n_hit")))

@@ -161,6 +161,14 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, []), items).count() == 0
 
 
+def test_decontamination_with_a_shorter_window(spark):
+    """Runs of at least the window asked for are indexed, not only those of the default."""
+    docs = frame(spark, [(1, " ".join(prose(90, 20) + prose(91, 30)[4:10] + prose(92, 20))), (2, " ".join(prose(93, 40)))])
+    items = spark.createDataFrame([(1, " ".join(["qz"] + prose(91, 30)))], "item_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, items, window=5).collect()}
+    assert got[1] >= 6 and got[2] == 0
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "alpha x beta"), (2, "beta y y y alpha"), (3, "alpha"), (4, "beta alpha alpha")])
     items = decontaminate.test_items(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
