@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, line_dedup, mixing, ngram_join, pii, toxicity, vector_join, warc
+from . import conversations, decontaminate, langid, licences, line_dedup, manifest, mixing, ngram_join, pii, toxicity, vector_join, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,18 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_language_id, op4_pareto_mix, op5_fuzzy_lines, op6_decontamination,
     op7_ftrl_toxicity, op8_warc, op9_pii,
-    op10_licence_scan)}
-ORACLES: dict[str, str] = {"op4_pareto_mix": mixing.oracle(), "op8_warc": warc.ORACLE}
+    op10_licence_scan, op11_conversation_repair, op12_merkle_manifest)}
+ORACLES: dict[str, str] = {"op4_pareto_mix": mixing.oracle(), "op8_warc": warc.ORACLE,
+                           "op11_conversation_repair": conversations.oracle(),
+                           "op12_merkle_manifest": manifest.oracle()}

@@ -65,5 +65,5 @@ def test_run_and_empty(spark):
 def test_queries_are_registered():
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in entry.queries() and mixing.oracle() == entry.oracle_sql()["op4_pareto_mix"]
