@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, langid, licences, line_dedup, manifest, mixing, ngram_join, pii, toxicity, vector_join, warc
+from . import conversations, decontaminate, langid, licences, line_dedup, manifest, mixing, ngram_join, pii, quality, toxicity, vector_join, \
+    warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,10 +62,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_language_id, op4_pareto_mix, op5_fuzzy_lines, op6_decontamination,
     op7_ftrl_toxicity, op8_warc, op9_pii,
-    op10_licence_scan, op11_conversation_repair, op12_merkle_manifest)}
+    op10_licence_scan, op11_conversation_repair, op12_merkle_manifest,
+    op13_quality)}
 ORACLES: dict[str, str] = {"op4_pareto_mix": mixing.oracle(), "op8_warc": warc.ORACLE,
                            "op11_conversation_repair": conversations.oracle(),
                            "op12_merkle_manifest": manifest.oracle()}
