@@ -11,17 +11,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .linear import LinearModel
 from .sequence import running_total
 
 # FIXED VALUES: model settings of the reference training run
-LOGREG = {"maxIter": 1000}
 FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8}
 SEED = 42
@@ -77,23 +77,31 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def estimators(label: str = "label", weight: str | None = "weight",
-               forest: dict | None = None, boosted: dict | None = None,
-               logreg: dict | None = None) -> dict:
-    """The three candidate models (TRN-1..3) with the reference settings."""
+               forest: dict | None = None, boosted: dict | None = None) -> dict:
+    """The two tree ensembles (TRN-2, TRN-3) with the reference settings; the third
+    candidate is ``linear.fit_logistic`` (TRN-1)."""
     common = {"labelCol": label, "featuresCol": "features"}
-    lr = LogisticRegression(**common, **(logreg or LOGREG))
     rf = RandomForestClassifier(**common, seed=SEED, **(forest or FOREST))
     gb = GBTClassifier(**common, seed=SEED, **(boosted or BOOSTED))
     if weight:
-        for m in (lr, rf, gb):
+        for m in (rf, gb):
             m.setWeightCol(weight)
-    return {"logistic_regression": lr, "random_forest": rf, "gradient_boosting": gb}
+    return {"random_forest": rf, "gradient_boosting": gb}
 
 
 def fit(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
     return Pipeline(stages=[assembler(features), estimator]).fit(df)
 
 
+def predicted(model, df: DataFrame, out: str = "score") -> DataFrame:
+    """``df`` with the positive class's probability ``out`` and ``prediction`` (1 above
+    one half) of a fitted pipeline or a ``LinearModel``."""
+    if isinstance(model, LinearModel):
+        return df.withColumn(out, model.probability()) \
+            .withColumn("prediction", (F.col(out) > 0.5).cast("double"))
+    return positive_probability(model.transform(df), out).drop("features", "rawPrediction", "probability")
+
+
 def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
     return pred.withColumn(out, vector_to_array("probability")[1])
 
@@ -178,14 +186,13 @@ def best_model(results: DataFrame, name: str = "model", by: str = "auc") -> Data
     return results.agg(F.min_by(name, F.struct(-F.col(by), F.col(name))).alias("best_model"), F.max(by).alias(by))
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
+def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
     """Global importance per feature (TRN-8): tree importances or |coefficient|.
     The table has one row per feature."""
-    m = model.stages[-1]
-    if hasattr(m, "featureImportances"):
-        vals = m.featureImportances.toArray().tolist()
+    if isinstance(model, LinearModel):
+        vals = [abs(w) for w in model.weights]
     else:
-        vals = [abs(v) for v in m.coefficients.toArray().tolist()]
+        vals = model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, vals)],
                                "feature string, importance double")
     return df.withColumn("display_name", S.display_name("feature"))
@@ -198,16 +205,15 @@ def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
 
 
 # ------------------------------------------------------------------ scoring
-def score_batch(model: PipelineModel, df: DataFrame, closed: str = "left") -> DataFrame:
+def score_batch(model, df: DataFrame, closed: str = "left") -> DataFrame:
     """Vectorised batch scoring (SCO-3): probability, level, percent, advice.
 
     The scorer uses the threshold rule (``>= .6`` High, ``>= .3`` Medium).
     """
-    p = positive_probability(model.transform(df), "risk_score")
     # the score is rounded first; level, percent and advice follow from it
-    p = p.withColumn("risk_score", F.bround("risk_score", 4))
+    p = predicted(model, df, "risk_score").withColumn("risk_score", F.bround("risk_score", 4))
     lvl = S.risk_level("risk_score", closed)
-    return (p.drop("features", "rawPrediction", "probability", "prediction")
+    return (p.drop("prediction")
             .withColumn("risk_percentage", S.percent_even("risk_score", 1))
             .withColumn("risk_level", lvl)
             .withColumn("recommendation", S.recommendation(lvl)))
@@ -219,12 +225,11 @@ def linear_contributions(model, df: DataFrame, features: Sequence[str], key: str
     """Per-row additive contributions ``w_j (x_j - mean_j)`` of a logistic
     model in log-odds, plus ``base = w·mean + b`` (EXP-1). Means are those of
     ``background`` (the training rows), one aggregate row broadcast to every row.
-    ``model`` is a fitted pipeline or a pair (coefficients, intercept)."""
-    if isinstance(model, tuple):
-        w, b = list(model[0]), float(model[1])
+    ``model`` is a ``LinearModel`` or a pair (coefficients, intercept)."""
+    if isinstance(model, LinearModel):
+        w, b = list(model.weights), model.bias
     else:
-        lr = model.stages[-1]
-        w, b = lr.coefficients.toArray().tolist(), float(lr.intercept)
+        w, b = list(model[0]), float(model[1])
     means = (df if background is None else background).agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(features)])
     j = df.select(key, *features).crossJoin(F.broadcast(means))
     contrib = [(F.lit(w[i]) * (F.col(c) - F.col(f"__m_{i}"))).alias(c)

@@ -9,7 +9,6 @@ the schema, not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import materialize
+from .gram import moments
 from .joins import BROADCAST_ROWS
 from .quantiles import grouped_exact_quantiles
 from .shape import columns_of_kind
@@ -58,36 +58,19 @@ def dtypes_table(df: DataFrame) -> DataFrame:
 
 
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered column pair, long form (AGG-25).
-
-    One aggregate pass computes all ``k*(k-1)/2`` pairs; the diagonal is 1.
-    """
-    pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"__c_{i}") for i, (a, b) in enumerate(pairs)])
-    names = [(f"{a}|{b}", f"__c_{i}") for i, (a, b) in enumerate(pairs)]
-    long = wide.selectExpr(_stack(names, "pair", "corr"))
-    ab = long.select(F.split("pair", r"\|").alias("p"), "corr")
-    a, b = F.col("p")[0], F.col("p")[1]
-    # both directions from the one aggregated row
-    both = ab.select("corr", F.explode(F.array(F.struct(a.alias("col_a"), b.alias("col_b")),
-                                               F.struct(b.alias("col_a"), a.alias("col_b")))).alias("d"))
-    both = both.select("d.col_a", "d.col_b", "corr")
-    diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols],
-                                           "col_a string, col_b string, corr double")
-    return both.unionByName(diag)
+    """Pearson correlation of every ordered column pair over the rows that have both,
+    long form (AGG-25). One pass folds all cross products (``gram``); the diagonal is 1."""
+    return moments(df, cols).select(F.col("a").alias("col_a"), F.col("b").alias("col_b"),
+                                    F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("corr")).alias("corr"))
 
 
 def top_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.3,
                    n: int = 20) -> DataFrame:
     """Lower-triangle pairs with |r| > threshold, largest signed r first (TOP-6)."""
-    idx = {c: i for i, c in enumerate(cols)}
-    pairs = [(a, b) for a, b in combinations(cols, 2) if idx[a] < idx[b]]
-    wide = df.agg(*[F.corr(a, b).alias(f"__c_{i}") for i, (a, b) in enumerate(pairs)])
-    long = wide.selectExpr(_stack([(f"{a}|{b}", f"__c_{i}") for i, (a, b) in enumerate(pairs)],
-                                  "pair", "corr"))
-    out = (long.select(F.split("pair", r"\|")[0].alias("feature_1"),
-                       F.split("pair", r"\|")[1].alias("feature_2"), "corr")
-           .where(F.abs("corr") > F.lit(threshold)))
+    place = {c: i for i, c in enumerate(cols)}
+    at = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    out = (moments(df, cols).where((at[F.col("a")] < at[F.col("b")]) & (F.abs("corr") > F.lit(threshold)))
+           .select(F.col("a").alias("feature_1"), F.col("b").alias("feature_2"), "corr"))
     return out.orderBy(F.col("corr").desc(), "feature_1", "feature_2").limit(n)
 
 

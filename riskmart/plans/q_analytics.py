@@ -770,6 +770,32 @@ def q_corr_dependent(spark, d):
     return P.top_corr_pairs(x, ["q", "minus_q", "near_q"], 0.3, 2)
 
 
+# sixty columns by rule, with nulls of their own, over the line items
+WIDE = [f"w{i}" for i in range(60)]
+
+
+def _wide_sql(i: int) -> str:
+    """A mix of the line's numbers with column i's own signs and gaps."""
+    sign = -1 if i % 3 == 1 else 1
+    mix = f"l_quantity * {i % 7 + 1} + {sign} * (l_extendedprice / {100 * (i % 11 + 1)}) + 1000.0 * l_discount * {i % 5} + 1e6"
+    return f"CASE WHEN (l_orderkey + l_linenumber * {i + 1}) % {i % 13 + 5} > 0 THEN CAST({mix} AS DOUBLE) END AS w{i}"
+
+
+WIDE_SQL = "SELECT " + ", ".join(_wide_sql(i) for i in range(60)) + " FROM "
+
+
+@query("corr_wide", ops=("AGG-25", "TOP-6"), sql=f"""
+WITH wide AS ({WIDE_SQL} lineitem),
+c AS (SELECT {", ".join(f"corr({a}, {b}) AS {a}_{b}" for i, a in enumerate(WIDE) for b in WIDE[i + 1:])} FROM wide)
+SELECT split_part(pair, '_', 1) AS col_a, split_part(pair, '_', 2) AS col_b, ROUND(corr, 7) AS corr
+FROM (UNPIVOT c ON COLUMNS(*) INTO NAME pair VALUE corr)""")
+def q_corr_wide(spark, d):
+    """All 1,770 pairs of 60 columns with gaps in one pass, large offset included."""
+    wide = T.load(spark, d, "lineitem").selectExpr(*[_wide_sql(i) for i in range(60)])
+    return P.corr_long(wide, WIDE).where(F.expr("int(substr(col_a, 2)) < int(substr(col_b, 2))")) \
+        .withColumn("corr", F.round("corr", 7))
+
+
 # ------------------------------------------------------------------ scalars, text and time
 @query("const_flags_casts", ops=("SCA-11", "SCA-13", "SCA-20", "PRJ-6"), sql=G.with_ctes(G.SILVER, """
 SELECT patient_id,

@@ -99,7 +99,7 @@ def test_model_auc_and_reload(spark):
     rows = [(float(i % 10), float((i * 7) % 13), 1.0 if i % 10 >= 5 else 0.0) for i in range(400)]
     df = spark.createDataFrame(rows, "x1 double, x2 double, label double")
     df = ML.class_weights(df)
-    model = ML.fit(df, ["x1", "x2"], ML.estimators("label", "weight")["logistic_regression"])
+    model = ML.fit(df, ["x1", "x2"], ML.estimators("label", "weight", forest={"numTrees": 8, "maxDepth": 5})["random_forest"])
     pred = ML.positive_probability(model.transform(df), "score")
     m = ML.evaluate(pred, "label").first()
     assert m["auc"] > 0.9 and m["accuracy"] > 0.9
