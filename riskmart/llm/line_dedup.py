@@ -1,9 +1,9 @@
 """Operator 5: fuzzy line de-duplication by MinHash.
 
-A line takes part if it has at least ``min_words`` words or ``min_chars`` characters
-(a line of a script without blanks is one word). Shorter ones repeat by chance: they
-are compared as exact copies only, and only if at least ``short_docs`` documents hold
-them; the others stay. A line's character shingles (of the trimmed line, A-Z
+A line is compared by its shingles if it has at least ``min_words`` words or
+``min_chars`` characters (a line of a script without blanks is one word). Shorter ones,
+of which a few characters decide, are compared as exact copies only: all of them with
+``short_docs`` 1, as the registered query and the pipeline take it. A line's character shingles (of the trimmed line, A-Z
 lower-cased) give one-permutation MinHash values, cut into bands. Equal lines are
 one node. Lines that share a band value are compared with the smallest node of that
 band by exact Jaccard similarity of their shingle sets; links become components by
@@ -31,6 +31,7 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 JACCARD = 0.8
 MIN_WORDS, MIN_CHARS = 5, 25
+HELD = 500_000                # shingles a verifying task keeps (some 40 MB)
 SHORT_DOCS = 10
 ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -162,13 +163,17 @@ def _line_texts(batches):
 def _verify(k: int, jaccard: float):
     def run(batches):
         known: dict = {}
+        held = 0
 
         def shingles(node: int, line: str) -> set:
+            nonlocal held
             s = known.get(node)
             if s is None:
-                if len(known) > 512:
+                if held > HELD:
                     known.clear()
+                    held = 0
                 s = known[node] = {line[i:i + k] for i in range(max(1, len(line) - k + 1))}
+                held += len(s)
             return s
 
         for batch in batches:
@@ -212,9 +217,9 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     """doc_id, line_no (from 0), keep_doc_id, keep_line_no, kept: one row per line
     that takes part; ``keep_*`` names the line that stays for its component.
 
-    Null or empty texts and blank lines give no rows, nor do lines below both
-    ``min_words`` and ``min_chars`` that fewer than ``short_docs`` documents hold (none
-    of them with None); from there on their exact copies are one component.
+    Null or empty texts and blank lines give no rows. Exact copies of lines below both
+    ``min_words`` and ``min_chars`` are one component, those that at least ``short_docs``
+    documents hold: every one with 1, none with None (the others give no row).
     Rows with a null id take no part. A row repeated with its id holds the same lines
     at the same places: they are one line each. Other columns are not read. An empty
     table gives an empty result.
@@ -230,6 +235,7 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     hubs = store(rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("top"))
                  .where("hub < top").select("band", "hub"), "op5-hubs")
     shared = store(rows.join(hubs, "band").select("band", "h", "hub").distinct(), "op5-shared")
+    drop_stored(hubs)
     pairs = store(shared.where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(),
                   "op5-pairs")
     need = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
@@ -237,8 +243,9 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
              .agg(F.min("doc_id").alias("doc_id")))
     wanted = (lines.join(place, ["h", "doc_id"]).groupBy("h", "doc_id").agg(F.min("line_no").alias("line_no"))
               .groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted")))
-    texts = store(src.join(store(wanted, "op5-wanted"), "doc_id")
-                  .mapInArrow(_line_texts, "h long, line string").dropDuplicates(["h"]), "op5-texts")
+    wanted = store(wanted, "op5-wanted")
+    texts = store(src.join(wanted, "doc_id").mapInArrow(_line_texts, "h long, line string").dropDuplicates(["h"]), "op5-texts")
+    drop_stored(wanted)
 
     def verified(p: DataFrame) -> DataFrame:
         a = texts.select(F.col("h").alias("a"), F.col("line").alias("ta"))
@@ -252,20 +259,23 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     # a prefix and position filter leaves
     label = store(shared.where("h != hub").join(comp.withColumnRenamed("node", "h"), "h", "left")
                   .select("band", "h", F.coalesce("component", "h").alias("c")), "op5-label")
+    drop_stored(shared)
     mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("band"), "op5-mixed")
     members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
                     .agg(F.first("c").alias("c"), F.collect_set("band").alias("keys")), "op5-members")
+    drop_stored(label, mixed)
     sets = (texts.join(members.select(F.col("node").alias("h")), "h")
             .select("h", F.col("line").cast("binary").alias("line"))
             .mapInArrow(_elements(k), "node long, elems array<long>").select("node", F.explode("elems").alias("e")))
     rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
+    drop_stored(members, pairs)
     more = verified(rest)
     if not more.isEmpty():
         comp = connected_components(links.union(more))
-    drop_stored(hubs, shared, pairs, texts)
-    part = lines.select("doc_id", "line_no", "h")
-    if short_docs is not None:
+    drop_stored(texts, rest)
+    part = (every if short_docs == 1 else lines).select("doc_id", "line_no", "h")
+    if short_docs is not None and short_docs > 1:
         short = every.where("short").select("doc_id", "line_no", "h")
         common = store(short.select("h", "doc_id").distinct().groupBy("h").count()
                        .where(F.col("count") >= short_docs).select("h"), "op5-short")

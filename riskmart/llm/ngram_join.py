@@ -16,7 +16,11 @@ documents that merely share a common passage do not meet.
 
 Documents with equal sets form one class. Within a signature every class is
 verified against the smallest one (the hub), which keeps the pairs linear in the
-signatures however many near copies there are. Only where a signature's classes
+signatures however many near copies there are. Before a text travels, a pair must pass
+two tests that no qualifying pair fails: of sizes, and of cell sums. A class carries one
+byte per cell of its hash domain, the sum of its hashes there; a qualifying pair differs
+in at most k elements, so in at most k cells, while documents that share a passage differ
+in most of them. Only where a signature's classes
 are still in different components after that, the remaining pairs between those
 components that a prefix and position filter leaves are verified too, so no link
 that could join components is left out.
@@ -38,6 +42,7 @@ from .prefix_filter import open_pairs
 from .tokens import NOT_SPACE, mix, shingle_sets, text_blocks, words
 
 WEAK = 3
+HELD = 4_000_000      # shingles a verifying task keeps (32 MB)
 SMALL_K = 32          # up to this distance: three cells a group, subsets of two
 
 
@@ -81,6 +86,16 @@ class Bands:
             elif b[1] < n:
                 break
 
+    def cells(self, u: np.ndarray) -> bytes:
+        """Sum of the mixed hashes, modulo 256, in each cell of the domain: a power of
+        two of cells, above twice the distance a set of this size may have."""
+        spread = 2 * ((100 - self.percent) * 2 * len(u) // (100 + self.percent)) + 16
+        bits = int(spread - 1).bit_length()
+        at = (u >> np.uint64(64 - bits)).astype(np.int64)
+        sums = np.zeros(1 << bits, dtype=np.uint8)
+        np.add.at(sums, at, (mix(u) & np.uint64(0xFF)).astype(np.uint8))
+        return sums.tobytes()
+
     def signatures(self, u: np.ndarray) -> np.ndarray:
         """Signatures of a sorted set of uniform 64-bit hashes."""
         n = len(u)
@@ -115,9 +130,10 @@ def _heads(percent: int, k: int):
             ids = batch.column(0)
             for lo, hi, buf, off in text_blocks(batch.column(1)):
                 h, _, _, first = words(buf, off, NOT_SPACE)
-                n, key, sig, count = [], [], [], [0]
+                n, key, sig, cell, count = [], [], [], [], [0]
                 for _, u in shingle_sets(h, first, k):
                     n.append(len(u))
+                    cell.append(bands.cells(u))
                     key.append(xxhash.xxh3_128_intdigest(u.tobytes()))
                     s = bands.signatures(u)
                     sig.append(s)
@@ -128,17 +144,43 @@ def _heads(percent: int, k: int):
                 k2 = np.array([x & m for x in key], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2),
+                     pa.array(cell, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(count, pa.int32()),
                                               pa.array(flat.view(np.int64)))],
-                    names=["doc_id", "n", "k1", "k2", "sigs"])
+                    names=["doc_id", "n", "k1", "k2", "cells", "sigs"])
+    return run
+
+
+def cell_distance(x: bytes, y: bytes) -> int:
+    """Cells in which two sets' sums differ; the finer partition is folded first."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(u) < len(v):
+        u, v = v, u
+    if len(u) > len(v):
+        u = u.reshape(len(v), -1).sum(axis=1, dtype=np.uint8)
+    return int(np.count_nonzero(u != v))
+
+
+def _close(percent: int):
+    """Pairs (a, b, na, nb, ca, cb) whose cells differ in no more than a qualifying pair may."""
+    def run(batches):
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            ca, cb = batch.column(4), batch.column(5)
+            keep = np.array([(100 + percent) * cell_distance(ca[i].as_py(), cb[i].as_py()) <= (100 - percent) * int(size[i])
+                             for i in range(batch.num_rows)], dtype=bool)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
     return run
 
 
 def _verify(percent: int, k: int):
     def run(batches):
         kept: OrderedDict = OrderedDict()
+        held = 0
 
         def sets(key, text):
+            nonlocal held
             if key in kept:
                 kept.move_to_end(key)
                 return kept[key]
@@ -146,8 +188,9 @@ def _verify(percent: int, k: int):
             h, _, _, first = words(buf, np.array([0, len(buf)]), NOT_SPACE)
             u = next(shingle_sets(h, first, k))[1]
             kept[key] = u
-            if len(kept) > 256:
-                kept.popitem(last=False)
+            held += len(u)
+            while held > HELD and len(kept) > 1:
+                held -= len(kept.popitem(last=False)[1])
             return u
 
         for batch in batches:
@@ -184,14 +227,16 @@ def _elements(k: int):
     return run
 
 
-def _open_pairs(open_rows: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def _open_pairs(open_rows: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
     members = store(open_rows.groupBy(F.col("rep").alias("node"))
                     .agg(F.first("c").alias("c"), F.collect_set("sig").alias("keys")), "op1-members")
-    sets = (texts.join(members.select(F.col("node").alias("doc_id")), "doc_id")
-            .select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+    sets = (src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+            .select(F.col("doc_id").alias("node"), "text")
             .mapInArrow(_elements(k), "node long, elems array<long>")
-            .select("node", F.explode("elems").alias("e")))
-    return open_pairs(members, sets, percent)
+            .select("node", F.explode("elems").alias("e")).distinct())
+    out = open_pairs(members, sets, percent)
+    drop_stored(members)
+    return out
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
@@ -210,44 +255,57 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
     prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.col(text_col).cast("string").alias("text"))
-    heads = store(src.mapInArrow(_heads(percent, k),
-                                 "doc_id long, n long, k1 long, k2 long, sigs array<long>"),
-                  "op1-heads")
+    first = store(src.mapInArrow(_heads(percent, k), "doc_id long, n long, k1 long, k2 long, cells binary, sigs array<long>"),
+                  "op1-first")
     key = ["n", "k1", "k2"]
-    classes = store(heads.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
+    classes = store(first.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
                     .agg(F.min("doc_id").alias("rep")), "op1-classes")
-    rows = (heads.where("n > 0")
-            .join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
-            .select(F.col("doc_id").alias("rep"), "n", F.explode("sigs").alias("sig")))
-    rows = store(rows, "op1-sigs")
-    hubs = (rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
-            .where("hub < top").select("sig", "hub"))
-    shared = store(rows.join(hubs, "sig"), "op1-shared")
-    drop_stored(rows)
-    pairs = store(shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-                  .distinct(), "op1-pairs")
-    texts = store(src.join(shared.select(F.col("rep").alias("doc_id")).distinct(),
-                           "doc_id", "left_semi").distinct(), "op1-texts")
-
-    def verified(p: DataFrame) -> DataFrame:
+    # one row per class from here on; the documents keep their class's key only
+    reps = store(first.where("n > 0")
+                 .join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
+                 .select(F.col("doc_id").alias("rep"), "n", "cells", "sigs"), "op1-reps")
+    heads = store(first.select("doc_id", *key), "op1-heads")
+    drop_stored(first)
+    rows = reps.select("rep", F.explode("sigs").alias("sig"))
+    hubs = store(rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
+                 .where("hub < top").select("sig", "hub"), "op1-hubs")
+    shared = store(rows.join(hubs, "sig").where("rep != hub"), "op1-shared")
+    drop_stored(hubs)
+    cells = store(reps.select("rep", "n", "cells"), "op1-cells")
+    drop_stored(reps)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among the pairs (a, b): sizes and cells first, then texts."""
+        def side(x: str) -> DataFrame:
+            return cells.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+        fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        near = store(pairs.join(side("a"), "a").join(side("b"), "b").where(fit)
+                     .select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_close(percent), "a long, b long")
+                     .distinct(), "op1-near")
+        need = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+        texts = store(src.join(need, "doc_id", "left_semi").distinct(), "op1-texts")
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("ta"))
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("tb"))
-        joined = p.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-        return joined.mapInArrow(_verify(percent, k), "a long, b long")
+        joined = near.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+        out = store(joined.mapInArrow(_verify(percent, k), "a long, b long"), name)
+        drop_stored(near, texts)
+        return out
 
-    links = store(verified(pairs), "op1-links")
+    links = verified(shared.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "op1-links")
     comp = connected_components(links)
-    label = (shared.where("rep != hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-             .withColumn("c", F.coalesce("component", "rep")).drop("component"))
+    label = (shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("sig", "rep", F.coalesce("component", "rep").alias("c")))
     label = store(label, "op1-labels")
+    drop_stored(shared)
     mixed = store(label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("sig"), "op1-mixed")
-    rest = store(_open_pairs(label.join(mixed, "sig"), texts, percent, k), "op1-rest")
-    more = store(verified(rest), "op1-more")
+    rest = _open_pairs(label.join(mixed, "sig"), src, percent, k)
+    drop_stored(label, mixed)
+    more = verified(rest, "op1-more")
     if not more.isEmpty():
         comp = connected_components(links.union(more))
-    drop_stored(shared, pairs, texts, label, mixed, rest)
-    return (heads.select("doc_id", *key).join(classes, key, "left")
+    drop_stored(cells, rest)
+    return (heads.join(classes, key, "left")
             .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(),

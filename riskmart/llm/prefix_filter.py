@@ -1,12 +1,24 @@
-"""Prefix and position filter for the pairs that signatures leave open."""
+"""Prefix, position and parity filter for the pairs that signatures leave open."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, store
 
+PARITY = 256          # bits of a set's parity sketch, in longs
+WORDS = [f"b{i}" for i in range(PARITY // 64)]
+
+
+def parity_bits(e: Column) -> list[Column]:
+    """Aggregates: every element flips one of ``PARITY`` bits of its set's sketch, so two
+    sketches differ in at most as many bits as the sets differ in elements."""
+    at = F.pmod(e, F.lit(PARITY))
+    bit = F.expr("shiftleft(1L, cast(pmod(e, 64) as int))")
+    return [F.bit_xor(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w)
+            for i, w in enumerate(WORDS)]
+
 
 def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) node pairs that share a key, lie in different components and can have
@@ -16,32 +28,39 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     (elements of the node's set, distinct). With every set sorted by rarity, a
     qualifying pair has a common element among the first n - ceil(p n) + 1 of the
     larger and the first n - ceil(2 p n / (1 + p)) + 1 of the smaller set, and what
-    stands before the first common element counts against the overlap. Near copies
-    that each hold elements of their own drop out without being paired. Only the first
-    common element pairs two sets, so a pair is made once.
+    stands before it counts against the overlap. Near copies that each hold elements of
+    their own drop out without being paired: their parity sketches differ in more bits
+    than a qualifying pair may differ in elements. A row of the join holds one element
+    and a sketch, no arrays; shared keys are tested once per pair that is left.
     """
     sets = store(sets, "open-sets")
-    freq = store(sets.groupBy("e").agg(F.count("*").alias("df")), "open-df")
-    prefix = (sets.join(freq, "e").groupBy("node")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-              .withColumn("n", F.size("es").cast("long"))
+    freq = store(sets.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "open-df")
+    per = sets.join(freq, "e", "left").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"),
+        *parity_bits(F.col("e")))
+    prefix = (per.withColumn("n", F.size("es").cast("long"))
               .withColumn("es", F.slice("es", F.lit(1),
                                         (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")))
-              .join(members, "node")
-              .select("node", "n", "c", "keys", F.expr("filter(es, v -> v.df > 1).e").alias("common"),
-                      F.posexplode("es").alias("p", "x"))
-              .where("x.df > 1")
-              .select("node", "n", "c", "keys", "p", F.col("x.e").alias("e"),
-                      F.slice("common", F.lit(1), F.array_position("common", F.col("x.e")).cast("int") - 1)
-                      .alias("before")))
+              .join(members.select("node", "c"), "node")
+              .select("node", "n", "c", *WORDS, F.posexplode("es").alias("p", "x")).where("x.df > 1")
+              .select("node", "n", "c", *WORDS, "p", F.col("x.e").alias("e")))
     prefix = store(prefix, "open-prefix")
     drop_stored(sets, freq)
     short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
     x, y = prefix.where(F.col("p") < short).alias("x"), prefix.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     left = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-    return (x.join(y, F.col("x.e") == F.col("y.e"))
-            .where(smaller & (F.col("x.c") != F.col("y.c"))
-                   & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
-                   & ~F.arrays_overlap("x.before", "y.before") & F.arrays_overlap("x.keys", "y.keys"))
+    both = F.col("x.n") + F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WORDS), F.lit(0))
+    near = (x.join(y, F.col("x.e") == F.col("y.e"))
+            .where(smaller & (F.col("x.c") != F.col("y.c")) & ((100 + percent) * left >= percent * both)
+                   & ((100 + percent) * differ <= (100 - percent) * both))
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    near = store(near, "open-near")
+    drop_stored(prefix)
+    keys = members.select("node", "keys")
+    out = store(near.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a")
+                .join(keys.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+                .where(F.arrays_overlap("ka", "kb")).select("a", "b"), "open-pairs")
+    drop_stored(near)
+    return out

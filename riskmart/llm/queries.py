@@ -30,7 +30,7 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_components(table(spark, sf_dir, "documents"))
+    return line_dedup.line_components(table(spark, sf_dir, "documents"), short_docs=1)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

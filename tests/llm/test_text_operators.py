@@ -6,9 +6,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskmart.llm import decontaminate, langid, licences, line_dedup, mixing, ngram_join, pii, toxicity
+from riskmart.llm import decontaminate, langid, licences, line_dedup, mixing, ngram_join, pii, prefix_filter, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "re", "sta", "vo", "zi") for b in ("n", "r", "s", "ta", "lo", "de")]
@@ -63,6 +65,41 @@ def components(ids, linked):
     return root
 
 
+def test_cells_never_reject_a_qualifying_pair():
+    rnd = np.random.default_rng(4)
+    refused = 0
+    for percent in (80, 90):
+        bands = ngram_join.Bands(percent)
+        for n in (1, 2, 9, 40, 300, 1500):
+            for _ in range(60):
+                base = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+                gone = rnd.integers(0, max(1, n // 3) + 1)
+                other = np.unique(np.concatenate((base[gone:], rnd.integers(0, 2**64, rnd.integers(0, n // 3 + 1), dtype=np.uint64))))
+                if not len(other):
+                    continue
+                both = len(np.intersect1d(base, other))
+                far = ngram_join.cell_distance(bands.cells(base), bands.cells(other))
+                size = len(base) + len(other)
+                passes = (100 + percent) * far <= (100 - percent) * size
+                assert passes or 100 * both < percent * (size - both)
+                refused += not passes
+    assert refused > 300
+
+
+def test_parity_sketch_bounds_the_difference(spark):
+    rnd = np.random.default_rng(5)
+    sets = {i: set(rnd.integers(-2**63, 2**63 - 1, 30 + i).tolist()) for i in range(8)}
+    sets[8] = set(list(sets[0])[3:]) | {5, -7}
+    df = spark.createDataFrame([(i, e) for i, s in sets.items() for e in s], "node int, e long")
+    bits = {r["node"]: [r[w] & (2**64 - 1) for w in prefix_filter.WORDS]
+            for r in df.groupBy("node").agg(*prefix_filter.parity_bits(F.col("e"))).collect()}
+    for a in sets:
+        for b in sets:
+            differ = sum(bin(x ^ y).count("1") for x, y in zip(bits[a], bits[b]))
+            assert differ <= len(sets[a] ^ sets[b])
+    assert sum(bin(x ^ y).count("1") for x, y in zip(bits[1], bits[2])) > 30
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_ngram_components(spark, k, percent):
     rows = documents()
