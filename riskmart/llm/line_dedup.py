@@ -6,7 +6,9 @@ of which a few characters decide, are compared as exact copies only: all of them
 ``short_docs`` 1, as the registered query and the pipeline take it. A line's character shingles (of the trimmed line, A-Z
 lower-cased) give one-permutation MinHash values, cut into bands. Equal lines are
 one node. Lines that share a band value are compared with the smallest node of that
-band by exact Jaccard similarity of their shingle sets; links become components by
+band by exact Jaccard similarity of their shingle sets, those still apart in ``HUB_ROUNDS``
+more rounds with a node of the band's largest component, and what is apart then with every
+line that a filter leaves; links become components by
 a distributed union-find, and the first line (by document id, then place) of every
 component is kept.
 
@@ -29,6 +31,7 @@ from .tokens import LOWER, mix, odd, text_blocks
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
+HUB_ROUNDS = 2
 JACCARD = 0.8
 MIN_WORDS, MIN_CHARS = 5, 25
 HELD = 500_000                # shingles a verifying task keeps (some 40 MB)
@@ -211,6 +214,31 @@ def _set(text: pa.Buffer, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(cp, k))
 
 
+def _next_hubs(label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the bands whose lines are apart, pairs of their lines with a line of the
+    band's largest component): one pair per row, so linear in the bands."""
+    parts = store(label.groupBy("band", "c").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("h", F.lit(turn))).alias("hub")),
+                  "op5-parts")
+    top = (parts.groupBy("band").agg(F.max_by(F.struct("c", "hub"), F.struct("n", "c")).alias("t"), F.count("*").alias("k"))
+           .where("k > 1").select("band", F.col("t.c").alias("tc"), F.col("t.hub").alias("hub")))
+    apart = store(label.join(top, "band"), "op5-apart")
+    drop_stored(parts, label)
+    pairs = apart.where("c != tc").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
+    return apart.select("band", "h", "c"), pairs
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (band, h, c) with the components that ``links`` join taken together."""
+    c = store(label.select("h", "c").distinct(), "op5-node-c")
+    edges = (links.join(c.select(F.col("h").alias("a"), F.col("c").alias("ca")), "a")
+             .join(c.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b").select("ca", "cb"))
+    into = connected_components(edges, "ca", "cb")
+    out = store(label.join(into.select(F.col("node").alias("c"), "component"), "c", "left")
+                .select("band", "h", F.coalesce("component", "c").alias("c")), "op5-label")
+    drop_stored(c)
+    return out
+
+
 def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, jaccard: float = JACCARD,
                     id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                     short_docs: int | None = SHORT_DOCS) -> DataFrame:
@@ -255,11 +283,19 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
 
     links = verified(pairs)
     comp = connected_components(links)
-    # bands whose lines other than the hub are still apart: every pair of those that
-    # a prefix and position filter leaves
+    # bands whose lines other than the hub are still apart: their lines meet a hub of the
+    # largest component of the band, another one in every round
     label = store(shared.where("h != hub").join(comp.withColumnRenamed("node", "h"), "h", "left")
                   .select("band", "h", F.coalesce("component", "h").alias("c")), "op5-label")
     drop_stored(shared)
+    found = [links]
+    for turn in range(HUB_ROUNDS):
+        label, more_pairs = _next_hubs(label, turn)
+        more_pairs = store(more_pairs.join(pairs, ["a", "b"], "left_anti"), "op5-more-pairs")
+        pairs = pairs.union(more_pairs)
+        found.append(verified(more_pairs))
+        label = _merged(label, found[-1])
+    # what is still apart: every pair that a prefix, position and parity filter leaves
     mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("band"), "op5-mixed")
     members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
@@ -270,9 +306,11 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
             .mapInArrow(_elements(k), "node long, elems array<long>").select("node", F.explode("elems").alias("e")))
     rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
     drop_stored(members, pairs)
-    more = verified(rest)
-    if not more.isEmpty():
-        comp = connected_components(links.union(more))
+    found.append(verified(rest))
+    if not all(x.isEmpty() for x in found[1:]):
+        for x in found[1:]:
+            links = links.union(x)
+        comp = connected_components(links)
     drop_stored(texts, rest)
     part = (every if short_docs == 1 else lines).select("doc_id", "line_no", "h")
     if short_docs is not None and short_docs > 1:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, store
 
-PARITY = 256          # bits of a set's parity sketch, in longs
+PARITY = 512          # bits of a set's parity sketch, in longs
 WORDS = [f"b{i}" for i in range(PARITY // 64)]
 
 
