@@ -17,6 +17,21 @@ THRESHOLD = 0.7
 SHINGLE, PERCENT = 5, 80
 
 
+ROW = "__row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``: the id, or a number of its own (above all usual ids) for a
+    text whose id also names other texts. Equal rows share it; it is null without an id."""
+    key = decontaminate.text_key(F.col("doc_id"), F.col("text"))
+    many = (docs.select(F.col("doc_id").alias("__id"), key.alias("__key")).where("__id IS NOT NULL")
+            .groupBy("__id").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi")).where("lo < hi").select("__id"))
+    many = common.store(many, "pipeline-repeated-ids")
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", key), 2)
+    return (docs.join(many, F.col("doc_id").cast("long") == F.col("__id"), "left")
+            .withColumn(ROW, F.when(F.col("__id").isNull(), F.col("doc_id").cast("long")).otherwise(own)).drop("__id"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``THRESHOLD`` by a model fitted on ``labels``."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
@@ -24,24 +39,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that (nearly) repeat an earlier one; ``n_chars`` follows."""
-    out = line_dedup.drop_lines(docs, line_dedup.line_components(docs))
+    """Texts without lines that (nearly) repeat an earlier one; ``n_chars`` follows.
+    Texts whose id names several come after the others."""
+    rows = with_row(docs)
+    out = line_dedup.drop_lines(rows, line_dedup.line_components(rows, id_col=ROW, short_docs=1), id_col=ROW)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies. Rows without
-    an id stay; a row repeated with its id stays once."""
-    groups = common.store(ngram_join.ngram_components(docs, k=SHINGLE, percent=PERCENT), "groups")
-    others = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The document with the smallest id of every group of near copies; texts whose id
+    names several come after the others and are judged each by itself. Rows without an
+    id stay; a row repeated with its id and text stays once."""
+    rows = with_row(docs)
+    groups = common.store(ngram_join.ngram_components(rows, k=SHINGLE, percent=PERCENT, id_col=ROW), "groups")
+    others = groups.where("doc_id != component_id").select(F.col("doc_id").alias(ROW)).distinct()
+    kept = rows.join(others, ROW, "left_anti")
+    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1") \
+        .select(F.col("doc_id").alias(ROW))
     if not again.isEmpty():
         ids = common.store(again, "repeated")
-        kept = kept.join(ids, "doc_id", "left_anti").unionByName(
-            kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(ids, ROW, "left_anti").unionByName(
+            kept.join(ids, ROW, "left_semi").dropDuplicates([ROW]))
     return kept.select(*docs.columns)
 
 
