@@ -303,7 +303,7 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     drop_stored(label, mixed)
     sets = (texts.join(members.select(F.col("node").alias("h")), "h")
             .select("h", F.col("line").cast("binary").alias("line"))
-            .mapInArrow(_elements(k), "node long, elems array<long>").select("node", F.explode("elems").alias("e")))
+            .mapInArrow(_elements(k), "node long, elems array<long>"))
     rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
     drop_stored(members, pairs)
     found.append(verified(rest))

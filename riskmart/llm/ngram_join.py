@@ -227,15 +227,16 @@ def _elements(k: int):
     return run
 
 
-def _open_pairs(open_rows: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
+def _open_pairs(open_rows: DataFrame, src: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
     members = store(open_rows.groupBy(F.col("rep").alias("node"))
                     .agg(F.first("c").alias("c"), F.collect_set("sig").alias("keys")), "op1-members")
-    sets = (src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("node"), "text")
-            .mapInArrow(_elements(k), "node long, elems array<long>")
-            .select("node", F.explode("elems").alias("e")).distinct())
+    rows = src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    # only rows whose id occurs again are compared with each other
+    many = store(heads.groupBy("doc_id").count().where("count > 1").select("doc_id"), "op1-repeated")
+    rows = rows.join(many, "doc_id", "left_anti").unionByName(rows.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sets = (rows.select(F.col("doc_id").alias("node"), "text").mapInArrow(_elements(k), "node long, elems array<long>"))
     out = open_pairs(members, sets, percent)
-    drop_stored(members)
+    drop_stored(members, many)
     return out
 
 
@@ -299,7 +300,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
     drop_stored(shared)
     mixed = store(label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("sig"), "op1-mixed")
-    rest = _open_pairs(label.join(mixed, "sig"), src, percent, k)
+    rest = _open_pairs(label.join(mixed, "sig"), src, heads, percent, k)
     drop_stored(label, mixed)
     more = verified(rest, "op1-more")
     if not more.isEmpty():
