@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_analytics, q_core, q_jobs, q_ml, q_stream  # noqa: F401
+from . import q_analytics, q_core, q_incremental, q_jobs, q_ml, q_stream  # noqa: F401
 from .registry import OPERATORS, ORACLES, QUERIES
 
 

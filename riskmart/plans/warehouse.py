@@ -6,6 +6,8 @@ The orchestrator (``medallion``) decides which layers are written.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +62,24 @@ def flag_above_quantile(df: DataFrame, column: str, out: str,
 
 def silver(raw: DataFrame, order_col: str | None = "admitted_at",
            materialize_rows: bool = True) -> DataFrame:
-    """Bronze/raw encounters (text) -> typed silver, one row per patient (JOB-4).
+    """Bronze/raw encounters (text) -> typed silver, one row per patient (JOB-4)."""
+    out = first_encounters(raw, order_col)
+    if materialize_rows:
+        # the quantile is a second pass over the same rows: read a stored copy
+        out = materialize(out, "silver-rows")
+    out = flag_above_quantile(out, "num_lab_procedures", "high_lab_procedures")
+    return out.select(*SILVER_COLUMNS)
+
+
+def first_encounters(raw: DataFrame, order_col: str | None = "admitted_at", keep: Sequence[str] = ()) -> DataFrame:
+    """Silver rows without the flag that needs all rows' quantile, and the raw columns
+    ``keep``.
 
     Keeps each patient's first encounter by (``order_col``, encounter id). Rows
     whose patient or encounter id is no number have no key: ``rejected`` lists them,
     here they are left out rather than merged into one row.
     """
+    kept = list(keep)
     present = set(raw.columns)
     # only the columns silver uses travel through the keep-first shuffle (the
     # kept row is a struct, whose fields the optimizer cannot prune); absent
@@ -73,7 +87,7 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
     used = ["age", "gender", "race", *K.NUMERIC_RAW_COLUMNS, *K.DIAG_COLUMNS, "insulin",
             "diabetesMed", "A1Cresult", *K.MEDICATION_COLS, "readmitted"]
     order = ([order_col] if order_col and order_col in present else []) + ["visit_id"]
-    keep = [c for c in dict.fromkeys(used + order[:-1]) if c in present]
+    keep = [c for c in dict.fromkeys(used + order[:-1] + kept) if c in present]
     typed = raw.select(
         F.col("patient_nbr").try_cast("long").alias("patient_id"),
         F.col("encounter_id").try_cast("long").alias("visit_id"),
@@ -89,7 +103,7 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
     # an absent medication column counts as "No"; a null value counts as 1
     med_flags = [S.not_no_flag(F.col(m)) if m in present else F.lit(0)
                  for m in K.MEDICATION_COLS]
-    out = first.select(
+    return first.select(
         "patient_id", "visit_id",
         age.alias("age"),
         S.age_group(age).alias("age_group"),
@@ -111,13 +125,8 @@ def silver(raw: DataFrame, order_col: str | None = "admitted_at",
         F.coalesce(F.col("A1Cresult"), F.lit("Unknown")).alias("a1c_result"),
         S.member_flag("insulin", ["Up", "Down"]).alias("medication_change"),
         sum(med_flags, F.lit(0)).cast("int").alias("total_medications_active"),
-        S.readmit_flag("readmitted").alias("readmitted_binary"),
+        S.readmit_flag("readmitted").alias("readmitted_binary"), *kept,
     )
-    if materialize_rows:
-        # the quantile is a second pass over the same rows: read a stored copy
-        out = materialize(out, "silver-rows")
-    out = flag_above_quantile(out, "num_lab_procedures", "high_lab_procedures")
-    return out.select(*SILVER_COLUMNS)
 
 
 def valid_ids() -> Column:
