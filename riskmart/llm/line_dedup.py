@@ -301,11 +301,11 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
     members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
                     .agg(F.first("c").alias("c"), F.collect_set("band").alias("keys")), "op5-members")
     drop_stored(label, mixed)
-    sets = (texts.join(members.select(F.col("node").alias("h")), "h")
-            .select("h", F.col("line").cast("binary").alias("line"))
-            .mapInArrow(_elements(k), "node long, elems array<long>"))
+    wide = store(texts.join(members.select(F.col("node").alias("h")), "h")
+                 .select("h", F.col("line").cast("binary").alias("line")), "op5-open-texts")
+    sets = (wide.mapInArrow(_elements(k), "node long, elems array<long>"))
     rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
-    drop_stored(members, pairs)
+    drop_stored(members, pairs, wide)
     found.append(verified(rest))
     if not all(x.isEmpty() for x in found[1:]):
         for x in found[1:]:

@@ -230,13 +230,16 @@ def _elements(k: int):
 def _open_pairs(open_rows: DataFrame, src: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
     members = store(open_rows.groupBy(F.col("rep").alias("node"))
                     .agg(F.first("c").alias("c"), F.collect_set("sig").alias("keys")), "op1-members")
-    rows = src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    # only rows whose id occurs again are compared with each other
+    # their texts are read twice, so they are fetched once
+    texts = store(src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "op1-open-texts")
+    rows = texts
     many = store(heads.groupBy("doc_id").count().where("count > 1").select("doc_id"), "op1-repeated")
-    rows = rows.join(many, "doc_id", "left_anti").unionByName(rows.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if not many.isEmpty():      # only rows whose id occurs again are compared with each other
+        rows = rows.join(many, "doc_id", "left_anti") \
+            .unionByName(rows.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     sets = (rows.select(F.col("doc_id").alias("node"), "text").mapInArrow(_elements(k), "node long, elems array<long>"))
     out = open_pairs(members, sets, percent)
-    drop_stored(members, many)
+    drop_stored(members, texts, many)
     return out
 
 
