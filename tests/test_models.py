@@ -164,3 +164,11 @@ def test_linear_model_exports_and_importance(spark):
     c = ML.linear_contributions(model, df.fillna(0.0), list(model.features), "id").first()
     assert c["num_medications"] == 0.0 and c["base"] == pytest.approx(1.1)
     assert LI.weights_table(model, spark).where(F.col("term") == "(bias)").first()["weight"] == 0.1
+
+
+def test_comparison_of_the_three_candidates(spark):
+    rows, models, _ = q_ml.train_and_evaluate(spark, SF_SMALL, forest={"numTrees": 5, "maxDepth": 3}, boosted={"maxIter": 3})
+    got = {r["model"]: r for r in rows.collect()}
+    assert set(got) == set(models) == {"logistic_regression", "random_forest", "gradient_boosting"}
+    assert all(0 <= r["auc"] <= 1 and r["tp"] + r["fp"] + r["fn"] + r["tn"] > 0 for r in got.values())
+    assert ML.best_model(rows).first()["best_model"] in models
