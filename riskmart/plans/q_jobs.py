@@ -3,6 +3,8 @@ the session's shared checkpoint folder and read back)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import tables as T
@@ -415,13 +417,29 @@ def q_views(spark, d):
     return adhoc_sql(spark, text)
 
 
-def adhoc_sql(spark, text: str, cap: int | None = None):
-    """Run one read-only statement over the registered views (QRY-10), whole
-    unless the caller asks for at most ``cap`` rows (TOP-7). Only SELECT/WITH
-    statements are accepted."""
+# plan nodes that write or run programs, and functions that call any Java method
+WRITING = re.compile(r"(?m)^[\s:+|-]*'?(Insert|Merge|Update|Delete|Create|Replace|Drop|Alter|Truncate|Load|Write|Overwrite|Append"
+                     r"|ScriptTransformation|\w+Command)")
+CALLING = re.compile(r"(?i)\b(try_reflect|reflect|java_method)\s*\(")
+
+
+def require_query(spark, text: str) -> None:
+    """ValueError unless ``text`` is one SELECT/WITH query. The statement is parsed, not
+    run: a WITH clause may also lead an INSERT, and a SELECT may run a program."""
     head = text.lstrip().split(None, 1)[0].upper() if text.strip() else ""
     if head not in ("SELECT", "WITH"):
         raise ValueError("only SELECT or WITH statements are allowed")
+    plan = spark.sql("EXPLAIN EXTENDED " + text).first()[0]
+    parsed = plan.split("== Analyzed Logical Plan ==")[0]
+    if WRITING.search(parsed) or CALLING.search(text):
+        raise ValueError("only queries are allowed")
+
+
+def adhoc_sql(spark, text: str, cap: int | None = None):
+    """Run one read-only statement over the registered views (QRY-10), whole
+    unless the caller asks for at most ``cap`` rows (TOP-7). Only SELECT/WITH
+    queries are accepted."""
+    require_query(spark, text)
     out = spark.sql(text)
     return out if cap is None else out.limit(cap)
 
