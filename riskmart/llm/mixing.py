@@ -4,9 +4,11 @@ Sources in code-point order weigh 5, 2, 1, repeating. Their targets share all
 words by weight; a target stops at ``most`` times its source's words and the rest
 is shared again until none is above. A target of f times the source's words gives
 every document floor(f) whole copies; the words still missing come from a sample
-without replacement. Documents are ranked by random odds divided by inclusion
-odds, (u / (1 - u)) / (lambda / (1 - lambda)), with inclusion odds in proportion to
-their size, and taken in that order up to a fixed number of words.
+without replacement. A document's inclusion probability lambda is min(1, c * size),
+with c per source such that the expected words, the sum of lambda * size, are those
+missing. Documents with lambda 1 are certain and come first; the others are ranked by
+random odds divided by inclusion odds, (u / (1 - u)) / (lambda / (1 - lambda)), and
+taken in that order up to the fixed number of words.
 
 The order is never sorted as a whole: ranks are cut into fine bins, bin totals
 locate the bin in which a source's words run out, and only that bin is refined
@@ -29,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BINS = 1 << 10
 FILLS = 3
+REPEATS = 1 << 14
 
 
 def size_of(text: Column) -> Column:
@@ -43,18 +46,17 @@ def random_odds(doc_id: Column, seed: int) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, filled (documents with words), weight, target of every source of (source, size).
+    """source, source_size, weight, target of every source of (source, size).
 
     The shared rate per weight is found by rounds: sources above their limit are
     set to it and the others share the rest, until no further one is above. Only
     two sums a round reach the driver."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"),
-                                      F.count(F.when(F.col("size") > 0, 1)).alias("filled"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = dense_row_id(store(per.withColumn("last", F.col("source").isNull()), "op4-sources"),
                           ["last", "source"], "pos", start=0)
     turn = F.pmod(F.col("pos"), F.lit(len(WEIGHTS)))
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (turn + 1).cast("int"))
-    src = store(ranked.select("source", "source_size", "filled", weight.cast("long").alias("weight")), "op4-weights")
+    src = store(ranked.select("source", "source_size", weight.cast("long").alias("weight")), "op4-weights")
     limit = F.lit(MOST) * F.col("source_size")
     total = src.agg(F.sum("source_size")).first()[0] or 0
     rate, above = 0.0, -1
@@ -68,7 +70,39 @@ def targets(sizes: DataFrame) -> DataFrame:
             break
         above, rate = n, (total - fixed) / share
     target = F.least(F.col("weight") * F.lit(rate), limit.cast("double"))
-    return src.select("source", "source_size", "filled", "weight", target.alias("target"))
+    return src.select("source", "source_size", "weight", target.alias("target"))
+
+
+def inclusion(sizes: DataFrame, goal: DataFrame) -> DataFrame:
+    """s, rest, squares of every source: a document is certain if rest * size >= squares,
+    else lambda = size * rest / squares.
+
+    ``rest`` are the words still needed after the certain documents and ``squares`` the
+    sum of the squared sizes of the others. Certain documents are found by rounds over
+    the counts per (source, size): taking them out lowers ``rest`` and ``squares`` and can
+    make smaller ones certain, until no further one is. One number a round reaches the driver."""
+    whole, wide = "decimal(20,0)", "decimal(38,0)"
+    hist = store(sizes.where("size > 0").groupBy("source", F.col("size").cast("decimal(12,0)").alias("size"))
+                 .agg(F.count("*").cast("decimal(15,0)").alias("n")), "op4-histogram")
+    state = goal.select("s", F.col("need").cast(whole).alias("rest"), F.lit(None).cast(wide).alias("squares"))
+    before = -1
+    while True:
+        certain = F.coalesce(F.col("rest") * F.col("size") >= F.col("squares"), F.lit(False))
+        at = hist.join(state, F.col("source").eqNullSafe(F.col("s"))).withColumn("certain", certain)
+        words = (F.col("n") * F.col("size")).cast(whole)
+        sums = at.groupBy(F.col("source").alias("hs")).agg(
+            F.sum(F.when(F.col("certain"), words).otherwise(0)).cast(whole).alias("fixed"),
+            F.sum(F.when(~F.col("certain"), words.cast("decimal(26,0)") * F.col("size")).otherwise(0))
+            .cast(wide).alias("squares"),
+            F.sum(F.when(F.col("certain"), F.col("n")).otherwise(0)).cast("long").alias("many"))
+        state = store(goal.join(sums, F.col("s").eqNullSafe(F.col("hs")))
+                      .select("s", (F.col("need") - F.col("fixed")).cast(whole).alias("rest"), "squares", "many"),
+                      "op4-inclusion")
+        many = state.agg(F.sum("many")).first()[0]
+        if many == before or many is None:
+            drop_stored(hist)
+            return state.select("s", "rest", "squares")
+        before = many
 
 
 def _prefix(rows: DataFrame, need: DataFrame, picked: str) -> DataFrame:
@@ -122,14 +156,15 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
                  .withColumn("whole", F.coalesce("whole", F.lit(0)).cast("int"))
                  .withColumn("need", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
                  .withColumnRenamed("source", "s"), "op4-goal")
-    # inclusion odds of the rest: its share of the source, in proportion to size
-    part = F.col("need") / F.nullif(F.col("source_size"), F.lit(0))
-    ahead = F.coalesce(F.try_divide(part, 1.0 - part), F.lit(1.0))
-    relative = F.col("size") * F.col("filled") / F.nullif(F.col("source_size"), F.lit(0))
+    share = inclusion(base, goal).select(F.col("s").alias("ls"), "rest", "squares")
+    # inclusion odds lambda / (1 - lambda) from whole numbers; certain documents come first
+    part = F.col("rest") * F.col("size").cast("decimal(12,0)")
+    odds = F.try_divide(part.cast("double"), (F.col("squares") - part).cast("double"))
+    q = F.when(part >= F.col("squares"), 0.0).otherwise(F.try_divide(random_odds(F.col("doc_id"), seed), odds))
     rows = (base.join(goal, F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("r", F.try_divide(random_odds(F.col("doc_id"), seed), relative))
-            .withColumn("q", F.try_divide(F.col("r"), ahead))
-            .withColumn("pos", F.coalesce(F.col("r") / (F.lit(1.0) + F.col("r")), F.lit(0.0)))
+            .join(share, F.col("source").eqNullSafe(F.col("ls")), "left")
+            .withColumn("q", F.when(F.col("size") > 0, q))
+            .withColumn("pos", F.coalesce(F.col("q") / (F.lit(1.0) + F.col("q")), F.lit(0.0)))
             .withColumn("bin", F.floor(F.col("pos") * BINS))
             .select("doc_id", "source", "size", "source_size", "target", "whole", "q", "pos", "bin"))
     rows = store(rows, "op4-ranked")
@@ -159,7 +194,10 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
         & F.col("a.source").eqNullSafe(F.col("x.source")) & (F.col("a.size") == F.col("x.size")), "left")
     drop_stored(base)
     return (joined.select("a.*", F.coalesce("x.more", F.lit(0)).alias("more"))
-            .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+            # repeats one by one, in runs of REPEATS, so that none is one long array
+            .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+            .withColumn("k", F.explode(F.sequence(F.col("run") * REPEATS + 1,
+                                                  F.least("n", (F.col("run") + 1) * REPEATS))))
             .withColumn("copies", F.col("whole") + (F.col("k") <= F.col("more")).cast("int"))
             .select("doc_id", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source"))
@@ -182,7 +220,7 @@ got{i} AS (SELECT r.doc_id, r.source, r.size, r.q,
     return f"""
 WITH base AS (SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {documents}),
-per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (size > 0) AS filled FROM base GROUP BY source),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 src AS (SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3
     WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS weight FROM per),
 total AS (SELECT CAST(sum(source_size) AS BIGINT) AS t, CAST(sum(weight) AS BIGINT) AS w FROM src),
@@ -198,14 +236,21 @@ tgt AS (SELECT src.*, CASE WHEN rate IS NULL THEN CAST({MOST} * source_size AS D
     ELSE least(weight * rate, CAST({MOST} * source_size AS DOUBLE)) END AS target FROM src, best),
 goal0 AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(floor(target / source_size), {MOST}) AS INT) END AS whole FROM tgt),
 goal AS (SELECT *, CAST(round(target - whole * source_size) AS BIGINT) AS need FROM goal0),
+hist AS (SELECT b.source, b.size, CAST(count(*) AS HUGEINT) AS n, any_value(g.need) AS need
+  FROM base b JOIN goal g ON g.source IS NOT DISTINCT FROM b.source WHERE b.size > 0 GROUP BY b.source, b.size),
+upto AS (SELECT source, size, need,
+    need - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(n * size * size) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS squares FROM hist),
+sure AS (SELECT source, min(size) AS least FROM upto WHERE rest * size >= squares GROUP BY source),
+share AS (SELECT h.source, any_value(h.need) - coalesce(sum(h.n * h.size) FILTER (h.size >= s.least), 0) AS rest,
+    coalesce(sum(h.n * h.size * h.size) FILTER (s.least IS NULL OR h.size < s.least), 0) AS squares
+  FROM hist h LEFT JOIN sure s ON s.source IS NOT DISTINCT FROM h.source GROUP BY h.source),
 odd AS (SELECT b.doc_id, b.source, b.size, g.source_size, g.target, g.whole,
     (CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
-      / {float(1 << 52)} AS u,
-    CASE WHEN b.size = 0 THEN NULL ELSE CAST(b.size * g.filled AS DOUBLE) / g.source_size END AS rel,
-    CASE WHEN g.source_size = 0 THEN NULL ELSE CAST(g.need AS DOUBLE) / g.source_size END AS part
-  FROM base b JOIN goal g ON g.source IS NOT DISTINCT FROM b.source),
-ranked AS (SELECT doc_id, source, size, source_size, target, whole,
-    (u / (1.0::DOUBLE - u)) / rel / nullif(coalesce(part / nullif(1.0::DOUBLE - part, 0), 1.0), 0) AS q FROM odd),
+      / {float(1 << 52)} AS u, l.rest * b.size AS part, l.squares
+  FROM base b JOIN goal g ON g.source IS NOT DISTINCT FROM b.source LEFT JOIN share l ON l.source IS NOT DISTINCT FROM b.source),
+ranked AS (SELECT doc_id, source, size, source_size, target, whole, CASE WHEN size = 0 THEN NULL WHEN part >= squares THEN 0.0::DOUBLE
+    ELSE (u / (1.0::DOUBLE - u)) / nullif(CAST(part AS DOUBLE) / CAST(squares - part AS DOUBLE), 0) END AS q FROM odd),
 {','.join(steps)},
 picked AS (SELECT DISTINCT doc_id FROM ({picked}))
 SELECT r.doc_id, r.size, r.source_size, r.target, r.whole + (p.doc_id IS NOT NULL)::INT AS copies,

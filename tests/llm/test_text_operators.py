@@ -285,6 +285,41 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_mixing_inclusion(spark, monkeypatch):
+    """Over independent draws a document's share is its inclusion probability
+    min(1, c * size); draws are sources that hold the same sizes under other ids."""
+    sizes, draws = [20, 40, 60, 90, 140, 200, 350, 600] * 40 + [6000], 45
+    rows = [(d * 1000 + i, "w " * n, "en", f"s{d:04d}") for d in range(draws) for i, n in enumerate(sizes)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    taken, seen = defaultdict(int), defaultdict(int)
+    for r in got.select("doc_id", "size", "copies", "source_size", "target").collect():
+        whole = int(r["target"] // r["source_size"])
+        need = round(r["target"] - whole * r["source_size"])
+        seen[need, r["size"]] += 1
+        taken[need, r["size"]] += r["copies"] - whole
+    assert len({n for n, _ in seen}) == 3
+    for need in {n for n, _ in seen}:
+        rest, sure = need, set()
+        while True:                              # the definition of c, size by size
+            c = rest / sum(n * n for n in sizes if n not in sure)
+            more = {n for n in sizes if n not in sure and c * n >= 1}
+            if not more:
+                break
+            sure |= more
+            rest = need - sum(n for n in sizes if n in sure)
+        for n in set(sizes):
+            m, p = seen[need, n], 1.0 if n in sure else c * n
+            share, err = taken[need, n] / m, 4 * (p * (1 - p) / m) ** 0.5
+            # a draw ends within the size of a document and is filled up with a few small ones
+            assert abs(share - p) <= err + 0.05, (need, n, share, p)
+    # repeats are listed in runs
+    monkeypatch.setattr(mixing, "REPEATS", 4)
+    same = spark.createDataFrame([(1, "a b", "en", "s")] * 11 + [(2, "a", "en", "t")] * 4,
+                                 "doc_id long, text string, lang string, source string")
+    out = mixing.mix_sources(same).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in out} == {1: 11, 2: 4}
+
+
 def test_toxicity(spark):
     bad = ["rotten", "filthy"]
     rows, labels = [], []
