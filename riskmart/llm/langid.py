@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, id_hash, prepare, store
@@ -163,23 +163,31 @@ def _expect(shared):
     return run
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, rounds: int = 3, vocabulary: str = VOCABULARY_FILE) -> dict:
+def train(docs: DataFrame, max_docs: int = 5_000, rounds: int = 3, vocabulary: str = VOCABULARY_FILE) -> dict:
     """Fit on documents with a non-null lang and crc32(doc_id) mod 4 != 2.
 
-    At most ``max_docs`` of them are used, those with the smallest hash of their id.
-    The fitted table has pieces x languages entries and is broadcast."""
+    At most ``max_docs`` of every language are used, those with the smallest hash of
+    their id, so a rare language is learned at every size of the corpus; the prior
+    counts all of them. The fitted table has pieces x languages entries and is broadcast."""
     spark = docs.sparkSession
     pieces = load_pieces(vocabulary)
     lattice_rows = len(pieces) + 1
-    ids = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-           .where("doc_id IS NOT NULL AND lang IS NOT NULL")
-           .where(F.pmod(id_hash(F.col("doc_id")), F.lit(4)) != 2).distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_docs))
-    ids = store(ids, "op3-sample")
-    share = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    every = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+             .where("doc_id IS NOT NULL AND lang IS NOT NULL")
+             .where(F.pmod(id_hash(F.col("doc_id")), F.lit(4)) != 2))
+    share = {r["lang"]: r["count"] for r in every.groupBy("lang").count().collect()}
     langs = sorted(share)
     if not langs:
         return {"pieces": pieces, "langs": [], "p": np.zeros((lattice_rows, 0)), "prior": np.zeros(0)}
+    # a part of the hash range that holds more than max_docs of a language, then the exact cut
+    place, wanted = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), F.lit(False)
+    for g in langs:
+        part = min(1.0, (1.5 * max_docs + 500) / share[g])
+        wanted = wanted | ((F.col("lang") == g) & (place < int((1 << 31) * part)))
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    ids = (every.where(wanted).distinct().withColumn("place", place).withColumn("k", F.row_number().over(first))
+           .where(F.col("k") <= max_docs).select("doc_id", "lang"))
+    ids = store(ids, "op3-sample")      # at most max_docs of each language: small enough to broadcast
     src = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"))
            .join(F.broadcast(ids), ["doc_id", "lang"]).where("text IS NOT NULL").select("text", "lang"))

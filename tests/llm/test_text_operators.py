@@ -390,6 +390,25 @@ def test_language(spark):
     assert langid.identify(frame(spark, [])).count() == 0
 
 
+def test_language_learns_rare_languages(spark):
+    """Every language has a sample of its own: six documents among many are enough."""
+    text = {"en": "the weather and the water were there with other things that people have when they go out",
+            "fr": "les oiseaux sont dans la maison avec nous pour la fin de cette semaine et nous sommes contents",
+            "de": "der hund und die katze sind nicht schön heute weil wir noch keine zeit für sie gefunden haben"}
+    rows = []
+    for i in range(3000):
+        w = text["en" if i % 2 else "fr"].split()
+        rows.append((i, " ".join(w[i % 9:] + w[:i % 7]), "en" if i % 2 else "fr", "s"))
+    w = text["de"].split()
+    rows += [(5000 + i, " ".join(w[i:] + w[:i]), "de", "s") for i in range(6)]
+    rows += [(6000, "wir haben keine katze gefunden", None, "s"), (6001, "les oiseaux sont contents", None, "s")]
+    rows += rows[:4]                                            # repeated rows are sampled once
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, rows), max_docs=100).collect()}
+    assert all(got[5000 + i] == "de" for i in range(6)) and got[6000] == "de" and got[6001] == "fr"
+    assert all(got[i] == ("en" if i % 2 else "fr") for i in range(3000))
+    assert len(got) == 3008
+
+
 def test_forward_sums_all_segmentations():
     import math
 
