@@ -11,6 +11,7 @@ from .. import tables as T
 from ..functions import constants as K
 from ..operators import ml as ML
 from ..session import scratch_path
+from ..sources import quarantine as Q
 from ..sources import readers as R
 from ..sources import sinks as SK
 from . import operational as O
@@ -350,6 +351,40 @@ def q_csv(spark, d):
                       name_glob="*.csv").drop("c_nationkey")
 
 
+# a feed of order lines that a sender damaged: fields lost or doubled, quotes left open,
+# text in the number column
+_DAMAGE = (("too few fields", 11), ("too many fields", 13), ("unclosed quote", 17), ("wrong type", 19))
+
+
+@query("csv_quarantine", ops=("SRC-1", "SRC-9", "VAL-7"), sql=f"""
+SELECT CASE {" ".join(f"WHEN o_orderkey % {n} = 0 THEN '{r}'" for r, n in _DAMAGE)} ELSE 'row' END AS outcome,
+       COUNT(*) AS n_lines, CAST(SUM(o_orderkey) AS BIGINT) AS sum_key,
+       COUNT(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS n_status
+FROM orders GROUP BY 1""")
+def q_quarantine(spark, d):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    quoted = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""x"""'))
+    status = F.when(F.col("o_orderstatus") == "P", "?").otherwise(F.col("o_orderstatus"))
+    whole = [key.cast("string"), status, price, quoted]
+    line = F.concat_ws(",", *whole)
+    forms = {"too few fields": F.concat_ws(",", *whole[:3]), "too many fields": F.concat_ws(",", *whole, price),
+             "unclosed quote": F.concat(line, F.lit(',"')),
+             "wrong type": F.concat_ws(",", key.cast("string"), status, F.lit("n/k x"), quoted)}
+    broken = line
+    for r, n in reversed(_DAMAGE):
+        broken = F.when(key % n == 0, forms[r]).otherwise(broken)
+    path = scratch_path(spark, "csv-damaged")
+    T.load(spark, d, "orders").select(broken.alias("value")).write.text(path)
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double, note string"
+    rows, bad = Q.read_csv_checked(spark, path, schema)
+    rows = rows.select(F.lit("row").alias("outcome"), "o_orderkey", F.col("o_orderstatus").alias("status"))
+    cells = F.split("line", ",")
+    bad = bad.select(F.col("reason").alias("outcome"), F.get(cells, F.lit(0)).cast("long").alias("o_orderkey"),
+                     F.nullif(F.get(cells, F.lit(1)), F.lit("?")).alias("status"))
+    return rows.union(bad).groupBy("outcome").agg(
+        F.count("*").alias("n_lines"), F.sum("o_orderkey").alias("sum_key"), F.count("status").alias("n_status"))
+
+
 @query("insert_or_ignore", ops=("SNK-4", "STR-7", "JOI-5"), sql="""
 SELECT o_custkey AS patient_id,
        COALESCE(MIN(CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN o_orderkey END),
