@@ -87,8 +87,8 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str
     tested = T.StructType(schema.fields + [T.StructField(BAD, T.StringType())])
     text = options(spark.read.option("lineSep", "\n")).text(path).select(
         (F.octet_length("value") + 1).cast("long").alias("size"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "").alias("line"))
+        F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("whole"),
+        F.regexp_replace("value", "\r$", "").alias("line"))
     rule = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
     # text cells that stand for null are emptied by the parser's types only after the check
     parsed = F.from_csv("line", tested.simpleString()[len("struct<"):-1].replace(":", " "), rule)
@@ -103,9 +103,11 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str
         .withColumn("seq", F.monotonically_increasing_id()), "csv-checked")
     rows = null_tokens(judged.where("row").select(*[F.col(SLOT)[c].alias(c) for c in schema.names]), tokens)
     # the parts of a file are few: its bytes over the split size
-    parts = judged.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
+    parts = judged.groupBy("file", "block").agg(F.sum("size").alias("bytes"), F.max("whole").alias("whole"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    # the line reader passes over a byte order mark (3 bytes); a last line without an end counts one too many
+    mark = F.when(F.col("whole") - F.sum("bytes").over(Window.partitionBy("file")) >= 2, 3).otherwise(0)
+    parts = parts.select("file", "block", (F.coalesce(F.sum("bytes").over(before), F.lit(0)) + mark).alias("base"))
     hurt = judged.where("reason IS NOT NULL").select("file", "block").distinct()
     # order inside a part is that of reading; only parts with bad lines are looked at again
     lines = (judged.select("size", "file", "block", "reason", "line", "seq").join(hurt, ["file", "block"], "left_semi")
