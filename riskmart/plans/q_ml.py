@@ -18,9 +18,10 @@ FEATURES = ["age_numeric", "number_inpatient", "number_outpatient", "number_emer
             "medication_change", "high_lab_procedures", "insulin_flag"]
 
 
-def model_data(spark, d):
-    """Feature rows with label, balanced weights and an 80/20 hash split."""
-    f = features_df(spark, d, keep_ids=True)
+def model_data(spark, d, features=None):
+    """Feature rows with label, balanced weights and an 80/20 hash split. ``features``:
+    already engineered rows, if the caller has them."""
+    f = features_df(spark, d, keep_ids=True) if features is None else features
     f = f.select(F.col("encounter_id").try_cast("long").alias("row_id"),
                  *[F.col(c).cast("double").alias(c) for c in FEATURES],
                  F.col("readmitted_binary").cast("double").alias("label"))
@@ -137,9 +138,9 @@ MARGIN_SQL = " + ".join([f"b[{i + 1}] * {c}" for i, c in enumerate(FEATURES)] +
 MEANS_SQL = f"""(SELECT {", ".join(f"AVG({c}) AS m_{c}" for c in FEATURES)} FROM msplit WHERE train)"""
 
 
-def linear_model(spark, d):
+def linear_model(spark, d, features=None):
     """(fitted model, all rows, training rows)."""
-    data = model_data(spark, d)
+    data = model_data(spark, d, features)
     train = data.where(F.col("split") == "train")
     return fit_logistic(train, FEATURES), data, train
 

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..session import scratch_path
 from ..sources.readers import stream_source
+from ..functions import constants as K
+from ..operators.linear import LinearModel
 from ..streaming import jobs as J
+from ..streaming import models as M
 from . import sqlgen as G
+from .features import clean, engineer, fit_params
+from .q_ml import FEATURES, FIXED, FIXED_BIAS, LINEAR_SQL, MARGIN_SQL, linear_model, linear_sql
 from .registry import query
 
 EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, " \
@@ -125,3 +130,49 @@ def q_stream_replay(spark, d):
             .crossJoin(dims.agg(F.count(F.lit(1)).alias("dim_patients")))
             .crossJoin(kpis.select(F.col("total_patients").alias("kpi_patients"))))
 
+
+
+# ------------------------------------------------------------------ STR-2: a fitted model on the stream
+SWAP_DAY = "1995-07-01"
+LIVE_NUMBERS = ("number_inpatient", "number_outpatient", "number_emergency", "num_medications",
+                "num_lab_procedures", "time_in_hospital")
+
+
+@query("stream_model_swap", ops=("STR-2", "SNK-5", "SNK-13", "ENC-3", "SCO-3"), sql=linear_sql(f"""
+SELECT visit_id, model_version, risk_score, {G.risk_level("risk_score", "left")} AS risk_level,
+       {G.rnd_even("risk_score * 100.0", 1)} AS risk_percentage
+FROM (SELECT visit_id, CASE WHEN late THEN 'fitted' ELSE 'start' END AS model_version,
+             {G.rnd_even(f"1.0 / (1.0 + exp(-(CASE WHEN late THEN {MARGIN_SQL} ELSE {FIXED_BIAS} + {LINEAR_SQL} END)))", 4)}
+               AS risk_score
+      FROM live, fitted)""").replace("\nSELECT visit_id, model_version", f""", live AS (
+  SELECT visit_id, late, age_numeric, {", ".join(LIVE_NUMBERS)},
+         number_inpatient + number_outpatient + number_emergency AS total_visits, medication_change, insulin_flag,
+         CASE WHEN num_lab_procedures > p75 THEN 1 ELSE 0 END AS high_lab_procedures
+  FROM (SELECT TRY_CAST(encounter_id AS BIGINT) AS visit_id, admitted_at >= TIMESTAMP '{SWAP_DAY}' AS late,
+               CAST({G.lookup('age', K.AGE_MAP, K.AGE_DEFAULT)} AS DOUBLE) AS age_numeric,
+               {", ".join(f"COALESCE({G.safe_double(c)}, 0) AS {c}" for c in LIVE_NUMBERS)},
+               CASE WHEN change = 'Ch' THEN 1 ELSE 0 END AS medication_change,
+               CASE WHEN insulin = 'No' THEN 0 ELSE 1 END AS insulin_flag FROM enc),
+       (SELECT quantile_cont(num_lab_procedures, 0.75) AS p75 FROM clean))
+SELECT visit_id, model_version""", 1))
+def q_stream_model_swap(spark, d):
+    """Records up to a day are scored live by a first model, those from that day on by the
+    fitted one, published while the stream's checkpoint stays."""
+    enc = T.encounters(spark, d)
+    cleaned = clean(enc, keep_ids=True)
+    cut = fit_params(cleaned).first()["lab_threshold"]
+    root = scratch_path(spark, "live-model")
+    registry = f"{root}/registry"
+    late = F.col("admitted_at") >= F.lit(SWAP_DAY).cast("timestamp")
+
+    def arrive(rows):
+        rows.repartitionByRange(2, "admitted_at", "encounter_id").write.mode("append").parquet(f"{root}/in")
+        J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=4, registry=registry)
+
+    M.publish(spark, registry, "start", LinearModel(tuple(FIXED), tuple(FIXED.values()), FIXED_BIAS, 0, 0.0), list(FIXED))
+    arrive(enc.where(~late))
+    fitted, _, _ = linear_model(spark, d, engineer(cleaned, cut))
+    M.publish(spark, registry, "fitted", fitted, FEATURES, cut)
+    arrive(enc.where(late))
+    return spark.read.parquet(f"{root}/wh/model_predictions").select(
+        F.col("prediction_id").alias("visit_id"), "model_version", "risk_score", "risk_level", "risk_percentage")

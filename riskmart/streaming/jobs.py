@@ -23,6 +23,7 @@ from ..functions import scalars as S
 from ..session import in_thread
 from ..sources import sinks as SK
 from ..sources.readers import stream_source
+from .models import scorer
 
 
 def land_files(df: DataFrame, path: str, n_files: int, order: list[str]) -> None:
@@ -83,16 +84,20 @@ ENC_SCHEMA = T.StructType(
 
 
 def score_records(batch: DataFrame) -> DataFrame:
-    """Score raw records with the heuristic model (STR-2). An absent number counts as
-    0; one that is no number cannot be scored, and the record gets 0.5 / Medium.
-    Records without numeric ids have no key and are left out (see ``unkeyed``)."""
+    """Score raw records (STR-2): with the heuristic formula, or with the probability of a
+    fitted model where the batch carries ``model_score`` (see ``models``). An absent
+    number counts as 0; one that is no number cannot be scored, and the record gets
+    0.5 / Medium, as does every record without a usable model. Records without numeric
+    ids have no key and are left out (see ``unkeyed``)."""
     age = S.age_numeric("age")
 
     def number(c: str):
         return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(S.safe_number(c, None))
 
     inp, meds = number("number_inpatient"), number("num_medications")
-    raw = S.heuristic_score(age, inp, meds)
+    fitted = "model_score" in batch.columns
+    raw = F.col("model_score") if fitted else S.heuristic_score(age, inp, meds)
+    version = F.col("model_version") if fitted else F.lit(K.MODEL_VERSION)
     score = F.coalesce(raw, F.lit(K.FALLBACK_SCORE))
     level = F.when(raw.isNull(), F.lit(K.FALLBACK_LEVEL)).otherwise(S.risk_level(raw, "left"))
     return batch.select(
@@ -103,7 +108,7 @@ def score_records(batch: DataFrame) -> DataFrame:
         S.age_numeric("age").alias("age"), "gender", "race",
         S.safe_number("time_in_hospital", 0).try_cast("int").alias("time_in_hospital"),
         S.safe_number("num_medications", 0).try_cast("int").alias("num_medications"),
-        S.code_category("diag_1").alias("diag_1_category")
+        S.code_category("diag_1").alias("diag_1_category"), version.alias("model_version")
     ).where(F.col("visit_id").isNotNull() & F.col("patient_id").isNotNull())
 
 
@@ -120,8 +125,7 @@ def predictions_of(scored: DataFrame) -> DataFrame:
         F.col("visit_id").alias("prediction_id"), "patient_id", "risk_score",
         S.percent_even("risk_score", 1).alias("risk_percentage"), "risk_level",
         F.col("readmitted_binary").alias("actual_readmitted"),
-        F.current_timestamp().alias("predicted_at"),
-        F.lit(K.MODEL_VERSION).alias("model_version"))
+        F.current_timestamp().alias("predicted_at"), "model_version")
 
 
 # key-hash buckets of the stored dimensions; an upsert reads only the buckets
@@ -138,8 +142,9 @@ def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/{last}")
 
 
-def live_batch(root: str, buckets: int = DIM_BUCKETS, writers: int = 1):
-    """foreachBatch body (STR-3, STR-4).
+def live_batch(root: str, buckets: int = DIM_BUCKETS, writers: int = 1, registry: str | None = None):
+    """foreachBatch body (STR-3, STR-4). With ``registry`` the published model scores the
+    records, else the heuristic formula.
 
     * Dimensions and the (patient, risk level) pairs are insert-or-ignore,
       each row tagged with the batch that first stored it.
@@ -152,9 +157,11 @@ def live_batch(root: str, buckets: int = DIM_BUCKETS, writers: int = 1):
       the fact; it is written as a new version and then named in ``gold_versions``. A replayed batch inserts nothing new, rewrites its own fact and
       parts partitions with the same content, and leaves gold unchanged.
     """
+    by_model = scorer(registry, root) if registry else None
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scored = score_records(batch).persist()
+        scored = score_records(by_model(batch, batch_id) if by_model else batch).persist()
         try:
             # the five writes are independent small jobs: submit them together so
             # the scheduler overlaps them (one driver thread per job)
@@ -256,12 +263,12 @@ def kpis_from_parts(parts: DataFrame) -> DataFrame:
 
 def live_pipeline(spark: SparkSession, source: str, root: str, checkpoint: str,
                   max_files: int = 2, trigger_seconds: int | None = None,
-                  buckets: int = DIM_BUCKETS, writers: int = 1):
+                  buckets: int = DIM_BUCKETS, writers: int = 1, registry: str | None = None):
     """The live path as one streaming query (STR-1..4). With
     ``trigger_seconds`` it keeps running on that period (the 10 s refresh);
     without, it processes what is available and stops."""
     stream = stream_source(spark, source, ENC_SCHEMA, "parquet", max_files)
-    w = stream.writeStream.foreachBatch(live_batch(root, buckets, writers)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(live_batch(root, buckets, writers, registry)).option("checkpointLocation", checkpoint)
     if trigger_seconds:
         return w.trigger(processingTime=f"{trigger_seconds} seconds").start()
     q = w.trigger(availableNow=True).start()
