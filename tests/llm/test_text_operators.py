@@ -2,6 +2,7 @@
 repeated rows, empty tables and extra columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -120,7 +121,7 @@ def test_ngram_components(spark, k, percent):
 
 def test_bands_share_a_signature():
     """Every pair of sets at the threshold shares a signature, at all sizes."""
-    import random
+
 
     import numpy as np
     rnd = random.Random(3)
@@ -141,7 +142,7 @@ def test_bands_share_a_signature():
 def test_bands_do_not_depend_on_earlier_sets():
     """Sets on both sides of a band's end share a signature also if every set is the
     first and largest its task has met."""
-    import random
+
 
     import numpy as np
     rnd = random.Random(4)
@@ -493,10 +494,111 @@ def test_licences(spark):
     from pyspark.sql import functions as F
     out = {r["id"]: (r["own_licence"], r["licence"]) for r in
            licences.inherit(own, F.col("path").rlike(r"(^|/)(LICENSE|COPYING)$")).collect()}
-    g, m = "GPL-3.0-or-later", "MIT"
+    g, m = "GPL-3.0-only", "MIT"       # a bare version is that version only
     assert out == {0: (m, m), 1: (None, m), 2: (g, g), 3: (None, g), 4: (g, g), 5: (None, m), 6: (None, m),
                    7: (m, m), 8: (None, None), 9: (None, m), 10: (m, m)}
     docs = frame(spark, [(1000, mit, "en", "s"), (1001, noise, "en", "s"), (None, None, None, None), (2001, noise, "en", "s")])
     got = {r["doc_id"]: r["licence"] for r in licences.scan_documents(docs).collect()}
     assert got == {1000: m, 1001: m, None: None, 2001: None}
     assert licences.scan_documents(frame(spark, [])).count() == 0
+
+
+def _wrapped(text, width, prefix):
+    import textwrap
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width))
+
+
+LICENCE_PROBES = [
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("Apache-2.0 OR MIT", "// SPDX-License-Identifier: Apache-2.0 OR MIT"),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */"),
+    ("AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License, version 3 or any later version."),
+    (None, "Licensed under CC BY-NC 2.0."), (None, "Licensed under the Apache License."), (None, "MIT students licensed a boat"),
+]
+
+
+def test_licence_versions_variants_and_wrapped_headers(spark):
+    noise = "\n".join(" ".join(prose(i, 12)) for i in range(40))
+    texts = [(want, f"{noise}\n{text}\n{noise}") for want, text in LICENCE_PROBES]
+    # every template, wrapped as a comment in front of a file and in the middle of one
+    for t in licences.TEMPLATES:
+        texts.append((t.licence, _wrapped(t.text, 72, "# ") + "\n\n" + noise))
+        texts.append((t.licence, noise + "\n\n" + _wrapped(t.text, 80, " * ") + "\n" + noise))
+    texts += [(None, ""), (None, None), (None, "\n\n"), (None, "license " * 3000), ("MIT", "x\n" * 30000 + "Released under the MIT License.\r\n")]
+    files = spark.createDataFrame([(i, t, "k") for i, (_, t) in enumerate(texts)], "id int, text string, __own string").drop("__own")
+    rows = {r["id"]: r for r in licences.own_licences(files.repartition(3), ["id"]).collect()}
+    wrong = [(w, rows[i]["own_licence"], (t or "")[-90:]) for i, (w, t) in enumerate(texts) if rows[i]["own_licence"] != w]
+    assert not wrong
+    assert rows[0]["own_line"] == 40 and rows[0]["own_lines"] == 1
+    assert rows[len(texts) - 1]["own_line"] == 30000
+    tag = rows[7]
+    assert (tag["own_score"], tag["own_line"], tag["own_lines"]) == (1.0, 40, 1)
+
+
+def _licence_brute_force(texts, templates, window):
+    """Every window of every text, term by term."""
+    import math
+    import re
+    from collections import Counter
+
+    def terms(t):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    vocabulary = {w for t in templates for w in terms(t.text + " " + t.must)}
+    df = Counter(w for t in texts for w in set(terms(t or "")) & vocabulary)
+    n = len(texts)
+
+    def idf(w):
+        return math.log((n + 1) / ((df[w] if w in vocabulary else 1) + 1)) + 1
+    out = []
+    for text in texts:
+        lines = (text or "").split("\n")
+        best = [(0.0, 0, 0)] * len(templates)
+        for i in range(len(lines)):
+            for k in range(1, min(window, len(lines) - i) + 1):
+                c = Counter(terms("\n".join(lines[i:i + k])))
+                norm = math.sqrt(sum((f if w in vocabulary else math.sqrt(f)) ** 2 * idf(w) ** 2 for w, f in c.items()))
+                for j, (t, (must, never)) in enumerate(zip(templates, licences.required_terms(templates))):
+                    def held(g):
+                        return any(w in c for w in g.split("|"))
+                    if not all(map(held, must)) or any(map(held, never)):
+                        continue
+                    tc = Counter(terms(t.text))
+                    dot = sum(c[w] * tc[w] * idf(w) ** 2 for w in tc)
+                    cos = round(dot / norm / math.sqrt(sum((f * idf(w)) ** 2 for w, f in tc.items())), 9)
+                    best[j] = max(best[j], (cos, -i, -k))
+        t = licences.choose([b[0] for b in best], [-b[1] for b in best], [-b[2] for b in best],
+                            licences.wider_templates(templates))
+        out.append((templates[t].licence, best[t][0], -best[t][1], -best[t][2]) if t >= 0 else (None, 0.0, -1, 0))
+    return out
+
+
+def test_licences_against_brute_force(spark):
+    rnd = random.Random(4)
+    pieces = [t.text for t in licences.TEMPLATES] + [p for _, p in LICENCE_PROBES if "SPDX" not in p]
+    texts = [None, ""]
+    for i in range(60):
+        lines = []
+        for _ in range(rnd.randrange(1, 4)):
+            words = rnd.choice(pieces).split()
+            for _ in range(rnd.randrange(3)):             # words lost and added
+                words[rnd.randrange(len(words))] = rnd.choice(["", "foo", "later", "3", "license"])
+            lines += _wrapped(" ".join(words), rnd.choice([60, 80, 400]), rnd.choice(["", "# "])).split("\n")
+            lines += [" ".join(prose(i, 6))] * rnd.randrange(3)
+        texts.append("\n".join(lines[:30]))
+    texts += texts[5:8]                                     # repeated rows
+    files = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    for window in (1, 6):
+        got = {r["id"]: r for r in licences.own_licences(files, ["id"], window=window).collect()}
+        want = _licence_brute_force(texts, licences.TEMPLATES, window)
+        for i, (name, score, line, height) in enumerate(want):
+            r = got[i]
+            assert (r["own_licence"], r["own_line"], r["own_lines"]) == (name, line, height), (i, texts[i])
+            assert abs(r["own_score"] - min(score, 1.0)) < 1e-8
+        assert sum(w[0] is not None for w in want) > 20
