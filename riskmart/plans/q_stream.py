@@ -12,6 +12,7 @@ from ..sources.readers import stream_source
 from ..functions import constants as K
 from ..operators.linear import LinearModel
 from ..streaming import jobs as J
+from ..streaming import latest as L
 from ..streaming import models as M
 from . import sqlgen as G
 from .features import clean, engineer, fit_params
@@ -176,3 +177,15 @@ def q_stream_model_swap(spark, d):
     arrive(enc.where(late))
     return spark.read.parquet(f"{root}/wh/model_predictions").select(
         F.col("prediction_id").alias("visit_id"), "model_version", "risk_score", "risk_level", "risk_percentage")
+
+
+@query("stream_latest_level", ops=("STR-5", "STR-7", "STR-6"), sql="""
+SELECT level, COUNT(*) AS n
+FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS level FROM events
+      WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY user_id) GROUP BY level""")
+def q_stream_latest(spark, d):
+    """Users by the type of their latest event, kept by a keyed state."""
+    root = scratch_path(spark, "stream-latest")
+    s = _events_stream(spark, d, root)
+    L.run_latest(L.changes(s, "user_id", "event_type", "ts", "event_id"), root, f"{root}/ckpt")
+    return L.counts(spark, root)
