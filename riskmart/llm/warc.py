@@ -154,10 +154,9 @@ def _numbered(batches):
                                          names=["value", "file", "block", "seq"])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """file, off, kind, ident, refers, digest, full, length, sha: the records on the
-    boundary chain of every archive below ``path``. ``length`` and ``sha`` are those of
-    the payload as read."""
+def _chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All candidates of the archives below ``path``, and (file, off) of those on the
+    boundary chain of their file."""
     prepare(spark)
     scan = store(_rows(spark, path).mapInArrow(_scan, DDL), "op8-scan")
     total = scan.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
@@ -190,7 +189,34 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
              .agg(F.min("off").alias("entry")))
     chain = (cand.select("file", "block", "off", "succ").join(store(start, "op8-start"), ["file", "block"])
              .groupBy("file", "block").applyInArrow(_chain, "file string, off long"))
-    chain = store(chain, "op8-chain")
+    return cand, store(chain, "op8-chain")
+
+
+def chain_report(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes, records, last_off, next_off, complete: one row per archive below
+    ``path``, how far its boundary chain came.
+
+    A record with a broken header or a wrong length ends the chain, and what lies behind
+    it cannot be told from payload. ``last_off`` is the start of the last record on the
+    chain (null without any), ``next_off`` where its successor should start; only a chain
+    that ends with the file is complete. An empty file gives no row (file sources leave it out)."""
+    cand, chain = _chains(spark, path)
+    found = (cand.join(chain, ["file", "off"], "left_semi").where("length IS NOT NULL").groupBy("file")
+             .agg(F.count(F.lit(1)).alias("records"), F.max_by(F.struct("off", "succ"), "off").alias("x")))
+    # sizes come from the file listing, contents are not read
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"),
+                                                              F.col("_metadata.file_size").alias("bytes"))
+    end = F.coalesce(F.col("x.succ"), F.lit(0))
+    return files.join(found, "file", "left").select(
+        "file", "bytes", F.coalesce("records", F.lit(0)).alias("records"), F.col("x.off").alias("last_off"),
+        end.alias("next_off"), (end == F.col("bytes")).alias("complete"))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """file, off, kind, ident, refers, digest, full, length, sha: the records on the
+    boundary chain of every archive below ``path``. ``length`` and ``sha`` are those of
+    the payload as read. ``chain_report`` tells which archives were not read to the end."""
+    cand, chain = _chains(spark, path)
     keep = ["file", "off", "kind", "ident", "refers", "digest", "full", "length", "sha"]
     found = cand.join(chain, ["file", "off"], "left_semi").where("length IS NOT NULL")
     whole = found.where("whole").select(*keep)

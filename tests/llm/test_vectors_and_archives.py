@@ -115,3 +115,35 @@ def test_warc_empty_and_bytes(spark):
     warc.write_archives(spark.createDataFrame([(1, "u", "abc", "", "")], PAGES).coalesce(1), path)
     raw = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).first()["content"].decode()
     assert raw.startswith("WARC/1.0\r\nWARC-Type: response\r\n") and raw.endswith("Content-Length: 3\r\n\r\nabc\r\n\r\n")
+
+
+@pytest.mark.parametrize("split", ["128m", "1k"])
+def test_warc_report_of_damaged_archives(spark, split, tmp_path):
+    path = scratch_path(spark, "warc-whole")
+    inner = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(i, "u", f"<p>{i}" + "text" * 60 + inner * (i % 2), "", "") for i in range(20)]
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    raw = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).first()["content"]
+    at = [raw.index(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>" % i) for i in range(20)]
+    tenth = raw[at[10]:at[11]]
+    n = int(tenth.split(b"\r\nContent-Length: ")[1].split(b"\r\n")[0])
+    longer = tenth.replace(b"Content-Length: %d\r\n" % n, b"Content-Length: %d\r\n" % (n + 7), 1)
+    headless = tenth.replace(b"\r\nWARC-Date: ", b"\r\nfolded line\r\nWARC-Date: ", 1)
+    files = {"whole": raw, "length": raw[:at[10]] + longer + raw[at[11]:], "header": raw[:at[10]] + headless + raw[at[11]:],
+             "cut": raw[:at[19] + 200], "empty": b""}
+    for name, content in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(content)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {r["file"].split("/")[-1][:-5]: r for r in warc.chain_report(spark, str(tmp_path)).collect()}
+        read = warc.read_archives(spark, str(tmp_path)).groupBy("file").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {k: len(v) for k, v in files.items() if v} == {k: r["bytes"] for k, r in got.items()}
+    assert {k: (r["records"], r["last_off"], r["complete"]) for k, r in got.items()} == {
+        "whole": (20, at[19], True), "length": (11, at[10], False), "header": (10, at[9], False),
+        "cut": (19, at[18], False),    }
+    assert got["header"]["next_off"] == at[10]
+    assert {r["file"].split("/")[-1][:-5]: r["count"] for r in read if "cut" not in r["file"]} == {
+        "whole": 20, "length": 11, "header": 10}
