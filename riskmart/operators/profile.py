@@ -111,7 +111,7 @@ def box_stats(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame
     if keys:
         fences = materialize(fences, "fences")
         few = fences.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        joined = df.join(F.broadcast(fences) if few else fences, list(keys))
+        joined = df.join(F.broadcast(fences) if few else fences.hint("merge"), list(keys))
     else:
         joined = df.crossJoin(F.broadcast(fences))
     x = F.col(column)
