@@ -64,7 +64,7 @@ SELECT COUNT(*) AS total_patients,
 FROM fact f LEFT JOIN dim_visit_metrics v ON f.visit_id = v.visit_id"""))
 def q_wh_stats(spark, d):
     m = T.mart(spark, d)
-    j = m["fact"].join(m["dim_visit_metrics"].select("visit_id", "time_in_hospital"),
+    j = m["fact"].join(m["dim_visit_metrics"].select("visit_id", "time_in_hospital").hint("merge"),
                        "visit_id", "left")
     return j.agg(F.count(F.lit(1)).alias("total_patients"),
                  A.count_if(F.col("risk_level") == "High").alias("high_risk"),

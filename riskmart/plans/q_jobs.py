@@ -328,7 +328,7 @@ def q_fact_pred(spark, d):
     preds = operational(spark, d)["model_predictions"]
     # only patients with prior inpatient stays were sent to the scoring service
     sent = s.where(F.col("number_inpatient") > 0).select("patient_id")
-    preds = preds.join(sent, "patient_id", "left_semi")
+    preds = preds.join(sent.hint("merge"), "patient_id", "left_semi")
     return W.fact(s, preds, with_id=False)
 
 

@@ -38,3 +38,15 @@ def test_box_stats_repeated_and_missing_values(spark):
         q1, q3 = np.quantile(x, [0.25, 0.75])
         assert (got[g]["q1"], got[g]["q3"]) == pytest.approx((q1, q3))
         assert got[g]["n_outliers"] == int(((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))).sum())
+
+
+def test_star_and_encounters_broadcast_no_table(spark, tmp_path):
+    from riskmart import tables as T
+    from riskmart.plans import warehouse as W
+    d = "/root/testdata/sf0.001"
+    enc = T.encounters_lazy(spark, d)
+    assert "BroadcastHashJoin" not in plan(enc)
+    silver = spark.createDataFrame([(1, 10)], "patient_id long, visit_id long")
+    fact = silver.select("*", F.lit(0.5).alias("risk_score"), F.lit("Low").alias("risk_level"))
+    dv = silver.select("visit_id", F.lit(1).alias("time_in_hospital"), F.lit(2).alias("num_medications"))
+    assert "BroadcastHashJoin" not in plan(W.hospital_kpis(fact, dv))
