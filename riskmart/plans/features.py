@@ -25,11 +25,15 @@ def clean(raw: DataFrame, keep_ids: bool = False, order_col: str = "admitted_at"
           tokens=K.NULL_TOKENS, materialize_rows: bool = True) -> DataFrame:
     """JOB-1: null tokens -> null, first encounter per patient, binary target,
     drop listed columns, diagnosis categories, median/mode fill."""
-    df = type_numeric(null_tokens(raw, tokens))
+    df, numbers = raw, K.NUMERIC_RAW_COLUMNS
     if "patient_nbr" in df.columns:
+        # only what picks the row is cleaned on all rows, the rest on those that stay
+        df = type_numeric(null_tokens(df, tokens, ["patient_nbr", "encounter_id", order_col]), [order_col] if order_col in numbers else [])
         order = ([order_col] if order_col in df.columns else []) + \
                 [F.col("encounter_id").try_cast("long")]
         df = first_per_key(df, "patient_nbr", order)
+        numbers = [c for c in numbers if c != order_col]
+    df = type_numeric(null_tokens(df, tokens), numbers)
     df = df.withColumn("readmitted_binary", S.readmit_flag("readmitted")).drop("readmitted")
     drop = [c for c in K.DROP_COLUMNS if not (keep_ids and c in ("encounter_id", "patient_nbr"))]
     df = drop_present(df, drop)

@@ -50,3 +50,21 @@ def test_star_and_encounters_broadcast_no_table(spark, tmp_path):
     fact = silver.select("*", F.lit(0.5).alias("risk_score"), F.lit("Low").alias("risk_level"))
     dv = silver.select("visit_id", F.lit(1).alias("time_in_hospital"), F.lit(2).alias("num_medications"))
     assert "BroadcastHashJoin" not in plan(W.hospital_kpis(fact, dv))
+
+
+def test_first_per_key_limits_rows_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, None, "a"), (1, 1, "c"), (None, 5, "d"), (None, 4, "e")], "k long, o long, v string")
+    first = first_per_key(df, "k", ["o"])
+    assert "SortAggregate" not in plan(first) and "Partial" in plan(first)
+    assert {(r["k"], r["v"]) for r in first.collect()} == {(1, "a"), (None, "e")}
+    last = first_per_key(df, "k", ["o"], descending=True)
+    assert {(r["k"], r["v"]) for r in last.collect()} == {(1, "b"), (None, "d")}
+
+
+def test_code_category_parses_the_number_once(spark):
+    expr = S.code_category("c")
+    df = spark.createDataFrame([("250.83",), ("785",), ("V58",), ("E1",), ("?",), ("x",), (None,), (" 251 ",), ("459.5",), ("999",)], "c string")
+    assert plan(df.select(expr.alias("x"))).count("RLIKE") <= 1
+    want = ["Diabetes", "Circulatory", "Supplementary", "External", "Other", "Other", "Other", "Other", "Other", "Injury"]
+    assert [r[0] for r in df.select(expr).collect()] == want
+    assert K.DIAG_DEFAULT == "Other"
