@@ -73,10 +73,18 @@ sc AS (
         FROM enc))"""
 
 
+ARRIVALS, PER_BATCH = 6, 3
+
+
+def _run_live(spark, root):
+    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=PER_BATCH * J.files_per_arrival(spark, PER_BATCH))
+
+
 def _live(spark, d):
     root = scratch_path(spark, "live")
-    J.land_files(T.encounters(spark, d), f"{root}/in", 6, ["admitted_at", "encounter_id"])
-    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=3)
+    J.land_files(T.encounters(spark, d), f"{root}/in", ARRIVALS * J.files_per_arrival(spark, PER_BATCH),
+                 ["admitted_at", "encounter_id"])
+    _run_live(spark, root)
     return root
 
 
@@ -114,11 +122,11 @@ FROM sc""", STREAM_SCORED_SQL))
 def q_stream_replay(spark, d):
     root = _live(spark, d)
     # restart on the same checkpoint: nothing new, nothing written twice
-    J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=3)
+    _run_live(spark, root)
     # replay of an already processed batch id replaces its own partition only
     first = spark.read.parquet(f"{root}/wh/fact").where(F.col("batch_id") == 0).select("visit_id")
     batch0 = spark.read.parquet(f"{root}/in").join(
-        first.select(F.col("visit_id").cast("string").alias("encounter_id")), "encounter_id",
+        first.select(F.col("visit_id").cast("string").alias("encounter_id")).hint("merge"), "encounter_id",
         "left_semi")
     J.live_batch(f"{root}/wh")(batch0, 0)
     fact = spark.read.parquet(f"{root}/wh/fact")
@@ -166,9 +174,11 @@ def q_stream_model_swap(spark, d):
     registry = f"{root}/registry"
     late = F.col("admitted_at") >= F.lit(SWAP_DAY).cast("timestamp")
 
+    per = J.files_per_arrival(spark, 2)
+
     def arrive(rows):
-        rows.repartitionByRange(2, "admitted_at", "encounter_id").write.mode("append").parquet(f"{root}/in")
-        J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=4, registry=registry)
+        rows.repartitionByRange(2 * per, "admitted_at", "encounter_id").write.mode("append").parquet(f"{root}/in")
+        J.live_pipeline(spark, f"{root}/in", f"{root}/wh", f"{root}/ckpt", max_files=4 * per, registry=registry)
 
     M.publish(spark, registry, "start", LinearModel(tuple(FIXED), tuple(FIXED.values()), FIXED_BIAS, 0, 0.0), list(FIXED))
     arrive(enc.where(~late))

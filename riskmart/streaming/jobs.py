@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from ..session import in_thread
+from ..session import in_thread, parallelism
 from ..sources import sinks as SK
 from ..sources.readers import stream_source
 from .models import scorer
@@ -31,6 +31,11 @@ def land_files(df: DataFrame, path: str, n_files: int, order: list[str]) -> None
     df.repartitionByRange(n_files, *order).write.mode("overwrite").parquet(path)
 
 
+def files_per_arrival(spark: SparkSession, arrivals: int) -> int:
+    """Files to land per arrival, so that a micro-batch of ``arrivals`` fills the task slots."""
+    return -(-parallelism(spark) // arrivals)
+
+
 def run_available(writer, checkpoint: str):
     """Process everything available now, then stop (restartable)."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

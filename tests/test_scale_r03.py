@@ -68,3 +68,9 @@ def test_code_category_parses_the_number_once(spark):
     want = ["Diabetes", "Circulatory", "Supplementary", "External", "Other", "Other", "Other", "Other", "Other", "Injury"]
     assert [r[0] for r in df.select(expr).collect()] == want
     assert K.DIAG_DEFAULT == "Other"
+
+
+def test_arrivals_fill_the_task_slots(spark):
+    from riskmart.streaming import jobs as J
+    per = J.files_per_arrival(spark, 3)
+    assert 3 * per >= session.parallelism(spark) and 3 * (per - 1) < session.parallelism(spark)
