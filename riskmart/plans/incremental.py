@@ -37,6 +37,8 @@ SUMS = {"risk_score": "decimal(12,4)", "time_in_hospital": "long", "num_medicati
 
 
 def _write(df: DataFrame, path: str, batch_id: int, parts: list[str]) -> None:
+    if parts:   # one file per directory, not one per directory and task
+        df = df.repartition(*parts)
     (df.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch_id").parquet(path))
 
@@ -51,7 +53,7 @@ def changes(batch: DataFrame, stored: DataFrame) -> DataFrame:
     old = first_per_key(stored, "patient_id", order)
     cols = [*ROW_COLUMNS, ORDER, "bucket"]
     pair = (new.select("patient_id", F.struct(*cols).alias("new"))
-            .join(old.select("patient_id", F.struct(*cols).alias("old")), "patient_id", "left")
+            .join(old.select("patient_id", F.struct(*cols).alias("old")).hint("merge"), "patient_id", "left")
             .where(F.col("old").isNull() | (F.struct(*[F.col(f"new.{c}") for c in order])
                                             < F.struct(*[F.col(f"old.{c}") for c in order]))))
     both = F.array(F.struct(F.col("new").alias("row"), F.lit(1).alias("sign")),
@@ -71,8 +73,7 @@ def apply_batch(raw: DataFrame, root: str, batch_id: int, buckets: int = BUCKETS
     stored = read_or_empty(spark, f"{root}/{CHANGES}", schema) \
         .where(F.col("bucket").isin(touched) & (F.col("batch_id") < int(batch_id)) & (F.col("sign") == 1)) \
         .select(*batch.columns)
-    # the batch's patients are the smaller side; adaptive execution measures it
-    stored = stored.join(batch.select("patient_id"), "patient_id", "left_semi")
+    stored = stored.join(batch.select("patient_id").hint("merge"), "patient_id", "left_semi")
     delta = materialize(changes(batch, stored), "incremental-delta")
     _write(delta, f"{root}/{CHANGES}", batch_id, ["bucket"])
     labs = delta.groupBy(F.col("num_lab_procedures").alias("value")).agg(F.sum("sign").alias("n")).where("n != 0")

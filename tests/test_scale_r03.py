@@ -74,3 +74,11 @@ def test_arrivals_fill_the_task_slots(spark):
     from riskmart.streaming import jobs as J
     per = J.files_per_arrival(spark, 3)
     assert 3 * per >= session.parallelism(spark) and 3 * (per - 1) < session.parallelism(spark)
+
+
+def test_changes_take_one_file_per_bucket(spark, tmp_path):
+    from riskmart.plans import incremental as I
+    rows = spark.range(0, 4000, 1, 8).select("id", (F.col("id") % 4).alias("bucket"))
+    I._write(rows, str(tmp_path / "t"), 0, ["bucket"])
+    assert all(len(list(p.rglob("*.parquet"))) == 1 for p in (tmp_path / "t").glob("bucket=*"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
