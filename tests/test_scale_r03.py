@@ -82,3 +82,7 @@ def test_changes_take_one_file_per_bucket(spark, tmp_path):
     I._write(rows, str(tmp_path / "t"), 0, ["bucket"])
     assert all(len(list(p.rglob("*.parquet"))) == 1 for p in (tmp_path / "t").glob("bucket=*"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
+def test_wide_stages_leave_whole_stage_code(spark):
+    assert int(session.configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
