@@ -79,9 +79,13 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 def estimators(label: str = "label", weight: str | None = "weight",
                forest: dict | None = None, boosted: dict | None = None) -> dict:
     """The two tree ensembles (TRN-2, TRN-3) with the reference settings; the third
-    candidate is ``linear.fit_logistic`` (TRN-1)."""
+    candidate is ``linear.fit_logistic`` (TRN-1).
+
+    The forest keeps each row's node per tree beside the row: the fitted trees are the
+    same, but no pass ships the trees grown so far to the tasks or walks them from the root.
+    """
     common = {"labelCol": label, "featuresCol": "features"}
-    rf = RandomForestClassifier(**common, seed=SEED, **(forest or FOREST))
+    rf = RandomForestClassifier(**common, seed=SEED, cacheNodeIds=True, **(forest or FOREST))
     gb = GBTClassifier(**common, seed=SEED, **(boosted or BOOSTED))
     if weight:
         for m in (rf, gb):
