@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -32,14 +34,22 @@ def model_data(spark, d, features=None):
 
 
 def train_and_evaluate(spark, d, forest=None, boosted=None):
+    """Metrics, fitted models and rows. The models are fitted side by side: the boosted
+    trees are a long chain of small jobs that leaves most task slots to the forest."""
+    from ..session import in_thread, materialize
     data = model_data(spark, d)
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    rows, models = None, {"logistic_regression": fit_logistic(train, FEATURES)}
+    fits = {"logistic_regression": (fit_logistic, train, FEATURES)}
     for name, est in ML.estimators("label", "weight", forest, boosted).items():
-        models[name] = ML.fit(train, FEATURES, est)
+        fits[name] = (ML.fit, train, FEATURES, est)
+    with ThreadPoolExecutor(len(fits)) as pool:
+        running = {name: pool.submit(in_thread(spark, fit), *args) for name, (fit, *args) in fits.items()}
+        models = {name: f.result() for name, f in running.items()}
+    rows = None
     for name, model in models.items():
-        pred = ML.predicted(model, test, "score")
+        # the metrics read the scores several times, a forest scores them once
+        pred = materialize(ML.predicted(model, test, "score"), "scored-" + name)
         r = ML.evaluate(pred, "label").select(F.lit(name).alias("model"), "*")
         rows = r if rows is None else rows.unionByName(r)
     return rows, models, data
@@ -50,8 +60,10 @@ def training_exports(best, test, comparison, root: str) -> None:
     and the model comparison as CSV (SNK-9)."""
     from ..functions import scalars as S
     from ..operators.aggregates import level_counts
+    from ..session import materialize
     from ..sources.sinks import export_csv
-    pred = ML.predicted(best, test, "risk_score").drop("prediction")
+    # four exports read the scores
+    pred = materialize(ML.predicted(best, test, "risk_score").drop("prediction"), "scored")
     pred = (pred.withColumnRenamed("label", "actual_readmitted")
             .withColumn("risk_percentage", S.percent_even("risk_score", 1))
             .withColumn("risk_level", S.risk_level("risk_score")))
@@ -73,8 +85,9 @@ def training_exports(best, test, comparison, root: str) -> None:
 @query("train_compare", ops=("TRN-1", "TRN-2", "TRN-3", "TRN-4", "TRN-7", "TOP-11", "SNK-9",
                              "AGG-9", "AGG-31"))
 def q_train(spark, d):
-    from ..session import scratch_path
+    from ..session import materialize, scratch_path
     rows, models, data = train_and_evaluate(spark, d)
+    rows = materialize(rows, "comparison")
     best = ML.best_model(rows, "model", "auc").select("best_model")
     comparison = rows.crossJoin(best)
     root = scratch_path(spark, "training")
