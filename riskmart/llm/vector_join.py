@@ -7,13 +7,16 @@ proportion to its variance. A qualifying pair stays within that share in at leas
 one block, so the union over the blocks of range joins with those radii holds every
 pair; each candidate is then verified by its cosine in double precision. Axes are
 dealt out so that every block leads with a strong one, and a block's range join
-meets only grid cells of that axis next to one another.
+meets only grid cells of that axis next to one another. How many blocks there are is
+chosen by the work they leave on the sample: where the grids prune little, every pair
+is met once per block, and fewer blocks are cheaper.
 
 Equal vectors form one class. Cells are cut into pieces of about ``PIECE`` classes
 that are compared piece by piece inside tasks, which return link counts and a
 spanning set of links only: at most a few rows per class and piece, also when a
 third of all vectors link with one another. A pair that several blocks find is
-counted by the first.
+counted by the first. Inside a tile one product in single precision, with a margin
+above its rounding, finds the pairs worth a test in double precision.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 from .common import drop_stored, prepare, store
 from .components import connected_components
 
-AXES = 16             # axes per block
+AXES = 16             # axes per block, at least
 PIECE = 8192
 TILE = 1024
 SAMPLE = 8192
 SLACK = 1e-12
+TEST = 20             # cost of looking at a pair, in multiplications
 
 
 def _clean(kind: str):
@@ -85,12 +89,32 @@ def _frame(sample: list[bytes], dim: int, cosine: float, kind: str) -> dict:
     cov = x.T @ x / len(x)
     value, axis = np.linalg.eigh(cov)
     order = np.argsort(-value)
-    blocks = max(1, dim // AXES)
-    of = [order[b::blocks] for b in range(blocks)]
-    var = np.array([max(value[o].sum(), 1e-9) for o in of])
-    budget = (2.0 - 2.0 * cosine) * var / var.sum() + SLACK
-    return {"rotation": [np.ascontiguousarray(axis[:, o]) for o in of], "budget": budget,
-            "width": np.sqrt(budget) * (1 + 1e-9), "kind": kind}
+    best, least = None, np.inf
+    for blocks in range(1, max(1, dim // AXES) + 1):
+        of = [order[b::blocks] for b in range(blocks)]
+        var = np.array([max(value[o].sum(), 1e-9) for o in of])
+        budget = (2.0 - 2.0 * cosine) * var / var.sum() + SLACK
+        frame = {"rotation": [np.ascontiguousarray(axis[:, o]) for o in of], "budget": budget,
+                 "width": np.sqrt(budget) * (1 + 1e-9), "kind": kind}
+        work = sum(_met(np.floor(x @ rot[:, 0] / width)) * (rot.shape[1] + TEST)
+                   for rot, width in zip(frame["rotation"], frame["width"]))
+        if work < least:
+            best, least = frame, work
+    return best
+
+
+def _met(cell: np.ndarray) -> float:
+    """Pairs in the same cell or in neighbouring ones."""
+    at, n = np.unique(cell, return_counts=True)
+    n = n.astype(float)
+    return float((n * n).sum() / 2 + (n[:-1] * n[1:])[np.diff(at) == 1].sum())
+
+
+def _single(x: np.ndarray, sq: np.ndarray, left: bool) -> np.ndarray:
+    """Single-precision rows whose products are squared distances."""
+    one = np.ones(len(x))
+    cols = (-2.0 * x, sq[:, None], one[:, None]) if left else (x, one[:, None], sq[:, None])
+    return np.hstack(cols).astype(np.float32)
 
 
 def _cells(frames):
@@ -149,6 +173,9 @@ def _meet(frames, cosine: float):
         ra = [ua @ f["rotation"][e] for e in range(b + 1)]
         rb = [ub @ f["rotation"][e] for e in range(b + 1)]
         sq = [(x * x).sum(axis=1) for x in rb]
+        left, right = _single(ra[b], (ra[b] * ra[b]).sum(axis=1), True), _single(rb[b], sq[b], False)
+        # terms of a product sum to 4 at most; twice the rounding of as many terms
+        limit = np.float32(f["budget"][b] + 8 * (left.shape[1] + 4) * 2.0 ** -24)
         ca, cb = np.zeros(len(ia)), np.zeros(len(ib))
         # labels are node ids; a piece met with itself has one label table
         la, lb = ia.copy(), ib.copy()
@@ -161,10 +188,11 @@ def _meet(frames, cosine: float):
                 x = ra[k][s:e]
                 return (x * x).sum(axis=1)[:, None] + sq[k][None, :] - 2.0 * (x @ rb[k].T) <= f["budget"][k]
 
-            hit = near(b)
+            hit = left[s:e] @ right.T <= limit
             if same:
                 hit &= np.arange(len(ib))[None, :] > np.arange(s, e)[:, None]
-            if hit.mean() > 0.02:
+            if np.count_nonzero(hit) > 0.02 * hit.size:
+                hit &= near(b)
                 hit &= ua[s:e] @ ub.T >= cosine
                 for k in range(b):
                     hit &= ~near(k)
@@ -173,9 +201,9 @@ def _meet(frames, cosine: float):
                 i, j = np.nonzero(hit)
                 ok = (ua[s + i] * ub[j]).sum(axis=1) >= cosine
                 i, j = i[ok], j[ok]
-                for k in range(b):
+                for k in range(b + 1):
                     gap = ra[k][s + i] - rb[k][j]
-                    ok = (gap * gap).sum(axis=1) > f["budget"][k]
+                    ok = ((gap * gap).sum(axis=1) <= f["budget"][k]) == (k == b)
                     i, j = i[ok], j[ok]
             if len(i):
                 np.add.at(ca, s + i, nb[j])
