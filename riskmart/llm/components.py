@@ -49,3 +49,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def merged(comp: DataFrame, into: DataFrame) -> DataFrame:
+    """``comp`` (node, component) after its components themselves are joined by ``into``,
+    the result of ``connected_components`` over them: a join instead of a new search."""
+    onto = into.select(F.col("node").alias("component"), F.col("component").alias("__into"))
+    moved = comp.join(onto, "component", "left").select("node", F.coalesce("__into", "component").alias("component"))
+    # a component is named by its smallest node, which ``comp`` has no row for
+    return store(moved.unionByName(into.select("node", "component")), "cc-merged")
+
+
+def component_edges(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """(ca, cb): the components of the ends of the links (a, b)."""
+    def side(x: str) -> DataFrame:
+        return comp.select(F.col("node").alias(x), F.col("component").alias(f"__{x}"))
+    return (links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            .select(F.coalesce("__a", "a").alias("ca"), F.coalesce("__b", "b").alias("cb")))

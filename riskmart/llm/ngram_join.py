@@ -29,6 +29,7 @@ that could join components is left out.
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, prepare, store
-from .components import connected_components
+from .components import component_edges, connected_components, merged
 from .prefix_filter import open_pairs
 from .tokens import NOT_SPACE, mix, shingle_sets, text_blocks, words
 
 WEAK = 3
 HELD = 4_000_000      # shingles a verifying task keeps (32 MB)
+PASSES = 3            # shares in which signatures are dealt, so that shuffles hold one share
 SMALL_K = 32          # up to this distance: three cells a group, subsets of two
 
 
@@ -265,18 +267,26 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
     classes = store(first.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
                     .agg(F.min("doc_id").alias("rep")), "op1-classes")
     # one row per class from here on; the documents keep their class's key only
-    reps = store(first.where("n > 0")
-                 .join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
-                 .select(F.col("doc_id").alias("rep"), "n", "cells", "sigs"), "op1-reps")
+    name = classes.select(*key, F.col("rep").alias("doc_id"))
+
+    def share(col: str, i: int):
+        return F.pmod(F.col(col), F.lit(PASSES)) == i
+    reps_parts = [store(first.where("n > 0").where(share("k1", i))
+                        .join(name.where(share("k1", i)), [*key, "doc_id"], "left_semi")
+                        .select(F.col("doc_id").alias("rep"), "n", "cells", "sigs"), "op1-reps") for i in range(PASSES)]
+    reps = reduce(DataFrame.unionByName, reps_parts)
     heads = store(first.select("doc_id", *key), "op1-heads")
     drop_stored(first)
-    rows = reps.select("rep", F.explode("sigs").alias("sig"))
-    hubs = store(rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
-                 .where("hub < top").select("sig", "hub"), "op1-hubs")
-    shared = store(rows.join(hubs, "sig").where("rep != hub"), "op1-shared")
-    drop_stored(hubs)
+    shared_parts = []
+    for i in range(PASSES):
+        rows = reps.select("rep", F.explode("sigs").alias("sig")).where(share("sig", i))
+        hubs = store(rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
+                     .where("hub < top").select("sig", "hub"), "op1-hubs")
+        shared_parts.append(store(rows.join(hubs, "sig").where("rep != hub"), "op1-shared"))
+        drop_stored(hubs)
+    shared = reduce(DataFrame.unionByName, shared_parts)
     cells = store(reps.select("rep", "n", "cells"), "op1-cells")
-    drop_stored(reps)
+    drop_stored(*reps_parts)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the pairs (a, b): sizes and cells first, then texts."""
@@ -300,14 +310,14 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90,
     label = (shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .select("sig", "rep", F.coalesce("component", "rep").alias("c")))
     label = store(label, "op1-labels")
-    drop_stored(shared)
+    drop_stored(*shared_parts)
     mixed = store(label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("sig"), "op1-mixed")
     rest = _open_pairs(label.join(mixed, "sig"), src, heads, percent, k)
     drop_stored(label, mixed)
     more = verified(rest, "op1-more")
     if not more.isEmpty():
-        comp = connected_components(links.union(more))
+        comp = merged(comp, connected_components(component_edges(more, comp), "ca", "cb"))
     drop_stored(cells, rest)
     return (heads.join(classes, key, "left")
             .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
