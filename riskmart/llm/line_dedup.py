@@ -5,12 +5,13 @@ A line is compared by its shingles if it has at least ``min_words`` words or
 of which a few characters decide, are compared as exact copies only: all of them with
 ``short_docs`` 1, as the registered query and the pipeline take it. A line's character shingles (of the trimmed line, A-Z
 lower-cased) give one-permutation MinHash values, cut into bands. Equal lines are
-one node. Lines that share a band value are compared with the smallest node of that
-band by exact Jaccard similarity of their shingle sets, those still apart in ``HUB_ROUNDS``
-more rounds with a node of the band's largest component, and what is apart then with every
-line that a filter leaves; links become components by
-a distributed union-find, and the first line (by document id, then place) of every
-component is kept.
+one node. Lines that share a band value with at most ``PAIRED`` - 1 others are compared with
+all of them by exact Jaccard similarity of their shingle sets, after a parity sketch has
+dropped pairs that differ in too many shingles. In a band of more lines they are compared
+with its smallest node, those still apart in ``HUB_ROUNDS`` more rounds with a node of the
+band's largest component, and what is apart then with every line that a filter leaves; links
+become components by a distributed union-find, and the first line (by document id, then
+place) of every component is kept.
 
 Nodes are 64-bit hashes of the line, so two unlike lines could only be taken for
 one another by a hash collision.
@@ -18,23 +19,25 @@ one another by a hash collision.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, prepare, store
-from .components import connected_components
-from .prefix_filter import open_pairs
+from .components import component_edges, connected_components, merged
+from .prefix_filter import PARITY, WORDS, open_pairs
 from .tokens import LOWER, mix, odd, text_blocks
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
+PAIRED = 32                   # lines of a band up to which all its pairs are listed
 HUB_ROUNDS = 2
 JACCARD = 0.8
 MIN_WORDS, MIN_CHARS = 5, 25
-HELD = 500_000                # shingles a verifying task keeps (some 40 MB)
 SHORT_DOCS = 10
 ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -147,46 +150,143 @@ def _lines(min_words: int, min_chars: int, k: int):
     return run
 
 
-def _line_texts(batches):
-    """Text of the wanted lines: doc rows with ``wanted`` line numbers and hashes."""
-    for batch in batches:
-        t = pa.table(batch).to_pylist()
-        h, out = [], []
-        for row in t:
-            lines = (row["text"] or "").split("\n")
-            for w in row["wanted"]:
-                if w["line_no"] < len(lines):
-                    x = lines[w["line_no"]]
-                    h.append(w["h"])
-                    out.append(x.strip(" \t\n\v\f\r").translate(ASCII_LOWER))
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.string())],
-                                         names=["h", "line"])
+def _band_pairs(paired: int):
+    """From rows (band, h) sorted by band, the pairs (a, b) of different lines of a band: all of
+    them, with ``band`` null, if it has at most ``paired`` lines, else those with one, its hub."""
+    def run(batches):
+        band = h = np.empty(0, dtype=np.int64)      # the last band, which may go on
+        hub = None                                  # its hub, if it is known to be a long one
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                band = np.concatenate((band, batch.column(0).to_numpy()))
+                h = np.concatenate((h, batch.column(1).to_numpy()))
+            if not len(band):
+                continue
+            last, open_hub = band[-1], hub
+            twice = band[1:] == band[:-1]
+            some = np.append(twice, False) | np.append(False, twice)
+            if batch is not None or open_hub is not None:
+                some |= band == (last if batch is not None else band[0])
+            x, of = h[some], band[some]
+            order = np.lexsort((x, of))
+            x, of = x[order], of[order]
+            fresh = np.ones(len(x), dtype=bool)
+            fresh[1:] = (of[1:] != of[:-1]) | (x[1:] != x[:-1])
+            x, of = x[fresh], of[fresh]
+            yield from _pairs_of(x, of, paired, open_hub, band[0], last if batch is not None else None)
+            if batch is None:
+                break
+            goes_on = x[of == last]
+            if open_hub is not None and band[0] == last:
+                hub = open_hub
+            else:
+                hub = goes_on[0] if len(goes_on) > paired else None
+            h = goes_on if hub is None else np.array([hub])
+            band = np.full(len(h), last)
+    return run
 
 
-def _verify(k: int, jaccard: float):
+def _pairs_of(x, of, paired: int, open_hub, first, last):
+    """``_band_pairs`` of the lines ``x`` of the bands ``of``, both sorted; the band ``last``
+    goes on, and the band ``first`` began before with ``open_hub`` if that is given."""
+    start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(x) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(x)))
+    hubs = x[start]
+    large = size > paired
+    if open_hub is not None:
+        began = of[start] == first
+        large |= began
+        hubs[began] = open_hub
+    done = (size > 1) & ~large
+    if last is not None:
+        done &= of[start] != last
+    nth = np.repeat(np.arange(len(size)), size)
+    small, at = x[done[nth]], nth[done[nth]]
+    pairs = [(small[:0], small[:0])]
+    for d in range(1, int(size[done].max(initial=1))):
+        same = at[d:] == at[:-d]
+        pairs.append((small[:-d][same], small[d:][same]))
+    a, b = (np.concatenate(c) for c in zip(*pairs))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())],
+                                         names=["a", "b", "band"])
+    rest = large[nth] & (x != hubs[nth])
+    if rest.any():
+        yield pa.RecordBatch.from_arrays([pa.array(hubs[nth[rest]]), pa.array(x[rest]), pa.array(of[rest])],
+                                         names=["a", "b", "band"])
+
+
+def line_sets(cp: np.ndarray, off: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of every line, sorted distinct keys): a key has a shingle's hash in its lower
+    ``bits`` bits and the line's index above. A line shorter than a shingle has one, itself."""
+    s, length = off[:-1], np.diff(off)
+    x = shingle_hashes(np.concatenate((cp, np.zeros(k, np.uint32))), k)
+    count = np.maximum(length - k + 1, 1)
+    head = np.concatenate(([0], np.cumsum(count)[:-1]))
+    x = x[np.repeat(s - head, count) + np.arange(count.sum())]
+    for i in np.flatnonzero(length < k):
+        own = np.concatenate((cp[off[i]:off[i + 1]], np.zeros(k - length[i], np.uint32)))
+        x[head[i]] = shingle_hashes(own, k)[0]
+    x = x >> np.uint64(64 - bits) | np.repeat(np.arange(len(s), dtype=np.uint64) << np.uint64(bits), count)
+    x.sort()
+    return count, x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def parity_sketches(cp: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, sketch) of every line: every shingle flips one of ``PARITY`` bits, so two
+    sketches differ in at most as many bits as the sets differ in shingles. Shingles count as
+    40 bits of their hash, which can only lessen that; windows are at least the shingles."""
+    count, x = line_sets(cp, off, k, 40)
+    at = (x >> np.uint64(40)) * np.uint64(PARITY) + x % np.uint64(PARITY)
+    ones = np.bincount(at.astype(np.int64), minlength=len(count) * PARITY) & 1
+    return count, np.packbits(ones.astype(np.uint8)).view(np.int64).reshape(len(count), -1)
+
+
+def _line_texts(k: int):
+    """Text, windows and parity sketch of the wanted lines: doc rows with ``wanted`` line
+    numbers and hashes. Of rows that share their id, only the one that holds the line gives it."""
     def run(batches):
-        known: dict = {}
-        held = 0
-
-        def shingles(node: int, line: str) -> set:
-            nonlocal held
-            s = known.get(node)
-            if s is None:
-                if held > HELD:
-                    known.clear()
-                    held = 0
-                s = known[node] = {line[i:i + k] for i in range(max(1, len(line) - k + 1))}
-                held += len(s)
-            return s
+        for batch in batches:
+            h, out = [], []
+            for row in pa.table(batch).to_pylist():
+                lines = (row["text"] or "").split("\n")
+                for w in row["wanted"]:
+                    if w["line_no"] < len(lines):
+                        x = lines[w["line_no"]].strip(" \t\n\v\f\r").translate(ASCII_LOWER)
+                        if np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-32-le"))).view(np.int64) == w["h"]:
+                            h.append(w["h"])
+                            out.append(x)
+            line = pa.array(out, pa.string())
+            for lo, hi, buf, off in text_blocks(line, 1 << 19):
+                cp, at = characters(buf, off)
+                windows, sketch = parity_sketches(cp, at, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[lo:hi], pa.int64()), line.slice(lo, hi - lo), pa.array(windows, pa.int64()),
+                     *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["h", "line", "windows", *WORDS])
+    return run
 
+
+def _verify(k: int, jaccard: float):
+    """The pairs (a, b, text of a, text of b) whose shingle sets are similar enough. Shingles
+    count as 56 bits of their hash."""
+    def run(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-                u, v = shingles(a, x), shingles(b, y)
-                small, large = min(len(u), len(v)), max(len(u), len(v))
-                if small >= jaccard * large:
-                    both = len(u & v)
-                    keep[i] = both >= jaccard * (small + large - both)
+            for lo, hi, buf, off in text_blocks(batch.column(2), 1 << 17):
+                for i in range(lo, hi, 256):
+                    n = min(hi - i, 256)
+                    at = off[i - lo:i - lo + n + 1]
+                    cp, at = characters(buf[at[0]:at[-1]], at - at[0])
+                    u = line_sets(cp, at, k, 56)[1]
+                    v = []
+                    for lo2, hi2, buf2, off2 in text_blocks(batch.column(3).slice(i, n), 1 << 30):
+                        cp, at = characters(buf2, off2)
+                        v.append(line_sets(cp, at, k, 56)[1] + (np.uint64(lo2) << np.uint64(56)))
+                    x = np.concatenate((u, *v))
+                    x.sort()
+                    line = (x >> np.uint64(56)).astype(np.int64)
+                    both = np.bincount(line[1:][x[1:] == x[:-1]], minlength=n)
+                    keep[i:i + n] = both >= jaccard * (np.bincount(line, minlength=n) - both)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
                                              names=["a", "b"])
@@ -227,18 +327,6 @@ def _next_hubs(label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return apart.select("band", "h", "c"), pairs
 
 
-def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """``label`` (band, h, c) with the components that ``links`` join taken together."""
-    c = store(label.select("h", "c").distinct(), "op5-node-c")
-    edges = (links.join(c.select(F.col("h").alias("a"), F.col("c").alias("ca")), "a")
-             .join(c.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b").select("ca", "cb"))
-    into = connected_components(edges, "ca", "cb")
-    out = store(label.join(into.select(F.col("node").alias("c"), "component"), "c", "left")
-                .select("band", "h", F.coalesce("component", "c").alias("c")), "op5-label")
-    drop_stored(c)
-    return out
-
-
 def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, jaccard: float = JACCARD,
                     id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                     short_docs: int | None = SHORT_DOCS) -> DataFrame:
@@ -258,78 +346,104 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
     every = store(src.mapInArrow(_lines(min_words, min_chars, k),
                                  "doc_id long, line_no int, h long, bands array<long>, short boolean"), "op5-lines")
-    lines = every.where("NOT short").drop("short")
-    rows = lines.where("size(bands) > 0").select("h", F.explode("bands").alias("band"))
-    hubs = store(rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("top"))
-                 .where("hub < top").select("band", "hub"), "op5-hubs")
-    shared = store(rows.join(hubs, "band").select("band", "h", "hub").distinct(), "op5-shared")
-    drop_stored(hubs)
-    pairs = store(shared.where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(),
-                  "op5-pairs")
+    lines = every.where("NOT short")
+    rows = lines.where("size(bands) > 0").select(F.explode("bands").alias("band"), "h")
+    found = store(rows.repartition("band").sortWithinPartitions("band")
+                  .mapInArrow(_band_pairs(PAIRED), "a long, b long, band long"), "op5-bands")
+    pairs = store(found.select("a", "b").distinct(), "op5-pairs")
     need = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    place = (lines.join(need, "h", "left_semi").groupBy("h")
-             .agg(F.min("doc_id").alias("doc_id")))
-    wanted = (lines.join(place, ["h", "doc_id"]).groupBy("h", "doc_id").agg(F.min("line_no").alias("line_no"))
-              .groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted")))
-    wanted = store(wanted, "op5-wanted")
-    texts = store(src.join(wanted, "doc_id").mapInArrow(_line_texts, "h long, line string").dropDuplicates(["h"]), "op5-texts")
+    unit = F.lit(1 << 31).cast("decimal(10,0)")
+    place = (F.col("doc_id").cast("decimal(20,0)") * unit + F.col("line_no")).cast("decimal(38,0)")
+
+    def taken_apart(k: str, doc_id: str, line_no: str) -> list[Column]:
+        kd = F.floor(F.col(k) / unit)
+        return [kd.cast("long").alias(doc_id), (F.col(k) - kd * unit).cast("int").alias(line_no)]
+
+    wanted = store(lines.select("h", place.alias("k")).join(need.hint("shuffle_hash"), "h", "left_semi")
+                   .groupBy("h").agg(F.min("k").alias("k"))
+                   .select("h", *taken_apart("k", "doc_id", "line_no"))
+                   .groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted")), "op5-wanted")
+    # rows that share their id, and only they, can hold the same line at the same place
+    repeated = not docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).count() \
+        .where("doc_id IS NOT NULL AND count > 1").isEmpty()
+    texts = src.join(wanted.hint("shuffle_hash"), "doc_id") \
+        .mapInArrow(_line_texts(k), "h long, line string, windows long, " + ", ".join(f"{w} long" for w in WORDS)) \
+        .repartition("h")
+    texts = store(texts.dropDuplicates(["h"]) if repeated else texts, "op5-texts")
     drop_stored(wanted)
 
     def verified(p: DataFrame) -> DataFrame:
+        def end(x: str) -> DataFrame:
+            return texts.select(F.col("h").alias(x), F.struct("windows", *WORDS).alias(f"s{x}"))
+        differ = sum((F.bit_count(F.col(f"sa.{w}").bitwiseXOR(F.col(f"sb.{w}"))) for w in WORDS), F.lit(0))
+        near = (p.join(end("a"), "a").join(end("b"), "b")
+                .where((1 + jaccard) * differ <= (1 - jaccard) * (F.col("sa.windows") + F.col("sb.windows")) + 1e-6)
+                .select("a", "b"))
         a = texts.select(F.col("h").alias("a"), F.col("line").alias("ta"))
         b = texts.select(F.col("h").alias("b"), F.col("line").alias("tb"))
-        return store(p.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+        return store(near.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
                      .mapInArrow(_verify(k, jaccard), "a long, b long"), "op5-links")
 
     links = verified(pairs)
     comp = connected_components(links)
-    # bands whose lines other than the hub are still apart: their lines meet a hub of the
-    # largest component of the band, another one in every round
-    label = store(shared.where("h != hub").join(comp.withColumnRenamed("node", "h"), "h", "left")
+    drop_stored(links)
+    # bands of more lines, as far as those other than the hub are still apart: they meet a
+    # hub of the largest component of the band, another one in every round
+    label = store(found.where("band IS NOT NULL").select("band", F.col("b").alias("h")).distinct()
+                  .join(comp.withColumnRenamed("node", "h"), "h", "left")
                   .select("band", "h", F.coalesce("component", "h").alias("c")), "op5-label")
-    drop_stored(shared)
-    found = [links]
+    drop_stored(found)
     for turn in range(HUB_ROUNDS):
-        label, more_pairs = _next_hubs(label, turn)
-        more_pairs = store(more_pairs.join(pairs, ["a", "b"], "left_anti"), "op5-more-pairs")
-        pairs = pairs.union(more_pairs)
-        found.append(verified(more_pairs))
-        label = _merged(label, found[-1])
+        label, more = _next_hubs(label, turn)
+        if label.isEmpty():
+            break
+        more = store(more.join(pairs, ["a", "b"], "left_anti"), "op5-more-pairs")
+        pairs = pairs.union(more)
+        links = verified(more)
+        if links.isEmpty():
+            continue
+        into = connected_components(component_edges(links, comp), "ca", "cb")
+        comp = merged(comp, into)
+        label = store(label.join(into.select(F.col("node").alias("c"), "component"), "c", "left")
+                      .select("band", "h", F.coalesce("component", "c").alias("c")), "op5-label")
+        drop_stored(links)
     # what is still apart: every pair that a prefix, position and parity filter leaves
     mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("band"), "op5-mixed")
-    members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
-                    .agg(F.first("c").alias("c"), F.collect_set("band").alias("keys")), "op5-members")
-    drop_stored(label, mixed)
-    wide = store(texts.join(members.select(F.col("node").alias("h")), "h")
-                 .select("h", F.col("line").cast("binary").alias("line")), "op5-open-texts")
-    sets = (wide.mapInArrow(_elements(k), "node long, elems array<long>"))
-    rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
-    drop_stored(members, pairs, wide)
-    found.append(verified(rest))
-    if not all(x.isEmpty() for x in found[1:]):
-        for x in found[1:]:
-            links = links.union(x)
-        comp = connected_components(links)
-    drop_stored(texts, rest)
+    if not mixed.isEmpty():
+        members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
+                        .agg(F.first("c").alias("c"), F.collect_set("band").alias("keys")), "op5-members")
+        wide = store(texts.join(members.select(F.col("node").alias("h")), "h")
+                     .select("h", F.col("line").cast("binary").alias("line")), "op5-open-texts")
+        sets = (wide.mapInArrow(_elements(k), "node long, elems array<long>"))
+        rest = store(open_pairs(members, sets, round(100 * jaccard)).join(pairs, ["a", "b"], "left_anti"), "op5-rest")
+        drop_stored(members, wide)
+        links = verified(rest)
+        if not links.isEmpty():
+            comp = merged(comp, connected_components(component_edges(links, comp), "ca", "cb"))
+        drop_stored(rest, links)
+    drop_stored(label, mixed, pairs, texts)
     part = (every if short_docs == 1 else lines).select("doc_id", "line_no", "h")
     if short_docs is not None and short_docs > 1:
         short = every.where("short").select("doc_id", "line_no", "h")
         common = store(short.select("h", "doc_id").distinct().groupBy("h").count()
                        .where(F.col("count") >= short_docs).select("h"), "op5-short")
         part = part.union(short.join(common, "h", "left_semi").select("doc_id", "line_no", "h"))
-    node = (part
-            .join(comp.withColumnRenamed("node", "h"), "h", "left")
-            .select("doc_id", "line_no", F.coalesce("component", "h").alias("c"),
-                    (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
-                     + F.col("line_no")).cast("decimal(38,0)").alias("k")))
-    low = store(node.groupBy("c").agg(F.min("k").alias("keep")), "op5-keep")
-    unit = F.lit(1 << 31).cast("decimal(10,0)")
-    kd = F.floor(F.col("keep") / unit)
-    return (node.join(low, "c").distinct()
-            .select("doc_id", "line_no", kd.cast("long").alias("keep_doc_id"),
-                    (F.col("keep") - kd * unit).cast("int").alias("keep_line_no"),
-                    (F.col("k") == F.col("keep")).alias("kept")))
+    # lines that stand alone are their own; the others take the first place of their component
+    node = comp.select(F.col("node").alias("h"), "component") \
+        .union(comp.select("component", "component").distinct())
+    first = store(part.groupBy("h").agg(F.min(place).alias("k"), F.count("*").alias("n"))
+                  .join(node.hint("shuffle_hash"), "h", "left")
+                  .where("n > 1 OR component IS NOT NULL").select("h", F.coalesce("component", "h").alias("c"), "k"),
+                  "op5-first")
+    keep = store(first.select("h", "c").join(first.groupBy("c").agg(F.min("k").alias("k")), "c")
+                 .select("h", "c", *taken_apart("k", "keep_doc_id", "keep_line_no")), "op5-keep")
+    drop_stored(first)
+    out = (part.join(keep.hint("shuffle_hash"), "h", "left")
+           .select("doc_id", "line_no", F.coalesce("keep_doc_id", "doc_id").alias("keep_doc_id"),
+                   F.coalesce("keep_line_no", "line_no").alias("keep_line_no"), F.coalesce("c", "h").alias("c")))
+    return (out.distinct() if repeated else out).select("doc_id", "line_no", "keep_doc_id", "keep_line_no",
+                      ((F.col("doc_id") == F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))).alias("kept"))
 
 
 def drop_lines(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
