@@ -36,6 +36,8 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 PAIRED = 32                   # lines of a band up to which all its pairs are listed
 HUB_ROUNDS = 2
+BAND = 4096                   # lines of a band up to which one task tries its pairs
+BLOCK = 64                    # of which so many at a time, 2 MB
 JACCARD = 0.8
 MIN_WORDS, MIN_CHARS = 5, 25
 SHORT_DOCS = 10
@@ -266,28 +268,32 @@ def _line_texts(k: int):
     return run
 
 
+def similar(ta, tb, k: int, jaccard: float) -> np.ndarray:
+    """Whether the shingle sets of each two texts are similar enough. Shingles count as 56
+    bits of their hash."""
+    keep = np.zeros(len(ta), dtype=bool)
+    for lo, hi, buf, off in text_blocks(ta, 1 << 17):
+        for i in range(lo, hi, 256):
+            n = min(hi - i, 256)
+            at = off[i - lo:i - lo + n + 1]
+            cp, at = characters(buf[at[0]:at[-1]], at - at[0])
+            sets = [line_sets(cp, at, k, 56)[1]]
+            for lo2, _, buf2, off2 in text_blocks(tb.slice(i, n), 1 << 30):
+                cp, at = characters(buf2, off2)
+                sets.append(line_sets(cp, at, k, 56)[1] + (np.uint64(lo2) << np.uint64(56)))
+            x = np.concatenate(sets)
+            x.sort()
+            line = (x >> np.uint64(56)).astype(np.int64)
+            both = np.bincount(line[1:][x[1:] == x[:-1]], minlength=n)
+            keep[i:i + n] = both >= jaccard * (np.bincount(line, minlength=n) - both)
+    return keep
+
+
 def _verify(k: int, jaccard: float):
-    """The pairs (a, b, text of a, text of b) whose shingle sets are similar enough. Shingles
-    count as 56 bits of their hash."""
+    """The pairs (a, b, text of a, text of b) whose shingle sets are similar enough."""
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for lo, hi, buf, off in text_blocks(batch.column(2), 1 << 17):
-                for i in range(lo, hi, 256):
-                    n = min(hi - i, 256)
-                    at = off[i - lo:i - lo + n + 1]
-                    cp, at = characters(buf[at[0]:at[-1]], at - at[0])
-                    u = line_sets(cp, at, k, 56)[1]
-                    v = []
-                    for lo2, hi2, buf2, off2 in text_blocks(batch.column(3).slice(i, n), 1 << 30):
-                        cp, at = characters(buf2, off2)
-                        v.append(line_sets(cp, at, k, 56)[1] + (np.uint64(lo2) << np.uint64(56)))
-                    x = np.concatenate((u, *v))
-                    x.sort()
-                    line = (x >> np.uint64(56)).astype(np.int64)
-                    both = np.bincount(line[1:][x[1:] == x[:-1]], minlength=n)
-                    keep[i:i + n] = both >= jaccard * (np.bincount(line, minlength=n) - both)
-            mask = pa.array(keep)
+            mask = pa.array(similar(batch.column(2), batch.column(3), k, jaccard))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
                                              names=["a", "b"])
     return run
@@ -327,6 +333,38 @@ def _next_hubs(label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return apart.select("band", "h", "c"), pairs
 
 
+def _band_links(k: int, jaccard: float):
+    """Of the lines of one band, links (a, b) that join its components as all links between
+    its lines do. Pairs of ``BLOCK`` lines with all others are taken nearest sketches first,
+    and only as long as their components are apart."""
+    def run(band: pa.Table) -> pa.Table:
+        h, windows = band.column("h").to_numpy(), band.column("windows").to_numpy()
+        line = band.column("line").combine_chunks().cast(pa.large_string())
+        root = np.unique(band.column("c").to_numpy(), return_inverse=True)[1]
+        sketch = np.stack([band.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+        links = []
+        for i in range(0, len(h), BLOCK):
+            to = slice(i, i + BLOCK)
+            differ = np.zeros((len(h[to]), len(h) - i), dtype=np.int64)
+            for w in range(len(WORDS)):
+                differ += np.bitwise_count(sketch[to, w, None] ^ sketch[None, i:, w])
+            far = differ / (windows[to, None] + windows[None, i:])
+            x, y = np.nonzero(((1 + jaccard) * far <= 1 - jaccard + 1e-9) & (root[to, None] != root[None, i:]))
+            order = np.argsort(far[x, y], kind="stable")
+            x, y = x[order] + i, y[order] + i
+            for at in range(0, len(x), 1024):
+                u, v = x[at:at + 1024], y[at:at + 1024]
+                apart = root[u] != root[v]
+                u, v = u[apart], v[apart]
+                near = similar(line.take(pa.array(u)), line.take(pa.array(v)), k, jaccard)
+                for p, q in zip(u[near].tolist(), v[near].tolist()):
+                    if root[p] != root[q]:
+                        root[root == root[q]] = root[p]
+                        links.append((min(h[p], h[q]), max(h[p], h[q])))
+        return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+    return run
+
+
 def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, jaccard: float = JACCARD,
                     id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                     short_docs: int | None = SHORT_DOCS) -> DataFrame:
@@ -407,11 +445,19 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGL
         label = store(label.join(into.select(F.col("node").alias("c"), "component"), "c", "left")
                       .select("band", "h", F.coalesce("component", "c").alias("c")), "op5-label")
         drop_stored(links)
-    # what is still apart: every pair that a prefix, position and parity filter leaves
-    mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-                  .where("lo < hi").select("band"), "op5-mixed")
-    if not mixed.isEmpty():
-        members = store(label.join(mixed, "band").groupBy(F.col("h").alias("node"))
+    # what is still apart: in bands of at most ``BAND`` lines every pair is tried there, else
+    # every pair that a prefix, position and parity filter leaves
+    mixed = store(label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+                  .where("lo < hi").select("band", "n"), "op5-mixed")
+    few, many = mixed.where(f"n <= {BAND}"), mixed.where(f"n > {BAND}")
+    if not few.isEmpty():
+        links = store(label.join(few, "band").join(texts, "h").groupBy("band")
+                      .applyInArrow(_band_links(k, jaccard), "a long, b long").distinct(), "op5-links")
+        if not links.isEmpty():
+            comp = merged(comp, connected_components(component_edges(links, comp), "ca", "cb"))
+        drop_stored(links)
+    if not many.isEmpty():
+        members = store(label.join(many, "band").groupBy(F.col("h").alias("node"))
                         .agg(F.first("c").alias("c"), F.collect_set("band").alias("keys")), "op5-members")
         wide = store(texts.join(members.select(F.col("node").alias("h")), "h")
                      .select("h", F.col("line").cast("binary").alias("line")), "op5-open-texts")
